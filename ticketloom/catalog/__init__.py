@@ -1,13 +1,13 @@
 """Registered queries over the given tables and their SQL twins."""
 
-from ticketloom.catalog import hygiene
+from ticketloom.catalog import evaluation, hygiene, labelling, retrieval, routing
 
-FAMILIES = (hygiene,)
+FAMILIES = (hygiene, retrieval, labelling, routing, evaluation)
 
 
 def all_queries() -> dict:
-    return {name: fn for family in FAMILIES for name, fn in family.QUERIES.items()}
+    return {name: fn for module in FAMILIES for name, fn in module.FAMILY.queries.items()}
 
 
 def all_oracles() -> dict:
-    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
+    return {name: sql for module in FAMILIES for name, sql in module.FAMILY.oracles.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import constants as K
 from ticketloom.catalog import sql as S
+from ticketloom.catalog.registry import Family
 from ticketloom.functions import text as tx
 from ticketloom.operators import hygiene as hy
 from ticketloom.operators import profiling as pf
@@ -13,18 +14,8 @@ from ticketloom.session import scratch_dir
 from ticketloom.sources import fixtures as fx
 from ticketloom.sources import tables as tb
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return keep
+FAMILY = Family()
+register = FAMILY.register
 
 
 def clean_tickets(spark, d, extra=()):
