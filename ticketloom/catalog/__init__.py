@@ -1,8 +1,8 @@
 """Registered queries over the given tables and their SQL twins."""
 
-from ticketloom.catalog import evaluation, hygiene, labelling, retrieval, routing
+from ticketloom.catalog import evaluation, hygiene, labelling, retrieval, routing, streams
 
-FAMILIES = (hygiene, retrieval, labelling, routing, evaluation)
+FAMILIES = (hygiene, retrieval, labelling, routing, evaluation, streams)
 
 
 def all_queries() -> dict:

@@ -14,7 +14,7 @@ from ticketloom.operators import index as ix
 from ticketloom.operators import queue as qu
 from ticketloom.operators import routing as rt
 from ticketloom.plans.triage import triage
-from ticketloom.session import scratch_dir
+from ticketloom.session import materialise, scratch_dir
 from ticketloom.sources import fixtures as fx
 from ticketloom.sources import tables as tb
 
@@ -24,11 +24,12 @@ CFG = TriageConfig()
 
 
 def triage_input(spark, d):
-    """Clean unique tickets with their classification, vector and time."""
+    """Clean unique tickets with their classification, vector and time, as a stored table."""
     t = clean_tickets(spark, d, extra=("created_at",)).select(
         "ticket_id", F.col("ticket_text").alias("query"), "created_at")
     v = fx.ticket_vectors(spark, d).select("ticket_id", "embedding")
-    return t.join(fx.classifications(spark, d), "ticket_id").join(v, "ticket_id")
+    joined = t.join(fx.classifications(spark, d), "ticket_id").join(v, "ticket_id")
+    return materialise(joined, "tickets")
 
 
 def routed(spark, d):

@@ -107,17 +107,20 @@ def best_k(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def top_k_pairs(
-    queries: DataFrame, cases: DataFrame, k: int, block_rows: int, query_rows: int
+    queries: DataFrame, cases: DataFrame, k: int, block_rows: int, query_rows: int,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(query_id, case_key, similarity): the k most similar cases per query and block.
 
     The caller cuts to k per query; a query meets as many blocks as its scope has.
+    ``carry`` names short text columns of the cases to hand through.
     """
     qtype = queries.schema["query_id"].dataType.simpleString()
+    columns = ["query_id", "case_key", "similarity", *carry]
 
     def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "case_key": [], "similarity": []})
+            return pd.DataFrame({name: [] for name in columns})
         c = c.sort_values("case_key", ignore_index=True)
         keys = np.arange(len(c))
         cases_t = unit_rows(c["vector"]).T
@@ -133,13 +136,16 @@ def top_k_pairs(
                 "query_id": q["query_id"].to_numpy()[at + r],
                 "case_key": c["case_key"].to_numpy()[col],
                 "similarity": scores[r, col],
+                **{name: c[name].to_numpy()[col] for name in carry},
             }))
         return pd.concat(out, ignore_index=True)
 
     return meet(
         queries.select("query_id", "scope", "vector"),
-        cases.select("case_key", "scope", "vector"),
-        work, f"query_id {qtype}, case_key string, similarity double", block_rows, query_rows,
+        cases.select("case_key", "scope", "vector", *carry),
+        work,
+        ", ".join([f"query_id {qtype}, case_key string, similarity double", *[f"{c} string" for c in carry]]),
+        block_rows, query_rows,
     )
 
 

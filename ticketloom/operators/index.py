@@ -67,7 +67,8 @@ def upsert(index: DataFrame | None, rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("seq", F.lit(0).cast("bigint"))
     rows = rows.withColumn("__new", F.lit(1))
     if index is not None:
-        old = index.withColumn("seq", F.lit(0).cast("bigint")).withColumn("__new", F.lit(0))
+        never = F.lit(None).cast(rows.schema["seq"].dataType)
+        old = index.withColumn("seq", never).withColumn("__new", F.lit(0))
         rows = rows.unionByName(old)
     w = Window.partitionBy("case_key").orderBy(F.desc("__new"), F.desc("seq"))
     latest = rows.withColumn("__rank", F.row_number().over(w)).where("__rank = 1")

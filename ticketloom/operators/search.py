@@ -14,6 +14,7 @@ from ticketloom import constants as K
 from ticketloom.config import TriageConfig
 from ticketloom.functions import vectors as vx
 from ticketloom.operators import blocks
+from ticketloom.session import materialise
 
 EVERYTHING = "*"
 
@@ -66,30 +67,40 @@ def boosted(raw: Column, source: Column, boost: float) -> Column:
 
 
 def finish_hits(pairs: DataFrame, index: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """Cut, fetch the case fields, boost, round and rank again on the rounded score."""
-    top = cut(pairs, cfg.top_k)
-    fields = index.select("case_key", "case_id", "document", "resolution", "intent", "source", "product")
+    """Cut by similarity, boost, round, rank again on the rounded score, fetch the case fields.
+
+    Both ranks use the same grouping, so they share one shuffle; the case texts join last,
+    onto at most k rows per query.
+    """
     raw = raw_similarity(F.col("similarity"))
-    hits = (
-        top.join(fields, "case_key")
-        .withColumn("raw_similarity", F.round(raw, 4))
-        .withColumn("similarity_score", F.round(boosted(raw, F.col("source"), cfg.human_boost), 4))
-    )
     w = Window.partitionBy("query_id").orderBy(
         F.desc("similarity_score"), F.desc("similarity"), "case_key"
     )
-    return hits.withColumn("hit_rank", F.row_number().over(w).cast("bigint")).select(
-        "query_id", "hit_rank", "case_key", "case_id", F.col("document").alias("query"),
-        "resolution", "intent", "source", "product", "raw_similarity", "similarity_score",
+    ranked = (
+        cut(pairs, cfg.top_k)
+        .withColumn("raw_similarity", F.round(raw, 4))
+        .withColumn("similarity_score", F.round(boosted(raw, F.col("source"), cfg.human_boost), 4))
+        .withColumn("hit_rank", F.row_number().over(w).cast("bigint"))
+        .select("query_id", "hit_rank", "case_key", "source", "raw_similarity", "similarity_score")
+    )
+    fields = index.select("case_key", "case_id", F.col("document").alias("query"), "resolution", "intent", "product")
+    return ranked.join(fields, "case_key").select(
+        "query_id", "hit_rank", "case_key", "case_id", "query", "resolution", "intent", "source",
+        "product", "raw_similarity", "similarity_score",
     )
 
 
+def _stored(queries: DataFrame) -> DataFrame:
+    """Queries as a narrow stored table: planning and search read it, nobody recomputes it."""
+    return materialise(queries.select("query_id", "intent", "vector"), "queries")
+
+
 def search(queries: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
     """Exact search. ``queries``: query_id, intent, vector. One row per query and hit."""
-    wanted, offered = scoped(queries, index)
+    wanted, offered = scoped(_stored(queries), index)
     pairs = blocks.top_k_pairs(
-        wanted, offered.select("case_key", F.col("embedding").alias("vector"), "scope"),
-        cfg.top_k, cfg.block_rows, cfg.query_rows,
+        wanted, offered.select("case_key", F.col("embedding").alias("vector"), "scope", "source"),
+        cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",),
     )
     return finish_hits(pairs, index, cfg)
 
@@ -128,7 +139,7 @@ def search_cells(
     true similarities; recall against ``search`` is measured by ``recall_at_k``. A query
     whose cells hold no case of its intent gets no hit here.
     """
-    wanted, offered = scoped(queries, index)
+    wanted, offered = scoped(_stored(queries), index)
     place = F.concat_ws("/", F.col("scope"), F.col("__cell").cast("string"))
     wanted = wanted.withColumn("__cell", F.explode(probe(F.col("vector"), centres, probes)))
     offered = offered.withColumn("vector", F.col("embedding")).withColumn(
@@ -136,7 +147,7 @@ def search_cells(
     )
     pairs = blocks.top_k_pairs(
         wanted.withColumn("scope", place), offered.withColumn("scope", place),
-        cfg.top_k, cfg.block_rows, cfg.query_rows,
+        cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",),
     )
     return finish_hits(pairs, index, cfg)
 

@@ -40,6 +40,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df, name: str):
+    """Write a table to the shared scratch folder and read it back.
+
+    What follows may use it several times without computing it again, and a lost executor
+    costs a re-read, not a re-run.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Reliable checkpoint: survives the loss of an executor."""
     scratch_dir(df.sparkSession, "checkpoint")
