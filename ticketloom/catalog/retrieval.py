@@ -11,7 +11,7 @@ from ticketloom.catalog.registry import Family
 from ticketloom.config import TriageConfig
 from ticketloom.operators import index as ix
 from ticketloom.operators import search as se
-from ticketloom.session import scratch_dir
+from ticketloom.session import materialise, scratch_dir
 from ticketloom.sources import fixtures as fx
 from ticketloom.sources import tables as tb
 
@@ -24,6 +24,11 @@ def index(spark, d):
     return ix.to_index_rows(fx.precedents(spark, d))
 
 
+def stored_index(spark, d):
+    """The index as searches meet it: a written snapshot."""
+    return materialise(index(spark, d), "index")
+
+
 def query_vectors(spark, d):
     """All documents as search queries with their predicted intent."""
     vectors = fx.ticket_vectors(spark, d).select("ticket_id", "embedding")
@@ -156,7 +161,7 @@ def v5_missing_rows(spark, d):
     'SELECT ticket_id AS query_id, hit_rank, case_key, case_id, document AS "query", resolution, intent, '
     "source, product, raw_similarity, similarity_score FROM hits", **hits_ctes()))
 def v6_search(spark, d):
-    return se.search(query_vectors(spark, d), index(spark, d), CFG)
+    return se.search(query_vectors(spark, d), stored_index(spark, d), CFG)
 
 
 @register("v7_unfiltered_search", S.with_ctes(f"""
@@ -164,7 +169,7 @@ SELECT q.ticket_id AS query_id, p.case_key, round({COS}, 4) AS similarity,
        row_number() OVER (PARTITION BY q.ticket_id ORDER BY {COS} DESC, p.case_key) AS cut_rank
 FROM vectors q CROSS JOIN precedents p QUALIFY cut_rank <= 5"""))
 def v7_unfiltered_search(spark, d):
-    hits = se.nearest(query_vectors(spark, d).drop("intent"), index(spark, d), 5, CFG)
+    hits = se.nearest(query_vectors(spark, d).drop("intent"), stored_index(spark, d), 5, CFG)
     return hits.select("query_id", "case_key", F.round("similarity", 4).alias("similarity"),
                        F.col("cut_rank").cast("bigint").alias("cut_rank"))
 
@@ -173,7 +178,7 @@ def v7_unfiltered_search(spark, d):
 SELECT intent, CASE WHEN intent IN ('', 'other') OR intent NOT IN (SELECT intent FROM precedents)
        THEN '*' ELSE intent END AS scope, count(*) AS row_count FROM queries GROUP BY ALL"""))
 def v8_scope(spark, d):
-    wanted, _ = se.scoped(query_vectors(spark, d), index(spark, d))
+    wanted, _, _ = se.scoped(query_vectors(spark, d), index(spark, d))
     return wanted.groupBy("intent", "scope").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -218,7 +223,7 @@ def approvals(spark, d):
 
 @register("v13_near_duplicate_gate", S.with_ctes("SELECT case_key, seq FROM fresh_approvals"))
 def v13_near_duplicate_gate(spark, d):
-    idx = index(spark, d)
+    idx = stored_index(spark, d)
     rows = ix.approvals_to_rows(approvals(spark, d))
     from pyspark.sql.window import Window
 
@@ -244,7 +249,7 @@ WHERE round(list_cosine_similarity(q.embedding, p.embedding), 4) > 0.96"""
 SELECT f.case_key, f.case_key AS case_id, 'agent_generated_approved' AS source
 FROM approval_line f JOIN (SELECT unnest(kept) AS n FROM (SELECT kept FROM admitted ORDER BY n DESC LIMIT 1)) k USING (n)"""))
 def v13_add_approved(spark, d):
-    added = ix.add_approved(index(spark, d), approvals(spark, d), CFG)
+    added = ix.add_approved(stored_index(spark, d), approvals(spark, d), CFG)
     return added.select("case_key", "case_id", "source")
 
 
@@ -266,7 +271,7 @@ def v15_ledger_recent(spark, d):
 @register("v16_approximate_recall")
 def v16_approximate_recall(spark, d):
     """Recall of the cell search against the exact one, over all queries."""
-    idx, q = index(spark, d), query_vectors(spark, d)
+    idx, q = stored_index(spark, d), query_vectors(spark, d)
     centres = se.fit_cells(idx, 16)
     return se.recall_at_k(se.search(q, idx, CFG), se.search_cells(q, idx, centres, 6, CFG))
 

@@ -8,7 +8,7 @@ from ticketloom import constants as K
 from ticketloom.catalog import sql as S
 from ticketloom.catalog.hygiene import clean_tickets
 from ticketloom.catalog.registry import Family
-from ticketloom.catalog.retrieval import hits_ctes, index
+from ticketloom.catalog.retrieval import hits_ctes, index, stored_index
 from ticketloom.config import TriageConfig
 from ticketloom.operators import index as ix
 from ticketloom.operators import queue as qu
@@ -33,7 +33,7 @@ def triage_input(spark, d):
 
 
 def routed(spark, d):
-    return triage(triage_input(spark, d), index(spark, d), CFG)
+    return triage(triage_input(spark, d), stored_index(spark, d), CFG)
 
 
 _urgent = "lower(urgency) IN ('high', 'critical')"
@@ -184,7 +184,7 @@ def with_time(df, source):
 
 def queue(spark, d):
     given = triage_input(spark, d)
-    out = triage(given, index(spark, d), CFG)
+    out = triage(given, stored_index(spark, d), CFG)
     return qu.queue_rows(with_time(out, given), F.col("created_at"))
 
 
@@ -273,7 +273,7 @@ _REVIEW = 'id, ticket_id, "query", intent, urgency, confidence, draft_reply, cus
 
 def feedback(spark, d):
     given = triage_input(spark, d)
-    out = triage(given, index(spark, d), CFG)
+    out = triage(given, stored_index(spark, d), CFG)
     out = out.join(given.select("ticket_id", "created_at", "embedding"), "ticket_id")
     marks = fx.table(spark, d, "labels").select(
         F.col("doc_id").alias("ticket_id"), (F.col("quality") == 1).alias("feedback_is_okay"),
@@ -298,7 +298,7 @@ SELECT {rid('ticket_id')} AS id, ticket_id::VARCHAR AS ticket_id, "query", inten
 
 def logs(spark, d):
     given = triage_input(spark, d)
-    return qu.log_rows(with_time(triage(given, index(spark, d), CFG), given), F.col("created_at"))
+    return qu.log_rows(with_time(triage(given, stored_index(spark, d), CFG), given), F.col("created_at"))
 
 
 @register("s10_q12_log_rows", S.with_ctes(

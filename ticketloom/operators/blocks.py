@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_PLAN_ROWS = 100_000
 
@@ -26,11 +28,16 @@ def bounded_rows(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> list | None:
 
 
 def small_side(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> DataFrame:
-    """Broadcast a table only after its size was checked; else leave the join to Spark."""
+    """Make a summary table local once its size was checked; else leave it as it is.
+
+    A local table has a known size, so Spark broadcasts it by itself, and it is not
+    computed again by every plan that uses it.
+    """
     rows = bounded_rows(df, limit)
     if rows is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    table = pa.Table.from_pylist([r.asDict() for r in rows], schema=to_arrow_schema(df.schema))
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:
@@ -41,15 +48,19 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def _counts(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("scope").agg(F.count(F.lit(1)).alias(name))
-
+def block_plan(
+    queries: DataFrame, cases: DataFrame, block_rows: int, query_rows: int,
+    case_counts: DataFrame | None = None,
+) -> DataFrame:
+    """scope -> number of case blocks and query chunks; scopes that one side lacks drop out.
 
-def block_plan(queries: DataFrame, cases: DataFrame, block_rows: int, query_rows: int) -> DataFrame:
-    """scope -> number of case blocks and query chunks; scopes that one side lacks drop out."""
-    plan = _counts(cases, "n_cases").join(_counts(queries, "n_queries"), "scope")
+    ``case_counts`` (scope, n_cases) saves counting the cases when the caller has done it.
+    """
+    if case_counts is None:
+        case_counts = cases.groupBy("scope").agg(F.count(F.lit(1)).alias("n_cases"))
+    query_counts = queries.groupBy("scope").agg(F.count(F.lit(1)).alias("n_queries"))
     return small_side(
-        plan.select(
+        query_counts.join(case_counts, "scope").select(
             "scope",
             F.ceil(F.col("n_cases") / block_rows).cast("int").alias("blocks"),
             F.ceil(F.col("n_queries") / query_rows).cast("int").alias("chunks"),
@@ -59,7 +70,7 @@ def block_plan(queries: DataFrame, cases: DataFrame, block_rows: int, query_rows
 
 def meet(
     queries: DataFrame, cases: DataFrame, work: Callable, schema: str,
-    block_rows: int, query_rows: int,
+    block_rows: int, query_rows: int, case_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``work(query block, case block) -> pandas`` for every pair of blocks of a scope.
 
@@ -68,7 +79,7 @@ def meet(
     """
     # Fresh column identities: both sides may be cut from the same table.
     cases = cases.select(*[F.col(c).alias(c) for c in cases.columns])
-    plan = block_plan(queries, cases, block_rows, query_rows)
+    plan = block_plan(queries, cases, block_rows, query_rows, case_counts)
     place = ["scope", "__block", "__chunk"]
     spread_cases = (
         cases.join(plan, "scope")
@@ -108,7 +119,7 @@ def best_k(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def top_k_pairs(
     queries: DataFrame, cases: DataFrame, k: int, block_rows: int, query_rows: int,
-    carry: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (), case_counts: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, case_key, similarity): the k most similar cases per query and block.
 
@@ -145,7 +156,7 @@ def top_k_pairs(
         cases.select("case_key", "scope", "vector", *carry),
         work,
         ", ".join([f"query_id {qtype}, case_key string, similarity double", *[f"{c} string" for c in carry]]),
-        block_rows, query_rows,
+        block_rows, query_rows, case_counts,
     )
 
 

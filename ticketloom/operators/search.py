@@ -23,21 +23,23 @@ def wants_filter(intent: Column) -> Column:
     return F.coalesce((intent != "") & (intent != K.OTHER_INTENT), F.lit(False))
 
 
-def scoped(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give both sides their scope.
+def scoped(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Give both sides their scope; also returns the cases per scope.
 
     A query searches its intent, or everything when the intent is blank, ``other`` or has
     no case at all. The index is offered under its intent and under everything; the copy
     nobody asks for is dropped before its vectors are shuffled.
     """
-    known = blocks.small_side(index.select(F.col("intent").alias("scope")).distinct())
+    # One pass over the intent column, then a table of a few rows.
+    per_intent = blocks.small_side(
+        index.groupBy(F.col("intent").alias("scope")).agg(F.count(F.lit(1)).alias("n_cases")))
+    total = per_intent.agg(F.lit(EVERYTHING).alias("scope"), F.sum("n_cases").alias("n_cases"))
     wanted = queries.withColumn("scope", F.when(wants_filter(F.col("intent")), F.col("intent")))
-    wanted = wanted.join(known.withColumn("__known", F.lit(True)), "scope", "left")
-    wanted = wanted.withColumn(
-        "scope", F.when(F.col("__known"), F.col("scope")).otherwise(F.lit(EVERYTHING))
-    ).drop("__known")
+    wanted = wanted.join(per_intent, "scope", "left").withColumn(
+        "scope", F.when(F.col("n_cases") > 0, F.col("scope")).otherwise(F.lit(EVERYTHING))
+    ).drop("n_cases")
     offered = index.withColumn("scope", F.explode(F.array(F.col("intent"), F.lit(EVERYTHING))))
-    return wanted, offered
+    return wanted, offered, per_intent.unionByName(total)
 
 
 def cut(pairs: DataFrame, k: int) -> DataFrame:
@@ -97,10 +99,10 @@ def _stored(queries: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
     """Exact search. ``queries``: query_id, intent, vector. One row per query and hit."""
-    wanted, offered = scoped(_stored(queries), index)
+    wanted, offered, counts = scoped(_stored(queries), index)
     pairs = blocks.top_k_pairs(
         wanted, offered.select("case_key", F.col("embedding").alias("vector"), "scope", "source"),
-        cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",),
+        cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",), case_counts=counts,
     )
     return finish_hits(pairs, index, cfg)
 
@@ -139,7 +141,7 @@ def search_cells(
     true similarities; recall against ``search`` is measured by ``recall_at_k``. A query
     whose cells hold no case of its intent gets no hit here.
     """
-    wanted, offered = scoped(_stored(queries), index)
+    wanted, offered, _ = scoped(_stored(queries), index)
     place = F.concat_ws("/", F.col("scope"), F.col("__cell").cast("string"))
     wanted = wanted.withColumn("__cell", F.explode(probe(F.col("vector"), centres, probes)))
     offered = offered.withColumn("vector", F.col("embedding")).withColumn(
