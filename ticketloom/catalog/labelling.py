@@ -15,7 +15,7 @@ from ticketloom.operators import hygiene as hy
 from ticketloom.operators import labelling as lb
 from ticketloom.operators import profiling as pf
 from ticketloom.operators import search as se
-from ticketloom.session import scratch_dir
+from ticketloom.session import materialise, scratch_dir
 from ticketloom.sources import fixtures as fx
 from ticketloom.sources import tables as tb
 
@@ -36,6 +36,11 @@ def clustered(spark, d):
     return cl.assign_nearest(clean_tickets(spark, d).join(v, "ticket_id"), centroids(spark, d))
 
 
+def stored_clusters(spark, d):
+    """Clustered tickets as a written table, for reports that read them several times."""
+    return materialise(clustered(spark, d), "clustered")
+
+
 def labelled(spark, d):
     return lb.label_by_cluster(clustered(spark, d), fx.taxonomy(spark), centroids(spark, d))
 
@@ -84,8 +89,8 @@ def c2_normalise(spark, d):
 @register("c3_kmeans")
 def c3_kmeans(spark, d):
     """Best of five seeds; cluster sizes."""
-    features = cl.with_features(fx.ticket_vectors(spark, d))
-    features = features.persist()
+    features = materialise(
+        cl.with_features(fx.ticket_vectors(spark, d)).select("ticket_id", "features"), "features")
     model = cl.fit_kmeans(features, 10)
     out = cl.assign(features, model)
     return out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
@@ -141,7 +146,7 @@ UNION ALL SELECT * FROM (
   SELECT ticket_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(ticket_id || '/42'), ticket_id) AS position, 'random' AS kind
   FROM nearest_rows WHERE position > 10) WHERE position <= 10"""))
 def c7_cluster_sample(spark, d):
-    out = cl.cluster_sample(clustered(spark, d).select("ticket_id", "cluster_id", "embedding"), centroids(spark, d), "ticket_id")
+    out = cl.cluster_sample(stored_clusters(spark, d).select("ticket_id", "cluster_id", "embedding"), centroids(spark, d), "ticket_id")
     return out.select("ticket_id", F.col("cluster_id").cast("bigint").alias("cluster_id"), "position", "kind")
 
 
@@ -157,7 +162,7 @@ FROM term_scores"""
 
 @register("c11_top_terms", S.with_ctes("SELECT cluster_id, position, term, weight FROM top_words WHERE position <= 10"))
 def c11_top_terms(spark, d):
-    out = cl.top_terms(clustered(spark, d).select("cluster_id", "ticket_text"))
+    out = cl.top_terms(stored_clusters(spark, d).select("cluster_id", "ticket_text"))
     return out.withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
 
 
@@ -169,7 +174,7 @@ FROM (SELECT cluster_id, count(*) AS cluster_size,
 JOIN (SELECT cluster_id, string_agg(term, '_' ORDER BY position) AS name FROM top_words WHERE position <= 3 GROUP BY 1) w USING (cluster_id)
 JOIN (SELECT cluster_id, string_agg(ticket_text, ' || ' ORDER BY position) AS examples FROM nearest_rows WHERE position <= 3 GROUP BY 1) e USING (cluster_id)"""))
 def c8_cluster_summary(spark, d):
-    df = clustered(spark, d).select("ticket_id", "ticket_text", "cluster_id", "embedding")
+    df = stored_clusters(spark, d).select("ticket_id", "ticket_text", "cluster_id", "embedding")
     out = cl.summarise(df, centroids(spark, d))
     return out.select(F.col("cluster_id").cast("bigint").alias("cluster_id"), "cluster_size", "risk_share", "name",
                       F.array_join("example_queries", " || ").alias("examples"), "risk_level")
@@ -188,7 +193,7 @@ UNION ALL SELECT 3, 'mapped more than once'"""))
 def c10_merge_issues(spark, d):
     plan = fx.taxonomy(spark).select("source_cluster_ids")
     twice = plan.where(F.array_contains("source_cluster_ids", 3)).select(F.array(F.lit(3)).alias("source_cluster_ids"))
-    return cl.merge_issues(clustered(spark, d), plan.unionByName(twice)).select(
+    return cl.merge_issues(stored_clusters(spark, d), plan.unionByName(twice)).select(
         F.col("cluster_id").cast("bigint").alias("cluster_id"), "issue")
 
 

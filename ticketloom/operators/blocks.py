@@ -28,16 +28,16 @@ def bounded_rows(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> list | None:
 
 
 def small_side(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> DataFrame:
-    """Make a summary table local once its size was checked; else leave it as it is.
+    """Make a summary table local and broadcast it, once its size was checked.
 
-    A local table has a known size, so Spark broadcasts it by itself, and it is not
-    computed again by every plan that uses it.
+    Beyond ``limit`` rows the table stays as it is and Spark picks the join. A local table
+    is not computed again by every plan that uses it.
     """
     rows = bounded_rows(df, limit)
     if rows is None:
         return df
     table = pa.Table.from_pylist([r.asDict() for r in rows], schema=to_arrow_schema(df.schema))
-    return df.sparkSession.createDataFrame(table, df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:

@@ -60,8 +60,14 @@ def keep_first(df: DataFrame, column: str = "ticket_text", order: str = "ticket_
 
 
 def clean_tickets(raw: DataFrame, redact_ids: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Raw tickets -> clean, non-blank, unique tickets."""
-    return keep_first(drop_blank(to_clean_schema(raw, redact_ids, extra)))
+    """Raw tickets -> clean, non-blank, unique tickets.
+
+    Cleaning only ever swaps text for non-blank text, so a clean text is blank exactly when
+    the raw one is. The filter therefore runs on the raw column: it reaches the scan, and
+    the cleaning chain is not computed a second time inside a filter.
+    """
+    filled = drop_blank(raw, "ticket_description")
+    return keep_first(to_clean_schema(filled, redact_ids, extra))
 
 
 def solved_only(df: DataFrame) -> DataFrame:

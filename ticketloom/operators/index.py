@@ -137,9 +137,10 @@ def first_of_equals(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def admit_in_order(rows: DataFrame, cfg: TriageConfig = TriageConfig(), max_rounds: int | None = None) -> DataFrame:
+def admit_in_order(rows: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
     """Greedy admission by ``seq``: keep a row unless an earlier kept one is a near-duplicate.
 
+    ``rows`` come from ``first_of_equals``, so that copies do not meet each other.
     Round by round: a row without any earlier undecided near-duplicate is kept; whatever is
     near a kept row goes; the rest waits for the next round. Rounds needed = the longest
     chain of rows each near the one before, one or two in practice.
@@ -156,16 +157,15 @@ def admit_in_order(rows: DataFrame, cfg: TriageConfig = TriageConfig(), max_roun
             bound, cfg.block_rows, cfg.query_rows,
         ).select(F.col("query_id").alias("case_key"))
 
-    undecided = cut_lineage(first_of_equals(rows))
-    kept, rounds = undecided.limit(0), 0
-    while not undecided.isEmpty() and (max_rounds is None or rounds < max_rounds):
+    undecided = cut_lineage(rows)
+    kept = undecided.limit(0)
+    while not undecided.isEmpty():
         waiting = cut_lineage(undecided.join(near_earlier(undecided, undecided), "case_key", "left_semi"))
         winners = undecided.join(waiting.select("case_key"), "case_key", "left_anti")
         winners = cut_lineage(winners)
         kept = kept.unionByName(winners)
         losers = near_earlier(waiting, winners)
         undecided = cut_lineage(waiting.join(losers, "case_key", "left_anti"))
-        rounds += 1
     return kept
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ticketloom import constants as K
 from ticketloom.functions import vectors as vx
-from ticketloom.sources.tables import taxonomy_table
+from ticketloom.sources.tables import spread, taxonomy_table
 
 # Valid in Spark SQL and in DuckDB alike.
 DESCRIPTION_SQL = """
@@ -65,17 +65,19 @@ def intent_name(label: Column) -> Column:
 
 def tickets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x part x orders x events (x benchmark) -> raw tickets."""
-    d = table(spark, sf_dir, "documents").alias("d")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").alias("d")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name").alias("p")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").alias("o")
     e = table(spark, sf_dir, "events").select("event_id", "ts").alias("e")
     b = table(spark, sf_dir, "benchmark").alias("b")
-    n_part, n_item = _size(p, "p_partkey"), _size(b, "item_id")
+    d = d.withColumns({
+        "part_no": F.col("n_chars") % _size(p, "p_partkey"), "item_no": F.col("doc_id") % _size(b, "item_id"),
+    }).alias("d")
     return (
-        d.join(p, F.col("d.n_chars") % n_part == F.col("p.p_partkey"))
+        d.join(p, F.col("d.part_no") == F.col("p.p_partkey"))
         .join(o, F.col("d.doc_id") == F.col("o.o_orderkey"))
         .join(e, F.col("d.doc_id") == F.col("e.event_id"))
-        .join(b, F.col("d.doc_id") % n_item == F.col("b.item_id"), "left")
+        .join(b, F.col("d.item_no") == F.col("b.item_id"), "left")
         .select(
             F.col("d.doc_id").alias("ticket_id"),
             F.expr(DESCRIPTION_SQL).alias("ticket_description"),
@@ -97,6 +99,7 @@ def ticket_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id")
     v = table(spark, sf_dir, "embeddings")
     n = _size(v, "vec_id")
+    d = d.withColumns({"v1": F.col("doc_id") % n, "v2": (F.col("doc_id") * 7 + 3) % n})
     first = v.select(F.col("vec_id").alias("v1"), F.col("embedding").alias("e1"), "label")
     second = v.select(F.col("vec_id").alias("v2"), F.col("embedding").alias("e2"))
     weight = (F.col("doc_id") % 7).cast("double") / 2
@@ -107,8 +110,8 @@ def ticket_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )[0]
     return (
-        d.join(first, F.col("doc_id") % n == F.col("v1"))
-        .join(second, (F.col("doc_id") * 7 + 3) % n == F.col("v2"))
+        d.join(first, "v1")
+        .join(second, "v2")
         .select(
             F.col("doc_id").alias("ticket_id"), "label", blend.alias("embedding")
         )
@@ -121,7 +124,7 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     next one, sometimes an intent that the taxonomy does not know."""
     d = table(spark, sf_dir, "documents").select("doc_id")
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    n = _size(v, "vec_id")
+    d = d.withColumn("vec_id", F.col("doc_id") % _size(v, "vec_id"))
     i = F.col("doc_id")
     intent = (
         F.when(i % 23 == 0, F.lit(UNKNOWN_INTENT))
@@ -130,7 +133,7 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     high = [name for name, risk, _ in K.TAXONOMY if risk == "high"]
     return (
-        d.join(v, i % n == F.col("vec_id"))
+        d.join(v, "vec_id")
         .select(
             i.alias("ticket_id"),
             intent.alias("intent"),
@@ -151,11 +154,15 @@ def precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name").alias("p")
     e = table(spark, sf_dir, "events").select("event_id", "ts").alias("e")
     n_item, n_part = _size(b1, "item_id"), _size(p, "p_partkey")
+    v = v.withColumns({
+        "item_no": F.col("vec_id") % n_item, "next_no": (F.col("vec_id") + 1) % n_item,
+        "part_no": F.col("vec_id") % n_part,
+    }).alias("v")
     i = F.col("v.vec_id")
     return (
-        v.join(b1, i % n_item == F.col("b1.item_id"))
-        .join(b2, (i + 1) % n_item == F.col("b2.item_id"))
-        .join(p, i % n_part == F.col("p.p_partkey"))
+        v.join(b1, F.col("v.item_no") == F.col("b1.item_id"))
+        .join(b2, F.col("v.next_no") == F.col("b2.item_id"))
+        .join(p, F.col("v.part_no") == F.col("p.p_partkey"))
         .join(e, i == F.col("e.event_id"))
         .select(
             F.concat(F.lit("case_"), i.cast("string")).alias("case_id"),

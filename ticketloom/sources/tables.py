@@ -56,6 +56,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of few big splits one partition per core before costly text work.
+
+    A scan that already has enough splits is left alone. Hashing on a unique key keeps the
+    split the same when a task is run again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> str:
     writer = df.write.mode(mode)
     if partition_by:

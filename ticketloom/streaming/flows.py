@@ -26,7 +26,7 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 
 def gate_stream(raw: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
     """Raw tickets -> clean text, rule classification, gate. No state, no shuffle."""
-    clean = hy.drop_blank(hy.to_clean_schema(raw))
+    clean = hy.to_clean_schema(hy.drop_blank(raw, "ticket_description"))
     classified = lb.classify_by_rules(clean.withColumnRenamed("ticket_text", "query"))
     return rt.gate(classified, cfg)
 
