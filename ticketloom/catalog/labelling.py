@@ -31,6 +31,10 @@ def centroids(spark, d):
     return se.centroid_vectors(fx.seed_clusters(spark, d, N_CLUSTERS), "cluster_id", "embedding")
 
 
+def stored_tickets(spark, d):
+    return materialise(clean_tickets(spark, d), "tickets")
+
+
 def clustered(spark, d):
     v = fx.ticket_vectors(spark, d).select("ticket_id", "embedding")
     return cl.assign_nearest(clean_tickets(spark, d).join(v, "ticket_id"), centroids(spark, d))
@@ -267,7 +271,7 @@ SELECT *, (row_number() OVER (ORDER BY ticket_id) - 1) // 25 AS batch_id FROM ti
 
 @register("l4_micro_batches", S.with_ctes("SELECT ticket_id, batch_id, batch_id // 20 AS batch_group FROM batched"))
 def l4_micro_batches(spark, d):
-    return lb.micro_batches(clean_tickets(spark, d), "ticket_id", CFG).select("ticket_id", "batch_id", "batch_group")
+    return lb.micro_batches(stored_tickets(spark, d), "ticket_id", CFG).select("ticket_id", "batch_id", "batch_group")
 
 
 @register("l5_batch_payloads", S.with_ctes("""
@@ -275,7 +279,7 @@ SELECT batch_id, count(*) AS batch_rows,
        to_json(list({'ticket_id': ticket_id, 'ticket_text': substr(ticket_text, 1, 250)} ORDER BY ticket_id))::VARCHAR AS payload
 FROM batched GROUP BY batch_id"""))
 def l5_batch_payloads(spark, d):
-    return lb.batch_payloads(lb.micro_batches(clean_tickets(spark, d), "ticket_id", CFG))
+    return lb.batch_payloads(lb.micro_batches(stored_tickets(spark, d), "ticket_id", CFG))
 
 
 @register("l5_taxonomy_lines", S.with_ctes("""

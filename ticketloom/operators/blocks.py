@@ -98,6 +98,17 @@ def meet(
     )
 
 
+def stack(pieces: list[dict[str, np.ndarray]], columns: list[str]) -> pd.DataFrame:
+    """Pieces of numpy columns -> one frame. Texts stay plain objects, which convert to
+    Arrow as one array whatever string type pandas prefers."""
+    out = {}
+    for name in columns:
+        parts = [p[name] for p in pieces]
+        joined = np.concatenate(parts) if parts else np.array([], dtype=object)
+        out[name] = pd.Series(joined, dtype=object if joined.dtype.kind in "OUS" else joined.dtype)
+    return pd.DataFrame(out)
+
+
 def best_k(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k best columns per row; ties go to the smaller key.
 
@@ -131,7 +142,7 @@ def top_k_pairs(
 
     def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({name: [] for name in columns})
+            return stack([], columns)
         c = c.sort_values("case_key", ignore_index=True)
         keys = np.arange(len(c))
         cases_t = unit_rows(c["vector"]).T
@@ -143,13 +154,13 @@ def top_k_pairs(
             # Twelve places: equal vectors tie whatever block they were multiplied in.
             scores = np.round(left[at : at + step] @ cases_t, 12)
             r, col = best_k(scores, keys, k)
-            out.append(pd.DataFrame({
+            out.append({
                 "query_id": q["query_id"].to_numpy()[at + r],
                 "case_key": c["case_key"].to_numpy()[col],
                 "similarity": scores[r, col],
                 **{name: c[name].to_numpy()[col] for name in carry},
-            }))
-        return pd.concat(out, ignore_index=True)
+            })
+        return stack(out, columns)
 
     return meet(
         queries.select("query_id", "scope", "vector"),
@@ -171,7 +182,7 @@ def any_above(
 
     def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": []})
+            return stack([], ["query_id"])
         cases_t, left = unit_rows(c["vector"]).T, unit_rows(q["vector"])
         c_seq, q_seq = c["seq"].to_numpy(), q["seq"].to_numpy()
         hit = np.zeros(len(q), dtype=bool)
@@ -180,7 +191,7 @@ def any_above(
             part = slice(at, at + step)
             close = (np.round(left[part] @ cases_t, 12) > threshold) & (c_seq[None, :] < q_seq[part][:, None])
             hit[part] = close.any(axis=1)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[hit]})
+        return stack([{"query_id": q["query_id"].to_numpy()[hit]}], ["query_id"])
 
     found = meet(
         queries.select("query_id", "scope", "vector", "seq"),
@@ -197,7 +208,7 @@ def distance_sums(
 
     def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "cluster_id": [], "total": []})
+            return stack([], ["query_id", "cluster_id", "total"])
         left, right = np.stack(q["vector"].tolist()), np.stack(c["vector"].tolist())
         clusters, where = np.unique(c["cluster_id"].to_numpy(), return_inverse=True)
         member = np.zeros((len(c), len(clusters)))
@@ -214,12 +225,12 @@ def distance_sums(
             dist[same[part][:, None] == other[None, :]] = 0.0
             sums = dist @ member
             n = len(sums)
-            out.append(pd.DataFrame({
+            out.append({
                 "query_id": np.repeat(same[part], len(clusters)),
                 "cluster_id": np.tile(clusters, n),
                 "total": sums.ravel(),
-            }))
-        return pd.concat(out, ignore_index=True)
+            })
+        return stack(out, ["query_id", "cluster_id", "total"])
 
     both = points.withColumn("scope", F.lit("*"))
     qtype = points.schema["id"].dataType.simpleString()

@@ -68,8 +68,10 @@ def ordinal(df: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
 
     Keys are cut into equal ranges; rows are numbered inside a range and shifted by the
     rows of the ranges before. Only the at most ``buckets`` counts go through one task.
+    Reads its input three times (key range, counts, rows): give it a stored table.
     """
-    lo, hi = df.agg(F.min(key)).scalar(), df.agg(F.max(key)).scalar()
+    span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    lo, hi = span["lo"], span["hi"]
     width = F.greatest(F.lit(1).cast("bigint"), F.ceil((hi - lo + 1) / F.lit(float(buckets))))
     placed = df.withColumn("__bucket", F.floor((F.col(key) - lo) / width).cast("bigint"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -141,7 +143,7 @@ def label_externally(
             try:
                 answer = labeller(batch)
                 if len(answer):
-                    return answer[["ticket_id", "intent", "confidence"]]
+                    return answer[["ticket_id", "intent", "confidence"]].astype({"intent": object})
             except Exception:  # noqa: BLE001 - any failure of a plug-in means another try
                 continue
         return pd.DataFrame({"ticket_id": batch["ticket_id"], "intent": K.OTHER_INTENT, "confidence": 0.5})
