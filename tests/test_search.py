@@ -113,6 +113,29 @@ def test_cell_search_with_all_cells_is_exact(spark, data):
     assert 0.0 < some["recall"] <= 1.0
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_exact_cell_search_equals_search(spark, data, clustered):
+    c, q, c_int, q_int, src = data
+    if clustered:  # tight groups, so that cells are really skipped
+        rng = np.random.default_rng(9)
+        mid = unit(rng, 6)
+        c = mid[np.arange(150) % 6] + rng.normal(scale=0.02, size=(150, DIM))
+        q = mid[np.arange(60) % 6] + rng.normal(scale=0.02, size=(60, DIM))
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+    idx, queries = make_index(spark, c, c_int, src), make_queries(spark, q, q_int)
+    order = lambda df: sorted((r["query_id"], r["hit_rank"], r["case_key"]) for r in df.collect())
+    fast = se.search_cells(queries, idx, se.fit_cells(idx, 6), probes=1, exact=True)
+    assert order(fast) == order(se.search(queries, idx))
+
+
+def test_open_cells_skips_far_cells(spark):
+    centres, radii = np.eye(3), np.array([0.1, 0.1, 0.1])
+    df = spark.createDataFrame([([1.0, 0.0, 0.0], 0.9), ([0.6, 0.8, 0.0], 0.2)], "v array<double>, s double")
+    got = [r[0] for r in df.select(se.open_cells(F.col("v"), F.col("s"), centres, radii, 1)).collect()]
+    assert got == [[], [0]]
+
+
 def test_empty_index_gives_no_hits(spark, data):
     c, q, c_int, q_int, src = data
     idx = make_index(spark, c, c_int, src).limit(0)

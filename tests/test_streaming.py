@@ -71,6 +71,17 @@ def test_index_log_latest_batch_wins_and_compacts(spark):
     assert pick(log.compact(scratch_dir(spark, "base"))) == {"k0000": "v2", "k0001": "res 1"}
 
 
+def test_scratch_scope_leaves_nothing(spark):
+    from ticketloom.session import materialise, scratch_scope
+    from ticketloom.sources.tables import path_exists
+
+    with scratch_scope(spark, "batch-0") as folder:
+        assert materialise(spark.range(3), "t").count() == 3
+        assert path_exists(spark, folder)
+    assert not path_exists(spark, folder)
+    assert not scratch_dir(spark, "x").startswith(folder)
+
+
 def test_depth_windows_on_a_table(spark):
     df = spark.createDataFrame([(0, "low"), (599, "low"), (600, "low"), (700, "high")], "s bigint, urgency string").select(
         F.timestamp_seconds(F.col("s") + 1704067200).alias("created_at"), "urgency")

@@ -276,6 +276,15 @@ def v16_approximate_recall(spark, d):
     return se.recall_at_k(se.search(q, idx, CFG), se.search_cells(q, idx, centres, 6, CFG))
 
 
+@register("v16_exact_cells", S.with_ctes(
+    'SELECT ticket_id AS query_id, hit_rank, case_key, raw_similarity, similarity_score FROM hits', **hits_ctes()))
+def v16_exact_cells(spark, d):
+    """Cell search with the second round that makes it exact."""
+    idx, q = stored_index(spark, d), query_vectors(spark, d)
+    hits = se.search_cells(q, idx, se.fit_cells(idx, 16), 4, CFG, exact=True)
+    return hits.select("query_id", "hit_rank", "case_key", "raw_similarity", "similarity_score")
+
+
 @register("s7_embedding_store", S.with_ctes(
     "SELECT d.doc_id AS ticket_id, md5(d.text) AS text_hash, 64::BIGINT AS dims FROM documents d"))
 def s7_embedding_store(spark, d):

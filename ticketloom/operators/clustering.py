@@ -19,6 +19,7 @@ from ticketloom.functions import text as tx
 from ticketloom.functions import vectors as vx
 from ticketloom.operators import blocks
 from ticketloom.operators.blocks import small_side, unit_rows
+from ticketloom.session import materialise
 
 MAX_CENTROIDS = 10_000
 
@@ -104,17 +105,26 @@ def silhouette_cosine(df: DataFrame, cluster: str = "cluster_id", vector: str =
     return df.sparkSession.createDataFrame([(score,)], "silhouette double")
 
 
+def seeded_order(key: Column, seed: int) -> Column:
+    """Pseudo-random but repeatable order of rows."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")).cast("binary"))
+
+
 def silhouette_euclidean(
-    df: DataFrame, key: str, cluster: str = "cluster_id", vector: str = "embedding", block_rows: int = 4096
+    df: DataFrame, key: str, cluster: str = "cluster_id", vector: str = "embedding",
+    sample_size: int | None = 3000, seed: int = 42, block_rows: int = 4096,
 ) -> DataFrame:
-    """Exact silhouette with plain euclidean distance on unit vectors.
+    """Silhouette with plain euclidean distance on unit vectors, over a seeded sample.
 
-    Needs the distance to every other row, so its cost is quadratic; give it the sample the
-    report asks for. Blocks of rows meet in numpy and only sums per cluster leave a task.
+    It needs the distance of every sampled row to every other one, hence the sample, which
+    is part of the measure; ``None`` takes all rows at quadratic cost. Blocks of rows meet
+    in numpy and only sums per cluster leave a task.
     """
-    points = df.select(
+    if sample_size is not None:
+        df = df.orderBy(seeded_order(F.col(key), seed), key).limit(sample_size)
+    points = materialise(df.select(
         F.col(key).alias("id"), F.col(cluster).cast("int").alias("cluster_id"),
-        vx.l2_normalise(F.col(vector)).alias("vector"))
+        vx.l2_normalise(F.col(vector)).alias("vector")), "silhouette")
     sums = blocks.distance_sums(points, block_rows, block_rows)
     sizes = small_side(points.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")))
     own = points.select(F.col("id").alias("query_id"), F.col("cluster_id").alias("own"))
@@ -160,9 +170,9 @@ def nearest_rows(df: DataFrame, centroids: DataFrame, key: str, n: int = 10) ->
 
 def remainder_sample(df: DataFrame, taken: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n more rows per cluster in a seeded pseudo-random order, leaving out ``taken``."""
-    shuffled = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")).cast("binary"))
     w = Window.partitionBy("cluster_id").orderBy("__order", key)
-    rest = df.join(taken.select(key), key, "left_anti").withColumn("__order", shuffled)
+    rest = df.join(taken.select(key), key, "left_anti").withColumn(
+        "__order", seeded_order(F.col(key), seed))
     return rest.withColumn("position", F.row_number().over(w).cast("bigint")).where(
         F.col("position") <= n).drop("__order")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import Bucketizer, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,19 +63,23 @@ def label_by_cluster(tickets: DataFrame, taxonomy: DataFrame, centroids: DataFra
     }).drop("intent", "centroid")
 
 
-def ordinal(df: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+def ordinal(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     """Global 0-based position in key order, without sorting in one task.
 
-    Keys are cut into equal ranges; rows are numbered inside a range and shifted by the
-    rows of the ranges before. Only the at most ``buckets`` counts go through one task.
-    Reads its input three times (key range, counts, rows): give it a stored table.
+    Keys are cut at approximate quantiles, so every range holds about the same number of
+    rows however the keys are spread. Rows are numbered inside a range and shifted by the
+    rows of the ranges before; only the at most ``buckets`` counts go through one task. The
+    cuts are constants of the plan, hence a task that runs again places its rows alike.
+    Reads its input three times (cuts, counts, rows): give it a stored table.
     """
-    span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
-    lo, hi = span["lo"], span["hi"]
-    width = F.greatest(F.lit(1).cast("bigint"), F.ceil((hi - lo + 1) / F.lit(float(buckets))))
-    placed = df.withColumn("__bucket", F.floor((F.col(key) - lo) / width).cast("bigint"))
+    shares = [i / buckets for i in range(1, buckets)]
+    numbers = df.select(F.col(key).cast("double").alias("k"))
+    cuts = sorted(set(numbers.approxQuantile("k", shares, 0.25 / buckets)))
+    splits = [float("-inf"), *cuts, float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="__k", outputCol="__bucket").transform(
+        df.withColumn("__k", F.col(key).cast("double"))).drop("__k")
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
+    shifts = small_side(placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))).select(
         "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
     numbered = placed.withColumn("__inside", inside)

@@ -79,14 +79,14 @@ def word_profile(clean: DataFrame) -> dict[str, Column]:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Value, count and share in percent; largest first, ties by name."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(column)
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .withColumn("share_pct", F.round(100.0 * F.col("row_count") / total, 4))
-        .orderBy(F.desc("row_count"), column)
-    )
+    """Value, count and share in percent; largest first, ties by name.
+
+    The total is the sum of the counts, so the table itself is read once.
+    """
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
+    total = counts.agg(F.sum("row_count")).scalar()
+    return counts.withColumn("share_pct", F.round(100.0 * F.col("row_count") / total, 4)).orderBy(
+        F.desc("row_count"), column)
 
 
 def noise_share(labelled: DataFrame, floor: float = 0.60) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+_SCOPE: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def build_session(app: str = "ticketloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -37,7 +42,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_SCOPE.get() or base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, name: str):
+    """Scratch tables made inside live in one new folder, which goes away at the end.
+
+    For streams: a micro-batch leaves nothing behind once its output is written.
+    """
+    folder = scratch_dir(spark, name)
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, name: str):

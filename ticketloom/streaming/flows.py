@@ -14,6 +14,7 @@ from ticketloom.operators import labelling as lb
 from ticketloom.operators import queue as qu
 from ticketloom.operators import routing as rt
 from ticketloom.plans.triage import triage
+from ticketloom.session import scratch_scope
 from ticketloom.sources.logs import IndexLog, write_batch
 
 
@@ -106,7 +107,11 @@ def append_to(df: DataFrame, path: str, checkpoint: str, **trigger) -> Streaming
 
 
 def _per_batch(df: DataFrame, handle, checkpoint: str, trigger: dict) -> StreamingQuery:
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession, f"batch-{batch_id}"):
+            handle(batch, batch_id)
+
     return (
-        df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
