@@ -72,7 +72,7 @@ FROM clustered c LEFT JOIN cluster_intents m USING (cluster_id)"""
 @register("c1_embed_text")
 def c1_embed_text(spark, d):
     """Hashed tf-idf vectors of all tickets: size and length of each."""
-    out = cl.embed_text(clean_tickets(spark, d).select("ticket_id", "ticket_text"), dims=384)
+    out = cl.embed_text(stored_tickets(spark, d).select("ticket_id", "ticket_text"), dims=384)
     return out.select("ticket_id", F.size("embedding").cast("bigint").alias("dims"),
                       F.round(vx.norm(F.col("embedding")), 4).alias("length"))
 

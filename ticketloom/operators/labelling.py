@@ -73,8 +73,8 @@ def ordinal(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     Reads its input three times (cuts, counts, rows): give it a stored table.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    numbers = df.select(F.col(key).cast("double").alias("k"))
-    cuts = sorted(set(numbers.approxQuantile("k", shares, 0.25 / buckets)))
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 4 * buckets)).first()[0]
+    cuts = sorted(set(found or []))
     splits = [float("-inf"), *cuts, float("inf")]
     placed = Bucketizer(splits=splits, inputCol="__k", outputCol="__bucket").transform(
         df.withColumn("__k", F.col(key).cast("double"))).drop("__k")
