@@ -169,7 +169,8 @@ SELECT q.ticket_id AS query_id, p.case_key, round({COS}, 4) AS similarity,
        row_number() OVER (PARTITION BY q.ticket_id ORDER BY {COS} DESC, p.case_key) AS cut_rank
 FROM vectors q CROSS JOIN precedents p QUALIFY cut_rank <= 5"""))
 def v7_unfiltered_search(spark, d):
-    hits = se.nearest(query_vectors(spark, d).drop("intent"), stored_index(spark, d), 5, CFG)
+    queries = materialise(query_vectors(spark, d).drop("intent"), "queries")
+    hits = se.nearest(queries, stored_index(spark, d), 5, CFG)
     return hits.select("query_id", "case_key", F.round("similarity", 4).alias("similarity"),
                        F.col("cut_rank").cast("bigint").alias("cut_rank"))
 

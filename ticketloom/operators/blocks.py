@@ -74,22 +74,29 @@ def meet(
 ) -> DataFrame:
     """Run ``work(query block, case block) -> pandas`` for every pair of blocks of a scope.
 
-    ``queries``: query_id, scope, vector and more; ``cases``: case_key, scope, vector and
-    more. Ids are unique within a scope, which keeps the hashed blocks even.
+    ``queries``: query_id, vector and more; ``cases``: case_key, vector and more; both with
+    a scope, or both without one, which is one scope. Ids are unique within a scope, which
+    keeps the hashed blocks even.
     """
     # Fresh column identities: both sides may be cut from the same table.
     cases = cases.select(*[F.col(c).alias(c) for c in cases.columns])
-    plan = block_plan(queries, cases, block_rows, query_rows, case_counts)
-    place = ["scope", "__block", "__chunk"]
+    place = [*_scope_of(queries), "__block", "__chunk"]
+    if "scope" in place:
+        plan = block_plan(queries, cases, block_rows, query_rows, case_counts)
+        queries, cases = queries.join(plan, "scope"), cases.join(plan, "scope")
+    else:
+        size = {
+            "blocks": F.lit(max(1, -(-cases.count() // block_rows))),
+            "chunks": F.lit(max(1, -(-queries.count() // query_rows))),
+        }
+        queries, cases = queries.withColumns(size), cases.withColumns(size)
     spread_cases = (
-        cases.join(plan, "scope")
-        .withColumn("__block", F.pmod(F.xxhash64("case_key"), F.col("blocks")).cast("int"))
+        cases.withColumn("__block", F.pmod(F.xxhash64("case_key"), F.col("blocks")).cast("int"))
         .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .drop("blocks", "chunks")
     )
     spread_queries = (
-        queries.join(plan, "scope")
-        .withColumn("__chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        queries.withColumn("__chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
         .withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .drop("blocks", "chunks")
     )
@@ -98,6 +105,10 @@ def meet(
     )
 
 
+def _scope_of(df: DataFrame) -> list[str]:
+    return ["scope"] if "scope" in df.columns else []
+
+
 def stack(pieces: list[dict[str, np.ndarray]], columns: list[str]) -> pd.DataFrame:
     """Pieces of numpy columns -> one frame. Texts stay plain objects, which convert to
     Arrow as one array whatever string type pandas prefers."""
@@ -163,8 +174,8 @@ def top_k_pairs(
         return stack(out, columns)
 
     return meet(
-        queries.select("query_id", "scope", "vector"),
-        cases.select("case_key", "scope", "vector", *carry),
+        queries.select("query_id", *_scope_of(queries), "vector"),
+        cases.select("case_key", *_scope_of(cases), "vector", *carry),
         work,
         ", ".join([f"query_id {qtype}, case_key string, similarity double", *[f"{c} string" for c in carry]]),
         block_rows, query_rows, case_counts,
@@ -194,8 +205,8 @@ def any_above(
         return stack([{"query_id": q["query_id"].to_numpy()[hit]}], ["query_id"])
 
     found = meet(
-        queries.select("query_id", "scope", "vector", "seq"),
-        cases.select("case_key", "scope", "vector", "seq"),
+        queries.select("query_id", *_scope_of(queries), "vector", "seq"),
+        cases.select("case_key", *_scope_of(cases), "vector", "seq"),
         work, f"query_id {qtype}", block_rows, query_rows,
     )
     return found.distinct()
@@ -232,11 +243,10 @@ def distance_sums(
             })
         return stack(out, ["query_id", "cluster_id", "total"])
 
-    both = points.withColumn("scope", F.lit("*"))
     qtype = points.schema["id"].dataType.simpleString()
     return meet(
-        both.select(F.col("id").alias("query_id"), "scope", "vector"),
-        both.select(F.col("id").alias("case_key"), "scope", "vector", "cluster_id"),
+        points.select(F.col("id").alias("query_id"), "vector"),
+        points.select(F.col("id").alias("case_key"), "vector", "cluster_id"),
         work, f"query_id {qtype}, cluster_id int, total double", block_rows, query_rows,
     )
 

@@ -14,7 +14,7 @@ from ticketloom import constants as K
 from ticketloom.config import TriageConfig
 from ticketloom.functions import text as tx
 from ticketloom.operators import blocks, search
-from ticketloom.session import cut_lineage
+from ticketloom.session import cut_lineage, materialise
 
 INDEX_COLUMNS = (
     "case_key", "document", "case_id", "intent", "source", "resolution", "product",
@@ -119,6 +119,7 @@ def approvals_to_rows(approvals: DataFrame, now: Column | None = None) -> DataFr
 
 def not_near_index(rows: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
     """Rows whose best raw similarity in the index is at most the near-duplicate bound."""
+    rows = materialise(rows, "rows")
     best = search.nearest(
         rows.select(F.col("case_key").alias("query_id"), F.col("embedding").alias("vector")),
         index, 1, cfg,
@@ -150,10 +151,8 @@ def admit_in_order(rows: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataF
     def near_earlier(undecided: DataFrame, against: DataFrame) -> DataFrame:
         return blocks.any_above(
             undecided.select(
-                F.col("case_key").alias("query_id"), F.lit("*").alias("scope"),
-                F.col("embedding").alias("vector"), "seq"),
-            against.select("case_key", F.lit("*").alias("scope"),
-                           F.col("embedding").alias("vector"), "seq"),
+                F.col("case_key").alias("query_id"), F.col("embedding").alias("vector"), "seq"),
+            against.select("case_key", F.col("embedding").alias("vector"), "seq"),
             bound, cfg.block_rows, cfg.query_rows,
         ).select(F.col("query_id").alias("case_key"))
 

@@ -51,8 +51,8 @@ def cut(pairs: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, index: DataFrame, k: int, cfg: TriageConfig = TriageConfig()) -> DataFrame:
     """Exact (query_id, case_key, similarity, cut_rank) without intent filter or boost."""
     pairs = blocks.top_k_pairs(
-        queries.withColumn("scope", F.lit(EVERYTHING)),
-        index.select("case_key", F.col("embedding").alias("vector"), F.lit(EVERYTHING).alias("scope")),
+        queries.select("query_id", "vector"),
+        index.select("case_key", F.col("embedding").alias("vector")),
         k, cfg.block_rows, cfg.query_rows,
     )
     return cut(pairs, k)
