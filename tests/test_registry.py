@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from ticketloom import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -12,7 +13,7 @@ NO_SQL = {"c1_embed_text", "c3_kmeans", "c5_sweep_k", "v16_approximate_recall"}
 
 
 def test_every_query_has_a_twin_but_the_fitted_models():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == NO_SQL
+    assert set(catalog.all_queries()) - set(catalog.all_oracles()) == NO_SQL
     assert not set(registry.oracle_sql()) - set(registry.queries())
 
 
