@@ -161,18 +161,22 @@ def shard_rows(
         F.sequence(F.lit(1), F.lit(shards)),
         lambda j: F.aggregate(F.slice("counts", F.lit(1), j), F.lit(0).cast("long"), lambda a, x: a + x),
     )
-    # At most SENDERS lines of 2 * shards numbers: small at every scale.
-    matrix = F.broadcast(matrix.select(F.col("sender").alias("_sender"), "bases", ends.alias("ends")))
-    lines = parts.select(
-        F.col("part").alias("_part"), F.col("sender").alias("_from"), F.col("before").alias("_before"),
-        F.sum("n").over(Window.partitionBy("sender")).alias("_sent"),
-    ).join(matrix, F.col("_from") == F.col("_sender"))
-    names = {c: spare_name(df, c) for c in ("_part", "_from", "_before", "_sent", "bases", "ends")}
-    lines = lines.select(*[F.col(c).alias(n) for c, n in names.items()])
+    names = {c: spare_name(df, c) for c in ("_part", "_from", "_before", "_sent", "_sender", "bases", "ends")}
     col = {c: F.col(n) for c, n in names.items()}
+    matrix = matrix.select(
+        F.col("sender").alias(names["_sender"]), F.col("bases").alias(names["bases"]), ends.alias(names["ends"])
+    )
+    parts = parts.select(
+        F.col("part").alias(names["_part"]), F.col("sender").alias(names["_from"]),
+        F.col("before").alias(names["_before"]),
+        F.sum("n").over(Window.partitionBy("sender")).alias(names["_sent"]),
+    )
     local = F.col(row).bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + col["_before"]
     place, took, at = (spare_name(df, c) for c in ("_place", "_took", "_at"))
-    dealt = stored.join(lines, part == col["_part"])
+    # Both are small at every scale, and the rows themselves need not move to meet them: four
+    # numbers for each task of the input, and SENDERS lines of 2 * shards numbers at most.
+    dealt = stored.join(F.broadcast(parts), part == col["_part"])
+    dealt = dealt.join(F.broadcast(matrix), col["_from"] == col["_sender"])
     dealt = dealt.withColumn(place, permuted(local, col["_sent"], seed + 1, col["_from"]))
     dealt = dealt.withColumn(took, F.size(F.filter(col["ends"], lambda e: e <= F.col(place))))
     earlier = F.when(F.col(took) > 0, F.get(col["ends"], F.col(took) - 1)).otherwise(0)
