@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import materialise, read, spare_name, with_row_ids
+from ticketloom.llm.common import materialise, read, spare_name
 from ticketloom.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -214,14 +214,19 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: in
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of every component: the least doc_id (null last).
 
-    Of repeated rows one stays. All columns are kept as they are.
+    Of rows with the same id and text one stays; of different texts under one id, the one of
+    the least hash. All columns are kept as they are.
     """
-    row = spare_name(docs, "row")
-    stored = with_row_ids(docs, row, "simhash-documents")
-    key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(row).alias("row"))
-    found = near_duplicates(stored.select(key.alias("key"), "text"), shingle, radius)
-    kept = found.filter(F.col("key") == F.col("component")).select(F.col("key.row").alias(row))
-    return stored.join(kept, row, "left_semi").drop(row)
+    keys = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
+    key = F.struct(*[k.alias(n) for k, n in zip(keys, ("missing", "id", "hash"))])
+    found = near_duplicates(docs.select(key.alias("key"), "text"), shingle, radius)
+    kept = found.filter(F.col("key") == F.col("component")).select(
+        F.col("key.id").alias("_id"), F.col("key.hash").alias("_hash")
+    )
+    given = spare_name(docs, "hash")
+    hashed = docs.withColumn(given, keys[2])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(given) == F.col("_hash"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", given]).drop(given)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
