@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketloom.llm import decontamination, mixing, quality, sharding, simhash
-from ticketloom.llm.common import materialise, read
+from ticketloom.llm.common import read
+from ticketloom.session import scratch_dir, scratch_scope
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what a stage has stored for itself goes once it is written."""
     docs = read(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{n}")
-    return docs
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        path = scratch_dir(spark, f"stage-{n}")
+        with scratch_scope(spark, f"work-{n}"):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
