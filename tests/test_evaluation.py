@@ -84,6 +84,10 @@ def test_golden_set_reports_missing_tickets(spark):
         [(1, "critical", None)], "ticket_id bigint, urgency string, urgency_reason string"))).count() == 1
 
 
-def test_latency_keeps_tenths(spark):
+def test_latency_is_the_exact_percentile(spark):
     df = spark.range(1, 101).select(F.lit("x").alias("g"), F.col("id").cast("double").alias("v"))
     assert ev.latency(df, "g", "v").first()["p95"] == pytest.approx(95.05)
+    many = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7).alias("v"))
+    want = {r["g"]: r["p"] for r in many.groupBy("g").agg(F.round(F.percentile("v", F.lit(0.95)), 4).alias("p")).collect()}
+    assert {r["g"]: r["p95"] for r in ev.latency(many, "g", "v").collect()} == want

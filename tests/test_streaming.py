@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -88,3 +90,34 @@ def test_depth_windows_on_a_table(spark):
     got = sorted((r["urgency"], r["row_count"]) for r in flows.queue_depth(df).collect())
     assert got == [("high", 1), ("low", 1), ("low", 2)]
     assert flows.queue_depth(df, "10 minutes", "5 minutes").agg(F.sum("row_count")).first()[0] == 8
+
+
+def test_depth_stream_shows_open_windows(spark):
+    df = spark.createDataFrame([(0, "low"), (599, "low"), (600, "low"), (90_000, "high")], "s bigint, urgency string").select(
+        F.timestamp_seconds(F.col("s") + 1704067200).alias("created_at"), "urgency")
+    stream = flows.read_stream(spark, stored(spark, df, "depth-in"), df.schema)
+    path = scratch_dir(spark, "depth")
+    flows.depth_to_table(flows.queue_depth(stream), path, scratch_dir(spark, "state")).awaitTermination()
+    got = sorted((r["urgency"], r["row_count"]) for r in flows.read_depth(spark, path).collect())
+    assert got == [("high", 1), ("low", 1), ("low", 2)]
+
+
+def test_answers_wait_for_their_ticket_and_the_latest_event_wins(spark):
+    idx = make_index(spark, np.eye(DIM)[:1], ["a"]).withColumn("timestamp", F.lit("2020-01-01").cast("timestamp"))
+    ticket = "id string, ticket_id string, customer_query string, intent string, embedding array<double>"
+    answer = "id string, human_response string, event_ts timestamp, seq bigint"
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    path, queue = scratch_dir(spark, "answers"), scratch_dir(spark, "queue")
+    log, state = IndexLog(idx, scratch_dir(spark, "index-log")), scratch_dir(spark, "state")
+    vector = np.eye(DIM)[1].tolist()
+    spark.createDataFrame([("q1", "t1", "first question", "a", vector)], ticket).write.parquet(queue)
+    batches = [[("q1", "newer", at(200), 2), ("q2", "early", at(10), 1)], [("q1", "older", at(100), 1)], []]
+    for n, rows in enumerate(batches):
+        if n == 2:  # the ticket comes after its answer
+            spark.createDataFrame([("q2", "t2", "second question", "a", vector)], ticket).write.mode("append").parquet(queue)
+            rows = [("q9", "unknown", at(300), 1)]
+        spark.createDataFrame(rows, answer).coalesce(1).write.mode("append").parquet(path)
+        stream = flows.read_stream(spark, path, spark.createDataFrame([], answer).schema)
+        flows.resolutions_to_index(stream, lambda: spark.read.parquet(queue), log, state).awaitTermination()
+    got = {r["case_id"]: r["resolution"] for r in log.current().where("source != 'a'").collect()}
+    assert got["t1"] == "newer" and got["t2"] == "early" and "t9" not in got

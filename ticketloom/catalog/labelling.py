@@ -113,9 +113,6 @@ SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END),
         FROM {rows} x CROSS JOIN {rows} y GROUP BY ALL) GROUP BY id)""")
 
 
-S.CTES["sampled"] = "SELECT * FROM vectors ORDER BY md5(ticket_id || '/42'), ticket_id LIMIT 3000"
-
-
 @register("c4_silhouette_cosine", _silhouette_sql(
     "CASE WHEN x.ticket_id = y.ticket_id THEN 0 ELSE 1 - list_cosine_similarity(x.embedding, y.embedding) END"))
 def c4_silhouette_cosine(spark, d):
@@ -124,15 +121,15 @@ def c4_silhouette_cosine(spark, d):
 
 
 @register("c4_silhouette_euclidean", _silhouette_sql(
-    "CASE WHEN x.ticket_id = y.ticket_id THEN 0 ELSE list_distance(x.embedding, y.embedding) END", "sampled"))
+    "CASE WHEN x.ticket_id = y.ticket_id THEN 0 ELSE list_distance(x.embedding, y.embedding) ^ 2 END"))
 def c4_silhouette_euclidean(spark, d):
-    out = cl.silhouette_euclidean(fx.ticket_vectors(spark, d), "ticket_id", "label")
+    out = cl.silhouette_euclidean(fx.ticket_vectors(spark, d), "label")
     return out.select(F.round("silhouette", 5).alias("silhouette"))
 
 
 @register("c5_sweep_k")
 def c5_sweep_k(spark, d):
-    return cl.sweep_k(fx.ticket_vectors(spark, d), tries=1)
+    return cl.sweep_k(fx.ticket_vectors(spark, d))
 
 
 S.CTES["nearest_rows"] = """
@@ -279,7 +276,7 @@ def l4_micro_batches(spark, d):
 
 @register("l5_batch_payloads", S.with_ctes("""
 SELECT batch_id, count(*) AS batch_rows,
-       to_json(list({'ticket_id': ticket_id, 'ticket_text': substr(ticket_text, 1, 250)} ORDER BY ticket_id))::VARCHAR AS payload
+       to_json(list({'ticket_id': ticket_id, 'ticket_text': ticket_text} ORDER BY ticket_id))::VARCHAR AS payload
 FROM batched GROUP BY batch_id"""))
 def l5_batch_payloads(spark, d):
     return lb.batch_payloads(lb.micro_batches(stored_tickets(spark, d), "ticket_id", CFG))

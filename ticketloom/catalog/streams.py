@@ -70,7 +70,7 @@ def w3_stream_resolutions(spark, d):
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(base, scratch_dir(spark, "index-log"))
-    flows.resolutions_to_index(stream, q, log, scratch_dir(spark, "answers-state")).awaitTermination()
+    flows.resolutions_to_index(stream, lambda: q, log, scratch_dir(spark, "answers-state")).awaitTermination()
     return log.current().select("case_key", "case_id", "intent", "source", "resolution")
 
 
@@ -80,8 +80,9 @@ def _depth(spark, d, slide, name):
         F.col("created_at").cast("timestamp").alias("created_at"), F.lower("ticket_priority").alias("urgency"))
     stream = as_stream(spark, t, f"{name}-stream")
     path = scratch_dir(spark, name)
-    flows.append_to(flows.queue_depth(stream, "10 minutes", slide), path, scratch_dir(spark, f"{name}-state")).awaitTermination()
-    out = tb.read_table(spark, path)
+    depth = flows.queue_depth(stream, "10 minutes", slide)
+    flows.depth_to_table(depth, path, scratch_dir(spark, f"{name}-state")).awaitTermination()
+    out = flows.read_depth(spark, path)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -89,7 +90,6 @@ def _depth_sql(starts: str) -> str:
     return S.with_ctes(f"""
 SELECT window_start, window_start + INTERVAL 10 MINUTES AS window_end, urgency, count(*) AS row_count
 FROM (SELECT lower(ticket_priority) AS urgency, unnest({starts}) AS window_start FROM tickets_raw)
-WHERE window_start + INTERVAL 10 MINUTES <= (SELECT max(created_at) FROM tickets_raw) - INTERVAL 10 MINUTES
 GROUP BY ALL""")
 
 

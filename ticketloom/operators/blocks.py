@@ -210,44 +210,3 @@ def any_above(
         work, f"query_id {qtype}", block_rows, query_rows,
     )
     return found.distinct()
-
-
-def distance_sums(
-    points: DataFrame, block_rows: int, query_rows: int
-) -> DataFrame:
-    """(query_id, cluster_id, total): sum of euclidean distances of each point to each cluster."""
-
-    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return stack([], ["query_id", "cluster_id", "total"])
-        left, right = np.stack(q["vector"].tolist()), np.stack(c["vector"].tolist())
-        clusters, where = np.unique(c["cluster_id"].to_numpy(), return_inverse=True)
-        member = np.zeros((len(c), len(clusters)))
-        member[np.arange(len(c)), where] = 1.0
-        left_sq, right_sq = (left * left).sum(1), (right * right).sum(1)
-        same = q["query_id"].to_numpy()
-        other = c["case_key"].to_numpy()
-        out = []
-        step = max(1, 4_000_000 // len(c))
-        for at in range(0, len(q), step):
-            part = slice(at, at + step)
-            sq = left_sq[part][:, None] + right_sq[None, :] - 2.0 * (left[part] @ right.T)
-            dist = np.sqrt(np.maximum(sq, 0.0))
-            dist[same[part][:, None] == other[None, :]] = 0.0
-            sums = dist @ member
-            n = len(sums)
-            out.append({
-                "query_id": np.repeat(same[part], len(clusters)),
-                "cluster_id": np.tile(clusters, n),
-                "total": sums.ravel(),
-            })
-        return stack(out, ["query_id", "cluster_id", "total"])
-
-    qtype = points.schema["id"].dataType.simpleString()
-    return meet(
-        points.select(F.col("id").alias("query_id"), "vector"),
-        points.select(F.col("id").alias("case_key"), "vector", "cluster_id"),
-        work, f"query_id {qtype}, cluster_id int, total double", block_rows, query_rows,
-    )
-
-

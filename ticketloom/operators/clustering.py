@@ -96,48 +96,28 @@ def assign_nearest(df: DataFrame, centroids: DataFrame, vector: str = "embedding
     return df.withColumn("cluster_id", nearest.asNondeterministic()(F.col(vector)))
 
 
-def silhouette_cosine(df: DataFrame, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
-    """Silhouette with cosine distance over all rows; linear in rows, no sample."""
+def silhouette(df: DataFrame, measure: str, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
+    """Silhouette of unit vectors over all rows; linear in rows, no sample."""
     evaluator = ClusteringEvaluator(
-        predictionCol="__c", featuresCol="features", metricName="silhouette", distanceMeasure="cosine")
+        predictionCol="__c", featuresCol="features", metricName="silhouette", distanceMeasure=measure)
     rows = with_features(df, vector).select(F.col(cluster).cast("int").alias("__c"), "features")
     score = evaluator.evaluate(rows)
     return df.sparkSession.createDataFrame([(score,)], "silhouette double")
 
 
-def seeded_order(key: Column, seed: int) -> Column:
-    """Pseudo-random but repeatable order of rows."""
-    return F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")).cast("binary"))
+def silhouette_cosine(df: DataFrame, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
+    """Silhouette with cosine distance."""
+    return silhouette(df, "cosine", cluster, vector)
 
 
-def silhouette_euclidean(
-    df: DataFrame, key: str, cluster: str = "cluster_id", vector: str = "embedding",
-    sample_size: int | None = 3000, seed: int = 42, block_rows: int = 4096,
-) -> DataFrame:
-    """Silhouette with plain euclidean distance on unit vectors, over a seeded sample.
+def silhouette_euclidean(df: DataFrame, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
+    """Silhouette with squared euclidean distance, whose sums over a cluster need no pairs."""
+    return silhouette(df, "squaredEuclidean", cluster, vector)
 
-    It needs the distance of every sampled row to every other one, hence the sample, which
-    is part of the measure; ``None`` takes all rows at quadratic cost. Blocks of rows meet
-    in numpy and only sums per cluster leave a task.
-    """
-    if sample_size is not None:
-        df = df.orderBy(seeded_order(F.col(key), seed), key).limit(sample_size)
-    points = materialise(df.select(
-        F.col(key).alias("id"), F.col(cluster).cast("int").alias("cluster_id"),
-        vx.l2_normalise(F.col(vector)).alias("vector")), "silhouette")
-    sums = blocks.distance_sums(points, block_rows, block_rows)
-    sizes = small_side(points.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")))
-    own = points.select(F.col("id").alias("query_id"), F.col("cluster_id").alias("own"))
-    per = (
-        sums.groupBy("query_id", "cluster_id").agg(F.sum("total").alias("total"))
-        .join(sizes, "cluster_id").join(own, "query_id")
-    )
-    is_own = F.col("cluster_id") == F.col("own")
-    mean_own = F.max(F.when(is_own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
-    mean_next = F.min(F.when(~is_own, F.col("total") / F.col("n")))
-    scored = per.groupBy("query_id").agg(mean_own.alias("a"), mean_next.alias("b"))
-    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return scored.agg(F.avg(value).alias("silhouette"))
+
+def seeded_order(key: Column, seed: int) -> Column:
+    """Pseudo-random but repeatable order of rows."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")).cast("binary"))
 
 
 def sweep_k(df: DataFrame, candidates=(12, 16, 20, 24), seed: int = 42, tries: int = 5) -> DataFrame:

@@ -103,9 +103,13 @@ def taxonomy_lines(taxonomy: DataFrame, with_risk: bool = False) -> DataFrame:
     return taxonomy.agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("tax_summary"))
 
 
-def batch_payloads(batched: DataFrame) -> DataFrame:
-    """One row per batch: its tickets as a JSON array (25 rows at most, texts cut to 250)."""
-    item = F.struct("ticket_id", tx.truncate(F.col("ticket_text"), 250).alias("ticket_text"))
+def batch_payloads(batched: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """One row per batch: its tickets as a JSON array (25 rows at most).
+
+    ``text_chars`` cuts each text for a labeller that takes no more; by default it is whole.
+    """
+    text = F.col("ticket_text")
+    item = F.struct("ticket_id", (tx.truncate(text, text_chars) if text_chars else text).alias("ticket_text"))
     return batched.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("batch_rows"),
         F.to_json(F.sort_array(F.collect_list(item))).alias("payload"),

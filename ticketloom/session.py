@@ -32,11 +32,13 @@ def build_session(app: str = "ticketloom", master: str | None = None, **conf: st
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster.
 
-    Only where no such folder is configured (tests, local runs) a temporary one is made
-    and set for the rest of the session.
+    Only on a local master without such a folder (tests) a temporary one is made and set for
+    the rest of the session; on a cluster the executors would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ticketloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

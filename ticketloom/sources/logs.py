@@ -23,7 +23,7 @@ class IndexLog:
     """Index of solved cases as a base table plus one small delta per batch.
 
     A batch writes only its own rows. The current index is the fold of base and deltas
-    (latest batch, then latest seq, per key); ``compact`` writes it out as a new base.
+    (latest seq, then latest batch, per key); ``compact`` writes it out as a new base.
     """
 
     def __init__(self, base: DataFrame, path: str):
@@ -32,7 +32,8 @@ class IndexLog:
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
         if "seq" not in rows.columns:
-            rows = rows.withColumn("seq", F.lit(0).cast("bigint"))
+            when = F.unix_micros(F.col("timestamp").try_cast("timestamp"))
+            rows = rows.withColumn("seq", F.coalesce(when, F.lit(0).cast("bigint")))
         write_batch(rows, self.path, batch_id)
 
     def current(self, before_batch: int | None = None) -> DataFrame:
@@ -42,8 +43,8 @@ class IndexLog:
         deltas = read_batches(self.spark, self.path)
         if before_batch is not None:
             deltas = deltas.where(F.col("batch_id") < before_batch)
-        # Later batches win; seq orders the rows inside one.
-        order = F.struct(F.col("batch_id").cast("bigint").alias("b"), F.col("seq").cast("bigint").alias("s"))
+        # The later event wins, whatever batch brought it; of equal ones the later batch.
+        order = F.struct(F.col("seq").cast("bigint").alias("s"), F.col("batch_id").cast("bigint").alias("b"))
         return ix.upsert(self.base.select(*ix.INDEX_COLUMNS), deltas.withColumn("seq", order).drop("batch_id"))
 
     def compact(self, path: str) -> DataFrame:

@@ -3,6 +3,8 @@ a write to an index run per micro-batch, and a replayed batch replaces its own o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,8 +16,9 @@ from ticketloom.operators import labelling as lb
 from ticketloom.operators import queue as qu
 from ticketloom.operators import routing as rt
 from ticketloom.plans.triage import triage
-from ticketloom.session import scratch_scope
-from ticketloom.sources.logs import IndexLog, write_batch
+from ticketloom.session import materialise, scratch_scope
+from ticketloom.sources.logs import IndexLog, read_batches, write_batch
+from ticketloom.sources.tables import path_exists
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -51,14 +54,23 @@ def triage_to_tables(
 
 
 def resolutions_to_index(
-    events: DataFrame, queue: DataFrame, index: IndexLog, checkpoint: str, delay: str = "1 hour", **trigger
+    events: DataFrame, queue: Callable[[], DataFrame], index: IndexLog, checkpoint: str, delay: str = "1 hour", **trigger
 ) -> StreamingQuery:
     """Answers of human agents -> human-resolved cases. Repeated deliveries are dropped
-    within the watermark; an answer that changes later overwrites its case."""
+    within the watermark; the answer of the latest event time is the case, in whatever order
+    they come. ``queue`` is read anew for each batch, and an answer to a ticket that is not
+    queued yet waits beside the index for the batch that finds it."""
     unique = events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["id", "seq"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = ix.to_index_rows(qu.resolutions_to_cases(queue, batch))
+        spark, known = batch.sparkSession, queue()
+        held = f"{index.path}-waiting"
+        answers = batch
+        if path_exists(spark, f"{held}/batch_id={batch_id - 1}"):
+            answers = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{held}/batch_id={batch_id - 1}"))
+        answers = materialise(answers, "answers")
+        write_batch(answers.join(known.select("id"), "id", "left_anti").select(*batch.columns), held, batch_id)
+        rows = ix.to_index_rows(qu.resolutions_to_cases(known, answers))
         # Later answers to a ticket have the same key and win by their time.
         index.add(rows.withColumn("seq", F.unix_micros(F.col("timestamp").cast("timestamp"))), batch_id)
 
@@ -70,7 +82,7 @@ def feedback_to_tables(
     cfg: TriageConfig = TriageConfig(), **trigger,
 ) -> StreamingQuery:
     """Customer feedback: approved replies join the index, rejected ones go to review."""
-    unique = feedback.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["ticket_id"])
+    unique = feedback.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["ticket_id", "seq"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -99,6 +111,23 @@ def queue_depth(
     )
 
 
+def depth_to_table(depth: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Every change of a window is written, open windows too; ``read_depth`` has the last."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, path, batch_id)
+
+    return (
+        depth.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def read_depth(spark: SparkSession, path: str) -> DataFrame:
+    """Live depth: a window's count only grows, so its last value is its largest."""
+    keys = ("window_start", "window_end", "urgency")
+    return read_batches(spark, path).groupBy(*keys).agg(F.max("row_count").alias("row_count"))
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     return (
         df.writeStream.outputMode("append").format("parquet").option("path", path)
