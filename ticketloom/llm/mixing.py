@@ -23,7 +23,7 @@ from ticketloom.llm.common import materialise, permuted, read, spare_name, with_
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 1024
 SHARD_SLOTS = 1024
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 SPLIT_SLOTS = 4096
 
 
@@ -88,8 +88,10 @@ def output_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: i
     runs = plan.filter("slots > 0").withColumn(
         "run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SPLIT_SLOTS)))
     )
-    # A hot source is many runs; spread them before they are opened.
-    slots = runs.repartition("rank", "run").withColumn(
+    # A hot source is many runs; spread them before they are opened. The number is given, as
+    # the few bytes of the runs would otherwise be gathered in one task.
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = runs.repartition(tasks, "rank", "run").withColumn(
         "number",
         F.explode(F.sequence(
             F.col("run") * SPLIT_SLOTS,
@@ -158,7 +160,8 @@ def mix_rows(
     pieces = packed_pieces(rows, targets, buckets, block_words)
     slots = output_slots(targets, block_words, shard_slots, seed)
     used = F.least(F.col("in_block") + F.col("piece_words"), F.col("words")) - F.col("in_block")
-    placed = pieces.join(slots, ["rank", "block"]).withColumn("n_words", used).filter("n_words > 0")
+    # The opened runs look small to the planner and are as many as the blocks: never broadcast.
+    placed = pieces.hint("merge").join(slots.hint("merge"), ["rank", "block"]).withColumn("n_words", used).filter("n_words > 0")
     return targets, placed.select("row", "pass", "shard", "slot", "from_word", "n_words")
 
 
