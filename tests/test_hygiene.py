@@ -96,5 +96,5 @@ def test_quality_report(spark):
 def test_ordinal_is_global_and_gap_free(spark):
     ids = [7, -5, 10**12, 3, 8, 9, 10**12 + 1, 4]
     df = spark.createDataFrame([(i,) for i in ids], "k bigint")
-    got = {r["k"]: r["position"] for r in lb.ordinal(df, "k", 5).collect()}
+    got = {r["k"]: r["position"] for r in lb.ordinal(df, "k", rows_per_task=2).collect()}
     assert got == {k: n for n, k in enumerate(sorted(ids))}

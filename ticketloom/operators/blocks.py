@@ -16,24 +16,35 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-MAX_PLAN_ROWS = 100_000
+MAX_PLAN_BYTES = 16 << 20
 
 
-def bounded_rows(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> list | None:
+def plan_rows(schema: T.StructType) -> int:
+    """Rows of a schema that stay below ``MAX_PLAN_BYTES``: 8 bytes a number, 64 a text, 8 KB a nested value."""
+    def width(kind: T.DataType) -> int:
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return 8192
+        return 64 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+    return MAX_PLAN_BYTES // sum(width(f.dataType) for f in schema.fields)
+
+
+def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of a small summary table, or None when it has more than ``limit``."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
-def small_side(df: DataFrame, limit: int = MAX_PLAN_ROWS) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """Make a summary table local and broadcast it, once its size was checked.
 
-    Beyond ``limit`` rows the table stays as it is and Spark picks the join. A local table
+    Beyond ``plan_rows`` rows the table stays as it is and Spark picks the join. A local table
     is not computed again by every plan that uses it.
     """
-    rows = bounded_rows(df, limit)
+    rows = bounded_rows(df, plan_rows(df.schema))
     if rows is None:
         return df
     table = pa.Table.from_pylist([r.asDict() for r in rows], schema=to_arrow_schema(df.schema))

@@ -88,8 +88,10 @@ def assign_nearest(df: DataFrame, centroids: DataFrame, vector: str = "embedding
         if not len(v):
             return pd.Series([], dtype="int32")
         m = np.array(v.tolist(), dtype="float64")
-        sq = (matrix * matrix).sum(1)[None, :] - 2.0 * (m @ matrix.T)
-        return pd.Series(ids[np.argmin(sq, axis=1)].astype("int32"))
+        size, step = (matrix * matrix).sum(1)[None, :], max(1, 4_000_000 // len(matrix))
+        # Slices keep the distance matrix small whatever the batch is.
+        near = [np.argmin(size - 2.0 * (m[at:at + step] @ matrix.T), axis=1) for at in range(0, len(m), step)]
+        return pd.Series(ids[np.concatenate(near)].astype("int32"))
 
     # Kept in one place by the optimiser: as a later join key it must not be copied into
     # inferred filters.
@@ -175,14 +177,18 @@ def top_terms(df: DataFrame, n: int = 10, text: str = "ticket_text") -> DataFram
     everywhere is one row per map task and cluster.
     """
     docs = df.agg(F.count(F.lit(1))).scalar()
-    occurrences = df.select("cluster_id", F.explode(terms(F.col(text))).alias("term"))
-    tf = occurrences.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    seen = df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    idf = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = df.select("cluster_id", F.array_sort(terms(F.col(text))).alias("words"))
+    # The first of a run of equal words counts the document, every one counts the term.
+    first = F.transform("words", lambda x, i: F.struct(
+        x.alias("term"), ((i == 0) | (x != F.get("words", i - 1))).cast("int").alias("new")))
+    opened = words.select("cluster_id", F.inline(first))
+    tf = opened.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("new").alias("own_df"))
+    # Few clusters hold a term, so the sum over them has few rows to gather.
+    idf = F.sum("own_df").over(Window.partitionBy("term"))
     weight = F.round(F.col("tf") * F.ln((docs + 1) / (F.col("df") + 1)), 6)
     w = Window.partitionBy("cluster_id").orderBy(F.desc("weight"), "term")
     return (
-        tf.join(idf, "term").withColumn("weight", weight)
+        tf.withColumn("df", idf).withColumn("weight", weight)
         .withColumn("position", F.row_number().over(w).cast("bigint"))
         .where(F.col("position") <= n)
         .select("cluster_id", "position", "term", "weight")
@@ -211,6 +217,35 @@ def summarise(df: DataFrame, centroids: DataFrame, key: str = "ticket_id", risk_
     )
 
 
+def merge_plan(centroids: DataFrame, threshold: float) -> DataFrame:
+    """(name, source_cluster_ids): clusters whose centroids are linked by a cosine of ``threshold``
+    or more, directly or through others; the name is the least cluster id of the group.
+
+    Centroids meet in blocks, and only links leave a task; labels then run along the links
+    until none changes.
+    """
+    points = materialise(centroids.select("cluster_id", F.col("centroid").alias("vector")), "centroids")
+    near = blocks.top_k_pairs(
+        points.select(F.col("cluster_id").alias("query_id"), "vector"),
+        points.select(F.col("cluster_id").cast("string").alias("case_key"), "vector"),
+        MAX_CENTROIDS, 1024, 1024,
+    ).where((F.col("similarity") >= threshold) & (F.col("query_id").cast("string") != F.col("case_key")))
+    links = materialise(near.select(
+        F.col("query_id").alias("a"), F.col("case_key").cast(points.schema["cluster_id"].dataType).alias("b")), "links")
+    labels = points.select("cluster_id", F.col("cluster_id").alias("root"))
+    while True:
+        offered = links.join(labels, links["b"] == labels["cluster_id"]).groupBy("a").agg(F.min("root").alias("offer"))
+        moved = labels.join(offered, F.col("cluster_id") == F.col("a"), "left")
+        moved = materialise(moved.select(
+            "cluster_id", F.least("root", F.coalesce("offer", "root")).alias("root"),
+            F.coalesce(F.col("offer") < F.col("root"), F.lit(False)).alias("changed")), "labels")
+        labels = moved.drop("changed")
+        if moved.where("changed").isEmpty():
+            break
+    return labels.groupBy("root").agg(F.sort_array(F.collect_list("cluster_id")).alias("source_cluster_ids")).select(
+        F.concat(F.lit("cluster_"), F.col("root").cast("string")).alias("name"), "source_cluster_ids")
+
+
 def merge_issues(clusters: DataFrame, plan: DataFrame) -> DataFrame:
     """Clusters that a merge plan leaves out, names twice or makes up."""
     mapped = plan.select(F.explode("source_cluster_ids").alias("cluster_id"))

@@ -6,6 +6,7 @@ caller stores it under a fresh path.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +15,7 @@ from ticketloom import constants as K
 from ticketloom.config import TriageConfig
 from ticketloom.functions import text as tx
 from ticketloom.operators import blocks, search
-from ticketloom.session import cut_lineage, materialise
+from ticketloom.session import materialise
 
 INDEX_COLUMNS = (
     "case_key", "document", "case_id", "intent", "source", "resolution", "product",
@@ -117,16 +118,36 @@ def approvals_to_rows(approvals: DataFrame, now: Column | None = None) -> DataFr
     )
 
 
-def not_near_index(rows: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
+def near_bound(cfg: TriageConfig) -> float:
+    """Reported similarities have four places; one rounds above the near-duplicate bound from here on."""
+    return cfg.near_duplicate + 0.5e-4
+
+
+def near_rows(queries: DataFrame, cases: DataFrame, centres: np.ndarray, cfg: TriageConfig) -> DataFrame:
+    """case_key of the rows (case_key, embedding, seq) with a near-duplicate of lower seq in ``cases``.
+
+    The bound is a narrow cone, so rows meet only the cells that the cone touches.
+    """
+    bound = near_bound(cfg)
+    left, right = search.cone_scopes(
+        queries.select(F.col("case_key").alias("query_id"), F.col("embedding").alias("vector"), "seq"),
+        cases.select("case_key", F.col("embedding").alias("vector"), "seq"), centres, bound - 1e-9)
+    found = blocks.any_above(left, right, bound, cfg.block_rows, cfg.query_rows)
+    return found.select(F.col("query_id").alias("case_key"))
+
+
+def not_near_index(
+    rows: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig(), centres: np.ndarray | None = None
+) -> DataFrame:
     """Rows whose best raw similarity in the index is at most the near-duplicate bound."""
     rows = materialise(rows, "rows")
-    best = search.nearest(
-        rows.select(F.col("case_key").alias("query_id"), F.col("embedding").alias("vector")),
-        index, 1, cfg,
-    )
-    # Reported similarities have four places, and the bound is compared with those.
-    close = best.where(F.round(F.greatest(F.col("similarity"), F.lit(0.0)), 4) > cfg.near_duplicate)
-    return rows.join(close.select(F.col("query_id").alias("case_key")), "case_key", "left_anti")
+    if index.isEmpty():
+        return rows
+    centres = search.fit_cells(index) if centres is None else centres
+    close = near_rows(
+        rows.withColumn("seq", F.lit(1).cast("bigint")),
+        index.withColumn("seq", F.lit(0).cast("bigint")), centres, cfg)  # all of it is earlier
+    return rows.join(close, "case_key", "left_anti")
 
 
 def first_of_equals(rows: DataFrame) -> DataFrame:
@@ -138,7 +159,9 @@ def first_of_equals(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def admit_in_order(rows: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
+def admit_in_order(
+    rows: DataFrame, cfg: TriageConfig = TriageConfig(), centres: np.ndarray | None = None
+) -> DataFrame:
     """Greedy admission by ``seq``: keep a row unless an earlier kept one is a near-duplicate.
 
     ``rows`` come from ``first_of_equals``, so that copies do not meet each other.
@@ -146,25 +169,18 @@ def admit_in_order(rows: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataF
     near a kept row goes; the rest waits for the next round. Rounds needed = the longest
     chain of rows each near the one before, one or two in practice.
     """
-    bound = cfg.near_duplicate + 0.5e-4  # a similarity rounds above the bound from here on
-
-    def near_earlier(undecided: DataFrame, against: DataFrame) -> DataFrame:
-        return blocks.any_above(
-            undecided.select(
-                F.col("case_key").alias("query_id"), F.col("embedding").alias("vector"), "seq"),
-            against.select("case_key", F.col("embedding").alias("vector"), "seq"),
-            bound, cfg.block_rows, cfg.query_rows,
-        ).select(F.col("query_id").alias("case_key"))
-
-    undecided = cut_lineage(rows)
+    undecided = materialise(rows, "round")
     kept = undecided.limit(0)
+    if centres is None and not undecided.isEmpty():
+        centres = search.fit_cells(undecided)
     while not undecided.isEmpty():
-        waiting = cut_lineage(undecided.join(near_earlier(undecided, undecided), "case_key", "left_semi"))
+        waiting = materialise(
+            undecided.join(near_rows(undecided, undecided, centres, cfg), "case_key", "left_semi"), "round")
         winners = undecided.join(waiting.select("case_key"), "case_key", "left_anti")
-        winners = cut_lineage(winners)
+        winners = materialise(winners, "round")
         kept = kept.unionByName(winners)
-        losers = near_earlier(waiting, winners)
-        undecided = cut_lineage(waiting.join(losers, "case_key", "left_anti"))
+        losers = near_rows(waiting, winners, centres, cfg)
+        undecided = materialise(waiting.join(losers, "case_key", "left_anti"), "round")
     return kept
 
 
@@ -172,8 +188,9 @@ def add_approved(index: DataFrame, approvals: DataFrame, cfg: TriageConfig = Tri
                  now: Column | None = None) -> DataFrame:
     """Admitted approvals as index rows; adding them in one batch equals one by one."""
     rows = approvals_to_rows(approvals, now)
-    fresh = not_near_index(first_of_equals(missing_rows(index, rows)), index, cfg)
-    return admit_in_order(fresh, cfg).select(*INDEX_COLUMNS)
+    centres = None if index.isEmpty() else search.fit_cells(index)
+    fresh = not_near_index(first_of_equals(missing_rows(index, rows)), index, cfg, centres)
+    return admit_in_order(fresh, cfg, centres).select(*INDEX_COLUMNS)
 
 
 def ledger_counts(index: DataFrame) -> DataFrame:

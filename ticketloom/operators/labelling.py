@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import Bucketizer, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +14,7 @@ from ticketloom.config import TriageConfig
 from ticketloom.functions import text as tx
 from ticketloom.functions import vectors as vx
 from ticketloom.operators.blocks import small_side
+from ticketloom.session import materialise
 
 
 def cluster_map(taxonomy: DataFrame) -> DataFrame:
@@ -63,28 +63,25 @@ def label_by_cluster(tickets: DataFrame, taxonomy: DataFrame, centroids: DataFra
     }).drop("intent", "centroid")
 
 
-def ordinal(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
-    """Global 0-based position in key order, without sorting in one task.
+def ordinal(df: DataFrame, *order: Column | str, rows_per_task: int = 100_000) -> DataFrame:
+    """Global 0-based position in the given order, without sorting in one task.
 
-    Keys are cut at approximate quantiles, so every range holds about the same number of
-    rows however the keys are spread. Rows are numbered inside a range and shifted by the
-    rows of the ranges before; only the at most ``buckets`` counts go through one task. The
-    cuts are constants of the plan, hence a task that runs again places its rows alike.
-    Reads its input three times (cuts, counts, rows): give it a stored table.
+    Rows are dealt by ranges of the order, as many as the row count asks for, sorted and
+    numbered inside a range, and shifted by the rows of the ranges before; only one count per
+    range goes through one task. The numbered rows are stored, so a task that runs again
+    places its rows alike. ``order`` should end in a unique key.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 4 * buckets)).first()[0]
-    cuts = sorted(set(found or []))
-    splits = [float("-inf"), *cuts, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="__k", outputCol="__bucket").transform(
-        df.withColumn("__k", F.col(key).cast("double"))).drop("__k")
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = small_side(placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))).select(
-        "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
-    numbered = placed.withColumn("__inside", inside)
-    return numbered.join(shifts, "__bucket").withColumn(
-        "position", F.col("__shift") + F.col("__inside")).drop("__bucket", "__inside", "__shift")
+    ranges = max(1, -(-df.count() // rows_per_task))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    numbered = materialise(dealt.withColumn("__at", F.monotonically_increasing_id()), "ordinal")
+    # The id holds the range in its high bits and the place in the range in the low 33.
+    numbered = numbered.withColumns({
+        "__range": F.shiftright("__at", 33), "__inside": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = numbered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    return numbered.join(shifts, "__range").withColumn(
+        "position", F.col("__shift") + F.col("__inside")).drop("__at", "__range", "__inside", "__shift")
 
 
 def micro_batches(df: DataFrame, key: str = "ticket_id", cfg: TriageConfig = TriageConfig()) -> DataFrame:
@@ -171,16 +168,20 @@ def fold_labels(tickets: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def encode_by_count(df: DataFrame, column: str) -> DataFrame:
-    """Label codes by falling frequency, ties by name."""
-    model = StringIndexer(inputCol=column, outputCol="__code", stringOrderType="frequencyDesc").fit(df)
-    return model.transform(df).withColumn("code", F.col("__code").cast("bigint")).drop("__code")
+    """Label codes by falling frequency, ties by name; no list of labels on the driver."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    return _with_codes(df, counts, column, F.desc("__n"), F.col(column))
 
 
 def encode_by_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Label codes in order of first appearance; ranks a table of distinct labels."""
+    """Label codes in order of first appearance."""
     firsts = df.groupBy(column).agg(F.min(order).alias("__first"))
-    codes = firsts.withColumn("code", (F.row_number().over(Window.orderBy("__first")) - 1).cast("bigint"))
-    return df.join(codes.drop("__first"), column)
+    return _with_codes(df, firsts, column, F.col("__first"), F.col(column))
+
+
+def _with_codes(df: DataFrame, labels: DataFrame, column: str, *order: Column) -> DataFrame:
+    codes = ordinal(labels, *order).select(column, F.col("position").cast("bigint").alias("code"))
+    return df.join(codes, column)
 
 
 # --- rule classifier -------------------------------------------------------------------

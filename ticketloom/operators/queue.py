@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from ticketloom import constants as K
 from ticketloom.functions import text as tx
 from ticketloom.operators import index as ix
+from ticketloom.operators.labelling import ordinal
 from ticketloom.operators.routing import HIT_TYPE
 
 
-def row_id(*parts: str) -> Column:
+def row_id(*parts: Column) -> Column:
     """Deterministic id of a row, so that a repeated write is the same row."""
-    joined = F.concat_ws("/", *[F.col(p).cast("string") for p in parts])
+    joined = F.concat_ws("/", *[p.cast("string") for p in parts])
     return F.substring(F.md5(joined.cast("binary")), 1, 16)
 
 
+def message_id(ticket_id: Column, created_at: Column) -> Column:
+    """Id of one message of a ticket: a ticket that comes twice is two rows."""
+    return row_id(ticket_id, F.date_format(created_at, "yyyyMMddHHmmssSSSSSS"))
+
+
 def queue_rows(routed: DataFrame, created_at: Column) -> DataFrame:
     """Escalated tickets as pending human-queue rows."""
     return routed.where(F.col("route") == "human").select(
-        row_id("ticket_id").alias("id"),
+        message_id(F.col("ticket_id"), created_at).alias("id"),
         F.col("ticket_id").cast("string").alias("ticket_id"),
         F.col("query").alias("customer_query"),
         F.coalesce("intent", F.lit(K.OTHER_INTENT)).alias("intent"),
@@ -41,7 +47,7 @@ def review_rows(feedback: DataFrame, created_at: Column) -> DataFrame:
     """Rejected replies as developer reviews."""
     note = F.coalesce(F.nullif(F.col("feedback_notes"), F.lit("")), F.lit(K.DEFAULT_FEEDBACK_NOTE))
     return feedback.where(~F.col("feedback_is_okay")).select(
-        row_id("ticket_id", "seq").alias("id"),
+        row_id(F.col("ticket_id"), F.col("seq")).alias("id"),
         F.col("ticket_id").cast("string").alias("ticket_id"),
         "query", "intent", "urgency", "confidence",
         F.to_json("retrieved_cases").alias("retrieved_cases_json"),
@@ -57,7 +63,7 @@ def log_rows(routed: DataFrame, created_at: Column) -> DataFrame:
     """Every answered ticket as a conversation-log row."""
     human = F.col("route") == "human"
     return routed.select(
-        row_id("ticket_id").alias("id"),
+        message_id(F.col("ticket_id"), created_at).alias("id"),
         F.col("ticket_id").cast("string").alias("ticket_id"),
         "query",
         F.coalesce("intent", F.lit(K.OTHER_INTENT)).alias("intent"),
@@ -90,13 +96,16 @@ def urgency_rank(urgency: Column) -> Column:
     return rank.otherwise(K.URGENCY_RANK_ELSE)
 
 
+def with_position(df: DataFrame, *order: Column) -> DataFrame:
+    """``queue_position`` (from 1) in the given order, without sorting in one task."""
+    return ordinal(df, *order).withColumn("queue_position", F.col("position") + 1).drop("position")
+
+
 def pending(queue: DataFrame) -> DataFrame:
-    """Open tickets, most urgent first, then oldest; a range sort, no single-task window."""
-    return (
-        queue.where(F.col("status") == "pending")
-        .withColumn("urgency_rank", urgency_rank(F.col("urgency")).cast("bigint"))
-        .orderBy("urgency_rank", "created_at", "id")
-    )
+    """Open tickets, most urgent first, then oldest, with their queue_position."""
+    ranked = queue.where(F.col("status") == "pending").withColumn(
+        "urgency_rank", urgency_rank(F.col("urgency")).cast("bigint"))
+    return with_position(ranked, F.col("urgency_rank"), F.col("created_at"), F.col("id")).orderBy("queue_position")
 
 
 def latest_event(events: DataFrame, key: str, value: str) -> DataFrame:
@@ -129,6 +138,11 @@ def newest_first(reviews: DataFrame) -> DataFrame:
     return reviews.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def review_positions(reviews: DataFrame) -> DataFrame:
+    """Reviews with their queue_position, newest first."""
+    return with_position(reviews, F.desc("created_at"), F.desc("id"))
+
+
 def apply_feedback(logs: DataFrame, events: DataFrame) -> DataFrame:
     """Conversation logs with the last feedback per row (id, feedback, event_ts, seq)."""
     last = latest_event(events, "id", "feedback").select("id", F.col("feedback").alias("__feedback"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -68,21 +70,23 @@ def boosted(raw: Column, source: Column, boost: float) -> Column:
     return F.least(F.lit(1.0), raw + extra)
 
 
-def finish_hits(pairs: DataFrame, index: DataFrame, cfg: TriageConfig) -> DataFrame:
+def finish_hits(pairs: DataFrame, index: DataFrame, cfg: TriageConfig, boost_before_cut: bool = False) -> DataFrame:
     """Cut by similarity, boost, round, rank again on the rounded score, fetch the case fields.
 
-    Both ranks use the same grouping, so they share one shuffle; the case texts join last,
-    onto at most k rows per query.
+    With ``boost_before_cut`` the k best are those of the boosted score. Both ranks use the
+    same grouping, so they share one shuffle; the case texts join last, onto at most k rows
+    per query.
     """
     raw = raw_similarity(F.col("similarity"))
     w = Window.partitionBy("query_id").orderBy(
         F.desc("similarity_score"), F.desc("similarity"), "case_key"
     )
     ranked = (
-        cut(pairs, cfg.top_k)
+        (pairs if boost_before_cut else cut(pairs, cfg.top_k))
         .withColumn("raw_similarity", F.round(raw, 4))
         .withColumn("similarity_score", F.round(boosted(raw, F.col("source"), cfg.human_boost), 4))
         .withColumn("hit_rank", F.row_number().over(w).cast("bigint"))
+        .where(F.col("hit_rank") <= cfg.top_k)
         .select("query_id", "hit_rank", "case_key", "source", "raw_similarity", "similarity_score")
     )
     fields = index.select("case_key", "case_id", F.col("document").alias("query"), "resolution", "intent", "product")
@@ -97,24 +101,49 @@ def _stored(queries: DataFrame) -> DataFrame:
     return materialise(queries.select("query_id", "intent", "vector"), "queries")
 
 
-def search(queries: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFrame:
+def search(
+    queries: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig(), boost_before_cut: bool = False
+) -> DataFrame:
     """Exact search. ``queries``: query_id, intent, vector. One row per query and hit."""
     wanted, offered, counts = scoped(_stored(queries), index)
+    if boost_before_cut:
+        # The boost is one value per kind of source, so the k best of each kind hold the k best.
+        kind = F.when(F.coalesce("source", F.lit(K.HUMAN)) == K.HUMAN, "/boosted").otherwise("/plain")
+        wanted = wanted.withColumn("scope", F.concat("scope", F.explode(F.array(F.lit("/boosted"), F.lit("/plain")))))
+        offered, counts = offered.withColumn("scope", F.concat("scope", kind)), None
     pairs = blocks.top_k_pairs(
         wanted, offered.select("case_key", F.col("embedding").alias("vector"), "scope", "source"),
         cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",), case_counts=counts,
     )
-    return finish_hits(pairs, index, cfg)
+    return finish_hits(pairs, index, cfg, boost_before_cut)
 
 
 # --- approximate search -------------------------------------------------------------
 
 
-def fit_cells(index: DataFrame, n_cells: int, seed: int = 42) -> np.ndarray:
-    """Unit centres of an inverted-file index; n_cells rows, kept on the driver."""
-    vectors = index.select(array_to_vector(vx.l2_normalise(F.col("embedding"))).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="features").fit(vectors)
-    centres = np.array(model.clusterCenters())
+#: Rows that cell centres are fitted on, and centres kept on the driver, at most.
+FIT_ROWS, MAX_CELLS = 200_000, 4096
+
+
+def fit_cells(index: DataFrame, n_cells: int | None = None, seed: int = 42) -> np.ndarray:
+    """Unit centres of an inverted-file index, kept on the driver.
+
+    By default as many as the square root of the rows, up to ``MAX_CELLS``. They are fitted on
+    about ``FIT_ROWS`` rows at most; every row is in a cell, whatever was fitted.
+    """
+    rows = index.count()
+    n_cells = n_cells or max(1, min(MAX_CELLS, math.isqrt(rows)))
+    unit = index.select(vx.l2_normalise(F.col("embedding").cast("array<double>")).alias("unit"))
+    if rows > FIT_ROWS:
+        unit = unit.sample(FIT_ROWS / rows, seed)
+    unit = materialise(unit.distinct(), "fit-rows")  # copies fit nothing
+    few = unit.limit(4 * n_cells + 1).collect()
+    if len(few) <= 4 * n_cells or n_cells == 1:  # hardly more vectors than cells: every n-th is a centre
+        few = sorted(r["unit"] for r in few)
+        centres = np.array(few[::max(1, -(-len(few) // n_cells))])
+    else:
+        features = unit.select(array_to_vector("unit").alias("features"))
+        centres = np.array(KMeans(k=n_cells, seed=seed, featuresCol="features").fit(features).clusterCenters())
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
 
@@ -167,14 +196,15 @@ def open_cells(vector: Column, floor: Column, centres: np.ndarray, radii: np.nda
 
 def search_cells(
     queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int = 4,
-    cfg: TriageConfig = TriageConfig(), exact: bool = False,
+    cfg: TriageConfig = TriageConfig(), exact: bool = True,
 ) -> DataFrame:
-    """Search by cells: a query meets the cases of its nearest cells only.
+    """Search by cells: a query meets the cases of its nearest cells first.
 
-    The scope is (intent, cell), so the work per query falls by cells / probes. Without
-    ``exact`` this is approximate; recall is measured by ``recall_at_k``. With ``exact``,
-    the k-th best similarity found so far bounds a second round over just those cells that
-    could still beat it: same hits as ``search``, less work where vectors form clusters.
+    The scope is (intent, cell), so the work per query falls by cells / probes. The k-th best
+    similarity found so far then bounds a second round over just those cells that could
+    still beat it: same hits as ``search``, less work where vectors form clusters. Without
+    ``exact`` there is no second round; ``probes_for`` finds the probes for a wanted recall,
+    and ``recall_at_k`` measures it.
     """
     wanted, offered, _ = scoped(_stored(queries), index)
     offered = offered.withColumn("vector", F.col("embedding")).withColumn(
@@ -192,11 +222,7 @@ def search_cells(
     pairs = meet_cells(wanted.withColumn("__cell", F.explode(probe(F.col("vector"), centres, probes))))
     if exact:
         pairs = materialise(pairs, "first-round")
-        reach = offered.groupBy("__cell").agg(
-            F.max(angle_to(F.col("vector"), F.col("__cell"), centres)).alias("r")).collect()
-        radii = np.full(len(centres), -np.inf)  # an empty cell is never opened
-        for row in reach:
-            radii[row["__cell"]] = row["r"]
+        radii = _radii(offered, "__cell", centres)
         found = pairs.groupBy("query_id").agg(
             F.when(F.count(F.lit(1)) >= cfg.top_k, F.min("similarity")).alias("floor"))
         floor = F.coalesce("floor", F.lit(-1.0))
@@ -206,6 +232,48 @@ def search_cells(
     return finish_hits(pairs, index, cfg)
 
 
+def probes_for(recall: float, hits: DataFrame, queries: DataFrame, index: DataFrame, centres: np.ndarray) -> int:
+    """Least number of probes that reaches ``recall``, from exact hits of some queries.
+
+    Each hit asks for as many probes as the rank of its case's cell among the query's cells;
+    the wanted share of hits is a quantile of those ranks.
+    """
+    homes = index.select("case_key", probe(F.col("embedding"), centres, 1)[0].alias("home"))
+    ranked = queries.select("query_id", probe(F.col("vector"), centres, len(centres)).alias("cells"))
+    ranks = hits.select("query_id", "case_key").join(homes, "case_key").join(ranked, "query_id").select(
+        F.array_position("cells", F.col("home")).alias("needed"))
+    counted = ranks.groupBy("needed").agg(F.count(F.lit(1)).alias("n")).orderBy("needed").collect()
+    wanted, seen = recall * sum(r["n"] for r in counted), 0
+    for row in counted:  # one row per cell at most
+        seen += row["n"]
+        if seen >= wanted:
+            return int(row["needed"])
+    return len(centres)
+
+
+def cone_scopes(
+    queries: DataFrame, cases: DataFrame, centres: np.ndarray, floor: float
+) -> tuple[DataFrame, DataFrame]:
+    """Scope both sides (with a vector) by cell, so that any two with a cosine of ``floor`` or more meet.
+
+    A case is in its nearest cell; a query is in every cell that the angle bound cannot rule
+    out. A high floor is a narrow cone, which few cells touch.
+    """
+    cases = materialise(cases.withColumn("scope", probe(F.col("vector"), centres, 1)[0]), "cone-cases")
+    radii = _radii(cases, "scope", centres)
+    cells = open_cells(F.col("vector"), F.lit(floor), centres, radii, 0)
+    return materialise(queries.withColumn("scope", F.explode(cells)), "cone-queries"), cases
+
+
+def _radii(cases: DataFrame, cell: str, centres: np.ndarray) -> np.ndarray:
+    """Largest angle between a cell's centre and a case in it; an empty cell is never opened."""
+    reach = cases.groupBy(cell).agg(F.max(angle_to(F.col("vector"), F.col(cell), centres)).alias("r")).collect()
+    radii = np.full(len(centres), -np.inf)
+    for row in reach:  # one row per cell at most
+        radii[row[cell]] = row["r"]
+    return radii
+
+
 def recall_at_k(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of exact hits that the approximate search found."""
     found = approximate.select("query_id", "case_key", F.lit(1).alias("found"))

@@ -20,19 +20,22 @@ STATE_COLUMNS = (
 
 def triage(
     tickets: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig(), *,
-    clean: bool = False, search=se.search,
+    clean: bool = False, search=se.search, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Tickets (ticket_id, query, classification columns, embedding) -> routed tickets.
 
-    Only id, intent and vector of the tickets that pass the gate reach the search; texts
-    stay behind and meet the hits again by ticket id.
+    Only a key, intent and vector of the tickets that pass the gate reach the search; texts
+    stay behind and meet the hits again by that key. It is made of the ticket id and what the
+    search reads, so several messages under one ticket id each keep their own hits and none
+    is multiplied. ``carry`` names further columns to hand through.
     """
     if clean:
         tickets = tickets.withColumn("query", tx.clean_ticket_text(F.col("query"), F.lit("")))
     valid, _ = hy.split_blank(tickets, "query", "Query cannot be empty.")
-    gated = rt.gate(valid, cfg)
+    message = F.concat_ws("/", F.col("ticket_id").cast("string"), F.hex(F.xxhash64("intent", "embedding")))
+    gated = rt.gate(valid, cfg).withColumn("__message", message)
     to_search = gated.where(~F.col("escalate_to_human")).select(
-        F.col("ticket_id").alias("query_id"), "intent", F.col("embedding").alias("vector"))
-    hits = rt.collect_hits(search(to_search, index, cfg)).withColumnRenamed("query_id", "ticket_id")
-    routed = rt.decide(gated.join(hits, "ticket_id", "left"), cfg)
-    return routed.withColumn("node_traces", rt.node_traces()).select(*STATE_COLUMNS)
+        F.col("__message").alias("query_id"), "intent", F.col("embedding").alias("vector")).dropDuplicates(["query_id"])
+    hits = rt.collect_hits(search(to_search, index, cfg)).withColumnRenamed("query_id", "__message")
+    routed = rt.decide(gated.join(hits, "__message", "left"), cfg)
+    return routed.withColumn("node_traces", rt.node_traces()).select(*STATE_COLUMNS, *carry)

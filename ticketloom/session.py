@@ -72,9 +72,3 @@ def materialise(df, name: str):
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df):
-    """Reliable checkpoint: survives the loss of an executor."""
-    scratch_dir(df.sparkSession, "checkpoint")
-    return df.checkpoint(eager=True)

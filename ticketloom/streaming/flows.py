@@ -42,8 +42,7 @@ def triage_to_tables(
     """Classified tickets with vectors -> human queue and conversation log."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        routed = triage(batch, index.current(), cfg).join(
-            batch.select("ticket_id", "created_at"), "ticket_id").persist()
+        routed = triage(batch, index.current(), cfg, carry=("created_at",)).persist()
         try:
             write_batch(qu.queue_rows(routed, F.col("created_at")), queue_path, batch_id)
             write_batch(qu.log_rows(routed, F.col("created_at")), log_path, batch_id)
@@ -98,19 +97,25 @@ def feedback_to_tables(
 
 
 def queue_depth(
-    queue: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str = "10 minutes"
+    queue: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str = "10 minutes",
+    by: str = "urgency",
 ) -> DataFrame:
     """New queue rows per time window and urgency; a window is final once the watermark
     has passed its end. Works on a stream and on a table."""
     return (
         queue.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", size, slide), "urgency")
+        .groupBy(F.window("created_at", size, slide), by)
         .agg(F.count(F.lit(1)).alias("row_count"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                "urgency", "row_count")
+                by, "row_count")
     )
 
 
+def review_counts(reviews: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """New developer reviews per time window and status."""
+    return queue_depth(reviews, size, slide, delay, by="status")
+
+
 def depth_to_table(depth: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Every change of a window is written, open windows too; ``read_depth`` has the last."""
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -122,9 +127,9 @@ def depth_to_table(depth: DataFrame, path: str, checkpoint: str, **trigger) -> S
     )
 
 
-def read_depth(spark: SparkSession, path: str) -> DataFrame:
+def read_depth(spark: SparkSession, path: str, by: str = "urgency") -> DataFrame:
     """Live depth: a window's count only grows, so its last value is its largest."""
-    keys = ("window_start", "window_end", "urgency")
+    keys = ("window_start", "window_end", by)
     return read_batches(spark, path).groupBy(*keys).agg(F.max("row_count").alias("row_count"))
 
 
