@@ -43,6 +43,13 @@ def test_failing_labeller_falls_back_per_batch(spark):
     assert calls.value == 4
 
 
+def test_merge_plan_joins_linked_centroids(spark):
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    df = spark.createDataFrame([(n, turn(0.3 * n)) for n in range(4)] + [(9, turn(3.0))], "cluster_id int, centroid array<double>")
+    got = {r["name"]: r["source_cluster_ids"] for r in cl.merge_plan(df, 0.9).collect()}
+    assert got == {"cluster_0": [0, 1, 2, 3], "cluster_9": [9]}
+
+
 def test_fold_labels_last_write_wins(spark):
     t = spark.createDataFrame([(1,), (2,)], "ticket_id bigint")
     res = spark.createDataFrame([(1, 1, "a", 0.1), (1, 2, "b", 0.2)], "ticket_id bigint, seq int, intent string, confidence double")

@@ -78,6 +78,26 @@ def test_triage_routes(flow):
     assert flow[6]["route"] == "agent" and len(flow[6]["retrieved_cases"]) == 2
 
 
+def test_messages_of_one_ticket_are_not_multiplied(spark):
+    index = spark.createDataFrame([
+        ("k1", "wifi broken", "c1", "wifi", "human_resolved", "reset router", "p", [1.0, 0.0]),
+        ("k2", "wifi slow", "c2", "wifi", "agent_generated_approved", "move closer", "p", [0.6, 0.8]),
+    ], "case_key string, document string, case_id string, intent string, source string, resolution string, "
+       "product string, embedding array<double>")
+    same = (7, "my wifi", "wifi", 0.9, "neutral", "low", "r", False)
+    tickets = spark.createDataFrame(
+        [(*same, [1.0, 0.0], 1), (*same, [1.0, 0.0], 2), (*same, [-0.6, -0.8], 3)],
+        "ticket_id bigint, query string, intent string, confidence double, sentiment string, urgency string, "
+        "urgency_reason string, is_high_risk boolean, embedding array<double>, at bigint",
+    ).withColumn("created_at", F.timestamp_seconds("at"))
+    out = triage(tickets, index, carry=("created_at",))
+    rows = sorted(out.collect(), key=lambda r: r["created_at"])
+    assert [r["retrieval_decision"] for r in rows] == ["FOUND", "FOUND", "NO_MATCH"]
+    assert [len(r["retrieved_cases"]) for r in rows] == [2, 2, 2]
+    logged = qu.log_rows(out, F.col("created_at"))
+    assert logged.select("id").distinct().count() == 3
+
+
 def test_triage_traces(flow):
     nodes = lambda i: [t["node"] for t in flow[i]["node_traces"]]
     assert nodes(4) == ["intent_classification", "human_in_loop_check", "escalate_to_human"]

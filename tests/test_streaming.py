@@ -73,6 +73,32 @@ def test_index_log_latest_batch_wins_and_compacts(spark):
     assert pick(log.compact(scratch_dir(spark, "base"))) == {"k0000": "v2", "k0001": "res 1"}
 
 
+def test_compacted_log_keeps_event_order(spark):
+    idx = make_index(spark, np.eye(DIM)[:2], ["a", "a"])
+    row = lambda text, seq: idx.where("case_key = 'k0000'").withColumns(
+        {"resolution": F.lit(text), "seq": F.lit(seq).cast("bigint")})
+    log = IndexLog(idx, scratch_dir(spark, "index-log"))
+    log.add(row("newer", 200), 0)
+    log.compact(scratch_dir(spark, "base"))
+    assert log.folded == 0
+    log.add(row("older", 100), 1)
+    pick = lambda: {r["case_key"]: r["resolution"] for r in log.current().collect()}
+    assert pick() == {"k0000": "newer", "k0001": "res 1"}
+    log.add(row("newest", 300), 2)
+    assert pick() == {"k0000": "newest", "k0001": "res 1"}
+
+
+def test_admission_in_a_scope_leaves_nothing(spark):
+    from ticketloom.session import scratch_scope
+    from ticketloom.sources.tables import path_exists
+
+    idx = make_index(spark, np.eye(DIM)[:2], ["a", "a"])
+    okay = feedback_rows(spark, np.eye(DIM)[2:5])
+    with scratch_scope(spark, "admit") as folder:
+        assert ix.add_approved(idx, okay).count() == 3
+    assert not path_exists(spark, folder)
+
+
 def test_scratch_scope_leaves_nothing(spark):
     from ticketloom.session import materialise, scratch_scope
     from ticketloom.sources.tables import path_exists

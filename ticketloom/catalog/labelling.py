@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ticketloom import constants as K
 from ticketloom.catalog import sql as S
@@ -69,7 +71,9 @@ SELECT c.*, CASE WHEN {_refund} THEN '{K.REFUND_INTENT}' WHEN {_cancel} THEN '{K
 FROM clustered c LEFT JOIN cluster_intents m USING (cluster_id)"""
 
 
-@register("c1_embed_text")
+@register("c1_embed_text", S.with_ctes(r"""
+SELECT ticket_id, 384::BIGINT AS dims, CASE WHEN regexp_matches(ticket_text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length
+FROM tickets"""))
 def c1_embed_text(spark, d):
     """Hashed tf-idf vectors of all tickets: size and length of each."""
     out = cl.embed_text(stored_tickets(spark, d).select("ticket_id", "ticket_text"), dims=384)
@@ -90,14 +94,19 @@ def c2_normalise(spark, d):
                        F.round(vx.norm(F.col("u")), 6).alias("length"))
 
 
-@register("c3_kmeans")
+@register("c3_kmeans", S.with_ctes("SELECT count(*) AS assigned, 10::BIGINT AS clusters, 0::BIGINT AS not_nearest FROM vectors"))
 def c3_kmeans(spark, d):
-    """Best of five seeds; cluster sizes."""
+    """Best of five seeds: rows assigned, clusters, and rows that another centre is nearer to."""
     features = materialise(
         cl.with_features(fx.ticket_vectors(spark, d)).select("ticket_id", "features"), "features")
     model = cl.fit_kmeans(features, 10)
-    out = cl.assign(features, model)
-    return out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    out = cl.assign(features.withColumn("v", vector_to_array("features")), model)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    far = F.transform(centres, lambda c: vx.euclidean(F.col("v"), c))
+    missed = F.get(far, F.col("cluster_id")) > F.array_min(far) + 1e-9
+    return out.agg(
+        F.count(F.lit(1)).alias("assigned"), F.count_distinct("cluster_id").alias("clusters"),
+        F.count_if(missed).alias("not_nearest"))
 
 
 @register("c3_fixed_centroids", S.with_ctes("SELECT ticket_id, cluster_id FROM clustered"))
@@ -127,9 +136,16 @@ def c4_silhouette_euclidean(spark, d):
     return out.select(F.round("silhouette", 5).alias("silhouette"))
 
 
-@register("c5_sweep_k")
+@register("c5_sweep_k", "SELECT unnest([12, 16, 20, 24]) AS k, true AS in_range, true AS one_best_and_highest FROM (SELECT count(*) FROM documents)")
 def c5_sweep_k(spark, d):
-    return cl.sweep_k(fx.ticket_vectors(spark, d))
+    """Four candidates; scores are silhouettes, and the first of the highest is the one best."""
+    out = cl.sweep_k(fx.ticket_vectors(spark, d))
+    everything = Window.partitionBy()
+    top = out.withColumn("top", F.max("silhouette").over(everything))
+    lead = top.withColumn("lead", F.min(F.when(F.col("silhouette") == F.col("top"), F.col("k"))).over(everything))
+    return lead.select(
+        "k", F.col("silhouette").between(-1.0, 1.0).alias("in_range"),
+        (F.col("is_best") == (F.col("k") == F.col("lead"))).alias("one_best_and_highest"))
 
 
 S.CTES["nearest_rows"] = """
@@ -190,6 +206,25 @@ def c9_merge_clusters(spark, d):
     return lb.intent_of_cluster(clustered(spark, d), fx.taxonomy(spark)).select("ticket_id", "intent")
 
 
+_CLOSE = 0.25
+S.CTES["centroid_links"] = f"""
+SELECT a.cluster_id AS a, b.cluster_id AS b FROM seed_centroids a JOIN seed_centroids b ON a.cluster_id <> b.cluster_id
+WHERE round(list_cosine_similarity(a.centroid, b.centroid), 12) >= {_CLOSE}"""
+S.CTES["centroid_reach"] = """
+SELECT cluster_id AS a, cluster_id AS b FROM seed_centroids
+UNION /* recursive step */
+SELECT r.a, l.b FROM centroid_reach r JOIN centroid_links l ON l.a = r.b"""
+
+
+@register("c9_auto_plan", S.with_ctes("""
+SELECT 'cluster_' || root AS name, string_agg(a, ',' ORDER BY a) AS clusters
+FROM (SELECT a, min(b) AS root FROM centroid_reach GROUP BY a) GROUP BY root"""))
+def c9_auto_plan(spark, d):
+    """A merge plan from the centroids alone: linked ones become one intent."""
+    plan = cl.merge_plan(centroids(spark, d), _CLOSE)
+    return plan.select("name", F.array_join("source_cluster_ids", ",").alias("clusters"))
+
+
 @register("c10_merge_issues", S.with_ctes("""
 SELECT DISTINCT cluster_id, 'not mapped' AS issue FROM clustered WHERE cluster_id NOT IN (SELECT cluster_id FROM cluster_intents)
 UNION ALL SELECT DISTINCT cluster_id::BIGINT, 'unknown cluster' FROM cluster_intents WHERE cluster_id NOT IN (SELECT cluster_id FROM clustered)
@@ -276,18 +311,14 @@ def l4_micro_batches(spark, d):
 
 @register("l5_batch_payloads", S.with_ctes("""
 SELECT batch_id, count(*) AS batch_rows,
+       (SELECT string_agg('- ' || name || ': ' || definition, chr(10) ORDER BY name) FROM taxonomy) AS tax_summary,
        to_json(list({'ticket_id': ticket_id, 'ticket_text': ticket_text} ORDER BY ticket_id))::VARCHAR AS payload
 FROM batched GROUP BY batch_id"""))
 def l5_batch_payloads(spark, d):
-    return lb.batch_payloads(lb.micro_batches(stored_tickets(spark, d), "ticket_id", CFG))
-
-
-@register("l5_taxonomy_lines", S.with_ctes("""
-SELECT (SELECT string_agg('- ' || name || ': ' || definition, chr(10) ORDER BY name) FROM taxonomy) AS tax_summary,
-       count(*) AS tickets FROM tickets"""))
-def l5_taxonomy_lines(spark, d):
-    total = clean_tickets(spark, d).agg(F.count(F.lit(1))).scalar()
-    return lb.taxonomy_lines(fx.taxonomy(spark)).select("tax_summary", total.alias("tickets"))
+    """What a labeller is handed per batch: the taxonomy lines and the tickets."""
+    lines = lb.taxonomy_lines(fx.taxonomy(spark)).scalar()
+    batches = lb.batch_payloads(lb.micro_batches(stored_tickets(spark, d), "ticket_id", CFG))
+    return batches.withColumn("tax_summary", lines)
 
 
 _OFFLINE = f"""

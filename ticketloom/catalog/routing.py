@@ -32,8 +32,8 @@ def triage_input(spark, d):
     return materialise(joined, "tickets")
 
 
-def routed(spark, d):
-    return triage(triage_input(spark, d), stored_index(spark, d), CFG)
+def routed(spark, d, carry=()):
+    return triage(triage_input(spark, d), stored_index(spark, d), CFG, carry=carry)
 
 
 _urgent = "lower(urgency) IN ('high', 'critical')"
@@ -158,17 +158,22 @@ def t16_triage(spark, d):
     return out.select(*[c.strip() for c in _T16.split(",")], "query", "n_hits")
 
 
-@register("t17_term_overlap", S.with_ctes(r"""
-SELECT ticket_id, len(common) AS n_common, coalesce(array_to_string(list_sort(common), ','), '') AS words FROM (
-  SELECT ticket_id, list_intersect(
-    list_filter(list_distinct(regexp_split_to_array(lower(ticket_text), '[^a-z0-9_]+')), lambda w: regexp_full_match(w, '[a-z]{4,}')),
-    list_filter(list_distinct(regexp_split_to_array(lower(ticket_text || ' ' || resolution), '[^a-z0-9_]+')), lambda w: regexp_full_match(w, '[a-z]{4,}'))) AS common
-  FROM (SELECT r.ticket_id, r.ticket_description AS ticket_text, coalesce(r.resolution, '') AS resolution FROM tickets_raw r))"""))
+def _words_sql(x: str) -> str:
+    return f"list_filter(list_distinct(regexp_split_to_array(lower({x}), '[^a-z0-9_]+')), lambda w: regexp_full_match(w, '[a-z]{{4,}}'))"
+
+
+@register("t17_term_overlap", S.with_ctes(f"""
+SELECT ticket_id, hit_rank, case_id, len(common) AS n_common, array_to_string(list_sort(common), ',') AS words FROM (
+  SELECT g.ticket_id, h.hit_rank, h.case_id,
+         list_intersect({_words_sql('g."query"')}, {_words_sql("h.document || ' ' || h.resolution")}) AS common
+  FROM gated g JOIN triage_hits h USING (ticket_id))"""))
 def t17_term_overlap(spark, d):
-    raw = fx.tickets_raw(spark, d)
-    common = rt.term_overlap(F.col("ticket_description"), F.col("ticket_description"), F.coalesce("resolution", F.lit("")))
-    return raw.select("ticket_id", common.alias("c")).select(
-        "ticket_id", F.size("c").cast("bigint").alias("n_common"), F.array_join(F.array_sort("c"), ",").alias("words"))
+    """Words that each searched ticket shares with each case it was given."""
+    hits = routed(spark, d).select("ticket_id", "query", F.posexplode("retrieved_cases").alias("at", "c"))
+    common = rt.term_overlap(F.col("query"), F.col("c.query"), F.col("c.resolution"))
+    return hits.select("ticket_id", (F.col("at") + 1).cast("bigint").alias("hit_rank"), "c.case_id", common.alias("w")).select(
+        "ticket_id", "hit_rank", "case_id", F.size("w").cast("bigint").alias("n_common"),
+        F.array_join(F.array_sort("w"), ",").alias("words"))
 
 
 # --- queue state -----------------------------------------------------------------------
@@ -178,34 +183,35 @@ def rid(*parts: str) -> str:
     return "substr(md5(" + " || '/' || ".join(f"{p}::VARCHAR" for p in parts) + "), 1, 16)"
 
 
-def with_time(df, source):
-    return df.join(source.select("ticket_id", "created_at"), "ticket_id")
+MESSAGE = "substr(md5({}::VARCHAR || '/' || strftime({}, '%Y%m%d%H%M%S%f')), 1, 16)"
 
 
 def queue(spark, d):
-    given = triage_input(spark, d)
-    out = triage(given, stored_index(spark, d), CFG)
-    return qu.queue_rows(with_time(out, given), F.col("created_at"))
+    return qu.queue_rows(routed(spark, d, ("created_at",)), F.col("created_at"))
+
+
+def turns_of(spark, d, role):
+    """Turns with the message id of the ticket that has the conversation's number."""
+    turns = fx.table(spark, d, "conversations").where(F.col("role") == role)
+    t = fx.table(spark, d, "events").select(F.col("event_id").alias("conv_id"), "ts")
+    return turns.join(t, "conv_id").withColumn("id", qu.message_id(F.col("conv_id"), F.col("ts")))
 
 
 def queue_events(spark, d):
     """Answers of human agents: the assistant turns of the conversation with the same number."""
-    turns = fx.table(spark, d, "conversations").where("role = 'assistant'")
-    t = fx.table(spark, d, "events").select(F.col("event_id").alias("conv_id"), "ts")
-    return turns.join(t, "conv_id").select(
-        F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 16).alias("id"),
-        F.col("text").alias("human_response"),
+    return turns_of(spark, d, "assistant").select(
+        "id", F.col("text").alias("human_response"),
         (F.col("ts") + F.make_dt_interval(mins=F.col("turn"))).alias("event_ts"),
         F.col("turn").alias("seq"))
 
 
 S.CTES["queue"] = f"""
-SELECT {rid('ticket_id')} AS id, ticket_id::VARCHAR AS ticket_id, "query" AS customer_query, intent, urgency, confidence,
+SELECT {MESSAGE.format('ticket_id', 'created_at')} AS id, ticket_id::VARCHAR AS ticket_id, "query" AS customer_query, intent, urgency, confidence,
        sentiment, urgency_reason, queue_reason AS escalation_reason, coalesce(to_json(cases_list)::VARCHAR, '[]') AS retrieved_cases_json,
        'pending' AS status, NULL::VARCHAR AS human_response, created_at, NULL::TIMESTAMP AS resolved_at
 FROM routed WHERE route = 'human'"""
 S.CTES["queue_events"] = f"""
-SELECT {rid('conv_id')} AS id, text AS human_response, e.ts + to_minutes(turn) AS event_ts, turn AS seq
+SELECT {MESSAGE.format('conv_id', 'e.ts')} AS id, text AS human_response, e.ts + to_minutes(turn) AS event_ts, turn AS seq
 FROM conversations c JOIN events e ON e.event_id = c.conv_id WHERE role = 'assistant'"""
 S.CTES["last_answers"] = """
 SELECT id, arg_max(human_response, (event_ts, seq)) AS answer, max(event_ts) AS answered_at FROM queue_events GROUP BY id"""
@@ -231,9 +237,11 @@ _RANK = "CASE urgency WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' TH
 
 
 @register("q1_pending", S.with_ctes(
-    f"SELECT id, ticket_id, urgency, created_at, {_RANK} AS urgency_rank FROM queue_now WHERE status = 'pending'"))
+    f"SELECT id, ticket_id, urgency, created_at, {_RANK} AS urgency_rank, "
+    f"row_number() OVER (ORDER BY {_RANK}, created_at, id) AS queue_position FROM queue_now WHERE status = 'pending'"))
 def q1_pending(spark, d):
-    return qu.pending(queue_now(spark, d)).select("id", "ticket_id", "urgency", "created_at", "urgency_rank")
+    return qu.pending(queue_now(spark, d)).select(
+        "id", "ticket_id", "urgency", "created_at", "urgency_rank", "queue_position")
 
 
 @register("q2_decode_cases", S.with_ctes("""
@@ -272,9 +280,7 @@ _REVIEW = 'id, ticket_id, "query", intent, urgency, confidence, draft_reply, cus
 
 
 def feedback(spark, d):
-    given = triage_input(spark, d)
-    out = triage(given, stored_index(spark, d), CFG)
-    out = out.join(given.select("ticket_id", "created_at", "embedding"), "ticket_id")
+    out = routed(spark, d, ("created_at", "embedding"))
     marks = fx.table(spark, d, "labels").select(
         F.col("doc_id").alias("ticket_id"), (F.col("quality") == 1).alias("feedback_is_okay"),
         F.when(F.col("toxic") == 1, "rude answer").otherwise("").alias("feedback_notes"))
@@ -292,13 +298,12 @@ def s9_review_rows(spark, d):
 
 
 S.CTES["logs"] = f"""
-SELECT {rid('ticket_id')} AS id, ticket_id::VARCHAR AS ticket_id, "query", intent, urgency, confidence, route, reply,
+SELECT {MESSAGE.format('ticket_id', 'created_at')} AS id, ticket_id::VARCHAR AS ticket_id, "query", intent, urgency, confidence, route, reply,
        grounding_case_ids, 'pending' AS feedback, created_at FROM routed"""
 
 
 def logs(spark, d):
-    given = triage_input(spark, d)
-    return qu.log_rows(with_time(triage(given, stored_index(spark, d), CFG), given), F.col("created_at"))
+    return qu.log_rows(routed(spark, d, ("created_at",)), F.col("created_at"))
 
 
 @register("s10_q12_log_rows", S.with_ctes(
@@ -309,18 +314,19 @@ def s10_q12_log_rows(spark, d):
     return back.withColumn("n_grounding", F.size(qu.text_to_ids(F.col("grounding_case_ids"))).cast("bigint"))
 
 
-@register("q5_newest_reviews", S.with_ctes("SELECT id, ticket_id, created_at FROM reviews"))
+@register("q5_newest_reviews", S.with_ctes(
+    "SELECT id, ticket_id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS queue_position FROM reviews"))
 def q5_newest_reviews(spark, d):
-    return qu.newest_first(reviews(spark, d)).select("id", "ticket_id", "created_at")
+    return qu.review_positions(reviews(spark, d)).select("id", "ticket_id", "created_at", "queue_position")
 
 
 @register("q6_log_feedback", S.with_ctes(f"""
 SELECT l.ticket_id, coalesce(m.feedback, l.feedback) AS feedback FROM logs l LEFT JOIN (
-  SELECT {rid('conv_id')} AS id, arg_max(text, turn) AS feedback FROM conversations WHERE role = 'user' GROUP BY conv_id) m USING (id)"""))
+  SELECT {MESSAGE.format('conv_id', 'ts')} AS id, arg_max(text, turn) AS feedback
+  FROM conversations JOIN events ON event_id = conv_id WHERE role = 'user' GROUP BY conv_id, ts) m USING (id)"""))
 def q6_log_feedback(spark, d):
-    turns = fx.table(spark, d, "conversations").where("role = 'user'").select(
-        F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 16).alias("id"),
-        F.col("text").alias("feedback"), F.lit(0).alias("event_ts"), F.col("turn").alias("seq"))
+    turns = turns_of(spark, d, "user").select(
+        "id", F.col("text").alias("feedback"), F.lit(0).alias("event_ts"), F.col("turn").alias("seq"))
     return qu.apply_feedback(logs(spark, d), turns).select("ticket_id", "feedback")
 
 
@@ -340,12 +346,36 @@ def q8_recent_rejected(spark, d):
     return qu.recent_rejected(reviews(spark, d))
 
 
-@register("q9_feedback_routing", S.with_ctes("""
-SELECT ticket_id, CASE WHEN feedback_is_okay THEN 'approved' ELSE 'escalated_to_developer' END AS status FROM feedback"""))
+S.CTES["okay_queries"] = """
+SELECT 'agent_approved_' || substr(md5("query"), 1, 10) AS case_key, seq, embedding FROM feedback WHERE feedback_is_okay"""
+S.CTES["okay_line"] = """
+SELECT *, row_number() OVER (ORDER BY seq) AS n FROM (
+  SELECT * FROM okay_queries QUALIFY row_number() OVER (PARTITION BY case_key ORDER BY seq) = 1) q
+WHERE NOT EXISTS (SELECT 1 FROM precedents p
+  WHERE round(list_cosine_similarity(q.embedding, p.embedding::DOUBLE[]), 4) > 0.96)"""
+S.CTES["okay_near"] = """
+SELECT q.n, p.n AS m FROM okay_line q JOIN okay_line p ON p.n < q.n
+WHERE round(list_cosine_similarity(q.embedding, p.embedding), 4) > 0.96"""
+S.CTES["okay_steps"] = """
+SELECT 0::BIGINT AS n, []::BIGINT[] AS kept
+UNION ALL /* recursive step */
+SELECT f.n, CASE WHEN EXISTS (SELECT 1 FROM okay_near c WHERE c.n = f.n AND list_contains(a.kept, c.m))
+                 THEN a.kept ELSE list_append(a.kept, f.n) END
+FROM okay_steps a JOIN okay_line f ON f.n = a.n + 1"""
+S.CTES["feedback_sinks"] = """
+SELECT case_key AS id, 'index' AS sink FROM okay_line
+WHERE n IN (SELECT unnest(kept) FROM (SELECT kept FROM okay_steps ORDER BY n DESC LIMIT 1))
+UNION ALL SELECT id, 'review' FROM reviews"""
+
+
+@register("q9_feedback_routing", S.with_ctes("SELECT id, sink FROM feedback_sinks"))
 def q9_feedback_routing(spark, d):
-    okay, rejected = qu.split_feedback(feedback(spark, d))
-    return okay.select("ticket_id", F.lit("approved").alias("status")).unionByName(
-        rejected.select("ticket_id", F.lit("escalated_to_developer").alias("status")))
+    """Approved replies pass the gate into the index, rejected ones go to review; both tables read back."""
+    okay, rejected = qu.split_feedback(materialise(feedback(spark, d), "feedback"))
+    cases = tb.write_table(ix.add_approved(stored_index(spark, d), okay, CFG), scratch_dir(spark, "approved"))
+    review = tb.write_table(qu.review_rows(rejected, F.col("created_at")), scratch_dir(spark, "reviews"), mode="append")
+    return tb.read_table(spark, cases).select(F.col("case_key").alias("id"), F.lit("index").alias("sink")).unionByName(
+        tb.read_table(spark, review).select("id", F.lit("review").alias("sink")))
 
 
 S.CTES["answered"] = f"""

@@ -9,7 +9,7 @@ from ticketloom.catalog import sql as S
 from ticketloom.catalog.labelling import rule_sql
 from ticketloom.catalog.registry import Family
 from ticketloom.catalog.retrieval import index
-from ticketloom.catalog.routing import queue, queue_events, triage_input
+from ticketloom.catalog.routing import feedback, queue, queue_events, reviews, triage_input
 from ticketloom.config import TriageConfig
 from ticketloom.session import materialise, scratch_dir
 from ticketloom.sources import fixtures as fx
@@ -28,6 +28,17 @@ def as_stream(spark, df, name, files=None, max_files=None):
     return flows.read_stream(spark, path, df.schema, max_files)
 
 
+def in_parts(spark, df, name, order, parts=3):
+    """A stream that delivers ``df`` in that many batches, in the given (numeric) order."""
+    stored = materialise(df.withColumn("__order", order.cast("double")), f"{name}-all")
+    cuts = [float("-inf"), *stored.approxQuantile("__order", [i / parts for i in range(1, parts)], 0.001), float("inf")]
+    path = scratch_dir(spark, name)
+    for low, high in zip(cuts, cuts[1:]):
+        part = stored.where((F.col("__order") > low) & (F.col("__order") <= high)).drop("__order")
+        part.coalesce(1).write.mode("append").parquet(path)  # one file is one batch below
+    return flows.read_stream(spark, path, df.schema, max_files=1)
+
+
 S.CTES["streamed"] = f"""
 SELECT *, is_high_risk OR urgency IN ('high', 'critical') OR sentiment = 'strongly_negative' OR confidence < 0.6 AS escalate_to_human
 FROM (SELECT ticket_id, {rule_sql('ticket_text')} FROM tickets_all WHERE length(ticket_text) > 0)"""
@@ -62,18 +73,48 @@ def w2_stream_triage(spark, d):
 SELECT case_key, case_id, intent, source, resolution FROM precedents
 UNION ALL SELECT ticket_id || '_' || substr(md5(document), 1, 8), ticket_id, intent, '{K.HUMAN}', resolution FROM answered"""))
 def w3_stream_resolutions(spark, d):
-    """Every answer is delivered twice."""
+    """Answers come in three batches, the latest first, and every one is delivered twice."""
     vectors = fx.ticket_vectors(spark, d).select(F.col("ticket_id").cast("string").alias("ticket_id"), "embedding")
     q = materialise(queue(spark, d).join(vectors, "ticket_id"), "queue")
     events = queue_events(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    stream = as_stream(spark, events.unionByName(events), "answers", 2)
+    stream = in_parts(spark, events.unionByName(events), "answers", -F.unix_micros("event_ts"))
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(base, scratch_dir(spark, "index-log"))
-    flows.resolutions_to_index(stream, lambda: q, log, scratch_dir(spark, "answers-state")).awaitTermination()
+    # The watermark must not close before the oldest answer has come.
+    flows.resolutions_to_index(
+        stream, lambda: q, log, scratch_dir(spark, "answers-state"), delay="36500 days").awaitTermination()
     return log.current().select("case_key", "case_id", "intent", "source", "resolution")
 
 
+@register("w3_stream_feedback", S.with_ctes("SELECT id, sink FROM feedback_sinks"))
+def w3_stream_feedback(spark, d):
+    """Feedback in three batches, each delivered twice: cases that join the index, and reviews."""
+    given = feedback(spark, d).withColumn("event_ts", F.timestamp_seconds(F.col("seq")))
+    stream = in_parts(spark, given.unionByName(given), "feedback", F.col("seq"))
+    base = index(spark, d).withColumns({
+        "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
+    log = IndexLog(materialise(base, "index"), scratch_dir(spark, "index-log"))
+    path = scratch_dir(spark, "reviews")
+    flows.feedback_to_tables(stream, log, path, scratch_dir(spark, "feedback-state"), "36500 days", CFG).awaitTermination()
+    added = log.current().where(F.col("case_key").startswith("agent_approved_"))
+    return added.select(F.col("case_key").alias("id"), F.lit("index").alias("sink")).unionByName(
+        read_batches(spark, path).select("id", F.lit("review").alias("sink")))
+
+
+@register("w4_review_counts", S.with_ctes("""
+SELECT time_bucket(INTERVAL 10 MINUTES, created_at) AS window_start,
+       time_bucket(INTERVAL 10 MINUTES, created_at) + INTERVAL 10 MINUTES AS window_end, status, count(*) AS row_count
+FROM reviews GROUP BY ALL"""))
+def w4_review_counts(spark, d):
+    rows = reviews(spark, d).select(F.col("created_at").cast("timestamp").alias("created_at"), "status")
+    path = scratch_dir(spark, "review-counts")
+    counts = flows.review_counts(as_stream(spark, rows, "review-stream"))
+    flows.depth_to_table(counts, path, scratch_dir(spark, "review-counts-state")).awaitTermination()
+    out = flows.read_depth(spark, path, by="status")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
 def _depth(spark, d, slide, name):
     """Depth of the queue of all raw tickets, by their rule-based urgency."""
     t = fx.tickets_raw(spark, d).select(

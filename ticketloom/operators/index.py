@@ -123,31 +123,40 @@ def near_bound(cfg: TriageConfig) -> float:
     return cfg.near_duplicate + 0.5e-4
 
 
-def near_rows(queries: DataFrame, cases: DataFrame, centres: np.ndarray, cfg: TriageConfig) -> DataFrame:
-    """case_key of the rows (case_key, embedding, seq) with a near-duplicate of lower seq in ``cases``.
-
-    The bound is a narrow cone, so rows meet only the cells that the cone touches.
-    """
-    bound = near_bound(cfg)
-    left, right = search.cone_scopes(
-        queries.select(F.col("case_key").alias("query_id"), F.col("embedding").alias("vector"), "seq"),
-        cases.select("case_key", F.col("embedding").alias("vector"), "seq"), centres, bound - 1e-9)
-    found = blocks.any_above(left, right, bound, cfg.block_rows, cfg.query_rows)
+def _near(queries: DataFrame, cases: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """case_key of the queries with a near-duplicate of lower seq; a query opens its ``cells``, a case is at ``home``."""
+    found = blocks.any_above(
+        queries.select(F.col("case_key").alias("query_id"), F.col("embedding").alias("vector"), "seq",
+                       F.explode("cells").alias("scope")),
+        cases.select("case_key", F.col("embedding").alias("vector"), "seq", F.col("home").alias("scope")),
+        near_bound(cfg), cfg.block_rows, cfg.query_rows)
     return found.select(F.col("query_id").alias("case_key"))
 
 
+def _homes(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    vector = F.col("embedding")
+    return materialise(rows.withColumns({"vector": vector, "home": search.home_cell(vector, centres)}), "homes")
+
+
+def _cells(cases: DataFrame, centres: np.ndarray, cfg: TriageConfig) -> Column:
+    return search.cone_cells(F.col("embedding"), cases, "home", centres, near_bound(cfg) - 1e-9)
+
+
 def not_near_index(
     rows: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig(), centres: np.ndarray | None = None
 ) -> DataFrame:
-    """Rows whose best raw similarity in the index is at most the near-duplicate bound."""
+    """Rows whose best raw similarity in the index is at most the near-duplicate bound.
+
+    The bound is a narrow cone, so a row meets only the cells that its cone touches.
+    """
     rows = materialise(rows, "rows")
     if index.isEmpty():
         return rows
     centres = search.fit_cells(index) if centres is None else centres
-    close = near_rows(
-        rows.withColumn("seq", F.lit(1).cast("bigint")),
-        index.withColumn("seq", F.lit(0).cast("bigint")), centres, cfg)  # all of it is earlier
-    return rows.join(close, "case_key", "left_anti")
+    # All of the index is earlier.
+    cases = _homes(index.select("case_key", "embedding", F.lit(0).cast("bigint").alias("seq")), centres)
+    asking = rows.select("case_key", "embedding", F.lit(1).cast("bigint").alias("seq"), _cells(cases, centres, cfg).alias("cells"))
+    return rows.join(_near(materialise(asking, "asking"), cases, cfg), "case_key", "left_anti")
 
 
 def first_of_equals(rows: DataFrame) -> DataFrame:
@@ -169,19 +178,23 @@ def admit_in_order(
     near a kept row goes; the rest waits for the next round. Rounds needed = the longest
     chain of rows each near the one before, one or two in practice.
     """
-    undecided = materialise(rows, "round")
+    rows = materialise(rows, "rows")
+    if rows.isEmpty():
+        return rows
+    # Cells are settled once, over all rows; the rounds below only thin the rows out.
+    centres = search.fit_cells(rows) if centres is None else centres
+    homes = _homes(rows, centres)
+    undecided = materialise(homes.withColumn("cells", _cells(homes, centres, cfg)), "round")
     kept = undecided.limit(0)
-    if centres is None and not undecided.isEmpty():
-        centres = search.fit_cells(undecided)
     while not undecided.isEmpty():
-        waiting = materialise(
-            undecided.join(near_rows(undecided, undecided, centres, cfg), "case_key", "left_semi"), "round")
+        waiting = materialise(undecided.join(_near(undecided, undecided, cfg), "case_key", "left_semi"), "round")
         winners = undecided.join(waiting.select("case_key"), "case_key", "left_anti")
         winners = materialise(winners, "round")
         kept = kept.unionByName(winners)
-        losers = near_rows(waiting, winners, centres, cfg)
-        undecided = materialise(waiting.join(losers, "case_key", "left_anti"), "round")
-    return kept
+        if waiting.isEmpty():
+            break
+        undecided = materialise(waiting.join(_near(waiting, winners, cfg), "case_key", "left_anti"), "round")
+    return kept.select(*rows.columns)
 
 
 def add_approved(index: DataFrame, approvals: DataFrame, cfg: TriageConfig = TriageConfig(),

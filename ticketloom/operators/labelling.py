@@ -69,7 +69,8 @@ def ordinal(df: DataFrame, *order: Column | str, rows_per_task: int = 100_000) -
     Rows are dealt by ranges of the order, as many as the row count asks for, sorted and
     numbered inside a range, and shifted by the rows of the ranges before; only one count per
     range goes through one task. The numbered rows are stored, so a task that runs again
-    places its rows alike. ``order`` should end in a unique key.
+    places its rows alike. ``order`` should end in a unique key. Reads its input three times
+    (count, range bounds, rows): give it a stored table.
     """
     ranges = max(1, -(-df.count() // rows_per_task))
     dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -180,7 +181,7 @@ def encode_by_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
 
 
 def _with_codes(df: DataFrame, labels: DataFrame, column: str, *order: Column) -> DataFrame:
-    codes = ordinal(labels, *order).select(column, F.col("position").cast("bigint").alias("code"))
+    codes = ordinal(materialise(labels, "labels"), *order).select(column, F.col("position").cast("bigint").alias("code"))
     return df.join(codes, column)
 
 

@@ -10,6 +10,7 @@ from ticketloom.functions import text as tx
 from ticketloom.operators import index as ix
 from ticketloom.operators.labelling import ordinal
 from ticketloom.operators.routing import HIT_TYPE
+from ticketloom.session import materialise
 
 
 def row_id(*parts: Column) -> Column:
@@ -98,7 +99,7 @@ def urgency_rank(urgency: Column) -> Column:
 
 def with_position(df: DataFrame, *order: Column) -> DataFrame:
     """``queue_position`` (from 1) in the given order, without sorting in one task."""
-    return ordinal(df, *order).withColumn("queue_position", F.col("position") + 1).drop("position")
+    return ordinal(materialise(df, "unnumbered"), *order).withColumn("queue_position", F.col("position") + 1).drop("position")
 
 
 def pending(queue: DataFrame) -> DataFrame:

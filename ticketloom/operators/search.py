@@ -109,7 +109,8 @@ def search(
     if boost_before_cut:
         # The boost is one value per kind of source, so the k best of each kind hold the k best.
         kind = F.when(F.coalesce("source", F.lit(K.HUMAN)) == K.HUMAN, "/boosted").otherwise("/plain")
-        wanted = wanted.withColumn("scope", F.concat("scope", F.explode(F.array(F.lit("/boosted"), F.lit("/plain")))))
+        both = F.array(*[F.concat("scope", F.lit(k)) for k in ("/boosted", "/plain")])
+        wanted = wanted.withColumn("scope", F.explode(both))
         offered, counts = offered.withColumn("scope", F.concat("scope", kind)), None
     pairs = blocks.top_k_pairs(
         wanted, offered.select("case_key", F.col("embedding").alias("vector"), "scope", "source"),
@@ -251,18 +252,17 @@ def probes_for(recall: float, hits: DataFrame, queries: DataFrame, index: DataFr
     return len(centres)
 
 
-def cone_scopes(
-    queries: DataFrame, cases: DataFrame, centres: np.ndarray, floor: float
-) -> tuple[DataFrame, DataFrame]:
-    """Scope both sides (with a vector) by cell, so that any two with a cosine of ``floor`` or more meet.
+def home_cell(vector: Column, centres: np.ndarray) -> Column:
+    """The nearest cell of a vector."""
+    return probe(vector, centres, 1)[0]
 
-    A case is in its nearest cell; a query is in every cell that the angle bound cannot rule
-    out. A high floor is a narrow cone, which few cells touch.
+
+def cone_cells(vector: Column, cases: DataFrame, cell: str, centres: np.ndarray, floor: float) -> Column:
+    """Cells of ``cases`` (vector, cell) that may hold one with a cosine of ``floor`` or more.
+
+    A high floor is a narrow cone, which few cells touch; the angle bound rules out the rest.
     """
-    cases = materialise(cases.withColumn("scope", probe(F.col("vector"), centres, 1)[0]), "cone-cases")
-    radii = _radii(cases, "scope", centres)
-    cells = open_cells(F.col("vector"), F.lit(floor), centres, radii, 0)
-    return materialise(queries.withColumn("scope", F.explode(cells)), "cone-queries"), cases
+    return open_cells(vector, F.lit(floor), centres, _radii(cases, cell, centres), 0)
 
 
 def _radii(cases: DataFrame, cell: str, centres: np.ndarray) -> np.ndarray:
