@@ -189,6 +189,25 @@ def test_line_chunks_keep_the_first_and_resist_shifts(spark, odd, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_runs_go_whole_whatever_stands_around_them(spark):
+    rows, want, n = [], {}, 0
+    for length in range(2, 6):
+        for copy in range(8):
+            passage = [f"passage {length} {copy} line {j}" for j in range(length)]
+            rows.append((n, "\n".join([f"head {n}", *passage, f"tail {n}"])))
+            before, after = [f"before {n} {j}" for j in range(copy % 3)], [f"after {n} {j}" for j in range(copy % 2)]
+            rows.append((n + 1, "\n".join([*before, *passage, *after])))
+            want[n], want[n + 1] = rows[-2][1], "\n".join([*before, *after])
+            n += 2
+    rows += [(n, "a single line\nown a"), (n + 1, "own b\na single line"), (n + 2, "again\nagain\nagain"),
+             (n + 3, "p\n\nq\nown c"), (n + 4, "own d\np\n\nq"), (n + 5, "own e\np\nq"),
+             (n + 6, "\n".join(["x", "y"] * 3))]
+    want |= {i: text for i, text in rows[-7:]} | {n + 4: "own d", n + 6: "x\ny"}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert [(r["line"], r["n_lines"]) for r in got[n + 4]["removed"]] == [(1, 3)] and got[n + 4]["n_removed"] == 3
+
+
 # --- SimHash
 
 def brute_print(text):

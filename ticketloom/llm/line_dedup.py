@@ -1,10 +1,10 @@
-"""Repeated multi-line passages, found by content-defined chunks of lines.
+"""Repeated multi-line passages, found by all runs of neighbouring lines.
 
-A line's hash and those of the lines before it form a rolling hash; where it falls on a
-boundary value a chunk ends. Boundaries depend on nearby lines alone, so lines put in at the
-top of a text do not shift the chunks below. Chunks of two lines and more whose digest
-occurs again are brought together with their bytes, and those equal to the earliest one are
-taken out.
+Every ``min_lines`` lines in a row are a chunk, digested from their own bytes alone, so lines
+put in at the top of a text change no chunk below. Chunks whose digest occurs again are
+brought together with their bytes, and the lines of those equal to the earliest one are
+taken out. A repeated passage of any length is covered by its chunks, from its first line to
+its last; with fewer chunks (boundaries drawn by a hash) short passages would hold none.
 
 Digests move first (16 bytes a chunk); bytes only for chunks whose digest repeats. The first
 count is a grouped sum with partial sums, so a chunk that a third of all texts share is one
@@ -14,104 +14,117 @@ other side where it is skewed. Columns and joins only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.common import join_keys, keyed, materialise, read, same_key
 
-WINDOW_LINES = 2
-DIVISOR = 4
 MIN_LINES = 2
 
 
-def chunk_starts(hashes: Column, window: int = WINDOW_LINES, divisor: int = DIVISOR) -> Column:
-    """Numbers of the lines that start a chunk, from the hashes of all lines.
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, not once for each element below."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Line i starts one when i is 0 or when the rolling hash over the ``window`` lines up to
-    i - 1 is divisible by ``divisor``; the hash sum is weighted by the place in the window.
-    """
-    def rolling(i: Column) -> Column:
-        parts = [
-            F.coalesce(F.get(hashes, i - 1 - k), F.lit(0).cast("long")) for k in range(window)
-        ]
-        return F.xxhash64(*parts)
-
-    return F.filter(
-        F.sequence(F.lit(0), F.size(hashes) - 1),
-        lambda i: (i == 0) | (F.pmod(rolling(i), F.lit(divisor)) == 0),
-    )
 
+def _lines() -> Column:
+    return F.split("text", "\n")
 
-def line_chunks(docs: DataFrame, window: int, divisor: int, min_lines: int) -> DataFrame:
-    """id, hash, chunk (first line), n_lines, digest of all chunks of ``min_lines`` lines or more."""
-    hashed = docs.filter(F.col("text").isNotNull()).select(
-        "id", "hash", F.split("text", "\n").alias("lines")
-    ).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    hashed = hashed.withColumn("starts", chunk_starts(F.col("hashes"), window, divisor))
-    chunks = F.transform("starts", lambda s, n: F.struct(
-        s.alias("chunk"), (F.coalesce(F.get("starts", n + 1), F.size("lines")) - s).alias("n_lines"),
-    ))
-    opened = hashed.select(
-        "id", "hash", "lines", F.explode(F.filter(chunks, lambda c: c["n_lines"] >= min_lines)).alias("c")
-    )
-    bodies = opened.select(
-        "id", "hash", "c.chunk", "c.n_lines", _body(F.col("lines"), F.col("c")).alias("body")
-    )
-    # A chunk of blank lines is layout, not a passage.
-    return bodies.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select(
-        "id", "hash", "chunk", "n_lines", F.unhex(F.md5(F.col("body").cast("binary"))).alias("digest")
-    )
 
+def _body(lines: Column, chunk: Column, n_lines: Column) -> Column:
+    return F.array_join(F.slice(lines, chunk + 1, n_lines), "\n")
 
-def _body(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["chunk"] + 1, chunk["n_lines"]), "\n")
+
+def line_chunks(docs: DataFrame, min_lines: int) -> DataFrame:
+    """id, hash, chunk (first line), n_lines, digest of every ``min_lines`` lines in a row.
+
+    Blank lines are layout: they do not count, but those between the lines of a chunk are
+    part of it.
+    """
+    def chunks(lines: Column) -> Column:
+        filled = F.filter(
+            F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]")
+        )
+        return _with(filled, lambda at: F.transform(
+            F.slice(at, 1, F.greatest(F.size(at) - (min_lines - 1), F.lit(0))),
+            lambda start, k: chunk(lines, start, F.get(at, k + (min_lines - 1)) - start + 1),
+        ))
+
+    def chunk(lines: Column, start: Column, n_lines: Column) -> Column:
+        digest = F.unhex(F.md5(_body(lines, start, n_lines).cast("binary")))
+        return F.struct(start.alias("chunk"), n_lines.alias("n_lines"), digest.alias("digest"))
+
+    opened = docs.filter(F.col("text").isNotNull()).select("id", "hash", F.explode(_with(_lines(), chunks)).alias("c"))
+    return opened.select("id", "hash", "c.*")
+
+
+def _numbers(runs: Column) -> Column:
+    """Numbers of the lines in an array of (line, n_lines)."""
+    return F.flatten(F.transform(runs, lambda r: F.sequence(r["line"], r["line"] + r["n_lines"] - 1)))
+
+
+def _joined(runs: Column) -> Column:
+    """Overlapping and touching (line, n_lines) as longest runs, in order."""
+    return _with(_numbers(runs), lambda at: F.zip_with(
+        F.sort_array(F.array_except(at, F.transform(at, lambda i: i + 1))),
+        F.sort_array(F.array_except(at, F.transform(at, lambda i: i - 1))),
+        lambda first, last: F.struct(first.alias("line"), (last - first + 1).alias("n_lines")),
+    ))
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    window: int = WINDOW_LINES, divisor: int = DIVISOR, min_lines: int = MIN_LINES,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
 ) -> DataFrame:
-    """id, text without repeated chunks, n_lines, n_removed and removed of every row.
-
-    ``removed`` lists (line, n_lines) of what was taken out, lines counted from 0 in the
-    original text. The earliest chunk by id (null first), then line, stays. A null text stays
-    null and has no lines; an empty text is one empty line. Chunks below ``min_lines`` lines
-    and chunks of blanks are left alone. Repeated rows (same id and text) are one document
-    and keep the same chunks. Further columns are ignored; an empty table gives an empty result.
+    """id, text without repeated passages, n_lines, n_removed and removed of every row.
+
+    ``removed`` lists (line, n_lines) of what was taken out as longest runs, lines counted
+    from 0 in the original text. Of equal chunks the earliest by id (null first), then line,
+    stays, and so do those that overlap it; the earliest occurrence of a line is never taken
+    out. Passages below ``min_lines`` lines are left alone, blank lines not counted. A null
+    text stays null and has no lines; an empty text is one empty line. Repeated rows (same id
+    and text) are one document and keep the same lines. Further columns are ignored; an
+    empty table gives an empty result.
     """
     docs = keyed(docs, id_col, text_col)
-    chunks = materialise(line_chunks(docs, window, divisor, min_lines), "line-chunks")
+    chunks = materialise(line_chunks(docs, min_lines), "line-chunks")
     place = F.struct("id", "chunk", "hash")
     repeated = chunks.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
     ).filter("n > 1").drop("n")
     mine = chunks.join(repeated, "digest").withColumn("earliest", place.eqNullSafe(F.col("first")))
-    found = mine.groupBy("id", "hash").agg(
+    overlaps = (
+        F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
+        & (F.col("chunk") < F.col("first.chunk") + F.col("n_lines"))
+    )
+    found = mine.filter(F.col("earliest") | ~overlaps).groupBy("id", "hash").agg(
         F.collect_set(F.struct("chunk", "n_lines", "digest", "earliest")).alias("found")
     )
     known = docs.join(join_keys(found), same_key(), "left").select("id", "hash", "text", "found")
-    bodies = known.filter(F.col("found").isNotNull()).select(
-        "id", "hash", F.split("text", "\n").alias("lines"), F.explode("found").alias("c")
-    ).select("id", "hash", "c.*", _body(F.col("lines"), F.col("c")).alias("body"))
+    with_bodies = _with(_lines(), lambda lines: F.transform("found", lambda c: F.struct(
+        c["chunk"].alias("chunk"), c["n_lines"].alias("n_lines"), c["digest"].alias("digest"),
+        c["earliest"].alias("earliest"), _body(lines, c["chunk"], c["n_lines"]).alias("body"),
+    )))
+    bodies = known.filter(F.col("found").isNotNull()).select("id", "hash", F.explode(with_bodies).alias("c"))
+    bodies = bodies.select("id", "hash", "c.*")
     kept = bodies.filter("earliest").groupBy("digest").agg(F.min("body").alias("kept_body"))
     equal = bodies.filter(~F.col("earliest")).join(kept, "digest").filter(
         F.col("body").cast("binary") == F.col("kept_body").cast("binary")
     )
     removed = equal.groupBy("id", "hash").agg(
-        F.sort_array(F.collect_set(F.struct(F.col("chunk").alias("line"), "n_lines"))).alias("removed")
-    )
+        F.collect_set(F.struct(F.col("chunk").alias("line"), "n_lines")).alias("removed")
+    ).withColumn("removed", _joined(F.col("removed")))
     nothing = F.array().cast("array<struct<line:int,n_lines:int>>")
     out = known.join(join_keys(removed), same_key(), "left").select(
         "id", "text", F.coalesce("removed", nothing).alias("removed"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size(_lines()), F.lit(0)).alias("n_lines"),
     )
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda _, i: ~F.exists(
-        "removed", lambda r: (i >= r["line"]) & (i < r["line"] + r["n_lines"])
-    ))
+    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), _numbers(F.col("removed")))
+    rest = _with(_lines(), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return out.select(
         F.col("id").alias(id_col),
-        F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias(text_col),
+        F.when(F.size("removed") == 0, F.col("text")).otherwise(rest).alias(text_col),
         F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"),
         F.aggregate("removed", F.lit(0), lambda a, r: a + r["n_lines"]).alias("n_removed"), "removed",
     )
