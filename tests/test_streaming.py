@@ -147,3 +147,33 @@ def test_answers_wait_for_their_ticket_and_the_latest_event_wins(spark):
         flows.resolutions_to_index(stream, lambda: spark.read.parquet(queue), log, state).awaitTermination()
     got = {r["case_id"]: r["resolution"] for r in log.current().where("source != 'a'").collect()}
     assert got["t1"] == "newer" and got["t2"] == "early" and "t9" not in got
+
+
+def test_late_answers_reach_the_index(spark):
+    idx = make_index(spark, np.eye(DIM)[:1], ["a"]).withColumn("timestamp", F.lit("2020-01-01").cast("timestamp"))
+    ticket = "id string, ticket_id string, customer_query string, intent string, embedding array<double>"
+    answer = "id string, human_response string, event_ts timestamp, seq bigint"
+    at = lambda h: datetime.datetime(2024, 1, 9) + datetime.timedelta(hours=h)
+    queue = spark.createDataFrame(
+        [(f"q{i}", f"t{i}", f"question {i}", "a", np.eye(DIM)[i + 1].tolist()) for i in range(4)], ticket)
+    batches = [[("q0", "last", at(100), 2), ("q3", "by seq", at(50), 9)], [("q1", "older", at(10), 1), ("q0", "first", at(0), 1)],
+               [("q2", "oldest", at(-90), 1), ("q3", "lower seq", at(50), 1)], [("q0", "last", at(100), 2)]]
+    path, log, state = scratch_dir(spark, "answers"), IndexLog(idx, scratch_dir(spark, "index-log")), scratch_dir(spark, "state")
+    for rows in batches:
+        spark.createDataFrame(rows, answer).coalesce(1).write.mode("append").parquet(path)
+        stream = flows.read_stream(spark, path, spark.createDataFrame([], answer).schema)
+        flows.resolutions_to_index(stream, lambda: queue, log, state).awaitTermination()
+    got = {r["case_id"]: r["resolution"] for r in log.current().where("case_id like 't%'").collect()}
+    assert got == {"t0": "last", "t1": "older", "t2": "oldest", "t3": "by seq"}
+
+
+def test_late_feedback_is_kept_and_repeats_are_not(spark):
+    idx = make_index(spark, np.eye(DIM)[:1], ["a"])
+    df = feedback_rows(spark, np.eye(DIM)[1:9]).withColumn("event_ts", F.col("event_ts") - F.col("seq") * F.expr("INTERVAL 5 HOURS"))
+    path, state = scratch_dir(spark, "feedback"), scratch_dir(spark, "state")
+    log, reviews = IndexLog(idx, scratch_dir(spark, "index-log")), scratch_dir(spark, "reviews")
+    for part in ("seq < 3", "seq >= 3 AND seq < 6", "seq >= 4"):  # each older than the one before
+        df.where(part).coalesce(1).write.mode("append").parquet(path)
+        flows.feedback_to_tables(flows.read_stream(spark, path, df.schema), log, reviews, state).awaitTermination()
+    assert log.current().count() == 1 + df.where("feedback_is_okay").count()
+    assert sorted(r["ticket_id"] for r in read_batches(spark, reviews).collect()) == ["0", "4"]

@@ -81,9 +81,7 @@ def w3_stream_resolutions(spark, d):
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(base, scratch_dir(spark, "index-log"))
-    # The watermark must not close before the oldest answer has come.
-    flows.resolutions_to_index(
-        stream, lambda: q, log, scratch_dir(spark, "answers-state"), delay="36500 days").awaitTermination()
+    flows.resolutions_to_index(stream, lambda: q, log, scratch_dir(spark, "answers-state")).awaitTermination()
     return log.current().select("case_key", "case_id", "intent", "source", "resolution")
 
 
@@ -96,7 +94,7 @@ def w3_stream_feedback(spark, d):
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(materialise(base, "index"), scratch_dir(spark, "index-log"))
     path = scratch_dir(spark, "reviews")
-    flows.feedback_to_tables(stream, log, path, scratch_dir(spark, "feedback-state"), "36500 days", CFG).awaitTermination()
+    flows.feedback_to_tables(stream, log, path, scratch_dir(spark, "feedback-state"), CFG).awaitTermination()
     added = log.current().where(F.col("case_key").startswith("agent_approved_"))
     return added.select(F.col("case_key").alias("id"), F.lit("index").alias("sink")).unionByName(
         read_batches(spark, path).select("id", F.lit("review").alias("sink")))

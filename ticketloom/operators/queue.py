@@ -113,7 +113,7 @@ def latest_event(events: DataFrame, key: str, value: str) -> DataFrame:
     """Last event per key by (event_ts, seq). A running maximum, combined on the map side."""
     last = F.max(F.struct("event_ts", "seq", value)).alias("e")
     return events.groupBy(key).agg(last).select(
-        key, F.col(f"e.{value}").alias(value), F.col("e.event_ts").alias("event_ts"))
+        key, F.col(f"e.{value}").alias(value), F.col("e.event_ts").alias("event_ts"), F.col("e.seq").alias("event_seq"))
 
 
 def resolve(queue: DataFrame, events: DataFrame) -> DataFrame:
@@ -189,6 +189,7 @@ def resolutions_to_cases(queue: DataFrame, events: DataFrame) -> DataFrame:
         F.coalesce("intent", F.lit(K.OTHER_INTENT)).alias("intent"),
         F.lit(K.HUMAN).alias("source"),
         F.col("event_ts").alias("timestamp"),
+        "event_seq",
         "embedding",
     )
 

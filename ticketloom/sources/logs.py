@@ -10,8 +10,8 @@ from ticketloom.operators import index as ix
 from ticketloom.sources.tables import path_exists
 
 
-#: When a row of the index was written: event order, then batch.
-ORDER = "struct<seq:bigint,batch:bigint>"
+#: When a row of the index was written: event order (seq, then tie), then batch.
+ORDER = "struct<seq:bigint,tie:bigint,batch:bigint>"
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -28,7 +28,7 @@ class IndexLog:
     """Index of solved cases as a base table plus one small delta per batch.
 
     A batch writes only its own rows. The current index is the base without the keys that the
-    deltas overwrite, and the latest row (by seq, then batch) of each of those; ``compact``
+    deltas overwrite, and the latest row (by seq, tie, batch) of each of those; ``compact``
     writes it out and goes on from there.
     """
 
@@ -42,7 +42,9 @@ class IndexLog:
         if "seq" not in rows.columns:
             when = F.unix_micros(F.col("timestamp").try_cast("timestamp"))
             rows = rows.withColumn("seq", F.coalesce(when, F.lit(0).cast("bigint")))
-        write_batch(rows, self.path, batch_id)
+        if "tie" not in rows.columns:
+            rows = rows.withColumn("tie", F.lit(0))
+        write_batch(rows.withColumn("tie", F.col("tie").cast("bigint")), self.path, batch_id)
 
     def current(self, before_batch: int | None = None) -> DataFrame:
         """The index, or how it was before a batch (a replay must not see its own rows)."""
@@ -55,7 +57,7 @@ class IndexLog:
         if before_batch is not None:
             deltas = deltas.where(F.col("batch_id") < before_batch)
         # The later event wins, whatever batch brought it; of equal ones the later batch.
-        order = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("batch_id").cast("bigint").alias("batch"))
+        order = F.struct(F.col("seq").cast("bigint").alias("seq"), "tie", F.col("batch_id").cast("bigint").alias("batch"))
         deltas = deltas.select(*ix.INDEX_COLUMNS, order.alias("__order"))
         keys = deltas.select("case_key").distinct()
         # Only base rows that a delta names are ranked; the others stay where they are.

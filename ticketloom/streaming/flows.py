@@ -53,13 +53,13 @@ def triage_to_tables(
 
 
 def resolutions_to_index(
-    events: DataFrame, queue: Callable[[], DataFrame], index: IndexLog, checkpoint: str, delay: str = "1 hour", **trigger
+    events: DataFrame, queue: Callable[[], DataFrame], index: IndexLog, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Answers of human agents -> human-resolved cases. Repeated deliveries are dropped
-    within the watermark; the answer of the latest event time is the case, in whatever order
-    they come. ``queue`` is read anew for each batch, and an answer to a ticket that is not
-    queued yet waits beside the index for the batch that finds it."""
-    unique = events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["id", "seq"])
+    """Answers of human agents -> human-resolved cases. The answer of the latest (event time,
+    seq) is the case, in whatever order they come and however late or often: no watermark
+    drops any, and one delivered again is the same row of the index. ``queue`` is read anew
+    for each batch, and an answer to a ticket that is not queued yet waits beside the index
+    for the batch that finds it."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark, known = batch.sparkSession, queue()
@@ -67,21 +67,24 @@ def resolutions_to_index(
         answers = batch
         if path_exists(spark, f"{held}/batch_id={batch_id - 1}"):
             answers = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{held}/batch_id={batch_id - 1}"))
-        answers = materialise(answers, "answers")
+        # Only the last answer to a ticket can be its case, so repeats do not pile up either.
+        last = F.max_by(F.struct(*batch.columns), F.struct("event_ts", "seq", "human_response"))
+        answers = materialise(answers.groupBy("id").agg(last.alias("e")).select("e.*"), "answers")
         write_batch(answers.join(known.select("id"), "id", "left_anti").select(*batch.columns), held, batch_id)
-        rows = ix.to_index_rows(qu.resolutions_to_cases(known, answers))
-        # Later answers to a ticket have the same key and win by their time.
+        cases = qu.resolutions_to_cases(known, answers).withColumnRenamed("event_seq", "seq")
+        # Later answers to a ticket have the same key and win by their time, then their seq.
+        rows = ix.to_index_rows(cases).withColumnRenamed("seq", "tie")
         index.add(rows.withColumn("seq", F.unix_micros(F.col("timestamp").cast("timestamp"))), batch_id)
 
-    return _per_batch(unique, handle, checkpoint, trigger)
+    return _per_batch(events, handle, checkpoint, trigger)
 
 
 def feedback_to_tables(
-    feedback: DataFrame, index: IndexLog, review_path: str, checkpoint: str, delay: str = "1 hour",
+    feedback: DataFrame, index: IndexLog, review_path: str, checkpoint: str,
     cfg: TriageConfig = TriageConfig(), **trigger,
 ) -> StreamingQuery:
-    """Customer feedback: approved replies join the index, rejected ones go to review."""
-    unique = feedback.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["ticket_id", "seq"])
+    """Customer feedback: approved replies join the index, rejected ones go to review. What is
+    delivered again meets its own key in the index or among the reviews; nothing is too late."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -89,11 +92,24 @@ def feedback_to_tables(
             okay, _ = qu.split_feedback(batch)
             now = F.current_timestamp().cast(index.base.schema["timestamp"].dataType)
             index.add(ix.add_approved(index.current(before_batch=batch_id), okay, cfg, now), batch_id)
-            write_batch(qu.review_rows(batch, F.col("event_ts")), review_path, batch_id)
+            write_batch(_new_reviews(qu.review_rows(batch, F.col("event_ts")), review_path, batch_id), review_path, batch_id)
         finally:
             batch.unpersist()
 
-    return _per_batch(unique, handle, checkpoint, trigger)
+    return _per_batch(feedback, handle, checkpoint, trigger)
+
+
+def _new_reviews(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """One row per review that no earlier batch has written."""
+    rows = rows.dropDuplicates(["id", "ticket_id"])
+    if not path_exists(rows.sparkSession, path):
+        return rows
+    earlier = read_batches(rows.sparkSession, path, "id string, ticket_id string, batch_id bigint")
+    # The batch is the small side; of all earlier reviews only its own ids move on.
+    seen = earlier.where(F.col("batch_id") < batch_id).join(rows.select("id"), "id", "left_semi")
+    seen = seen.select(F.col("id").alias("__id"), F.col("ticket_id").alias("__ticket"))
+    same = (F.col("id") == F.col("__id")) & F.col("ticket_id").eqNullSafe(F.col("__ticket"))
+    return rows.join(seen, same, "left_anti")
 
 
 def queue_depth(
