@@ -177,3 +177,16 @@ def test_late_feedback_is_kept_and_repeats_are_not(spark):
         flows.feedback_to_tables(flows.read_stream(spark, path, df.schema), log, reviews, state).awaitTermination()
     assert log.current().count() == 1 + df.where("feedback_is_okay").count()
     assert sorted(r["ticket_id"] for r in read_batches(spark, reviews).collect()) == ["0", "4"]
+
+
+def test_parts_deliver_every_row_in_several_files(spark):
+    from ticketloom.catalog.streams import in_parts
+
+    df = spark.range(0, 900, 1, 4).withColumn("n", F.when(F.col("id") >= 30, F.col("id")))
+    out, state = scratch_dir(spark, "out"), scratch_dir(spark, "state")
+    for n, stream in enumerate(in_parts(spark, df, "parts", F.col("n"))):
+        files = stream.select("id", F.col("_metadata.file_path").alias("file"), F.lit(n).alias("part"))
+        flows.append_to(files, out, state).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 900 and got.where("id < 30").agg(F.max("part")).first()[0] == 0
+    assert got.select("part").distinct().count() == 3 and got.select("file").distinct().count() > 3

@@ -29,14 +29,19 @@ def as_stream(spark, df, name, files=None, max_files=None):
 
 
 def in_parts(spark, df, name, order, parts=3):
-    """A stream that delivers ``df`` in that many batches, in the given (numeric) order."""
+    """Streams that deliver ``df`` in that many batches, in the given (numeric) order, nulls first.
+
+    Each adds a part to one folder, in as many files as Spark has partitions for it; run to its
+    end with the checkpoint of the one before, it is one batch.
+    """
     stored = materialise(df.withColumn("__order", order.cast("double")), f"{name}-all")
-    cuts = [float("-inf"), *stored.approxQuantile("__order", [i / parts for i in range(1, parts)], 0.001), float("inf")]
+    cuts = stored.approxQuantile("__order", [i / parts for i in range(1, parts)], 0.001)
+    # The first part has no lower bound and the last no upper one, so every row is in one.
+    after = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("__order") > c)) if cuts else F.lit(0)
     path = scratch_dir(spark, name)
-    for low, high in zip(cuts, cuts[1:]):
-        part = stored.where((F.col("__order") > low) & (F.col("__order") <= high)).drop("__order")
-        part.coalesce(1).write.mode("append").parquet(path)  # one file is one batch below
-    return flows.read_stream(spark, path, df.schema, max_files=1)
+    for n in range(len(cuts) + 1):
+        stored.where(after == n).drop("__order").write.mode("append").parquet(path)
+        yield flows.read_stream(spark, path, df.schema)
 
 
 S.CTES["streamed"] = f"""
@@ -77,11 +82,13 @@ def w3_stream_resolutions(spark, d):
     vectors = fx.ticket_vectors(spark, d).select(F.col("ticket_id").cast("string").alias("ticket_id"), "embedding")
     q = materialise(queue(spark, d).join(vectors, "ticket_id"), "queue")
     events = queue_events(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    stream = in_parts(spark, events.unionByName(events), "answers", -F.unix_micros("event_ts"))
+    streams = in_parts(spark, events.unionByName(events), "answers", -F.unix_micros("event_ts"))
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(base, scratch_dir(spark, "index-log"))
-    flows.resolutions_to_index(stream, lambda: q, log, scratch_dir(spark, "answers-state")).awaitTermination()
+    state = scratch_dir(spark, "answers-state")
+    for stream in streams:
+        flows.resolutions_to_index(stream, lambda: q, log, state).awaitTermination()
     return log.current().select("case_key", "case_id", "intent", "source", "resolution")
 
 
@@ -89,12 +96,13 @@ def w3_stream_resolutions(spark, d):
 def w3_stream_feedback(spark, d):
     """Feedback in three batches, each delivered twice: cases that join the index, and reviews."""
     given = feedback(spark, d).withColumn("event_ts", F.timestamp_seconds(F.col("seq")))
-    stream = in_parts(spark, given.unionByName(given), "feedback", F.col("seq"))
+    streams = in_parts(spark, given.unionByName(given), "feedback", F.col("seq"))
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(materialise(base, "index"), scratch_dir(spark, "index-log"))
-    path = scratch_dir(spark, "reviews")
-    flows.feedback_to_tables(stream, log, path, scratch_dir(spark, "feedback-state"), CFG).awaitTermination()
+    path, state = scratch_dir(spark, "reviews"), scratch_dir(spark, "feedback-state")
+    for stream in streams:
+        flows.feedback_to_tables(stream, log, path, state, CFG).awaitTermination()
     added = log.current().where(F.col("case_key").startswith("agent_approved_"))
     return added.select(F.col("case_key").alias("id"), F.lit("index").alias("sink")).unionByName(
         read_batches(spark, path).select("id", F.lit("review").alias("sink")))
