@@ -197,3 +197,18 @@ def test_approved_text_is_redacted(spark):
     r = ix.approvals_to_rows(rows).first()
     assert r["document"] == "mail [EMAIL]" and r["resolution"] == "ok"
     assert r["case_id"].startswith("agent_approved_") and len(r["case_id"]) == len("agent_approved_") + 10
+
+
+def test_links_keep_what_hangs_together_in_any_blocks(spark):
+    from ticketloom.operators import blocks, clustering as cl
+
+    v = np.repeat(np.eye(DIM)[:3], [40, 30, 20], axis=0)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vector array<double>")
+    links = blocks.linked(points.withColumnRenamed("id", "query_id"), points.withColumnRenamed("id", "case_key"), 0.9, 16, 16)
+    rows = links.collect()
+    side = lambda i: 0 if i < 40 else 1 if i < 70 else 2
+    # 6 x 6 pairs of blocks, in each fewer rows than ids: not one row per pair of near points.
+    assert all(side(a) == side(b) for a, b in rows) and len(rows) < 90 * 6 * 2 < 40 * 40 + 30 * 30 + 20 * 20
+    plan = cl.merge_plan(points.select(F.col("id").alias("cluster_id"), F.col("vector").alias("centroid")), 0.9)
+    got = {r["name"]: r["source_cluster_ids"] for r in plan.collect()}
+    assert got == {"cluster_0": list(range(40)), "cluster_40": list(range(40, 70)), "cluster_70": list(range(70, 90))}

@@ -193,6 +193,39 @@ def top_k_pairs(
     )
 
 
+def linked(
+    queries: DataFrame, cases: DataFrame, threshold: float, block_rows: int, query_rows: int
+) -> DataFrame:
+    """(a, b): ids of one table on both sides, joined as similarities of ``threshold`` or more join them.
+
+    Each pair of blocks gives one star per group that hangs together in it, from the least
+    id, so at most one row per id leaves a task.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return stack([], ["a", "b"])
+        near = np.round(unit_rows(q["vector"]) @ unit_rows(c["vector"]).T, 12) >= threshold
+        ids, place = np.unique(np.concatenate([q["query_id"].to_numpy(), c["case_key"].to_numpy()]), return_inverse=True)
+        rows, cols = place[: len(q)], place[len(q):]
+        joined = np.zeros((len(ids), len(ids)), dtype=bool)
+        joined[np.ix_(rows, cols)] = near
+        joined |= joined.T
+        new, out = np.ones(len(ids), dtype=bool), []
+        for start in range(len(ids)):
+            if not new[start]:
+                continue
+            new[start], edge = False, np.array([start])
+            while len(edge):
+                edge = np.flatnonzero(joined[edge].any(axis=0) & new)
+                new[edge] = False
+                out.append({"a": ids[np.full(len(edge), start)], "b": ids[edge]})
+        return stack(out, ["a", "b"])
+
+    return meet(queries, cases, work, f"a {kind}, b {kind}", block_rows, query_rows)
+
+
 def any_above(
     queries: DataFrame, cases: DataFrame, threshold: float, block_rows: int, query_rows: int
 ) -> DataFrame:

@@ -221,17 +221,14 @@ def merge_plan(centroids: DataFrame, threshold: float) -> DataFrame:
     """(name, source_cluster_ids): clusters whose centroids are linked by a cosine of ``threshold``
     or more, directly or through others; the name is the least cluster id of the group.
 
-    Centroids meet in blocks, and only links leave a task; labels then run along the links
-    until none changes.
+    Centroids meet in blocks, and only a forest of the links of two blocks leaves a task;
+    labels then run along the links until none changes.
     """
     points = materialise(centroids.select("cluster_id", F.col("centroid").alias("vector")), "centroids")
-    near = blocks.top_k_pairs(
+    near = blocks.linked(
         points.select(F.col("cluster_id").alias("query_id"), "vector"),
-        points.select(F.col("cluster_id").cast("string").alias("case_key"), "vector"),
-        MAX_CENTROIDS, 1024, 1024,
-    ).where((F.col("similarity") >= threshold) & (F.col("query_id").cast("string") != F.col("case_key")))
-    links = materialise(near.select(
-        F.col("query_id").alias("a"), F.col("case_key").cast(points.schema["cluster_id"].dataType).alias("b")), "links")
+        points.select(F.col("cluster_id").alias("case_key"), "vector"), threshold, 1024, 1024)
+    links = materialise(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = points.select("cluster_id", F.col("cluster_id").alias("root"))
     while True:
         offered = links.join(labels, links["b"] == labels["cluster_id"]).groupBy("a").agg(F.min("root").alias("offer"))
