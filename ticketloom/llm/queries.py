@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and the SQL of those that SQL expresses."""
 
 from ticketloom.llm import (
-    chat, decontamination, language, line_dedup, maxscore, mixing, quality, sharding, simhash, substring_dedup,
+    chat, decontamination, language, lexical, line_dedup, maxscore, mixing, quality, sharding, simhash, substring_dedup,
 )
 
 QUERIES = {
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_lexical_search": lexical.op11_lexical_search,
 }
 
 ORACLES = {
     "op1_maxscore": maxscore.OP1_SQL,
     "op8_chat_format": chat.OP8_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
 }
