@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and the SQL of those that SQL expresses."""
 
 from ticketloom.llm import (
-    chat, decontamination, language, lexical, line_dedup, maxscore, mixing, quality, sharding, simhash, substring_dedup,
+    chat, decontamination, language, lexical, line_dedup, maxscore, mixing, periodic, quality, sharding, simhash, substring_dedup,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_sharding": sharding.op10_sharding,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
 }
 
 ORACLES = {
