@@ -2,6 +2,7 @@
 
 from ticketloom.llm import (
     chat, decontamination, language, lexical, line_dedup, maxscore, mixing, periodic, quality, sharding, simhash, substring_dedup,
+    warc,
 )
 
 QUERIES = {
@@ -17,10 +18,12 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_lexical_search": lexical.op11_lexical_search,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLES = {
     "op1_maxscore": maxscore.OP1_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op11_lexical_search": lexical.OP11_SQL,
+    "op13_warc": warc.OP13_SQL,
 }
