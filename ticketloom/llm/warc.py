@@ -32,6 +32,8 @@ MIN_REVISIT_BYTES = 1000
 #: A new archive begins behind this size; ranges at most GAP bytes apart are read together, up
 #: to READ_BYTES at a time (a longer record is read alone).
 ARCHIVE_BYTES, GAP, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
+#: Archived bytes that a reading task gets, unless there are fewer tasks than cores.
+TASK_BYTES = 64 << 20
 #: Capture time of all records: archives of the same pages are the same, whenever written.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -174,7 +176,8 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP, most: int = READ
 
     Returns record_id, record_type, url, refers_to, digest, payload_bytes and payload (null for a
     revisit; the other columns hold for its whole payload). Rows of one file and offset are read
-    as often as they are listed. An empty selection reads nothing.
+    as often as they are listed. An empty selection reads nothing. The tasks are as many as the
+    selection's bytes ask for, which one pass over its lengths counts.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -192,7 +195,11 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP, most: int = READ
         if source is not None:
             source.close()
 
-    ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset")
+    ranges = index.select("file", "offset", "length")
+    # Ranges weigh by what they read, not by their own few bytes, so the number of tasks is set here.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = ranges.repartitionByRange(tasks, "file", "offset")
     return ranges.sortWithinPartitions("file", "offset").mapInArrow(work, RECORD_SCHEMA)
 
 
