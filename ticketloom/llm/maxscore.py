@@ -1,11 +1,14 @@
 """Exact top-k by inner product with MaxScore.
 
-A term is a dimension, its postings the components of a shard's vectors in that dimension,
-and a query weighs each term by its own component. A term's bound is the most it can add to
-a score in the shard. Terms whose bounds together stay under the query's threshold (the k-th
-score seen so far) are non-essential: they cannot lift a vector over it alone. Essential
-postings are traversed for all vectors; the others are probed, largest bound first, only
-for vectors that can still reach the threshold. The shards' answers are merged by rank.
+A term is a dimension, and its postings are the components of a shard's vectors in that
+dimension, kept list by list. A query weighs each term by its own component; a term's bound is
+the most it can add to a score in the shard. For each query the lists stand in order of their
+bounds. Those last lists whose bounds together stay below the threshold - the k-th score found
+so far - are non-essential: a vector must gain something in the others to be a hit. Only the
+essential lists are traversed, a block of postings at a time; the others are probed, largest
+bound first, for vectors that can still reach the threshold. Each block's hits raise the
+threshold, so later blocks have fewer essential lists; once none is left the shard is done.
+The shards' answers are merged by rank.
 
 The query set is stated and meets all rows in blocks: one task holds one shard of vectors
 and one chunk of queries, and at most k rows per query leave it.
@@ -22,8 +25,8 @@ from ticketloom.llm.common import materialise, read
 
 SHARD_ROWS = 16_384
 CHUNK_ROWS = 4096
-#: Queries whose scores are held at a time, vectors scored to seed the threshold, terms per probe.
-BLOCK_QUERIES, SEED_ROWS, PROBE_TERMS = 64, 512, 8
+#: Postings of a list that are traversed at a time, terms per probe.
+BLOCK_ROWS, PROBE_TERMS = 1024, 8
 
 
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
@@ -38,8 +41,13 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
     return out, wide
 
 
-def top_k(query_ids, queries, vec_ids, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score of the k best of ``vectors`` for each query, its own id left out."""
+def top_k(
+    query_ids, queries, vec_ids, vectors, k: int, counts: dict | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of the k best of ``vectors`` for each query, its own id left out.
+
+    ``counts["postings"]`` adds up the postings that were read.
+    """
     wide = max(queries.shape[1], vectors.shape[1])
     queries, vectors = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (queries, vectors))
     order = np.argsort(vec_ids, kind="stable")
@@ -47,37 +55,42 @@ def top_k(query_ids, queries, vec_ids, vectors, k: int) -> tuple[np.ndarray, np.
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(wide, 1)
     # Products and sums below 2**53 are exact in doubles, which have the fast product.
     kind = np.float64 if most < 2 ** 53 else np.int64
-    queries, vectors = queries.astype(kind), vectors.astype(kind)
-    none = np.iinfo(np.int64).min
-    high, low = vectors.max(axis=0, initial=0), vectors.min(axis=0, initial=0)
-    found = []
-    for at in range(0, len(queries), BLOCK_QUERIES):
-        block, ids = queries[at:at + BLOCK_QUERIES], query_ids[at:at + BLOCK_QUERIES]
-        bounds = np.maximum(block * high, block * low)
-        seed = block @ vectors[:SEED_ROWS].T
-        seed = np.where(vec_ids[:SEED_ROWS] == ids[:, None], -np.inf if kind is np.float64 else none, seed)
-        if seed.shape[1] >= k:
-            threshold = np.partition(seed, seed.shape[1] - k, axis=1)[:, seed.shape[1] - k]
-        else:
-            threshold = np.full(len(block), -np.inf)
-        by_bound = np.argsort(bounds, axis=1)
-        sums = np.cumsum(np.take_along_axis(bounds, by_bound, axis=1), axis=1)
-        essential = np.zeros(block.shape, bool)
-        np.put_along_axis(essential, by_bound, sums >= threshold[:, None], axis=1)
-        partial = np.where(essential, block, 0).astype(kind) @ vectors.T
-        for i, query in enumerate(block):
-            others = by_bound[i][~essential[i][by_bound[i]]][::-1]
-            left = bounds[i][others].sum()
-            alive = np.flatnonzero((partial[i] + left >= threshold[i]) & (vec_ids != ids[i]))
-            score = partial[i][alive]
-            for step in range(0, len(others), PROBE_TERMS):
-                terms = others[step:step + PROBE_TERMS]
-                score = score + vectors[np.ix_(alive, terms)] @ query[terms]
-                left -= bounds[i][terms].sum()
-                keep = score + left >= threshold[i]
-                alive, score = alive[keep], score[keep]
-            best = np.lexsort((vec_ids[alive], -score))[:k]
-            found.append((np.full(len(best), ids[i]), vec_ids[alive][best], score[best].astype(np.int64)))
+    queries, postings = queries.astype(kind), np.ascontiguousarray(vectors.T, kind)
+    high, low = postings.max(axis=1, initial=0), postings.min(axis=1, initial=0)
+    found, read = [], 0
+    for query, own in zip(queries, query_ids):
+        bounds = np.maximum(query * high, query * low)
+        lists = np.argsort(-bounds, kind="stable")
+        weights = query[lists]
+        # What the lists from the n-th on can add together.
+        rest = np.append(np.cumsum(bounds[lists][::-1])[::-1], 0)
+        threshold, ids, scores = None, np.empty(0, np.int64), np.empty(0, kind)
+        for start in range(0, len(vec_ids), BLOCK_ROWS):
+            stop = min(start + BLOCK_ROWS, len(vec_ids))
+            essential = wide if threshold is None else int(np.count_nonzero(rest[:-1] >= threshold))
+            if not essential and wide:
+                break
+            partial = weights[:essential] @ postings[lists[:essential], start:stop]
+            read += essential * (stop - start)
+            at = vec_ids[start:stop] != own
+            if threshold is not None:
+                at &= partial + rest[essential] >= threshold
+            at = np.flatnonzero(at)
+            partial = partial[at]
+            for step in range(essential, wide, PROBE_TERMS):
+                terms = slice(step, step + PROBE_TERMS)
+                partial = partial + weights[terms] @ postings[np.ix_(lists[terms], at + start)]
+                read += len(weights[terms]) * len(at)
+                keep = partial + rest[min(step + PROBE_TERMS, wide)] >= threshold
+                at, partial = at[keep], partial[keep]
+            ids, scores = np.append(ids, vec_ids[start:stop][at]), np.append(scores, partial)
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+            if len(ids) == k:
+                threshold = scores[-1]
+        found.append((np.full(len(ids), own), ids, scores.astype(np.int64)))
+    if counts is not None:
+        counts["postings"] = counts.get("postings", 0) + read
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -86,13 +99,16 @@ def top_k(query_ids, queries, vec_ids, vectors, k: int) -> tuple[np.ndarray, np.
 def _search_unit(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     names = ["query_id", "vec_id", "score"]
     ids, vectors = right.column("vec_id").to_numpy(), _matrix(right.column("vector"))[0]
-    if len(np.unique(ids)) < len(ids):  # repeated rows count once
-        _, first = np.unique(np.column_stack([ids, vectors]), axis=0, return_index=True)
-        ids, vectors = ids[first], vectors[first]
     out = top_k(left.column("query_id").to_numpy(), _matrix(left.column("vector"))[0], ids, vectors, k)
     return pa.table([pa.array(np.asarray(c, np.int64)) for c in out], names=names)
 
 
+def _usable(rows: DataFrame, id_col: str) -> DataFrame:
+    """Each (id, vector) without nulls once; a vector that many ids share stays with each."""
+    rows = rows.select(id_col, "vector").dropna().filter(~F.exists("vector", lambda x: x.isNull()))
+    return rows.dropDuplicates([id_col, "vector"])
+
+
 def maxscore_search(
     queries: DataFrame, vectors: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
@@ -100,11 +116,12 @@ def maxscore_search(
 
     ``queries`` (query_id, vector) and ``vectors`` (vec_id, vector) hold integer arrays; a
     shorter one counts as ending in zeros. A vector is no candidate for a query of its own
-    id. Ties go to the smaller vec_id. Rows with a null id or vector take no part; repeated
-    rows count once, and different vectors under one query_id are ranked together.
+    id. Ties go to the smaller vec_id. Rows with a null id or vector, or a null in the vector,
+    take no part; repeated rows count once, and different vectors under one query_id are ranked
+    together. Further columns are ignored; an empty table on either side gives an empty result.
     """
-    queries = queries.dropna().dropDuplicates(["query_id", "vector"])
-    vectors = vectors.dropna()
+    queries = _usable(queries, "query_id")
+    vectors = _usable(vectors, "vec_id")
     n_vectors, n_queries = vectors.count(), queries.count()
     shards, chunks = max(1, -(-n_vectors // shard_rows)), max(1, -(-n_queries // chunk_rows))
     left = queries.select(
