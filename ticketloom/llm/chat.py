@@ -42,24 +42,24 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    # A doubled backslash is parked on U+0000 while \n is read; a U+0000 of the role's own
-    # was never escaped, so it must not occur: roles are names.
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\0"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
+    # Doubled backslashes are paired from the left; what stands between the pairs holds none.
+    between = F.split(unescape(role), r"\\\\")
+    return F.array_join(F.transform(between, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, pieces (text, loss) of every conversation.
 
     Turns are ordered by turn, then role, then text (null turns first). Null texts and null
-    roles count as empty strings; U+0000 is not allowed in a role and taken out. Repeated
-    rows are turns of their own. A null conv_id is a conversation like any other. Further
-    columns are ignored; an empty table gives an empty result.
+    roles count as empty strings; any character may stand in them. Repeated rows are turns of
+    their own. A null conv_id is a conversation like any other. Further columns are ignored;
+    an empty table gives an empty result. A conversation is one row and must fit into one, in
+    text and in output (2 GB).
     """
     rows = turns.select(
         "conv_id", F.struct(
             F.col("turn").alias("turn"),
-            F.replace(F.coalesce("role", F.lit("")), F.lit("\0"), F.lit("")).alias("role"),
+            F.coalesce("role", F.lit("")).alias("role"),
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("turn"),
     )
