@@ -8,8 +8,9 @@ its last; with fewer chunks (boundaries drawn by a hash) short passages would ho
 
 Digests move first (16 bytes a chunk); bytes only for chunks whose digest repeats. The first
 count is a grouped sum with partial sums, so a chunk that a third of all texts share is one
-row per task; the later joins have one row per digest on one side, and Spark splits the
-other side where it is skewed. Columns and joins only.
+row per task. Repeated digests are a stored table, so that their join is between plain tables,
+which AQE splits; the bytes of a frequent chunk meet its earliest ones under several salts.
+Columns and joins only.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ticketloom.llm.common import join_keys, keyed, materialise, read, same_key
 
 MIN_LINES = 2
+#: Rows of one repeated chunk that meet its earliest bytes in one task.
+SALT_ROWS = 2048
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,26 +93,29 @@ def dedup_lines(
     docs = keyed(docs, id_col, text_col)
     chunks = materialise(line_chunks(docs, min_lines), "line-chunks")
     place = F.struct("id", "chunk", "hash")
-    repeated = chunks.groupBy("digest").agg(
+    repeated = materialise(chunks.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
-    ).filter("n > 1").drop("n")
+    ).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).drop("n"), "repeated-chunks")
     mine = chunks.join(repeated, "digest").withColumn("earliest", place.eqNullSafe(F.col("first")))
     overlaps = (
         F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
         & (F.col("chunk") < F.col("first.chunk") + F.col("n_lines"))
     )
     found = mine.filter(F.col("earliest") | ~overlaps).groupBy("id", "hash").agg(
-        F.collect_set(F.struct("chunk", "n_lines", "digest", "earliest")).alias("found")
+        F.collect_set(F.struct("chunk", "n_lines", "digest", "earliest", "salts")).alias("found")
     )
     known = docs.join(join_keys(found), same_key(), "left").select("id", "hash", "text", "found")
     with_bodies = _with(_lines(), lambda lines: F.transform("found", lambda c: F.struct(
         c["chunk"].alias("chunk"), c["n_lines"].alias("n_lines"), c["digest"].alias("digest"),
-        c["earliest"].alias("earliest"), _body(lines, c["chunk"], c["n_lines"]).alias("body"),
+        c["earliest"].alias("earliest"), c["salts"].alias("salts"), _body(lines, c["chunk"], c["n_lines"]).alias("body"),
     )))
     bodies = known.filter(F.col("found").isNotNull()).select("id", "hash", F.explode(with_bodies).alias("c"))
     bodies = bodies.select("id", "hash", "c.*")
-    kept = bodies.filter("earliest").groupBy("digest").agg(F.min("body").alias("kept_body"))
-    equal = bodies.filter(~F.col("earliest")).join(kept, "digest").filter(
+    kept = bodies.filter("earliest").groupBy("digest").agg(F.min("body").alias("kept_body"), F.max("salts").alias("salts"))
+    kept = kept.select("digest", "kept_body", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = bodies.filter(~F.col("earliest")).withColumn(
+        "salt", F.pmod(F.xxhash64("id", "hash", "chunk"), F.col("salts")).cast("int"))
+    equal = salted.join(kept, ["digest", "salt"]).filter(
         F.col("body").cast("binary") == F.col("kept_body").cast("binary")
     )
     removed = equal.groupBy("id", "hash").agg(
