@@ -11,13 +11,13 @@ from ticketloom.llm.common import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is tied to the node's least neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).union(moved).distinct()
 
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of all nodes with a link; edges (a, b) in any order.
 
     Large-star and small-star rounds until the table is a set of stars; the number of rounds
-    grows with the logarithm of the longest path. Hubs are joined, not collected, and each
-    round is written to the shared folder, so nothing is lost with an executor.
+    grows with the logarithm of the longest path. Hubs are joined, not collected: the least
+    neighbours are a stored table, so a hub's join is between plain tables, which AQE splits.
+    Each round is written to the shared folder, so nothing is lost with an executor.
     """
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = materialise(edges.distinct(), "links")

@@ -188,16 +188,17 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     """key, text -> key, print, component: the least key that can be reached.
 
     Null and blank texts have fingerprint 0 and are linked like any other. Repeated rows
-    are rows of one component; a null key is never the least. An empty table gives an empty
-    result.
+    are rows of one component; a null key is never the least. Texts of any length are read
+    whole. An empty table gives an empty result.
     """
     rows = materialise(fingerprints(rows, shingle), "fingerprints")
     prints = materialise(rows.groupBy("print").agg(F.min("key").alias("least")), "distinct-prints")
     labels = components(linked_prints(prints, radius))
-    member = prints.join(labels, F.col("print") == F.col("node"), "left").select(
+    member = materialise(prints.join(labels, F.col("print") == F.col("node"), "left").select(
         "print", "least", F.coalesce("component", "print").alias("root")
-    )
-    least = member.groupBy("root").agg(F.min("least").alias("component"))
+    ), "members")
+    # Stored, so that a component that holds much of all prints is split in the join.
+    least = materialise(member.groupBy("root").agg(F.min("least").alias("component")), "least-keys")
     known = member.select("print", "root").join(least, "root").select(F.col("print").alias("_print"), "component")
     return rows.join(known, F.col("print") == F.col("_print")).select("key", "print", "component")
 
@@ -215,7 +216,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = R
     """``docs`` with one row of every component: the least doc_id (null last).
 
     Of rows with the same id and text one stays; of different texts under one id, the one of
-    the least hash. All columns are kept as they are.
+    the least hash. All columns are kept as they are, whatever their names; an empty table
+    gives an empty result.
     """
     keys = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
     key = F.struct(*[k.alias(n) for k, n in zip(keys, ("missing", "id", "hash"))])
