@@ -10,6 +10,7 @@ from ticketloom.catalog.hygiene import clean_tickets
 from ticketloom.catalog.registry import Family
 from ticketloom.config import TriageConfig
 from ticketloom.operators import index as ix
+from ticketloom.operators import lexical as lx
 from ticketloom.operators import search as se
 from ticketloom.session import materialise, scratch_dir
 from ticketloom.sources import fixtures as fx
@@ -123,8 +124,13 @@ SELECT ticket_id || '_' || substr(md5(ticket_text), 1, 8) AS case_key, ticket_te
 FROM labelled_for_index WHERE is_solved AND ticket_id NOT IN (SELECT doc_id FROM labels)"""
 
 
-def labelled_for_index(spark, d):
-    t = clean_tickets(spark, d, extra=("created_at",))
+def dated_tickets(spark, d):
+    """Clean tickets with their time as a written table, for queries that need them several times."""
+    return materialise(clean_tickets(spark, d, extra=("created_at",)), "tickets")
+
+
+def labelled_for_index(spark, d, tickets=None):
+    t = clean_tickets(spark, d, extra=("created_at",)) if tickets is None else tickets
     c = fx.classifications(spark, d).select("ticket_id", F.col("intent").alias("assigned_intent"))
     v = fx.ticket_vectors(spark, d).select("ticket_id", "embedding")
     return t.join(c, "ticket_id").join(v, "ticket_id")
@@ -134,8 +140,8 @@ def holdout(spark, d):
     return fx.table(spark, d, "labels").select(F.col("doc_id").alias("ticket_id"))
 
 
-def solved_index(spark, d):
-    cases = ix.solved_cases(labelled_for_index(spark, d), holdout(spark, d))
+def solved_index(spark, d, tickets=None):
+    cases = ix.solved_cases(labelled_for_index(spark, d, tickets), holdout(spark, d))
     return ix.to_index_rows(cases)
 
 
@@ -149,7 +155,8 @@ def v4_build_index(spark, d):
 SELECT count(*) AS wanted, count_if(intent NOT IN ('other', 'data_loss_recovery')) AS indexed,
        count_if(intent IN ('other', 'data_loss_recovery')) AS missing FROM solved_index"""))
 def v5_missing_rows(spark, d):
-    rows = solved_index(spark, d)
+    # The keys as a written table: the count, the index and the rebuild read them.
+    rows = materialise(solved_index(spark, d).select("case_key", "intent"), "solved-keys")
     have = rows.where(~F.col("intent").isin("other", "data_loss_recovery"))
     todo = ix.missing_rows(have, rows)
     return rows.agg(F.count(F.lit(1)).alias("wanted")).select(
@@ -342,3 +349,56 @@ def s7_embedding_store(spark, d):
     tb.write_table(es.with_hash(embed(early)).select(*es.STORE_COLUMNS), path)
     store = es.refresh(docs, tb.read_table(spark, path), embed)
     return store.select("ticket_id", "text_hash", F.size("embedding").cast("bigint").alias("dims"))
+
+
+# Hybrid search: the short fields of a ticket against the text and product of the cases.
+DEPTH = 20
+S.CTES["case_terms"] = r"""
+SELECT case_key, regexp_extract_all(lower(concat_ws(' ', document, product)), '[\p{L}\p{N}]+') AS terms FROM precedents"""
+S.CTES["case_counts"] = """
+SELECT case_key, len(terms)::DOUBLE AS length, term, count(*)::DOUBLE AS tf
+FROM (SELECT case_key, terms, unnest(terms) AS term FROM case_terms) GROUP BY ALL"""
+S.CTES["case_spread"] = "SELECT term, count(*)::DOUBLE AS df FROM case_counts GROUP BY term"
+S.CTES["impacts"] = f"""
+SELECT case_key, term, floor({lx.UNITS}::DOUBLE * (
+  ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+  * (tf * {lx.K1 + 1}::DOUBLE / (tf + {lx.K1}::DOUBLE * ({1 - lx.B}::DOUBLE + {lx.B}::DOUBLE * length / mean)))) + 0.5::DOUBLE)::BIGINT AS impact
+FROM case_counts JOIN case_spread USING (term),
+     (SELECT count(*)::DOUBLE AS n, sum(len(terms))::DOUBLE / count(*)::DOUBLE AS mean FROM case_terms)"""
+S.CTES["asked"] = r"""
+SELECT ticket_id, term, count(*) AS times FROM (
+  SELECT ticket_id, unnest(regexp_extract_all(lower(concat_ws(' ', product, ticket_type, ticket_subject)), '[\p{L}\p{N}]+')) AS term
+  FROM tickets) GROUP BY ALL"""
+S.CTES["bm25_hits"] = f"""
+SELECT ticket_id, case_key, score, row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, case_key) AS rank
+FROM (SELECT ticket_id, case_key, sum(times * impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL)
+QUALIFY rank <= {DEPTH}"""
+S.CTES["vector_hits"] = f"""
+SELECT q.ticket_id, p.case_key, row_number() OVER (PARTITION BY q.ticket_id ORDER BY {COS} DESC, p.case_key) AS rank
+FROM (SELECT v.* FROM vectors v SEMI JOIN tickets USING (ticket_id)) q CROSS JOIN precedents p QUALIFY rank <= {DEPTH}"""
+
+
+def inverted(spark, d):
+    return lx.inverted_index(index(spark, d).withColumn("document", F.concat_ws(" ", "document", "product")))
+
+
+def short_queries(spark, d):
+    """Tickets as (query_id, text, vector): what a lexical search gets to see of a ticket."""
+    v = fx.ticket_vectors(spark, d).select("ticket_id", F.col("embedding").alias("vector"))
+    t = clean_tickets(spark, d).select("ticket_id", F.concat_ws(" ", "product", "ticket_type", "ticket_subject").alias("text"))
+    return materialise(t.join(v, "ticket_id").withColumnRenamed("ticket_id", "query_id"), "short-queries")
+
+
+@register("v17_bm25", S.with_ctes(
+    "SELECT ticket_id AS query_id, case_key, score, rank AS hit_rank FROM bm25_hits WHERE rank <= 5"))
+def v17_bm25(spark, d):
+    return lx.bm25_search(short_queries(spark, d), inverted(spark, d), CFG.top_k, CFG)
+
+
+@register("v17_hybrid", S.with_ctes(f"""
+SELECT ticket_id AS query_id, case_key, v.rank AS dense_rank, b.rank AS lexical_rank,
+       round(coalesce(1.0::DOUBLE / ({lx.RANK_OFFSET} + v.rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / ({lx.RANK_OFFSET} + b.rank), 0.0::DOUBLE), 12) AS fused,
+       row_number() OVER (PARTITION BY ticket_id ORDER BY fused DESC, case_key) AS hit_rank
+FROM vector_hits v FULL JOIN bm25_hits b USING (ticket_id, case_key) QUALIFY hit_rank <= 5"""))
+def v17_hybrid(spark, d):
+    return lx.hybrid_search(short_queries(spark, d), stored_index(spark, d), inverted(spark, d), CFG, DEPTH)
