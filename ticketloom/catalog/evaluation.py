@@ -9,14 +9,16 @@ from ticketloom.catalog import sql as S
 from ticketloom.catalog.hygiene import clean_tickets
 from ticketloom.catalog.labelling import rule_sql
 from ticketloom.catalog.registry import Family
-from ticketloom.catalog.retrieval import index, labelled_for_index, solved_index
+from ticketloom.catalog.retrieval import dated_tickets, index, labelled_for_index, solved_index
 from ticketloom.catalog.routing import routed, triage_input
 from ticketloom.config import TriageConfig
 from ticketloom.operators import evaluation as ev
 from ticketloom.operators import index as ix
 from ticketloom.operators import labelling as lb
+from ticketloom.operators import overlap as ov
 from ticketloom.operators import profiling as pf
 from ticketloom.operators import routing as rt
+from ticketloom.session import materialise
 from ticketloom.sources import fixtures as fx
 
 FAMILY = Family()
@@ -38,8 +40,8 @@ def golden_spec(spark, d):
         (ev.is_urgent(F.col("urgency")) | (F.col("toxic") == 1)).alias("should_escalate"), "raw_priority")
 
 
-def golden(spark, d):
-    return ev.golden_set(golden_spec(spark, d), clean_tickets(spark, d))[0]
+def golden(spark, d, tickets=None):
+    return ev.golden_set(golden_spec(spark, d), clean_tickets(spark, d) if tickets is None else tickets)[0]
 
 
 def predictions(spark, d):
@@ -223,18 +225,79 @@ SELECT 'all solved' AS indexed, count(*) AS golden_rows, count_if(ticket_id IN (
 UNION ALL SELECT 'holdout left out', count(*), count_if(ticket_id IN (SELECT ticket_id FROM solved_index)),
        count_if(ticket_text IN (SELECT document FROM solved_index)) FROM golden"""))
 def e14_leakage(spark, d):
-    g = golden(spark, d)
-    leaky = ix.to_index_rows(ix.solved_cases(labelled_for_index(spark, d)))
-    return ev.leakage(g, leaky).select(F.lit("all solved").alias("indexed"), "*").unionByName(
-        ev.leakage(g, solved_index(spark, d)).select(F.lit("holdout left out").alias("indexed"), "*"))
+    # Tickets, golden rows and both indexes are written once and read narrow.
+    t = dated_tickets(spark, d)
+    g = materialise(golden(spark, d, t).select("ticket_id", "ticket_text"), "golden")
+    rows = {
+        "all solved": ix.to_index_rows(ix.solved_cases(labelled_for_index(spark, d, t))),
+        "holdout left out": solved_index(spark, d, t),
+    }
+    found = [
+        ev.leakage(g, materialise(df.select("case_id", "document"), "indexed")).select(F.lit(name).alias("indexed"), "*")
+        for name, df in rows.items()
+    ]
+    return found[0].unionByName(found[1])
+
+
+S.CTES["golden_shingles"] = r"""
+SELECT ticket_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+FROM (SELECT ticket_id, regexp_extract_all(lower(ticket_text), '[^\x20\x09-\x0D]+') AS w FROM golden) WHERE len(w) > 0"""
+S.CTES["index_shingles"] = r"""
+SELECT case_key, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+FROM (SELECT case_key, regexp_extract_all(lower(document), '[^\x20\x09-\x0D]+') AS w FROM solved_index) WHERE len(w) > 0"""
+S.CTES["leaky_shingles"] = S.CTES["index_shingles"].replace("FROM solved_index", """FROM (
+  SELECT ticket_id || '_' || substr(md5(ticket_text), 1, 8) AS case_key, ticket_text AS document FROM leaky_index)""")
+
+
+def _near_sql(index: str) -> str:
+    return f"""
+SELECT ticket_id, case_key, common / (a + b - common) AS jaccard FROM (
+  SELECT ticket_id, case_key, len(g.s)::DOUBLE AS a, len(i.s)::DOUBLE AS b, len(list_intersect(g.s, i.s))::DOUBLE AS common
+  FROM golden_shingles g JOIN {index} i
+    ON least(len(g.s), len(i.s)) >= {ov.THRESHOLD}::DOUBLE * greatest(len(g.s), len(i.s)) - 1e-9)
+WHERE jaccard >= {ov.THRESHOLD}::DOUBLE - 1e-9"""
+
+
+S.CTES["near_pairs"], S.CTES["leaky_pairs"] = _near_sql("index_shingles"), _near_sql("leaky_shingles")
+
+
+@register("v18_near_holdout", S.with_ctes("""
+SELECT indexed, ticket_id, case_key, round(jaccard, 6) AS jaccard
+FROM (SELECT 'all solved' AS indexed, * FROM leaky_pairs UNION ALL SELECT 'holdout left out', * FROM near_pairs)
+QUALIFY row_number() OVER (PARTITION BY indexed, ticket_id ORDER BY jaccard DESC, case_key) = 1"""))
+def v18_near_holdout(spark, d):
+    """Golden tickets that an index holds in nearly the same words: one of all solved tickets, and one
+    that was built without the golden ones."""
+    t = dated_tickets(spark, d)
+    g = materialise(golden(spark, d, t).select("ticket_id", "ticket_text"), "golden")
+    rows = {
+        "all solved": ix.to_index_rows(ix.solved_cases(labelled_for_index(spark, d, t))),
+        "holdout left out": solved_index(spark, d, t),
+    }
+    found = [
+        ov.near_holdout(g, df.select("case_key", "document")).select(F.lit(name).alias("indexed"), "*") for name, df in rows.items()
+    ]
+    return found[0].unionByName(found[1])
+
+
+@register("v18_clean_index", S.with_ctes(
+    "SELECT case_key, intent FROM solved_index WHERE case_key NOT IN (SELECT case_key FROM near_pairs)"))
+def v18_clean_index(spark, d):
+    """The index without what comes near a golden ticket."""
+    t = dated_tickets(spark, d)
+    rows = materialise(solved_index(spark, d, t).select("case_key", "document", "intent"), "solved-index")
+    return ov.without_near(rows, golden(spark, d, t)).select("case_key", "intent")
 
 
 @register("e15_golden_checks", S.with_ctes("""
-SELECT 'null:intent' AS rule, 0 AS violations, true AS passed UNION ALL SELECT 'null:urgency', 0, true
-UNION ALL SELECT 'rule:known_urgency', 0, true UNION ALL SELECT 'unique:ticket_id', 0, true
-UNION ALL SELECT 'rule:raw_agrees', count_if(lower(raw_priority) <> urgency), count_if(lower(raw_priority) <> urgency) = 0 FROM golden"""))
+SELECT rule, violations, violations = 0 AS passed FROM (
+  SELECT 'null:intent' AS rule, count_if(intent IS NULL) AS violations FROM golden
+  UNION ALL SELECT 'null:urgency', count_if(urgency IS NULL) FROM golden
+  UNION ALL SELECT 'rule:known_urgency', count_if(coalesce(urgency, '') NOT IN ('low', 'medium', 'high', 'critical')) FROM golden
+  UNION ALL SELECT 'unique:ticket_id', count(*) - count(DISTINCT ticket_id) FROM golden
+  UNION ALL SELECT 'rule:raw_agrees', count_if(NOT coalesce(lower(raw_priority) = urgency, false)) FROM golden)"""))
 def e15_golden_checks(spark, d):
-    g = golden(spark, d)
+    g = materialise(golden(spark, d).select("ticket_id", "intent", "urgency", "raw_priority"), "golden")
     return pf.quality_report(g, not_null=("intent", "urgency"), unique=("ticket_id",), rules={
         "known_urgency": F.col("urgency").isin("low", "medium", "high", "critical"),
         "raw_agrees": F.lower("raw_priority") == F.col("urgency")})
@@ -294,10 +357,11 @@ SELECT (SELECT round(count_if(intent = pred_intent) / count(*), 4) FROM by_rules
 FROM ({scores_sql(_URG.format('urgency'), _URG.format('pred_urgency'), 'by_rules')}) u,
      ({scores_sql('should_escalate', 'pred_human', 'by_rules')}) e"""))
 def e22_keyword_baseline(spark, d):
-    g = golden(spark, d)
-    rules = lb.classify_by_rules(clean_tickets(spark, d).select("ticket_id", F.col("ticket_text").alias("query")))
+    t = materialise(clean_tickets(spark, d), "tickets")
+    rules = lb.classify_by_rules(t.select("ticket_id", F.col("ticket_text").alias("query")))
     gated = rt.gate(rules, CFG).withColumn("route", F.when(F.col("escalate_to_human"), "human").otherwise("agent"))
-    a = ev.align(g, gated.select("ticket_id", "intent", "urgency", "route"))
+    # Three scores read the aligned rows.
+    a = materialise(ev.align(golden(spark, d, t), gated.select("ticket_id", "intent", "urgency", "route")), "aligned")
     return ev.accuracy(a).select(
         "accuracy", ev.urgency_scores(a).select("f1").scalar().alias("urgent_f1"),
         ev.escalation_scores(a).select("f1").scalar().alias("escalation_f1"))
