@@ -190,3 +190,36 @@ def test_parts_deliver_every_row_in_several_files(spark):
     got = spark.read.parquet(out)
     assert got.count() == 900 and got.where("id < 30").agg(F.max("part")).first()[0] == 0
     assert got.select("part").distinct().count() == 3 and got.select("file").distinct().count() > 3
+
+
+def test_late_rows_are_counted(spark):
+    rows = [(i * 3600, "low" if i % 2 else "high") for i in range(20)]
+    df = spark.createDataFrame(rows, "s bigint, urgency string").select(
+        F.timestamp_seconds(F.col("s") + 1704067200).alias("created_at"), "urgency")
+    path, out, state = scratch_dir(spark, "late-in"), scratch_dir(spark, "late"), scratch_dir(spark, "state")
+    for n in range(3, -1, -1):  # the newest first, one batch each
+        lower = F.unix_seconds("created_at") - 1704067200
+        df.where((lower >= n * 18000) & (lower < (n + 1) * 18000)).coalesce(1).write.mode("append").parquet(path)
+        flows.depth_to_table(flows.queue_depth(flows.read_stream(spark, path, df.schema)), out, state).awaitTermination()
+    got = flows.read_depth(spark, out)
+    assert got.agg(F.sum("row_count")).first()[0] == 20 and read_batches(spark, out).select("batch_id").distinct().count() == 4
+
+
+def test_pending_falls_with_answers_in_any_order(spark):
+    event = "id string, kind string, urgency string"
+    batches = [
+        [("a", "queued", "high"), ("b", "queued", "low"), ("c", "answered", None)],
+        [("a", "answered", None), ("c", "queued", "high"), ("d", "queued", "low"), ("d", "queued", "low")],
+        [("a", "answered", None), ("e", "answered", None), ("e", "queued", "low"), ("a", "queued", "high"), ("f", "queued", None)],
+        [("d", "answered", None)],
+    ]
+    path, out, state = scratch_dir(spark, "events"), scratch_dir(spark, "pending"), scratch_dir(spark, "state")
+    want = [{"high": 1, "low": 1}, {"low": 2}, {"low": 2, None: 1}, {"low": 1, None: 1}]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    for rows, expected in zip(batches, want):
+        spark.createDataFrame(rows, event).coalesce(1).write.mode("append").parquet(path)
+        stream = flows.read_stream(spark, path, spark.createDataFrame([], event).schema)
+        flows.pending_to_table(stream, out, state).awaitTermination()
+        assert {r["urgency"]: r["pending"] for r in flows.read_pending(spark, out).collect()} == expected
+    assert spark.conf.get(provider, None) == before

@@ -113,22 +113,22 @@ SELECT time_bucket(INTERVAL 10 MINUTES, created_at) AS window_start,
        time_bucket(INTERVAL 10 MINUTES, created_at) + INTERVAL 10 MINUTES AS window_end, status, count(*) AS row_count
 FROM reviews GROUP BY ALL"""))
 def w4_review_counts(spark, d):
+    """Reviews come in three batches, the latest first."""
     rows = reviews(spark, d).select(F.col("created_at").cast("timestamp").alias("created_at"), "status")
-    path = scratch_dir(spark, "review-counts")
-    counts = flows.review_counts(as_stream(spark, rows, "review-stream"))
-    flows.depth_to_table(counts, path, scratch_dir(spark, "review-counts-state")).awaitTermination()
+    path, state = scratch_dir(spark, "review-counts"), scratch_dir(spark, "review-counts-state")
+    for stream in in_parts(spark, rows, "reviews", -F.unix_micros("created_at")):
+        flows.depth_to_table(flows.review_counts(stream), path, state).awaitTermination()
     out = flows.read_depth(spark, path, by="status")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 def _depth(spark, d, slide, name):
-    """Depth of the queue of all raw tickets, by their rule-based urgency."""
+    """Arrivals of all raw tickets by urgency, in three batches, the latest first."""
     t = fx.tickets_raw(spark, d).select(
         F.col("created_at").cast("timestamp").alias("created_at"), F.lower("ticket_priority").alias("urgency"))
-    stream = as_stream(spark, t, f"{name}-stream")
-    path = scratch_dir(spark, name)
-    depth = flows.queue_depth(stream, "10 minutes", slide)
-    flows.depth_to_table(depth, path, scratch_dir(spark, f"{name}-state")).awaitTermination()
+    path, state = scratch_dir(spark, name), scratch_dir(spark, f"{name}-state")
+    for stream in in_parts(spark, t, f"{name}-in", -F.unix_micros("created_at")):
+        flows.depth_to_table(flows.queue_depth(stream, "10 minutes", slide), path, state).awaitTermination()
     out = flows.read_depth(spark, path)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
@@ -149,3 +149,16 @@ def w4_queue_depth(spark, d):
     "[time_bucket(INTERVAL 5 MINUTES, created_at), time_bucket(INTERVAL 5 MINUTES, created_at) - INTERVAL 5 MINUTES]"))
 def w4_queue_depth_sliding(spark, d):
     return _depth(spark, d, "5 minutes", "depth-sliding")
+
+
+@register("w4_pending_depth", S.with_ctes("""
+SELECT urgency, count(*) AS pending FROM queue WHERE id NOT IN (SELECT id FROM queue_events) GROUP BY urgency"""))
+def w4_pending_depth(spark, d):
+    """Open tickets: queue rows and answers in three batches mixed by digest, answers delivered twice."""
+    q = queue(spark, d).select("id", "urgency")
+    answers = queue_events(spark, d).select("id")
+    events = flows.ticket_events(q, answers.unionByName(answers))
+    path, state = scratch_dir(spark, "pending"), scratch_dir(spark, "pending-state")
+    for stream in in_parts(spark, events, "ticket-events", F.xxhash64("kind", "id") % 1000):
+        flows.pending_to_table(stream, path, state).awaitTermination()
+    return flows.read_pending(spark, path)

@@ -3,11 +3,13 @@ a write to an index run per micro-batch, and a replayed batch replaces its own o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ticketloom.config import TriageConfig
 from ticketloom.operators import hygiene as hy
@@ -113,25 +115,94 @@ def _new_reviews(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
 
 
 def queue_depth(
-    queue: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str = "10 minutes",
+    queue: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str | None = None,
     by: str = "urgency",
 ) -> DataFrame:
-    """New queue rows per time window and urgency; a window is final once the watermark
-    has passed its end. Works on a stream and on a table."""
+    """New queue rows per time window and urgency. Works on a stream and on a table.
+
+    No row is too late: the state holds one number per window and urgency, which does not grow
+    with the rows. ``delay`` sets a watermark for streams that must forget old windows; rows
+    that come later than that are lost then.
+    """
+    rows = queue.withWatermark("created_at", delay) if delay else queue
     return (
-        queue.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", size, slide), by)
+        rows.groupBy(F.window("created_at", size, slide), by)
         .agg(F.count(F.lit(1)).alias("row_count"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                 by, "row_count")
     )
 
 
-def review_counts(reviews: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+def review_counts(reviews: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str | None = None) -> DataFrame:
     """New developer reviews per time window and status."""
     return queue_depth(reviews, size, slide, delay, by="status")
 
 
+#: Row of the stream that ``pending_changes`` reads: a ticket was queued or answered.
+TICKET_EVENT = "id string, kind string, urgency string"
+
+
+def _opened_or_closed(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Remembers of a ticket whether it was queued and answered, and tells when it opens or closes."""
+    queued, answered, urgency = state.get if state.exists else (False, False, None)
+    was_open = queued and not answered
+    for part in rows:
+        arrivals = part.loc[part["kind"] == "queued", "urgency"]
+        if len(arrivals) and not queued:
+            queued, urgency = True, min((u for u in arrivals if isinstance(u, str)), default=None)
+        answered = answered or bool((part["kind"] == "answered").any())
+    state.update((queued, answered, urgency))
+    change = int(queued and not answered) - int(was_open)
+    if change:
+        yield pd.DataFrame({"urgency": pd.Series([urgency], dtype=object), "change": [change]})
+
+
+def ticket_events(queue: DataFrame, answers: DataFrame) -> DataFrame:
+    """Queue rows (id, urgency) and answers (id) as one stream for ``pending_changes``."""
+    none = F.lit(None).cast("string")
+    return queue.select("id", F.lit("queued").alias("kind"), F.col("urgency").cast("string").alias("urgency")).unionByName(
+        answers.select("id", F.lit("answered").alias("kind"), none.alias("urgency")))
+
+
+def pending_changes(events: DataFrame) -> DataFrame:
+    """(urgency, change): +1 when a ticket becomes open, -1 when it is answered.
+
+    ``events`` is a stream of ``TICKET_EVENT`` rows. The state of a ticket is two flags and its
+    urgency, kept for good, as an answer may come before its ticket, late or again. A ticket
+    that is queued again keeps its first urgency.
+    """
+    return events.groupBy("id").applyInPandasWithState(
+        _opened_or_closed, "urgency string, change int", "queued boolean, answered boolean, urgency string", "update",
+        GroupStateTimeout.NoTimeout)
+
+
+def pending_to_table(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Changes of the number of open tickets per urgency, one small file a batch; see ``read_pending``."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.groupBy("urgency").agg(F.sum("change").alias("change")), path, batch_id)
+
+    spark, provider = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    # The state of single tickets grows with them, so it is kept on disk; a query goes on as it started.
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return (
+            pending_changes(events).writeStream.outputMode("update").foreachBatch(run)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+
+
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """Open tickets per urgency, now."""
+    rows = read_batches(spark, path, "urgency string, change bigint, batch_id bigint")
+    return rows.groupBy("urgency").agg(F.sum("change").alias("pending")).where("pending > 0")
+
+
 def depth_to_table(depth: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Every change of a window is written, open windows too; ``read_depth`` has the last."""
     def run(batch: DataFrame, batch_id: int) -> None:
