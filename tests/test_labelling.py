@@ -132,3 +132,59 @@ def test_embedding_store_recomputes_only_changed_rows(spark):
     store = es.with_hash(old).withColumn("embedding", F.array(F.lit(0.0))).select(*es.STORE_COLUMNS)
     out = es.refresh(t, store, lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0))))
     assert {r["ticket_id"]: r["embedding"] for r in out.collect()} == {1: [0.0], 2: [1.0], 3: [1.0]}
+
+
+def test_failures_are_told_from_labels(spark):
+    def broken(batch):
+        if (batch["ticket_id"] < 5).any():
+            raise RuntimeError("down")
+        return batch[batch["ticket_id"] != 7].assign(intent="other", confidence=0.5)
+
+    df = spark.createDataFrame([(i, "t") for i in range(10)], "ticket_id bigint, ticket_text string").coalesce(1)
+    rows = lb.label_externally(df, broken, 5, 2, with_failures=True)
+    got = {r["ticket_id"]: r["failure"] for r in rows.collect()}
+    assert all(got[i] == "RuntimeError: down" for i in range(5)) and got[7] == lb.UNANSWERED and got[9] is None
+    counts = {r["failure"]: r["row_count"] for r in lb.label_failures(rows).collect()}
+    assert counts == {"RuntimeError: down": 5, lb.UNANSWERED: 1, None: 4}
+    assert lb.label_externally(df, broken, 5, 2).count() == 9  # an answer for part of a batch is taken as it is
+    empty = lb.label_externally(df, lambda b: b.head(0), 5, 1, with_failures=True)
+    assert {r["failure"] for r in empty.collect()} == {"empty answer"}
+
+
+def test_offline_labeller_equals_the_cluster_labels(spark):
+    from ticketloom.sources.tables import taxonomy_table
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    texts = ["I want a refund", "please cancel", "hello", "plain"]
+    t = spark.createDataFrame([(i, texts[i % 4], v[i].tolist()) for i in range(60)], "ticket_id bigint, ticket_text string, embedding array<double>")
+    c = spark.createDataFrame([(i, (v[i] * 0.7).tolist()) for i in range(30)], "cluster_id int, centroid array<double>")
+    tax = taxonomy_table(spark)
+    want = lb.label_by_cluster(cl.assign_nearest(t, c), tax, c).select("ticket_id", "assigned_intent", "intent_confidence")
+    got = lb.label_externally(t, lb.centroid_labeller(c, tax), columns=("ticket_id", "ticket_text", "embedding"))
+    got = got.select("ticket_id", "intent", F.round("confidence", 3))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_long_chains_join_in_few_rounds(spark, monkeypatch):
+    n, rounds = 5000, []
+    monkeypatch.setattr(cl, "materialise", lambda df, name, keep=cl.materialise: (rounds.append(name), keep(df, name))[1])
+    nodes = spark.range(n + 2).select(F.col("id").cast("int").alias("cluster_id"))
+    mixed = lambda c: (F.col(c) * 3701 % n).cast("int")  # noqa: E731 - a chain in mixed order
+    links = spark.range(n - 1).select(mixed("id").alias("a"), ((F.col("id") + 1) * 3701 % n).cast("int").alias("b"))
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    got = cl.joined_labels(nodes, links).groupBy("root").count().collect()
+    assert {(r["root"], r["count"]) for r in got} == {(0, n), (n, 1), (n + 1, 1)}
+    assert len(rounds) < 60 and rounds.count("labels") < 20
+
+
+def test_many_centroids_are_met_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, centres = rng.normal(size=(300, 6)), rng.normal(size=(9000, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "ticket_id bigint, embedding array<double>")
+    c = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(centres)], "cluster_id int, centroid array<double>")
+    flat = {r["ticket_id"]: r["cluster_id"] for r in cl.assign_nearest(df, c).collect()}
+    monkeypatch.setattr(cl, "MAX_CENTROIDS", 5000)
+    assert {r["ticket_id"]: r["cluster_id"] for r in cl.assign_nearest(df, c).collect()} == flat
+    assert cl.assign_nearest(df, c).columns == ["ticket_id", "embedding", "cluster_id"]

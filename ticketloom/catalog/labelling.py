@@ -228,7 +228,9 @@ def c9_auto_plan(spark, d):
 @register("c10_merge_issues", S.with_ctes("""
 SELECT DISTINCT cluster_id, 'not mapped' AS issue FROM clustered WHERE cluster_id NOT IN (SELECT cluster_id FROM cluster_intents)
 UNION ALL SELECT DISTINCT cluster_id::BIGINT, 'unknown cluster' FROM cluster_intents WHERE cluster_id NOT IN (SELECT cluster_id FROM clustered)
-UNION ALL SELECT 3, 'mapped more than once'"""))
+UNION ALL SELECT cluster_id::BIGINT, 'mapped more than once' FROM (
+  SELECT cluster_id FROM cluster_intents UNION ALL SELECT cluster_id FROM cluster_intents WHERE cluster_id = 3)
+GROUP BY cluster_id HAVING count(*) > 1"""))
 def c10_merge_issues(spark, d):
     plan = fx.taxonomy(spark).select("source_cluster_ids")
     twice = plan.where(F.array_contains("source_cluster_ids", 3)).select(F.array(F.lit(3)).alias("source_cluster_ids"))
@@ -248,12 +250,15 @@ def c12_resume(spark, d):
 
 
 @register("c13_taxonomy_checks", S.with_ctes("""
-SELECT 'rule:known_name' AS rule, count_if(assigned_intent NOT IN (SELECT name FROM taxonomy)) AS violations,
-       count_if(assigned_intent NOT IN (SELECT name FROM taxonomy)) = 0 AS passed FROM labelled
-UNION ALL SELECT 'rule:risk_level', 0, true UNION ALL SELECT 'rule:has_definition', 0, true
-UNION ALL SELECT 'unique:ticket_id', 0, true"""))
+SELECT rule, violations, violations = 0 AS passed FROM (
+  SELECT 'rule:known_name' AS rule, count_if(name IS NULL) AS violations FROM checked
+  UNION ALL SELECT 'rule:risk_level', count_if(coalesce(risk_level, '') NOT IN ('low', 'high')) FROM checked
+  UNION ALL SELECT 'rule:has_definition', count_if(NOT coalesce(length(definition) > 0, false)) FROM checked
+  UNION ALL SELECT 'unique:ticket_id', count(*) - count(DISTINCT ticket_id) FROM checked)""",
+    checked="SELECT l.ticket_id, t.* FROM labelled l LEFT JOIN taxonomy t ON t.name = l.assigned_intent"))
 def c13_taxonomy_checks(spark, d):
     t = labelled(spark, d).join(fx.taxonomy(spark), F.col("assigned_intent") == F.col("name"), "left")
+    t = materialise(t.select("ticket_id", "name", "risk_level", "definition"), "checked")
     rules = cl.taxonomy_checks(t, tuple(n for n, _, _ in K.TAXONOMY))
     return pf.quality_report(t, unique=("ticket_id",), rules=rules)
 
@@ -331,6 +336,17 @@ def l6_external_labeller(spark, d):
     return lb.label_externally(clean_tickets(spark, d))
 
 
+@register("l6_offline_labeller", S.with_ctes(
+    "SELECT ticket_id, assigned_intent AS intent, intent_confidence AS confidence, NULL::VARCHAR AS failure FROM labelled"))
+def l6_offline_labeller(spark, d):
+    """Keyword rules and nearest centroid as one plug-in, with the failure channel."""
+    v = fx.ticket_vectors(spark, d).select("ticket_id", "embedding")
+    labeller = lb.centroid_labeller(centroids(spark, d), fx.taxonomy(spark))
+    rows = lb.label_externally(
+        clean_tickets(spark, d).join(v, "ticket_id"), labeller, columns=("ticket_id", "ticket_text", "embedding"), with_failures=True)
+    return rows.withColumn("confidence", F.round("confidence", 3))
+
+
 @register("l7_fold_labels", S.with_ctes(f"""
 SELECT t.ticket_id, CASE WHEN t.ticket_status = 'Open' THEN 'other' WHEN t.ticket_status = 'Closed' THEN 'relabelled' ELSE o.intent END AS assigned_intent,
        CASE WHEN t.ticket_status = 'Open' THEN 0.5::DOUBLE WHEN t.ticket_status = 'Closed' THEN 0.7::DOUBLE ELSE o.confidence END AS intent_confidence

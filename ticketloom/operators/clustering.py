@@ -80,7 +80,12 @@ def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign_nearest(df: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Nearest of given centroids (euclidean, ties to the lower id)."""
+    """Nearest of given centroids (euclidean, ties to the lower id).
+
+    Up to ``MAX_CENTROIDS`` are held by every task; more meet the rows in blocks.
+    """
+    if blocks.bounded_rows(centroids.select("cluster_id"), MAX_CENTROIDS) is None:
+        return _assign_in_blocks(df, centroids, vector)
     ids, matrix = centroid_matrix(centroids)
 
     @F.pandas_udf("int")
@@ -98,6 +103,32 @@ def assign_nearest(df: DataFrame, centroids: DataFrame, vector: str = "embedding
     return df.withColumn("cluster_id", nearest.asNondeterministic()(F.col(vector)))
 
 
+def _assign_in_blocks(df: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
+    """Each block of centroids gives a row its nearest one there; the nearest of these is it."""
+    rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "unassigned")
+
+    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "cluster_id", "far"]
+        if not len(q) or not len(c):
+            return blocks.stack([], columns)
+        c = c.sort_values("case_key", ignore_index=True)
+        ids, matrix = c["case_key"].to_numpy(), np.array(c["vector"].tolist(), dtype="float64")
+        size, step, out = (matrix * matrix).sum(1)[None, :], max(1, 4_000_000 // len(c)), []
+        for at in range(0, len(q), step):
+            m = np.array(q["vector"].iloc[at:at + step].tolist(), dtype="float64")
+            far = size - 2.0 * (m @ matrix.T)
+            near = np.argmin(far, axis=1)
+            out.append({"query_id": q["query_id"].to_numpy()[at:at + step], "cluster_id": ids[near], "far": far[np.arange(len(m)), near]})
+        return blocks.stack(out, columns)
+
+    found = blocks.meet(
+        rows.select(F.col("__row").alias("query_id"), F.col(vector).alias("vector")),
+        centroids.select(F.col("cluster_id").alias("case_key"), F.col("centroid").alias("vector")),
+        work, "query_id bigint, cluster_id int, far double", 4096, 4096)
+    best = found.groupBy(F.col("query_id").alias("__row")).agg(F.min(F.struct("far", "cluster_id")).alias("best"))
+    return rows.join(best, "__row").withColumn("cluster_id", F.col("best.cluster_id")).drop("__row", "best")
+
+
 def silhouette(df: DataFrame, measure: str, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
     """Silhouette of unit vectors over all rows; linear in rows, no sample."""
     evaluator = ClusteringEvaluator(
@@ -217,28 +248,43 @@ def summarise(df: DataFrame, centroids: DataFrame, key: str = "ticket_id", risk_
     )
 
 
+def joined_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cluster_id, root) with the least linked id as root; ``links`` (a, b) hold both directions.
+
+    Each round hangs every group with a smaller neighbouring group below the smallest of them,
+    and then follows these steps to their ends by doubling them. Groups that get no step are
+    those smaller than all their neighbours, so rounds and doublings grow with the logarithm of
+    a chain's length. Steps and labels are stored in each round.
+    """
+    labels = materialise(nodes.select("cluster_id", F.col("cluster_id").alias("root")), "labels")
+    while True:
+        here = labels.select(F.col("cluster_id").alias("a"), F.col("root").alias("root_a"))
+        there = labels.select(F.col("cluster_id").alias("b"), F.col("root").alias("root_b"))
+        offers = links.join(here, "a").join(there, "b").where("root_b < root_a")
+        steps = materialise(offers.groupBy(F.col("root_a").alias("root")).agg(F.min("root_b").alias("to")), "steps")
+        if steps.isEmpty():
+            return labels
+        while True:
+            ahead = steps.select(F.col("root").alias("to"), F.col("to").alias("end"))
+            doubled = steps.join(ahead, "to", "left")
+            if doubled.where("end IS NOT NULL").isEmpty():
+                break
+            steps = materialise(doubled.select("root", F.coalesce("end", "to").alias("to")), "steps")
+        labels = materialise(labels.join(steps, "root", "left").select("cluster_id", F.coalesce("to", "root").alias("root")), "labels")
+
+
 def merge_plan(centroids: DataFrame, threshold: float) -> DataFrame:
     """(name, source_cluster_ids): clusters whose centroids are linked by a cosine of ``threshold``
     or more, directly or through others; the name is the least cluster id of the group.
 
-    Centroids meet in blocks, and only a forest of the links of two blocks leaves a task;
-    labels then run along the links until none changes.
+    Centroids meet in blocks, and only a forest of the links of two blocks leaves a task.
     """
     points = materialise(centroids.select("cluster_id", F.col("centroid").alias("vector")), "centroids")
     near = blocks.linked(
         points.select(F.col("cluster_id").alias("query_id"), "vector"),
         points.select(F.col("cluster_id").alias("case_key"), "vector"), threshold, 1024, 1024)
     links = materialise(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = points.select("cluster_id", F.col("cluster_id").alias("root"))
-    while True:
-        offered = links.join(labels, links["b"] == labels["cluster_id"]).groupBy("a").agg(F.min("root").alias("offer"))
-        moved = labels.join(offered, F.col("cluster_id") == F.col("a"), "left")
-        moved = materialise(moved.select(
-            "cluster_id", F.least("root", F.coalesce("offer", "root")).alias("root"),
-            F.coalesce(F.col("offer") < F.col("root"), F.lit(False)).alias("changed")), "labels")
-        labels = moved.drop("changed")
-        if moved.where("changed").isEmpty():
-            break
+    labels = joined_labels(points.select("cluster_id"), links)
     return labels.groupBy("root").agg(F.sort_array(F.collect_list("cluster_id")).alias("source_cluster_ids")).select(
         F.concat(F.lit("cluster_"), F.col("root").cast("string")).alias("name"), "source_cluster_ids")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +116,8 @@ def batch_payloads(batched: DataFrame, text_chars: int | None = None) -> DataFra
 
 
 Labeller = Callable[[pd.DataFrame], pd.DataFrame]
+#: Mark of rows that a labeller's answer left out.
+UNANSWERED = "not in the answer"
 
 
 def keyword_labeller(batch: pd.DataFrame) -> pd.DataFrame:
@@ -130,32 +133,75 @@ def keyword_labeller(batch: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def centroid_labeller(centroids: DataFrame, taxonomy: DataFrame) -> Labeller:
+    """Offline labeller for batches with ``embedding``: keyword rules, else the intent of the nearest centroid.
+
+    The confidence is that of ``centroid_confidence``. Centroids and their intents are taken
+    along by every task, so they must be few (``clustering.MAX_CENTROIDS``).
+    """
+    from ticketloom.operators.clustering import centroid_matrix
+
+    ids, matrix = centroid_matrix(centroids)
+    named = small_side(cluster_map(taxonomy).join(centroids.select("cluster_id").distinct(), "cluster_id"))
+    intents = {r["cluster_id"]: r["intent"] for r in named.collect()}
+    names = np.array([intents.get(i, K.OTHER_INTENT) for i in ids.tolist()], dtype=object)
+
+    def label(batch: pd.DataFrame) -> pd.DataFrame:
+        out = keyword_labeller(batch)
+        rest = (out["intent"] == K.OTHER_INTENT).to_numpy()
+        if rest.any():
+            m = np.array(batch["embedding"][rest].tolist(), dtype="float64")
+            near = np.argmin((matrix * matrix).sum(1)[None, :] - 2.0 * (m @ matrix.T), axis=1)
+            own = (m * matrix[near]).sum(axis=1)
+            out.loc[rest, "intent"] = names[near]
+            out.loc[rest, "confidence"] = np.clip(0.5 + 0.5 * own, 0.50, 0.98)
+        return out
+
+    return label
+
+
 def label_externally(
-    tickets: DataFrame, labeller: Labeller = keyword_labeller, batch_rows: int = 25, tries: int = 3
+    tickets: DataFrame, labeller: Labeller = keyword_labeller, batch_rows: int = 25, tries: int = 3,
+    columns: tuple[str, ...] = ("ticket_id", "ticket_text"), with_failures: bool = False,
 ) -> DataFrame:
-    """Run a labeller over batches of (ticket_id, ticket_text) inside the tasks.
+    """Run a labeller over batches of ``columns`` inside the tasks.
 
     A batch that fails ``tries`` times is labelled ``other`` with 0.5; an answer for part of
-    a batch is taken as it is. Concurrency is the number of partitions.
+    a batch is taken as it is. ``with_failures`` adds a column ``failure``: the error of the last
+    try on rows that were not labelled, so that an outage does not look like a label, and rows
+    that the answer left out. Concurrency is the number of partitions.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), batch_rows):
-                yield attempt(part.iloc[at : at + batch_rows].reset_index(drop=True))
+                found = attempt(part.iloc[at : at + batch_rows].reset_index(drop=True))
+                yield found if with_failures else found[found["failure"] != UNANSWERED].drop(columns="failure")
+
+    def unlabelled(ids: pd.Series, reason: str) -> pd.DataFrame:
+        return pd.DataFrame({"ticket_id": ids, "intent": K.OTHER_INTENT, "confidence": 0.5, "failure": reason})
 
     def attempt(batch: pd.DataFrame) -> pd.DataFrame:
+        reason = "empty answer"
         for _ in range(tries):
             try:
                 answer = labeller(batch)
                 if len(answer):
-                    return answer[["ticket_id", "intent", "confidence"]].astype({"intent": object})
-            except Exception:  # noqa: BLE001 - any failure of a plug-in means another try
-                continue
-        return pd.DataFrame({"ticket_id": batch["ticket_id"], "intent": K.OTHER_INTENT, "confidence": 0.5})
+                    answer = answer[["ticket_id", "intent", "confidence"]].astype({"intent": object}).assign(failure=None)
+                    left_out = batch.loc[~batch["ticket_id"].isin(answer["ticket_id"]), "ticket_id"]
+                    return pd.concat([answer, unlabelled(left_out, UNANSWERED)]) if len(left_out) else answer
+                reason = "empty answer"
+            except Exception as e:  # noqa: BLE001 - any failure of a plug-in means another try
+                reason = f"{type(e).__name__}: {e}"[:200]
+        return unlabelled(batch["ticket_id"], reason)
+
+    schema = "ticket_id bigint, intent string, confidence double" + (", failure string" if with_failures else "")
+    return tickets.select(*columns).mapInPandas(run, schema)
+
 
-    return tickets.select("ticket_id", "ticket_text").mapInPandas(
-        run, "ticket_id bigint, intent string, confidence double")
+def label_failures(results: DataFrame) -> DataFrame:
+    """(failure, row_count) of labelled rows ``with_failures``: null counts what was labelled."""
+    return results.groupBy("failure").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def fold_labels(tickets: DataFrame, results: DataFrame) -> DataFrame:
