@@ -98,3 +98,41 @@ def test_ordinal_is_global_and_gap_free(spark):
     df = spark.createDataFrame([(i,) for i in ids], "k bigint")
     got = {r["k"]: r["position"] for r in lb.ordinal(df, "k", rows_per_task=2).collect()}
     assert got == {k: n for n, k in enumerate(sorted(ids))}
+
+
+def test_csv_read_by_blocks_equals_the_whole_reader(spark, tmp_path):
+    from ticketloom.sources import tables as tb
+
+    names = list(tb.RAW_COLUMNS)
+    values = ['plain', 'two\nlines', 'say ""hi""', 'a,b\r\nc', '""', 'x\n\n""y""\nz', "", 'line one\n"" tail']
+    for n in range(3):
+        rows = [",".join(f'"{v}"' for v in names)]
+        for i in range(80):
+            fields = [str(i + 1000 * n)] + [f'"{values[(i * 7 + j * 3 + n) % len(values)]}"' for j in range(1, len(names))]
+            rows.append(",".join(fields))
+        (tmp_path / f"part{n}.csv").write_bytes(("\n".join(rows) + "\n").encode())
+    want = tb.read_raw_csv(spark, str(tmp_path)).collect()
+    for size in (300, 5000, 1 << 20):
+        got = tb.read_raw_csv_blocks(spark, str(tmp_path), size)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 240
+
+
+def test_stages_are_counted_as_they_are_written(spark):
+    from ticketloom.operators import profiling as pf
+
+    stored, n = pf.counted(spark.range(17).where("id < 9"), "some")
+    none, zero = pf.counted(stored.where("id > 100"), "none")
+    assert (n, stored.count(), zero, none.count()) == (9, 9, 0, 0)
+    assert [tuple(r) for r in pf.funnel_of(spark, [("a", 9), ("b", 0)]).collect()] == [(1, "a", 9), (2, "b", 0)]
+
+
+def test_daily_sketches_merge_to_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    from ticketloom.operators import profiling as pf
+
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_000).alias("v"), (F.col("id") % 9).alias("day"))
+    days = pf.daily_sketches(df, {"v": F.col("v"), "w": F.when(F.col("v") < 100, F.lit(5))}, F.col("day"))
+    got = {r["measure"]: r for r in pf.merged_quantiles(days).collect()}
+    assert got["v"]["count"] == 30_000 and all(abs(q / 30_000 - s) < 0.01 for q, s in zip(got["v"]["quantiles"], (0.25, 0.5, 0.75)))
+    assert (got["w"]["count"], list(got["w"]["quantiles"])) == (100, [5, 5, 5]) and days.count() > 9

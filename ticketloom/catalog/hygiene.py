@@ -10,7 +10,7 @@ from ticketloom.catalog.registry import Family
 from ticketloom.functions import text as tx
 from ticketloom.operators import hygiene as hy
 from ticketloom.operators import profiling as pf
-from ticketloom.session import scratch_dir
+from ticketloom.session import materialise, scratch_dir
 from ticketloom.sources import fixtures as fx
 from ticketloom.sources import tables as tb
 
@@ -37,15 +37,26 @@ CLEAN = (
     "ticket_priority, ticket_status, resolution FROM tickets_raw"))
 def s1_raw_scan(spark, d):
     """Raw tickets written as quoted CSV and scanned back."""
+    return tb.read_raw_csv(spark, _raw_csv(spark, fx.tickets_raw(spark, d)))
+
+
+@register("s1_split_scan", S.with_ctes(
+    "SELECT ticket_id, ticket_description, product_purchased, ticket_type, ticket_subject, "
+    "ticket_priority, ticket_status, resolution FROM tickets_raw"))
+def s1_split_scan(spark, d):
+    """The same files read by blocks, several tasks a file."""
+    return tb.read_raw_csv_blocks(spark, _raw_csv(spark, fx.tickets_raw(spark, d)), block_bytes=1 << 20)
+
+
+def _raw_csv(spark, tickets):
     path = scratch_dir(spark, "raw-csv")
-    raw = fx.tickets_raw(spark, d).drop("created_at")
+    raw = tickets.drop("created_at")
     header = {v: k for k, v in tb.RAW_COLUMNS.items()}
     named = raw.select(*[F.col(c).alias(header[c]) for c in raw.columns])
     (named.write.option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path))
-    back = tb.read_raw_csv(spark, path)
-    return back
+    return path
 
 
 @register("s2_s3_table_round_trip", S.with_ctes(f"SELECT {CLEAN} FROM tickets"))
@@ -173,18 +184,31 @@ CASE ticket_id % 8
   ELSE '[1, 2]' END"""
 
 
-@register("p22_p23_parse_classification", S.with_ctes("""
+# The rules of the parser on DuckDB's own JSON: a missing key has a default, a JSON null is "None"
+# or an error, any other value is its text.
+def _json_word(key: str, default: str) -> str:
+    return (f"CASE json_type(j, '$.{key}') WHEN 'NULL' THEN 'None' ELSE coalesce({S.strip(f"json_extract_string(j, '$.{key}')")}, '{default}') END")
+
+
+@register("p22_p23_parse_classification", S.with_ctes(f"""
 SELECT ticket_id,
-  CASE ticket_id % 8 WHEN 1 THEN 'none' WHEN 6 THEN 'warranty_claim' ELSE 'other' END AS intent,
-  (CASE ticket_id % 8 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 3 THEN 0.8 WHEN 5 THEN 0.75
-        WHEN 6 THEN 0.0 ELSE 0.5 END)::DOUBLE AS confidence,
-  CASE ticket_id % 8 WHEN 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
-  CASE ticket_id % 8 WHEN 1 THEN 'medium' WHEN 3 THEN 'critical' WHEN 5 THEN 'medium'
-       WHEN 6 THEN 'medium' ELSE 'high' END AS urgency,
-  CASE WHEN ticket_id % 8 = 0 THEN 'late' WHEN ticket_id % 8 IN (1, 3, 5, 6) THEN 'Standard classification'
-       ELSE 'Classification fallback due to error: invalid classification' END AS urgency_reason,
-  ticket_id % 8 NOT IN (1, 5, 6) AS is_high_risk
-FROM tickets"""))
+       CASE WHEN good THEN lower({_json_word('intent', 'other')}) ELSE 'other' END AS intent,
+       CASE WHEN good THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, number)) ELSE 0.5::DOUBLE END AS confidence,
+       CASE WHEN good THEN lower({_json_word('sentiment', 'neutral')}) ELSE 'neutral' END AS sentiment,
+       CASE WHEN good THEN lower({_json_word('urgency', 'medium')}) ELSE 'high' END AS urgency,
+       CASE WHEN good THEN {_json_word('urgency_reason', 'Standard classification')}
+            ELSE 'Classification fallback due to error: invalid classification' END AS urgency_reason,
+       CASE WHEN NOT good THEN true ELSE coalesce(CASE json_type(j, '$.is_high_risk')
+            WHEN 'BOOLEAN' THEN json_extract_string(j, '$.is_high_risk') = 'true'
+            WHEN 'VARCHAR' THEN length(json_extract_string(j, '$.is_high_risk')) > 0
+            WHEN 'OBJECT' THEN json_extract_string(j, '$.is_high_risk') <> '{{}}'
+            WHEN 'ARRAY' THEN json_extract_string(j, '$.is_high_risk') <> '[]'
+            WHEN 'NULL' THEN false
+            ELSE TRY_CAST(json_extract_string(j, '$.is_high_risk') AS DOUBLE) <> 0 END, false) END AS is_high_risk
+FROM (SELECT *, coalesce(json_type(j) = 'OBJECT' AND number IS NOT NULL, false) AS good FROM (
+  SELECT *, CASE WHEN json_type(j, '$.confidence') IS NULL THEN 0.8::DOUBLE
+                 ELSE TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS number
+  FROM (SELECT ticket_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM (SELECT ticket_id, {_RAW_JSON} AS raw FROM tickets))))"""))
 def p22_p23_parse_classification(spark, d):
     raw = clean_tickets(spark, d).select("ticket_id", F.expr(_RAW_JSON).alias("raw"))
     return raw.select("ticket_id", hy.parse_classification(F.col("raw")).alias("c")).select("ticket_id", "c.*")
@@ -227,6 +251,31 @@ def a2_length_profile(spark, d):
     return pf.describe(df, pf.length_profile(df))
 
 
+@register("a2_merged_sketches", S.with_ctes("""
+SELECT measure, count(v) AS count, count(DISTINCT day) AS days, true AS within FROM (
+  SELECT 'ticket_chars' AS measure, length(ticket_text) AS v, created_at::DATE AS day FROM tickets
+  UNION ALL SELECT 'resolution_chars', CASE WHEN is_solved THEN length(resolution) END, created_at::DATE FROM tickets)
+WHERE v IS NOT NULL GROUP BY measure"""))
+def a2_merged_sketches(spark, d):
+    """Sketches of single days, merged: the rows they have seen, and whether the rank of each quartile
+    among all rows is within a hundredth of what was asked for."""
+    df = materialise(clean_tickets(spark, d, extra=("created_at",)).select(
+        "ticket_text", "resolution", "is_solved", "created_at"), "dated-texts")
+    measures = pf.length_profile(df)
+    sketches = materialise(pf.daily_sketches(df, measures, F.to_date("created_at")), "daily-sketches")
+    found = pf.merged_quantiles(sketches).join(
+        sketches.groupBy("measure").agg(F.count_distinct("day").alias("days")), "measure")
+    lengths = df.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("measure"), v.cast("bigint").alias("v")) for n, v in measures.items()])).alias("m")).select("m.*")
+    met = lengths.where("v IS NOT NULL").join(F.broadcast(found), "measure")  # a row per measure
+    shares = (0.25, 0.5, 0.75)
+    # A value that many rows share covers a range of ranks: the share must lie in it.
+    below = [F.avg((F.col("v") < F.col("quantiles")[i]).cast("double")) <= s + 0.01 for i, s in enumerate(shares)]
+    upto = [F.avg((F.col("v") <= F.col("quantiles")[i]).cast("double")) >= s - 0.01 for i, s in enumerate(shares)]
+    within = below[0] & below[1] & below[2] & upto[0] & upto[1] & upto[2]
+    return met.groupBy("measure", "count", "days").agg(within.alias("within"))
+
+
 @register("a3_word_profile", _describe_sql({
     "ticket_words": _sql_words("ticket_text"),
     "resolution_words": f"CASE WHEN is_solved THEN {_sql_words('resolution')} END"}))

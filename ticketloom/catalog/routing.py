@@ -424,9 +424,14 @@ SELECT 1 AS stage_no, 'raw' AS stage, count(*) AS row_count FROM tickets_raw
 UNION ALL SELECT 2, 'clean', count(*) FROM tickets UNION ALL SELECT 3, 'resolved', count(*) FROM tickets WHERE is_solved
 UNION ALL SELECT 4, 'indexed', count(*) FROM solved_index"""))
 def a9_funnel(spark, d):
+    """Rows of each stage, counted while the stage is written."""
     from ticketloom.catalog.retrieval import solved_index
+    from ticketloom.operators import hygiene as hy
     from ticketloom.operators import profiling as pf
 
-    clean = clean_tickets(spark, d)
-    return pf.funnel([("raw", fx.tickets_raw(spark, d)), ("clean", clean), ("resolved", clean.where("is_solved")),
-                      ("indexed", ix.upsert(None, solved_index(spark, d)))])
+    raw, n_raw = pf.counted(fx.tickets_raw(spark, d), "raw")
+    clean, n_clean = pf.counted(hy.clean_tickets(raw, extra=("created_at",)), "clean")
+    _, n_solved = pf.counted(clean.where("is_solved").select("ticket_id"), "resolved")
+    rows = solved_index(spark, d, clean).select(*[c for c in ix.INDEX_COLUMNS if c != "embedding"], F.lit(None).alias("embedding"))
+    _, n_indexed = pf.counted(ix.upsert(None, rows).select("case_key"), "indexed")
+    return pf.funnel_of(spark, [("raw", n_raw), ("clean", n_clean), ("resolved", n_solved), ("indexed", n_indexed)])
