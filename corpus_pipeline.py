@@ -1,6 +1,10 @@
 """The corpus pipeline: documents in, sharded training texts out.
 
 Each stage reads what the one before it kept, written as Parquet and read again.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, an empty table,
+and further columns of any names; all but the last return the columns of ``docs``. A null text
+counts as an empty one, a null doc_id is an id of its own.
 """
 
 from __future__ import annotations
@@ -13,27 +17,29 @@ from ticketloom.session import scratch_dir, scratch_scope
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; empty texts are scored like any other."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """One document of each group of linked fingerprints stays: the least doc_id, null last. All texts
+    without words are one group, and so are repeated rows."""
     return simhash.simhash_dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; a null or empty text holds none."""
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their targets: a row per document and pass that takes words of it."""
+    """Sources are brought to their targets: a row per document and pass that takes words of it. A
+    text without words has none to take; a null source is a source like any other."""
     return mixing.mixed_documents(docs)
 
 
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets a shard and a slot by a uniform shuffle."""
+    """Every row gets a shard and a slot by a uniform shuffle, repeated rows one each."""
     return sharding.shard_rows(docs)
 
 
@@ -50,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what a stage has stored for itself goes once it is written."""
+    """The rows of the last stage; what a stage has stored for itself goes once it is written.
+
+    No documents give no rows."""
     docs = read(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES[:-1]):
         path = scratch_dir(spark, f"stage-{n}")
