@@ -443,4 +443,4 @@ def test_queries_are_registered():
     import __spark_entry__ as registry
 
     names = set(registry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
