@@ -9,7 +9,7 @@ from ticketloom.catalog import sql as S
 from ticketloom.catalog.hygiene import clean_tickets
 from ticketloom.catalog.labelling import rule_sql
 from ticketloom.catalog.registry import Family
-from ticketloom.catalog.retrieval import dated_tickets, index, labelled_for_index, solved_index
+from ticketloom.catalog.retrieval import dated_tickets, holdout, index, labelled_for_index, solved_index
 from ticketloom.catalog.routing import routed, triage_input
 from ticketloom.config import TriageConfig
 from ticketloom.operators import evaluation as ev
@@ -267,15 +267,15 @@ FROM (SELECT 'all solved' AS indexed, * FROM leaky_pairs UNION ALL SELECT 'holdo
 QUALIFY row_number() OVER (PARTITION BY indexed, ticket_id ORDER BY jaccard DESC, case_key) = 1"""))
 def v18_near_holdout(spark, d):
     """Golden tickets that an index holds in nearly the same words: one of all solved tickets, and one
-    that was built without the golden ones."""
-    t = dated_tickets(spark, d)
-    g = materialise(golden(spark, d, t).select("ticket_id", "ticket_text"), "golden")
-    rows = {
-        "all solved": ix.to_index_rows(ix.solved_cases(labelled_for_index(spark, d, t))),
-        "holdout left out": solved_index(spark, d, t),
-    }
+    that was built without the golden ones. Only ids and texts are stored and moved."""
+    t = materialise(clean_tickets(spark, d).select("ticket_id", "ticket_text", "is_solved"), "ticket-texts")
+    g = t.join(golden_spec(spark, d).select("ticket_id"), "ticket_id", "left_semi").select("ticket_id", "ticket_text")
+    key = ix.case_key(F.lit(None), F.col("ticket_id"), F.col("ticket_text")).alias("case_key")
+    solved = t.where("is_solved")
+    rows = {"all solved": solved, "holdout left out": solved.join(holdout(spark, d), "ticket_id", "left_anti")}
     found = [
-        ov.near_holdout(g, df.select("case_key", "document")).select(F.lit(name).alias("indexed"), "*") for name, df in rows.items()
+        ov.near_holdout(g, df.select(key, F.col("ticket_text").alias("document"))).select(F.lit(name).alias("indexed"), "*")
+        for name, df in rows.items()
     ]
     return found[0].unionByName(found[1])
 
