@@ -1,21 +1,29 @@
 """Near-duplicate texts of two tables: an exact set-similarity join over word shingles.
 
 Texts become sets of five-word shingles, and equal sets are folded into one, so copies are
-compared once. The shingles of a set are put in order of how many sets hold them. Two sets
-with a Jaccard similarity of t or more agree in one at least of the first
-``n - ceil(t * n) + 1`` shingles of each, so only sets that share one of these rare shingles
-meet; sizes and places in the order rule out most of those. The sets of the pairs that are
-left are compared in full.
+compared once. All shingles have one order: by digest, but the most frequent ones last. Two
+sets with a Jaccard similarity of t or more agree in one at least of the first
+``n - ceil(t * n) + 1`` shingles of each, so only sets that share one of these meet; sizes and
+places in the order rule out most of those. The sets of the pairs that are left are compared
+in full. Any order gives the same pairs; the frequent shingles stand last so that a passage of
+many texts seldom brings two of them together.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.session import materialise
 
 WORDS, THRESHOLD = 5, 0.8
+#: Most frequent shingles that stand last; all tasks hold them.
+FREQUENT = 200_000
 #: Keeps ceil() of a product of decimals from rounding up.
 TINY = 1e-9
 
@@ -35,30 +43,45 @@ def shingles(text: Column, words: int = WORDS) -> Column:
 def _sets(df: DataFrame, key: str, text: str, words: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Stored (key, set_id) and (set_id, tokens); texts without words are in neither."""
     rows = df.select(F.col(key).alias("key"), shingles(F.col(text), words).alias("tokens")).where("tokens IS NOT NULL")
-    rows = materialise(rows.withColumn("set_id", F.md5(F.to_json("tokens").cast("binary"))), f"{name}-rows")
-    return rows.select("key", "set_id"), rows.select("set_id", "tokens").dropDuplicates(["set_id"])
+    rows = materialise(rows.withColumn("set_id", F.unhex(F.md5(F.to_json("tokens").cast("binary")))), f"{name}-rows")
+    sets = rows.groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
+    return rows.select("key", "set_id"), materialise(sets, f"{name}-sets")
+
 
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """The ``FREQUENT`` shingles that most sets hold, of those that two hold at least; sorted."""
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()
+    return np.sort(np.array([r["token"] for r in rows], dtype="int64"))
 
-def _prefixes(sets: DataFrame, spread: DataFrame, threshold: float, side: str) -> DataFrame:
+
+def _prefixes(sets: DataFrame, last: Broadcast, threshold: float, side: str) -> DataFrame:
     """token, and for each set with it in its prefix: id, size, place (from 1)."""
-    rows = sets.select("set_id", F.explode("tokens").alias("token")).join(spread, "token")
-    ordered = rows.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
-    size = F.size("t")
-    cut = size - F.ceil(threshold * size - TINY) + 1
-    first = ordered.select("set_id", size.alias("size"), F.posexplode(F.slice("t", F.lit(1), cut.cast("int"))).alias("at", "t"))
+
+    @F.pandas_udf("array<bigint>")
+    def prefix(tokens: pd.Series) -> pd.Series:
+        frequent = last.value
+
+        def first(own: np.ndarray) -> np.ndarray:
+            own = np.asarray(own, dtype="int64")
+            late = np.zeros(len(own), dtype=bool)
+            if len(frequent):
+                late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+            keep = len(own) - math.ceil(threshold * len(own) - TINY) + 1
+            return np.concatenate([own[~late], own[late]])[:keep]
+
+        return tokens.map(first)
+
+    first = sets.select("set_id", F.size("tokens").alias("size"), F.posexplode(prefix("tokens")).alias("at", "token"))
     return first.select(
-        F.col("t.token").alias("token"), F.col("set_id").alias(f"{side}_set"), F.col("size").alias(f"{side}_size"),
-        (F.col("at") + 1).alias(f"{side}_at"))
+        "token", F.col("set_id").alias(f"{side}_set"), F.col("size").alias(f"{side}_size"), (F.col("at") + 1).alias(f"{side}_at"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(left_set, right_set, jaccard) of all pairs of sets (set_id, tokens) of ``threshold`` or more."""
-    both = left.unionByName(right).dropDuplicates(["set_id"])
-    # Stored: a shingle of many sets is split in the joins.
-    spread = materialise(both.select(F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n")), "shingle-spread")
-    a = materialise(_prefixes(left, spread, threshold, "left"), "left-prefixes")
-    b = materialise(_prefixes(right, spread, threshold, "right"), "right-prefixes")
+    last = left.sparkSession.sparkContext.broadcast(_frequent(left.unionByName(right)))
+    # Between plain tables, so that a shingle that many sets have in front is split in the join.
+    a, b = _prefixes(left, last, threshold, "left"), _prefixes(right, last, threshold, "right")
     size = F.col("left_size") + F.col("right_size")
     rest = F.least(F.col("left_size") - F.col("left_at"), F.col("right_size") - F.col("right_at")) + 1
     may = (
