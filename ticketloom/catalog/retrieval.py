@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ticketloom import constants as K
@@ -15,6 +17,7 @@ from ticketloom.operators import search as se
 from ticketloom.session import materialise, scratch_dir
 from ticketloom.sources import fixtures as fx
 from ticketloom.sources import tables as tb
+from ticketloom.sources.bucketed_index import BucketedIndex
 
 FAMILY = Family()
 register = FAMILY.register
@@ -109,6 +112,23 @@ def v3_upsert(spark, d):
     return ix.upsert(old, rows.where("seq = 2")).select("case_key", "case_id", "resolution", "source")
 
 
+def bucketed(spark, rows):
+    """A bucketed index of its own for one query."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return BucketedIndex.create(rows, f"case_index_{uuid.uuid4().hex}", scratch_dir(spark, "bucketed-index"), buckets)
+
+
+@register("v3_bucketed_upsert", S.with_ctes(
+    "SELECT case_key, case_id, resolution, source FROM written "
+    "QUALIFY row_number() OVER (PARTITION BY case_key ORDER BY seq DESC) = 1"))
+def v3_bucketed_upsert(spark, d):
+    """The second writes of all cases over a bucketed index of the first ones."""
+    rows = writes(spark, d)
+    held = bucketed(spark, rows.where("seq = 1"))
+    held.upsert(rows.where("seq = 2"))
+    return held.table().select("case_key", "case_id", "resolution", "source")
+
+
 @register("v3_submitted", S.with_ctes("SELECT count(*) AS submitted FROM writes"))
 def v3_submitted(spark, d):
     return ix.submitted(writes(spark, d))
@@ -164,6 +184,19 @@ def v5_missing_rows(spark, d):
         todo.agg(F.count(F.lit(1))).scalar().alias("missing"))
 
 
+@register("v5_bucketed_missing", S.with_ctes("""
+SELECT case_key, intent, intent NOT IN ('other', 'data_loss_recovery') AS was_indexed FROM solved_index"""))
+def v5_bucketed_missing(spark, d):
+    """A rebuild over a bucketed index adds what it lacks; every key and whether it was there before."""
+    rows = materialise(solved_index(spark, d), "solved-rows")
+    held = bucketed(spark, rows.where(~F.col("intent").isin("other", "data_loss_recovery")))
+    todo = materialise(held.missing(rows), "missing-rows")
+    held.upsert(todo)
+    added = todo.select("case_key", F.lit(False).alias("new"))
+    return held.table().join(added, "case_key", "left").select(
+        "case_key", "intent", F.coalesce("new", F.lit(True)).alias("was_indexed"))
+
+
 @register("v6_search", S.with_ctes(
     'SELECT ticket_id AS query_id, hit_rank, case_key, case_id, document AS "query", resolution, intent, '
     "source, product, raw_similarity, similarity_score FROM hits", **hits_ctes()))
