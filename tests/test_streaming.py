@@ -223,3 +223,29 @@ def test_pending_falls_with_answers_in_any_order(spark):
         flows.pending_to_table(stream, out, state).awaitTermination()
         assert {r["urgency"]: r["pending"] for r in flows.read_pending(spark, out).collect()} == expected
     assert spark.conf.get(provider, None) == before
+
+
+def test_queue_rows_and_answers_wait_for_each_other_in_state(spark):
+    idx = make_index(spark, np.eye(DIM)[:1], ["a"]).withColumn("timestamp", F.lit("2020-01-01").cast("timestamp"))
+    ticket = "id string, ticket_id string, customer_query string, intent string, embedding array<double>"
+    answer = "id string, human_response string, event_ts timestamp, seq bigint"
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    row = lambda i: (f"q{i}", f"t{i}", f"question {i}", "a", np.eye(DIM)[i].tolist())
+    log, state = IndexLog(idx, scratch_dir(spark, "index-log")), scratch_dir(spark, "state")
+    queue, path = scratch_dir(spark, "queue"), scratch_dir(spark, "answers")
+    batches = [
+        ([row(1)], [("q2", "early", at(10), 1), ("q1", "newer", at(200), 2)]),
+        ([row(1), row(2)], [("q1", "newer", at(200), 2), ("q1", "older", at(100), 1)]),
+        ([row(3)], [("q2", "much later", at(90_000), 1), ("q9", "unknown", at(300), 1), (None, "of nobody", at(1), 1)]),
+    ]
+    for tickets, answers in batches:
+        spark.createDataFrame(tickets, ticket).coalesce(1).write.mode("append").parquet(queue)
+        spark.createDataFrame(answers, answer).coalesce(1).write.mode("append").parquet(path)
+        queued, given = (
+            flows.read_stream(spark, p, spark.createDataFrame([], s).schema) for p, s in ((queue, ticket), (path, answer)))
+        flows.answers_to_index(queued, given, log, state).awaitTermination()
+    got = {r["case_id"]: r["resolution"] for r in log.current().where("resolution NOT LIKE 'res%'").collect()}
+    assert got == {"t1": "newer", "t2": "much later"}
+    # A batch writes the cases of what met in it, not those of earlier ones; the second delivery met nothing.
+    assert sorted((r["batch_id"], r["resolution"]) for r in read_batches(spark, log.path).collect()) == [
+        (0, "newer"), (1, "early"), (1, "older"), (2, "much later")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ticketloom import constants as K
@@ -92,6 +94,28 @@ def w3_stream_resolutions(spark, d):
     return log.current().select("case_key", "case_id", "intent", "source", "resolution")
 
 
+@register("w3_waiting_answers", S.with_ctes(f"""
+SELECT ticket_id || '_' || substr(md5(document), 1, 8) AS case_key, ticket_id AS case_id, intent, '{K.HUMAN}' AS source, resolution
+FROM answered"""))
+def w3_waiting_answers(spark, d):
+    """Queue rows in three batches, the earliest first, and answers, the latest first and each delivered
+    twice: most wait in the state for the other. The cases that the empty index gets."""
+    vectors = fx.ticket_vectors(spark, d).select(F.col("ticket_id").cast("string").alias("ticket_id"), "embedding")
+    q = queue(spark, d).select("id", "ticket_id", "customer_query", "intent", "created_at").join(vectors, "ticket_id")
+    events = queue_events(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    queued = in_parts(spark, q, "queued", F.unix_micros(F.col("created_at").cast("timestamp")))
+    answers = in_parts(spark, events.unionByName(events), "queue-answers", -F.unix_micros("event_ts"))
+    base = index(spark, d).withColumns({
+        "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
+    log, state = IndexLog(base.limit(0), scratch_dir(spark, "index-log")), scratch_dir(spark, "meeting-state")
+    left = right = None
+    for a, b in itertools.zip_longest(queued, answers):
+        # A side without further parts goes on with what it has.
+        left, right = left if a is None else a, right if b is None else b
+        flows.answers_to_index(left, right, log, state).awaitTermination()
+    return log.current().select("case_key", "case_id", "intent", "source", "resolution")
+
+
 @register("w3_stream_feedback", S.with_ctes("SELECT id, sink FROM feedback_sinks"))
 def w3_stream_feedback(spark, d):
     """Feedback in three batches, each delivered twice: cases that join the index, and reviews."""

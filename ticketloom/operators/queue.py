@@ -182,7 +182,12 @@ def split_feedback(feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolutions_to_cases(queue: DataFrame, events: DataFrame) -> DataFrame:
     """Resolved queue rows as human-resolved cases; redacted before they reach the index."""
     answered = latest_event(events, "id", "human_response")
-    return queue.select("id", "ticket_id", "customer_query", "intent", "embedding").join(answered, "id").select(
+    return answered_to_cases(queue.select("id", "ticket_id", "customer_query", "intent", "embedding").join(answered, "id"))
+
+
+def answered_to_cases(answered: DataFrame) -> DataFrame:
+    """Queue rows with their answer (human_response, event_ts, event_seq) as human-resolved cases."""
+    return answered.select(
         "ticket_id",
         tx.redact(F.col("customer_query")).alias("ticket_text"),
         F.col("human_response").alias("resolution"),

@@ -3,6 +3,7 @@ a write to an index run per micro-batch, and a replayed batch replaces its own o
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,14 +74,48 @@ def resolutions_to_index(
         last = F.max_by(F.struct(*batch.columns), F.struct("event_ts", "seq", "human_response"))
         answers = materialise(answers.groupBy("id").agg(last.alias("e")).select("e.*"), "answers")
         write_batch(answers.join(known.select("id"), "id", "left_anti").select(*batch.columns), held, batch_id)
-        cases = qu.resolutions_to_cases(known, answers).withColumnRenamed("event_seq", "seq")
-        # Later answers to a ticket have the same key and win by their time, then their seq.
-        rows = ix.to_index_rows(cases).withColumnRenamed("seq", "tie")
-        index.add(rows.withColumn("seq", F.unix_micros(F.col("timestamp").cast("timestamp"))), batch_id)
+        _add_cases(index, qu.resolutions_to_cases(known, answers), batch_id)
 
     return _per_batch(events, handle, checkpoint, trigger)
 
 
+def _add_cases(index: IndexLog, cases: DataFrame, batch_id: int) -> None:
+    """Later answers to a ticket have the same key and win by their time, then their seq."""
+    rows = ix.to_index_rows(cases.withColumnRenamed("event_seq", "seq")).withColumnRenamed("seq", "tie")
+    index.add(rows.withColumn("seq", F.unix_micros(F.col("timestamp").cast("timestamp"))), batch_id)
+
+
+#: What a queue row and an answer keep in the state until they have met.
+QUEUED, ANSWER = ("id", "ticket_id", "customer_query", "intent", "embedding"), ("id", "human_response", "event_ts", "seq")
+
+
+def meet_answers(queued: DataFrame, answers: DataFrame) -> DataFrame:
+    """Queue rows joined to their answers, both streams, whichever of the two comes first.
+
+    A ticket is queued once (the first row of an id counts) and an answer delivered again is
+    dropped. There is no watermark, so nothing is too late; the state holds both sides for good.
+    """
+    tickets = queued.select(*QUEUED).dropDuplicates(["id"])
+    given = answers.select(*ANSWER).dropDuplicates(list(ANSWER))
+    return tickets.join(given.withColumnRenamed("seq", "event_seq"), "id")
+
+
+def answers_to_index(
+    queued: DataFrame, answers: DataFrame, index: IndexLog, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """The cases of ``resolutions_to_index`` from a stream of queue rows and one of answers.
+
+    What waits lies in keyed state, so a batch costs what is new in it: neither the queue nor
+    earlier answers are read again.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        last = F.max_by(F.struct(*batch.columns), F.struct("event_ts", "event_seq", "human_response"))
+        _add_cases(index, qu.answered_to_cases(batch.groupBy("id").agg(last.alias("e")).select("e.*")), batch_id)
+
+    with _state_on_disk(queued.sparkSession):
+        return _per_batch(meet_answers(queued, answers), handle, checkpoint, trigger)
+
+
 def feedback_to_tables(
     feedback: DataFrame, index: IndexLog, review_path: str, checkpoint: str,
     cfg: TriageConfig = TriageConfig(), **trigger,
@@ -181,15 +216,22 @@ def pending_to_table(events: DataFrame, path: str, checkpoint: str, **trigger) -
     def run(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch.groupBy("urgency").agg(F.sum("change").alias("change")), path, batch_id)
 
-    spark, provider = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    # The state of single tickets grows with them, so it is kept on disk; a query goes on as it started.
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _state_on_disk(events.sparkSession):
         return (
             pending_changes(events).writeStream.outputMode("update").foreachBatch(run)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
         )
+
+
+@contextlib.contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """For queries started inside: the state of single tickets grows with them, so it is kept on disk."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    # A query goes on as it started.
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
     finally:
         if before is None:
             spark.conf.unset(provider)
