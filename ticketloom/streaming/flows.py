@@ -225,18 +225,23 @@ def pending_to_table(events: DataFrame, path: str, checkpoint: str, **trigger) -
 
 @contextlib.contextmanager
 def _state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """For queries started inside: the state of single tickets grows with them, so it is kept on disk."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    # A query goes on as it started.
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """For queries started inside: the state of single tickets grows with them, so it is kept on disk,
+    that of a join in one store per partition instead of four. A query goes on as it started."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.join.stateFormatVersion": "3",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def read_pending(spark: SparkSession, path: str) -> DataFrame:
