@@ -91,6 +91,7 @@ def test_a_log_over_a_bucketed_base_leaves_it_in_place(spark, no_broadcast):
     index = make(spark, rows(spark, range(50)))
     log = IndexLog(index.table(), scratch_dir(spark, "log"))
     log.add(rows(spark, [3, 60], 4, "second"), 0)
+    assert plan(log.current()).count("Bucketed: true") == 2
     assert found(log.current()) == sorted(
         [(f"k{k}", "first") for k in range(50) if k != 3] + [("k3", "second"), ("k60", "second")])
 

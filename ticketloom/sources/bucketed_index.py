@@ -3,8 +3,8 @@
 Rows lie in ``buckets`` buckets by the hash that Spark's joins use, one folder per bucket. A
 join by ``case_key`` shuffles only the other side, and an upsert reads and rewrites only the
 buckets that its rows fall into. A bucket should fit a task: take about one per 128 MB of the
-index, and at least as many as ``spark.sql.shuffle.partitions``, below which Spark prefers to
-shuffle both sides.
+index, and at least as many as ``spark.sql.shuffle.partitions``: with fewer, Spark may shuffle
+the index to the other side's partitions after all.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ class BucketedIndex:
     """Table ``name`` of the session's catalog, with its files under ``path``.
 
     ``case_key`` must not be null. A key that comes several times in one write keeps its highest
-    ``seq``; a written key takes the place of its old row. Writing the same rows again changes
-    nothing, so a write that failed half way is put right by writing it again.
+    ``seq``; a written key takes the place of its old row, and writing the same rows again changes
+    nothing. A lost executor costs its tasks, as all buckets are written aside first. Then the
+    driver swaps them by Spark's dynamic overwrite, which is not atomic: if it dies between taking
+    out an old bucket and putting in the new one, that bucket's rows are lost. Keep a snapshot of
+    ``table()`` where that matters.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -61,7 +64,7 @@ class BucketedIndex:
     def upsert(self, rows: DataFrame) -> list[int]:
         """Write ``rows`` over the rows of the same keys; returns the numbers of the rewritten buckets.
 
-        Buckets are swapped one by one when all of them are written; the table has one writer.
+        The table has one writer. Readers may meet some new and some old buckets during the swap.
         """
         new = materialise(ix.upsert(None, rows), "index-rows")
         # At most one number per bucket.
