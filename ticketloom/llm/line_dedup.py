@@ -1,14 +1,16 @@
-"""Repeated multi-line passages, found by all runs of neighbouring lines.
-
-Every ``min_lines`` lines in a row are a chunk, digested from their own bytes alone, so lines
-put in at the top of a text change no chunk below. Chunks whose digest occurs again are
-brought together with their bytes, and the lines of those equal to the earliest one are
-taken out. A repeated passage of any length is covered by its chunks, from its first line to
-its last; with fewer chunks (boundaries drawn by a hash) short passages would hold none.
-
-Digests move first (16 bytes a chunk); bytes only for chunks whose digest repeats. The first
-count is a grouped sum with partial sums, so a chunk that a third of all texts share is one
-row per task. Repeated digests are a stored table, so that their join is between plain tables,
+"""Repeated multi-line passages: content-defined chunks of lines, and the lines around them.
+
+A rolling hash over the hashes of ``WINDOW`` neighbouring lines chooses where a chunk ends, so
+lines put in at the top of a text change no boundary further down. Chunks whose digest occurs
+again are the seeds: all but the earliest go, after their bytes were compared. A passage
+shares no boundary with its surroundings, so its first and last lines stand in chunks that do
+not repeat, and a short passage may hold no chunk at all. All that no seed covers is therefore
+looked at again in its smallest chunks, every ``min_lines`` lines in a row: a seed grows by
+those that overlap its ends, and what is left of passages without a seed is found by the same.
+
+Digests move first (16 bytes a chunk); bytes only for chunks whose digest repeats. The
+counts are grouped sums with partial sums, so a chunk that a third of all texts share is one
+row per task. Repeated digests are a stored table, so that their joins are between plain tables,
 which AQE splits; the bytes of a frequent chunk meet its earliest ones under several salts.
 Columns and joins only.
 """
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from ticketloom.llm.common import join_keys, keyed, materialise, read, same_key
 
 MIN_LINES = 2
+#: Lines that the rolling hash sees at once, and lines of a chunk on average.
+WINDOW, CHUNK_LINES = 2, 4
 #: Rows of one repeated chunk that meet its earliest bytes in one task.
 SALT_ROWS = 2048
 
@@ -40,29 +44,66 @@ def _body(lines: Column, chunk: Column, n_lines: Column) -> Column:
     return F.array_join(F.slice(lines, chunk + 1, n_lines), "\n")
 
 
+def _rolling(hashes: Column, last: Column) -> Column:
+    """Cyclic polynomial of the ``WINDOW`` line hashes that end at ``last``."""
+    def rotated(value: Column, by: int) -> Column:
+        return F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, 64 - by)) if by else value
+
+    out = F.get(hashes, last)
+    for by in range(1, WINDOW):
+        out = out.bitwiseXOR(rotated(F.get(hashes, last - by), by))
+    return out
+
+
 def line_chunks(docs: DataFrame, min_lines: int) -> DataFrame:
-    """id, hash, chunk (first line), n_lines, digest of every ``min_lines`` lines in a row.
+    """id, hash, chunk (first line), n_lines, digest, small: the content-defined chunks of each text.
 
-    Blank lines are layout: they do not count, but those between the lines of a chunk are
-    part of it.
+    ``small`` are the runs of ``min_lines`` lines (chunk, n_lines, digest, inner) that begin in the
+    chunk; ``inner`` ones end in it too. Chunks of fewer lines have no digest. Blank lines are
+    layout: they do not count, but those between the lines of a chunk are part of it.
     """
     def chunks(lines: Column) -> Column:
         filled = F.filter(
             F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]")
         )
-        return _with(filled, lambda at: F.transform(
-            F.slice(at, 1, F.greatest(F.size(at) - (min_lines - 1), F.lit(0))),
-            lambda start, k: chunk(lines, start, F.get(at, k + (min_lines - 1)) - start + 1),
-        ))
-
-    def chunk(lines: Column, start: Column, n_lines: Column) -> Column:
-        digest = F.unhex(F.md5(_body(lines, start, n_lines).cast("binary")))
-        return F.struct(start.alias("chunk"), n_lines.alias("n_lines"), digest.alias("digest"))
+        return _with(filled, lambda at: F.when(F.size(at) > 0, _with(
+            F.transform(at, lambda i: F.xxhash64(F.get(lines, i))), lambda hashes: cut(lines, at, hashes))))
+
+    def cut(lines: Column, at: Column, hashes: Column) -> Column:
+        last = F.size(at) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda k: (k == last) | (
+            (k >= WINDOW - 1) & (F.pmod(_rolling(hashes, k), F.lit(CHUNK_LINES)) == 0)))
+        return _with(ends, lambda ends: F.transform(
+            ends, lambda end, j: chunk(lines, at, F.when(j > 0, F.get(ends, j - 1) + 1).otherwise(0), end)))
+
+    def chunk(lines: Column, at: Column, first: Column, end: Column) -> Column:
+        begins = F.filter(F.sequence(first, end), lambda k: k + (min_lines - 1) < F.size(at))
+        return F.struct(
+            *body(lines, at, first, end, end - first + 1 >= min_lines),
+            F.transform(begins, lambda k: F.struct(
+                *body(lines, at, k, k + (min_lines - 1), F.lit(True)), (k + (min_lines - 1) <= end).alias("inner"),
+            )).alias("small"))
+
+    def body(lines: Column, at: Column, first: Column, end: Column, counts: Column) -> list[Column]:
+        start, n_lines = F.get(at, first), F.get(at, end) - F.get(at, first) + 1
+        digest = F.when(counts, F.unhex(F.md5(_body(lines, start, n_lines).cast("binary"))))
+        return [start.alias("chunk"), n_lines.alias("n_lines"), digest.alias("digest")]
 
     opened = docs.filter(F.col("text").isNotNull()).select("id", "hash", F.explode(_with(_lines(), chunks)).alias("c"))
     return opened.select("id", "hash", "c.*")
 
 
+def _repeated(chunks: DataFrame, label: str) -> DataFrame:
+    """Stored digest, first (earliest place) and salts of the digests that occur again."""
+    counted = chunks.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "chunk", "hash")).alias("first")).filter("n > 1")
+    return materialise(counted.withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).drop("n"), label)
+
+
+def _earliest() -> Column:
+    return F.struct("id", "chunk", "hash").eqNullSafe(F.col("first"))
+
+
 def _numbers(runs: Column) -> Column:
     """Numbers of the lines in an array of (line, n_lines)."""
     return F.flatten(F.transform(runs, lambda r: F.sequence(r["line"], r["line"] + r["n_lines"] - 1)))
@@ -84,7 +125,7 @@ def dedup_lines(
 
     ``removed`` lists (line, n_lines) of what was taken out as longest runs, lines counted
     from 0 in the original text. Of equal chunks the earliest by id (null first), then line,
-    stays, and so do those that overlap it; the earliest occurrence of a line is never taken
+    stays, and so do the smallest ones that overlap it; the earliest occurrence of a line is never taken
     out. Passages below ``min_lines`` lines are left alone, blank lines not counted. A null
     text stays null and has no lines; an empty text is one empty line. Repeated rows (same id
     and text) are one document and keep the same lines. Further columns are ignored; an
@@ -92,16 +133,22 @@ def dedup_lines(
     """
     docs = keyed(docs, id_col, text_col)
     chunks = materialise(line_chunks(docs, min_lines), "line-chunks")
-    place = F.struct("id", "chunk", "hash")
-    repeated = materialise(chunks.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
-    ).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).drop("n"), "repeated-chunks")
-    mine = chunks.join(repeated, "digest").withColumn("earliest", place.eqNullSafe(F.col("first")))
+    # The earliest place of a chunk in another text of the same id is left to the small chunks.
+    elsewhere = ~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("hash") == F.col("first.hash"))
+    seeds = materialise(
+        chunks.join(_repeated(chunks, "repeated-chunks"), "digest", "left").withColumn("earliest", _earliest())
+        .withColumn("later", F.col("first").isNotNull() & ~F.col("earliest") & elsewhere), "seed-chunks")
+    small = seeds.select("id", "hash", "later", F.explode("small").alias("c")).filter(~F.col("later") | ~F.col("c.inner"))
+    small = small.select("id", "hash", "c.chunk", "c.n_lines", "c.digest")
+    mine = small.join(_repeated(small, "repeated-small-chunks"), "digest").withColumn("earliest", _earliest())
     overlaps = (
         F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
         & (F.col("chunk") < F.col("first.chunk") + F.col("n_lines"))
     )
-    found = mine.filter(F.col("earliest") | ~overlaps).groupBy("id", "hash").agg(
+    columns = ["id", "hash", "chunk", "n_lines", "digest", "earliest", "salts"]
+    repeats = seeds.filter("earliest OR later").select(columns).unionByName(
+        mine.filter(F.col("earliest") | ~overlaps).select(columns))
+    found = repeats.groupBy("id", "hash").agg(
         F.collect_set(F.struct("chunk", "n_lines", "digest", "earliest", "salts")).alias("found")
     )
     known = docs.join(join_keys(found), same_key(), "left").select("id", "hash", "text", "found")
