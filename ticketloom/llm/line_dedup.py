@@ -184,4 +184,36 @@ def dedup_lines(
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents"))
+    """``removed`` as text: first line+number of lines of each run that went, by commas."""
+    runs = F.transform("removed", lambda r: F.concat(r["line"].cast("string"), F.lit("+"), r["n_lines"].cast("string")))
+    return dedup_lines(read(spark, sf_dir, "documents")).withColumn("removed", F.array_join(runs, ","))
+
+
+#: By the plain rule: every two filled lines in a row that an earlier place has go.
+OP5_SQL = r"""
+WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+opened AS (SELECT doc_id, unnest(lines) AS body, generate_subscripts(lines, 1) - 1 AS line FROM texts WHERE text IS NOT NULL),
+filled AS (
+  SELECT doc_id, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS next FROM opened
+  WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
+pairs AS (
+  SELECT f.doc_id, f.line, f.next, array_to_string(t.lines[f.line + 1 : f.next + 1], chr(10)) AS body
+  FROM filled f JOIN texts t USING (doc_id) WHERE f.next IS NOT NULL),
+placed AS (
+  SELECT doc_id, line, next, first_value(doc_id) OVER w AS first_id, first_value(line) OVER w AS first_line
+  FROM pairs WINDOW w AS (PARTITION BY body ORDER BY doc_id, line)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(line, next + 1)) AS line FROM placed
+  WHERE doc_id <> first_id OR line > first_line + next - line),
+runs AS (
+  SELECT doc_id, min(line) AS line, count(*) AS n
+  FROM (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM gone)
+  GROUP BY doc_id, run),
+cut AS (SELECT doc_id, sum(n) AS n, string_agg(line || '+' || n, ',' ORDER BY line) AS removed FROM runs GROUP BY doc_id),
+rest AS (
+  SELECT o.doc_id, string_agg(o.body, chr(10) ORDER BY o.line) AS text
+  FROM opened o ANTI JOIN gone g ON o.doc_id = g.doc_id AND o.line = g.line GROUP BY o.doc_id)
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text,
+  CAST(coalesce(len(t.lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(c.n, 0) AS INTEGER) AS n_removed, coalesce(c.removed, '') AS removed
+FROM texts t LEFT JOIN cut c USING (doc_id) LEFT JOIN rest r USING (doc_id)
+"""

@@ -23,6 +23,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_maxscore": maxscore.OP1_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op11_lexical_search": lexical.OP11_SQL,
     "op13_warc": warc.OP13_SQL,
