@@ -208,6 +208,47 @@ def test_line_runs_go_whole_whatever_stands_around_them(spark):
     assert [(r["line"], r["n_lines"]) for r in got[n + 4]["removed"]] == [(1, 3)] and got[n + 4]["n_removed"] == 3
 
 
+def line_runs_by_hand(texts):
+    """Numbers of the lines that go: every two filled lines in a row that an earlier place has."""
+    pairs = []
+    for i, text in texts:
+        lines = text.split("\n")
+        filled = [k for k, line in enumerate(lines) if line.strip()]
+        pairs += [(i, a, b, "\n".join(lines[a:b + 1])) for a, b in zip(filled, filled[1:])]
+    first = {}
+    for i, a, _, body in sorted(pairs):
+        first.setdefault(body, (i, a))
+    gone = {i: set() for i, _ in texts}
+    for i, a, b, body in pairs:
+        j, c = first[body]
+        if j != i or a > c + b - a:
+            gone[i] |= set(range(a, b + 1))
+    return gone
+
+
+def test_line_chunks_equal_plain_rule(spark):
+    rnd = random.Random(12)
+    pool = [f"line {k}" for k in range(40)] + ["", " "]
+    passage = [[rnd.choice(pool) + f" {p}" for _ in range(rnd.randint(2, 40))] for p in range(10)]
+    rows = []
+    for i in range(120):
+        lines = [rnd.choice(pool) for _ in range(rnd.randint(0, 30))]
+        at = rnd.randint(0, len(lines))
+        part = rnd.choice(passage)
+        cut = rnd.randint(0, len(part) - 1)
+        rows.append((i, "\n".join(lines[:at] + part[cut:] + lines[at:])))
+    many = [f"long {k}" for k in range(20_000)]
+    rows += [(200, "\n".join(many)), (201, "\n".join(["own", *many])), (202, "\n".join(["same"] * 5_000)), (203, "\n".join(["same"] * 3))]
+    want = line_runs_by_hand(rows)
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got = {k for run in r["removed"] for k in range(run["line"], run["line"] + run["n_lines"])}
+        assert got == want[r["doc_id"]] and r["n_removed"] == len(got)
+    chunks = line_dedup.line_chunks(
+        spark.createDataFrame([(1, 1, rows[-4][1]), (2, 2, rows[-3][1])], "id long, hash long, text string"), 2).collect()
+    by_text = [{bytes(c["digest"]) for c in chunks if c["id"] == i and c["digest"]} for i in (1, 2)]
+    assert len(by_text[0]) > 2_000 and len(by_text[0] & by_text[1]) >= len(by_text[0]) - 1  # shift-resistant
+
+
 # --- SimHash
 
 def brute_print(text):
