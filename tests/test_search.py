@@ -212,3 +212,34 @@ def test_links_keep_what_hangs_together_in_any_blocks(spark):
     plan = cl.merge_plan(points.select(F.col("id").alias("cluster_id"), F.col("vector").alias("centroid")), 0.9)
     got = {r["name"]: r["source_cluster_ids"] for r in plan.collect()}
     assert got == {"cluster_0": list(range(40)), "cluster_40": list(range(40, 70)), "cluster_70": list(range(70, 90))}
+
+
+def test_size_of_a_product_costs_no_rows(spark, data):
+    """Small blocks are a matter of the task: a query leaves k rows per tile, not per block."""
+    from ticketloom.operators import blocks
+
+    c, q, c_int, _, _ = data
+    cases = make_index(spark, c, c_int).select("case_key", F.col("embedding").alias("vector"))
+    asked = make_queries(spark, q, c_int[:60]).drop("intent")
+    want = sorted(map(tuple, blocks.top_k_pairs(asked, cases, 5, 4096, 4096).collect()))
+    got = sorted(map(tuple, blocks.top_k_pairs(asked, cases, 5, 16, 60).collect()))
+    assert len(got) == 60 * 5 and got == want
+    cells = se.probed_cells(se.fit_cells(make_index(spark, c, c_int), 6), 6)
+    homed = cases.withColumn("cell", F.pmod(F.xxhash64("case_key"), F.lit(6)).cast("int"))
+    asked = asked.withColumn("floor", F.lit(-1.0))
+    assert sorted(map(tuple, blocks.top_k_pairs(asked, homed, 5, 16, 60, cells=cells).collect())) == want
+
+
+@pytest.mark.parametrize("tile", [400, 3000])
+def test_cells_along_many_tiles(spark, data, monkeypatch, tile):
+    from ticketloom.operators import blocks
+
+    c, q, c_int, q_int, src = data
+    idx, queries = make_index(spark, c, c_int, src), make_queries(spark, q, q_int)
+    order = lambda df: sorted((r["query_id"], r["hit_rank"], r["case_key"]) for r in df.collect())
+    want = order(se.search(queries, idx))
+    monkeypatch.setattr(blocks, "TILE_BYTES", tile)
+    assert order(se.search(queries, idx)) == want
+    assert order(se.search_cells(queries, idx, se.fit_cells(idx, 6), probes=2)) == want
+    rows = idx.withColumns({"case_key": F.concat(F.lit("new"), "case_key"), "seq": F.lit(1).cast("bigint")})
+    assert ix.not_near_index(rows, idx).isEmpty()

@@ -320,7 +320,7 @@ def v16_approximate_recall(spark, d):
     The probes are taken from every tenth query's exact hits (by digest of the id)."""
     idx, q = stored_index(spark, d), materialise(query_vectors(spark, d), "queries")
     centres = se.fit_cells(idx)
-    exact = materialise(se.search(q, idx, CFG), "exact")
+    exact = materialise(se.search(q, idx, CFG).select("query_id", "case_key"), "exact")
     some = F.pmod(F.xxhash64("query_id"), F.lit(10)) == 0
     probes = se.probes_for(RECALL, exact.where(some), q.where(some), idx, centres)
     found = se.recall_at_k(exact, se.search_cells(q, idx, centres, probes, CFG, exact=False))

@@ -1,25 +1,30 @@
-"""Block-wise similarity: bounded pieces of two tables meet, only results leave.
-
-Both sides carry a ``scope`` (an intent, a cell, or everything). Inside a scope, cases are
-hashed into blocks of about ``block_rows`` and queries into chunks of about ``query_rows``;
-a case is sent once per query chunk and a query once per case block. Each (scope, block,
-chunk) is one numpy matrix product in one task, so no scope is too hot for a task, no pair
-is ever a row, and what leaves a task is at most k rows per query or one row per query.
+"""Block-wise similarity: bounded tiles of two tables meet, only results leave.
+
+Both sides carry a ``scope`` (an intent, or everything). Inside a scope, cases are dealt into
+tiles and queries into chunks of up to ``TILE_BYTES``; a case is sent once per query chunk and a
+query once per tile. Each (scope, tile, chunk) is one task's work, done there in numpy products of
+``block_rows`` cases by ``query_rows`` queries, so the size of a product costs no shuffle, no scope
+is too hot for a task, no pair is ever a row, and what leaves a task is at most k rows per query or
+one row per query. Cases may also have a ``cell``: the cells of a scope are laid out along its
+tiles, a query is sent once to each tile that holds a cell it opens, and meets only those cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_PLAN_BYTES = 16 << 20
+#: What one side of a task's work holds at most, on average.
+TILE_BYTES = 32 << 20
 
 
 def plan_rows(schema: T.StructType) -> int:
@@ -59,76 +64,211 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def block_plan(
-    queries: DataFrame, cases: DataFrame, block_rows: int, query_rows: int,
-    case_counts: DataFrame | None = None,
-) -> DataFrame:
-    """scope -> number of case blocks and query chunks; scopes that one side lacks drop out.
+def row_bytes(df: DataFrame, *columns: str) -> Column:
+    """Bytes of a row as a task holds it: 8 a number, 24 a text."""
+    total = F.lit(0).cast("bigint")
+    for field in (df.schema[c] for c in columns or df.columns):
+        kind = field.dataType
+        each = 24 if isinstance(getattr(kind, "elementType", kind), (T.StringType, T.BinaryType)) else 8
+        many = F.greatest(F.size(field.name), F.lit(0)) if isinstance(kind, T.ArrayType) else F.lit(1)
+        total = total + many * F.lit(each)
+    return total
+
 
-    ``case_counts`` (scope, n_cases) saves counting the cases when the caller has done it.
+@dataclass(frozen=True)
+class Cells:
+    """Cells of the cases: ``count`` of them, and which ones a query opens.
+
+    ``opens(unit rows, value per row)`` -> boolean matrix, a column per cell; ``value`` names a
+    column of the queries. The same rule picks the tiles of a query and the cells inside them.
     """
-    if case_counts is None:
-        case_counts = cases.groupBy("scope").agg(F.count(F.lit(1)).alias("n_cases"))
-    query_counts = queries.groupBy("scope").agg(F.count(F.lit(1)).alias("n_queries"))
-    return small_side(
-        query_counts.join(case_counts, "scope").select(
-            "scope",
-            F.ceil(F.col("n_cases") / block_rows).cast("int").alias("blocks"),
-            F.ceil(F.col("n_queries") / query_rows).cast("int").alias("chunks"),
-        )
-    )
+    count: int
+    opens: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    value: str
+
+    def opened(self, unit: np.ndarray, value: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Rows by the given cells; slices keep the matrix over all cells small."""
+        step = max(1, 1_000_000 // self.count)
+        parts = [self.opens(unit[at:at + step], value[at:at + step])[:, cells] for at in range(0, len(unit), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(cells)), dtype=bool)
+
+
+def _cell_tiles(cases: DataFrame, plan: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """scope -> first and last tile of every cell, for the scopes of several tiles.
+
+    The cases of such a scope lie along its tiles in the order of their cells. There are at most
+    as many such scopes as tiles in all; every other scope is one tile.
+    """
+    big = plan.where("tiles > 1").select("scope", "tiles")
+    if big.isEmpty():
+        return {}
+    counted = cases.select("scope", "cell").join(F.broadcast(big), "scope").groupBy("scope", "tiles", "cell").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for scope in {r["scope"] for r in counted}:
+        rows = sorted((r["cell"], r["n"]) for r in counted if r["scope"] == scope)
+        tiles = next(r["tiles"] for r in counted if r["scope"] == scope)
+        cell, n = np.array(rows).T
+        end = np.cumsum(n)
+        room = -(-int(end[-1]) // tiles)
+        first, last = np.ones(cell[-1] + 1, dtype="int32"), np.zeros(cell[-1] + 1, dtype="int32")
+        first[cell], last[cell] = (end - n) // room, (end - 1) // room
+        out[scope] = first, last
+    return out
+
+
+def _open_tiles(spread: dict, cells: Cells) -> Callable[..., Column]:
+    """Tiles of a query: those with a part of a cell that it opens; 0 in a scope of one tile."""
+    @F.pandas_udf("array<int>")
+    def tiles(scope: pd.Series, vector: pd.Series, value: pd.Series) -> pd.Series:
+        out = np.empty(len(scope), dtype=object)
+        out[:] = [[0]] * len(scope)
+        for name, (first, last) in spread.items():
+            at = np.flatnonzero((scope == name).to_numpy())
+            if not len(at):
+                continue
+            wanted = cells.opened(unit_rows(vector.iloc[at]), value.to_numpy()[at], np.arange(len(first)))
+            hit = np.stack([wanted[:, (first <= t) & (t <= last)].any(axis=1) for t in range(last.max() + 1)], axis=1)
+            for i, row in zip(at, hit):
+                out[i] = np.flatnonzero(row).tolist()
+        return pd.Series(out)
+
+    return tiles.asNondeterministic()
 
 
 def meet(
-    queries: DataFrame, cases: DataFrame, work: Callable, schema: str,
-    block_rows: int, query_rows: int, case_counts: DataFrame | None = None,
+    queries: DataFrame, cases: DataFrame, work: Callable, schema: str, query_rows: int,
+    case_sizes: DataFrame | None = None, cells: Cells | None = None,
 ) -> DataFrame:
-    """Run ``work(query block, case block) -> pandas`` for every pair of blocks of a scope.
+    """Run ``work(queries, cases)`` for every tile and chunk of a scope; it takes Arrow tables and
+    gives pieces of numpy columns by name.
 
     ``queries``: query_id, vector and more; ``cases``: case_key, vector and more; both with
     a scope, or both without one, which is one scope. Ids are unique within a scope, which
-    keeps the hashed blocks even.
+    keeps the hashed tiles even. ``case_sizes`` (scope, case_bytes) saves measuring the cases
+    when the caller has done it. With ``cells`` the cases have a ``cell``. Chunks are larger
+    than ``query_rows`` where that leaves every core several of them.
     """
     # Fresh column identities: both sides may be cut from the same table.
     cases = cases.select(*[F.col(c).alias(c) for c in cases.columns])
-    place = [*_scope_of(queries), "__block", "__chunk"]
-    if "scope" in place:
-        plan = block_plan(queries, cases, block_rows, query_rows, case_counts)
-        queries, cases = queries.join(plan, "scope"), cases.join(plan, "scope")
-    else:
-        size = {
-            "blocks": F.lit(max(1, -(-cases.count() // block_rows))),
-            "chunks": F.lit(max(1, -(-queries.count() // query_rows))),
-        }
-        queries, cases = queries.withColumns(size), cases.withColumns(size)
+    whole = F.lit("").alias("scope")
+    if "scope" not in queries.columns:
+        queries, cases = queries.select("*", whole), cases.select("*", whole)
+    if case_sizes is None:
+        case_sizes = cases.groupBy("scope").agg(F.sum(row_bytes(cases)).alias("case_bytes"))
+    asked = queries.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(queries)).alias("query_bytes"))
+    asked = small_side(asked)
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    rows = max(query_rows, -(-total // (4 * queries.sparkSession.sparkContext.defaultParallelism)))
+    plan = small_side(asked.join(case_sizes, "scope").select(
+        "scope",
+        F.ceil(F.col("case_bytes") / TILE_BYTES).cast("int").alias("tiles"),
+        F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("query_bytes") / TILE_BYTES)).cast("int").alias("chunks"),
+    ))
+    queries, cases = queries.join(plan, "scope"), cases.join(plan, "scope")
+    dealt = F.pmod(F.xxhash64("case_key"), F.col("tiles")).cast("int")
+    visited = F.sequence(F.lit(0), F.col("tiles") - 1)
+    if cells is not None:
+        spread = _cell_tiles(cases, plan)
+        if spread:
+            places = [(s, c, int(f), int(t - f + 1)) for s, (first, last) in spread.items()
+                      for c, (f, t) in enumerate(zip(first, last)) if f <= t]
+            known = queries.sparkSession.createDataFrame(places, "scope string, cell int, first int, span int")
+            cases = cases.join(F.broadcast(known), ["scope", "cell"], "left")
+            dealt = F.coalesce(F.col("first") + F.pmod(F.xxhash64("case_key"), F.col("span")).cast("int"), F.lit(0))
+            visited = _open_tiles(spread, cells)(F.col("scope"), F.col("vector"), F.col(cells.value))
+    place = ["scope", "__tile", "__chunk"]
     spread_cases = (
-        cases.withColumn("__block", F.pmod(F.xxhash64("case_key"), F.col("blocks")).cast("int"))
+        cases.withColumn("__tile", dealt)
         .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .drop("blocks", "chunks")
+        .drop("tiles", "chunks", "first", "span")
     )
     spread_queries = (
         queries.withColumn("__chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks", "chunks")
-    )
-    return (
-        spread_queries.groupBy(*place).cogroup(spread_cases.groupBy(*place)).applyInPandas(work, schema)
+        .withColumn("__tile", F.explode(visited))
+        .drop("tiles", "chunks")
     )
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        pieces = list(work(q, c)) if q.num_rows and c.num_rows else []
+        return stack(pieces, fields) if pieces else fields.empty_table()
+
+    return spread_queries.groupBy(*place).cogroup(spread_cases.groupBy(*place)).applyInArrow(run, schema)
 
 
 def _scope_of(df: DataFrame) -> list[str]:
     return ["scope"] if "scope" in df.columns else []
 
 
-def stack(pieces: list[dict[str, np.ndarray]], columns: list[str]) -> pd.DataFrame:
-    """Pieces of numpy columns -> one frame. Texts stay plain objects, which convert to
-    Arrow as one array whatever string type pandas prefers."""
-    out = {}
-    for name in columns:
-        parts = [p[name] for p in pieces]
-        joined = np.concatenate(parts) if parts else np.array([], dtype=object)
-        out[name] = pd.Series(joined, dtype=object if joined.dtype.kind in "OUS" else joined.dtype)
-    return pd.DataFrame(out)
+def stack(pieces: list[dict[str, np.ndarray]], fields: pa.Schema) -> pa.Table:
+    """Pieces of numpy columns -> one Arrow table."""
+    return pa.Table.from_arrays(
+        [pa.array(np.concatenate([p[f.name] for p in pieces]), f.type, from_pandas=True) for f in fields], schema=fields)
+
+
+def values(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def matrix(table: pa.Table, column: str = "vector") -> np.ndarray:
+    """Array column -> matrix of double rows; arrays must have one length and no nulls."""
+    lists = table.column(column).combine_chunks()
+    flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    if lists.null_count or flat.null_count or len(set(sizes.tolist())) > 1:
+        raise ValueError(f"arrays in {column} are null, hold nulls or differ in length")
+    return flat.to_numpy().astype("float64").reshape(len(lists), -1 if len(flat) else 0)
+
+
+def unit_matrix(table: pa.Table, column: str = "vector") -> np.ndarray:
+    m = matrix(table, column)
+    m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+    return m
+
+
+def _products(
+    q: pa.Table, c: pa.Table, unit: np.ndarray, cells: Cells | None, block_rows: int, query_rows: int,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of queries and of cases that meet in one product; cells that a query opens, if any.
+
+    Case numbers ascend inside a product.
+    """
+    groups = [(np.arange(len(unit)), np.arange(c.num_rows))]
+    if cells is not None:
+        home = values(c, "cell")
+        here, at = np.unique(home, return_inverse=True)
+        wanted = cells.opened(unit, values(q, cells.value), here)
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(here) + 1))
+        groups = ((np.flatnonzero(wanted[:, i]), order[ends[i]:ends[i + 1]]) for i in range(len(here)))
+    for rows, cols in groups:
+        for right in range(0, len(cols), block_rows):
+            some = cols[right:right + block_rows]
+            # The score matrix stays small whatever the block sizes are.
+            step = min(query_rows, max(1, 4_000_000 // len(some)))
+            for left in range(0, len(rows), step):
+                yield rows[left:left + step], some
+
+
+def _slack(dims: int) -> float:
+    """More than a product of unit rows of single precision is off."""
+    return 1e-6 + dims * 2.4e-7
+
+
+def _above(
+    left: np.ndarray, right: np.ndarray, left32: np.ndarray, right32: np.ndarray, floor: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(row, column, similarity) of the pairs at ``floor`` or above; None when these are many.
+
+    Single precision rules out most pairs, the rest is computed in double. Twelve places: equal
+    vectors tie whatever product they were in.
+    """
+    r, col = np.nonzero(left32 @ right32.T >= (floor - _slack(left.shape[1])).astype("float32")[:, None])
+    if len(r) * max(1, left.shape[1]) > 4_000_000:
+        return None
+    exact = np.round(np.einsum("ij,ij->i", left[r], right[col]), 12)
+    keep = exact >= floor[r]
+    return r[keep], col[keep], exact[keep]
 
 
 def best_k(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,47 +290,75 @@ def best_k(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np
     return r[keep], c[keep]
 
 
+def top_k(
+    n_rows: int, products: Iterator[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, k: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and similarities of the k best columns per row over all products; ties go to
+    the smaller column."""
+    none = np.iinfo("int64").max
+    held, cols = np.full((n_rows, k), -np.inf), np.full((n_rows, k), none)
+    left32, right32 = left.astype("float32"), right.astype("float32")
+    for rows, some in products:
+        floor, a, b = held[rows, -1], left[rows], right[some]
+        found = None
+        if not np.isneginf(floor).any():
+            found = _above(a, b, left32[rows], right32[some], floor)
+        if found is None:
+            scores = np.round(a @ b.T, 12)
+            r, c = best_k(scores, some, k)
+            found = r, c, scores[r, c]
+        r, c, score = found
+        c = some[c]
+        better = (score > floor[r]) | ((score == floor[r]) & (c < cols[rows[r], -1]))
+        r, c, score = r[better], c[better], score[better]
+        if not len(r):
+            continue
+        old = np.unique(r)
+        r = np.concatenate([np.repeat(old, k), r])
+        c = np.concatenate([cols[rows[old]].ravel(), c])
+        score = np.concatenate([held[rows[old]].ravel(), score])
+        order = np.lexsort((c, -score, r))
+        r, c, score = r[order], c[order], score[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = rank < k
+        held[rows[r[keep]], rank[keep]], cols[rows[r[keep]], rank[keep]] = score[keep], c[keep]
+    row, place = np.nonzero(cols != none)
+    return row, cols[row, place], held[row, place]
+
+
 def top_k_pairs(
     queries: DataFrame, cases: DataFrame, k: int, block_rows: int, query_rows: int,
-    carry: tuple[str, ...] = (), case_counts: DataFrame | None = None,
+    carry: tuple[str, ...] = (), case_sizes: DataFrame | None = None, cells: Cells | None = None,
 ) -> DataFrame:
-    """(query_id, case_key, similarity): the k most similar cases per query and block.
+    """(query_id, case_key, similarity): the k most similar cases per query and tile.
 
-    The caller cuts to k per query; a query meets as many blocks as its scope has.
+    The caller cuts to k per query; a query meets as many tiles as its scope has.
     ``carry`` names short text columns of the cases to hand through.
     """
     qtype = queries.schema["query_id"].dataType.simpleString()
-    columns = ["query_id", "case_key", "similarity", *carry]
-
-    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return stack([], columns)
-        c = c.sort_values("case_key", ignore_index=True)
-        keys = np.arange(len(c))
-        cases_t = unit_rows(c["vector"]).T
-        out = []
-        # Slices keep the score matrix small whatever the block sizes are.
-        step = max(1, 4_000_000 // len(c))
-        left = unit_rows(q["vector"])
-        for at in range(0, len(q), step):
-            # Twelve places: equal vectors tie whatever block they were multiplied in.
-            scores = np.round(left[at : at + step] @ cases_t, 12)
-            r, col = best_k(scores, keys, k)
-            out.append({
-                "query_id": q["query_id"].to_numpy()[at + r],
-                "case_key": c["case_key"].to_numpy()[col],
-                "similarity": scores[r, col],
-                **{name: c[name].to_numpy()[col] for name in carry},
-            })
-        return stack(out, columns)
+    schema = ", ".join([f"query_id {qtype}, case_key string, similarity double", *[f"{c} string" for c in carry]])
+
+    def work(q: pa.Table, c: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        c = c.take(pa.array(np.argsort(values(c, "case_key"), kind="stable")))
+        left, right = unit_matrix(q), unit_matrix(c)
+        r, col, score = top_k(len(left), _products(q, c, left, cells, block_rows, query_rows), left, right, k)
+        yield {
+            "query_id": values(q, "query_id")[r], "case_key": values(c, "case_key")[col], "similarity": score,
+            **{name: values(c, name)[col] for name in carry},
+        }
 
     return meet(
-        queries.select("query_id", *_scope_of(queries), "vector"),
-        cases.select("case_key", *_scope_of(cases), "vector", *carry),
-        work,
-        ", ".join([f"query_id {qtype}, case_key string, similarity double", *[f"{c} string" for c in carry]]),
-        block_rows, query_rows, case_counts,
-    )
+        queries.select("query_id", *_scope_of(queries), "vector", *_value(cells)),
+        cases.select("case_key", *_scope_of(cases), "vector", *carry, *_cell(cells)),
+        work, schema, query_rows, case_sizes, cells)
+
+
+def _value(cells: Cells | None) -> list[str]:
+    return [cells.value] if cells else []
+
+
+def _cell(cells: Cells | None) -> list[str]:
+    return ["cell"] if cells else []
 
 
 def linked(
@@ -202,17 +370,15 @@ def linked(
     id, so at most one row per id leaves a task.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}"
 
-    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return stack([], ["a", "b"])
-        near = np.round(unit_rows(q["vector"]) @ unit_rows(c["vector"]).T, 12) >= threshold
-        ids, place = np.unique(np.concatenate([q["query_id"].to_numpy(), c["case_key"].to_numpy()]), return_inverse=True)
-        rows, cols = place[: len(q)], place[len(q):]
+    def stars(query_ids: np.ndarray, case_ids: np.ndarray, near: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        ids, place = np.unique(np.concatenate([query_ids, case_ids]), return_inverse=True)
+        rows, cols = place[: len(query_ids)], place[len(query_ids):]
         joined = np.zeros((len(ids), len(ids)), dtype=bool)
         joined[np.ix_(rows, cols)] = near
         joined |= joined.T
-        new, out = np.ones(len(ids), dtype=bool), []
+        new = np.ones(len(ids), dtype=bool)
         for start in range(len(ids)):
             if not new[start]:
                 continue
@@ -220,37 +386,48 @@ def linked(
             while len(edge):
                 edge = np.flatnonzero(joined[edge].any(axis=0) & new)
                 new[edge] = False
-                out.append({"a": ids[np.full(len(edge), start)], "b": ids[edge]})
-        return stack(out, ["a", "b"])
+                yield {"a": ids[np.full(len(edge), start)], "b": ids[edge]}
+
+    def work(q: pa.Table, c: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        left, right = unit_matrix(q), unit_matrix(c)
+        query_ids, case_ids = values(q, "query_id"), values(c, "case_key")
+        for rows, cols in _products(q, c, left, None, block_rows, query_rows):
+            near = np.round(left[rows] @ right[cols].T, 12) >= threshold
+            yield from stars(query_ids[rows], case_ids[cols], near)
 
-    return meet(queries, cases, work, f"a {kind}, b {kind}", block_rows, query_rows)
+    return meet(queries, cases, work, schema, query_rows)
 
 
 def any_above(
-    queries: DataFrame, cases: DataFrame, threshold: float, block_rows: int, query_rows: int
+    queries: DataFrame, cases: DataFrame, threshold: float, block_rows: int, query_rows: int,
+    cells: Cells | None = None,
 ) -> DataFrame:
     """Distinct query_ids with a more similar case (strictly above) that came earlier.
 
     Both sides carry ``seq``; a case counts when its seq is lower than the query's.
     """
     qtype = queries.schema["query_id"].dataType.simpleString()
-
-    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return stack([], ["query_id"])
-        cases_t, left = unit_rows(c["vector"]).T, unit_rows(q["vector"])
-        c_seq, q_seq = c["seq"].to_numpy(), q["seq"].to_numpy()
-        hit = np.zeros(len(q), dtype=bool)
-        step = max(1, 4_000_000 // len(c))
-        for at in range(0, len(q), step):
-            part = slice(at, at + step)
-            close = (np.round(left[part] @ cases_t, 12) > threshold) & (c_seq[None, :] < q_seq[part][:, None])
-            hit[part] = close.any(axis=1)
-        return stack([{"query_id": q["query_id"].to_numpy()[hit]}], ["query_id"])
+    schema = f"query_id {qtype}"
+
+    def work(q: pa.Table, c: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        left, right = unit_matrix(q), unit_matrix(c)
+        left32, right32 = left.astype("float32"), right.astype("float32")
+        c_seq, q_seq = values(c, "seq"), values(q, "seq")
+        hit = np.zeros(len(left), dtype=bool)
+        for rows, cols in _products(q, c, left, cells, block_rows, query_rows):
+            rows = rows[~hit[rows]]
+            a, b = left[rows], right[cols]
+            found = _above(a, b, left32[rows], right32[cols], np.full(len(rows), threshold))
+            if found is None:
+                scores = np.round(a @ b.T, 12)
+                found = *np.nonzero(scores > threshold), scores[scores > threshold]
+            r, col, score = found
+            r, col = r[score > threshold], col[score > threshold]
+            hit[rows[r[c_seq[cols[col]] < q_seq[rows[r]]]]] = True
+        yield {"query_id": values(q, "query_id")[hit]}
 
     found = meet(
-        queries.select("query_id", *_scope_of(queries), "vector", "seq"),
-        cases.select("case_key", *_scope_of(cases), "vector", "seq"),
-        work, f"query_id {qtype}", block_rows, query_rows,
-    )
+        queries.select("query_id", *_scope_of(queries), "vector", "seq", *_value(cells)),
+        cases.select("case_key", *_scope_of(cases), "vector", "seq", *_cell(cells)),
+        work, schema, query_rows, cells=cells)
     return found.distinct()

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -107,24 +108,19 @@ def _assign_in_blocks(df: DataFrame, centroids: DataFrame, vector: str) -> DataF
     """Each block of centroids gives a row its nearest one there; the nearest of these is it."""
     rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "unassigned")
 
-    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "cluster_id", "far"]
-        if not len(q) or not len(c):
-            return blocks.stack([], columns)
-        c = c.sort_values("case_key", ignore_index=True)
-        ids, matrix = c["case_key"].to_numpy(), np.array(c["vector"].tolist(), dtype="float64")
-        size, step, out = (matrix * matrix).sum(1)[None, :], max(1, 4_000_000 // len(c)), []
-        for at in range(0, len(q), step):
-            m = np.array(q["vector"].iloc[at:at + step].tolist(), dtype="float64")
-            far = size - 2.0 * (m @ matrix.T)
+    def work(q: pa.Table, c: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        c = c.take(pa.array(np.argsort(blocks.values(c, "case_key"))))
+        ids, places, m, query_ids = blocks.values(c, "case_key"), blocks.matrix(c), blocks.matrix(q), blocks.values(q, "query_id")
+        size, step = (places * places).sum(1)[None, :], max(1, 4_000_000 // len(places))
+        for at in range(0, len(m), step):
+            far = size - 2.0 * (m[at:at + step] @ places.T)
             near = np.argmin(far, axis=1)
-            out.append({"query_id": q["query_id"].to_numpy()[at:at + step], "cluster_id": ids[near], "far": far[np.arange(len(m)), near]})
-        return blocks.stack(out, columns)
+            yield {"query_id": query_ids[at:at + step], "cluster_id": ids[near], "far": far[np.arange(len(far)), near]}
 
     found = blocks.meet(
         rows.select(F.col("__row").alias("query_id"), F.col(vector).alias("vector")),
         centroids.select(F.col("cluster_id").alias("case_key"), F.col("centroid").alias("vector")),
-        work, "query_id bigint, cluster_id int, far double", 4096, 4096)
+        work, "query_id bigint, cluster_id int, far double", 4096)
     best = found.groupBy(F.col("query_id").alias("__row")).agg(F.min(F.struct("far", "cluster_id")).alias("best"))
     return rows.join(best, "__row").withColumn("cluster_id", F.col("best.cluster_id")).drop("__row", "best")
 

@@ -123,23 +123,23 @@ def near_bound(cfg: TriageConfig) -> float:
     return cfg.near_duplicate + 0.5e-4
 
 
-def _near(queries: DataFrame, cases: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """case_key of the queries with a near-duplicate of lower seq; a query opens its ``cells``, a case is at ``home``."""
+def _near(queries: DataFrame, cases: DataFrame, cells: blocks.Cells, cfg: TriageConfig) -> DataFrame:
+    """case_key of the queries with a near-duplicate of lower seq; a query opens the cells its cone touches."""
     found = blocks.any_above(
         queries.select(F.col("case_key").alias("query_id"), F.col("embedding").alias("vector"), "seq",
-                       F.explode("cells").alias("scope")),
-        cases.select("case_key", F.col("embedding").alias("vector"), "seq", F.col("home").alias("scope")),
-        near_bound(cfg), cfg.block_rows, cfg.query_rows)
+                       F.lit(near_bound(cfg) - 1e-9).alias(cells.value)),
+        cases.select("case_key", F.col("embedding").alias("vector"), "seq", F.col("home").alias("cell")),
+        near_bound(cfg), cfg.block_rows, cfg.query_rows, cells)
     return found.select(F.col("query_id").alias("case_key"))
 
 
 def _homes(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     vector = F.col("embedding")
-    return materialise(rows.withColumns({"vector": vector, "home": search.home_cell(vector, centres)}), "homes")
+    return materialise(rows.withColumn("home", search.home_cell(vector, centres)), "homes")
 
 
-def _cells(cases: DataFrame, centres: np.ndarray, cfg: TriageConfig) -> Column:
-    return search.cone_cells(F.col("embedding"), cases, "home", centres, near_bound(cfg) - 1e-9)
+def _cells(cases: DataFrame, centres: np.ndarray) -> blocks.Cells:
+    return search.cone_cells(cases.withColumn("vector", F.col("embedding")), "home", centres)
 
 
 def not_near_index(
@@ -155,8 +155,8 @@ def not_near_index(
     centres = search.fit_cells(index) if centres is None else centres
     # All of the index is earlier.
     cases = _homes(index.select("case_key", "embedding", F.lit(0).cast("bigint").alias("seq")), centres)
-    asking = rows.select("case_key", "embedding", F.lit(1).cast("bigint").alias("seq"), _cells(cases, centres, cfg).alias("cells"))
-    return rows.join(_near(materialise(asking, "asking"), cases, cfg), "case_key", "left_anti")
+    asking = rows.select("case_key", "embedding", F.lit(1).cast("bigint").alias("seq"))
+    return rows.join(_near(asking, cases, _cells(cases, centres), cfg), "case_key", "left_anti")
 
 
 def first_of_equals(rows: DataFrame) -> DataFrame:
@@ -183,18 +183,19 @@ def admit_in_order(
         return rows
     # Cells are settled once, over all rows; the rounds below only thin the rows out.
     centres = search.fit_cells(rows) if centres is None else centres
-    homes = _homes(rows, centres)
-    undecided = materialise(homes.withColumn("cells", _cells(homes, centres, cfg)), "round")
-    kept = undecided.limit(0)
+    # Rounds hand keys, vectors and homes on; the other columns meet the kept keys at the end.
+    undecided = _homes(rows.select("case_key", "embedding", "seq"), centres)
+    cells = _cells(undecided, centres)
+    kept = undecided.select("case_key").limit(0)
     while not undecided.isEmpty():
-        waiting = materialise(undecided.join(_near(undecided, undecided, cfg), "case_key", "left_semi"), "round")
+        waiting = materialise(undecided.join(_near(undecided, undecided, cells, cfg), "case_key", "left_semi"), "round")
         winners = undecided.join(waiting.select("case_key"), "case_key", "left_anti")
         winners = materialise(winners, "round")
-        kept = kept.unionByName(winners)
+        kept = kept.unionByName(winners.select("case_key"))
         if waiting.isEmpty():
             break
-        undecided = materialise(waiting.join(_near(waiting, winners, cfg), "case_key", "left_anti"), "round")
-    return kept.select(*rows.columns)
+        undecided = materialise(waiting.join(_near(waiting, winners, cells, cfg), "case_key", "left_anti"), "round")
+    return rows.join(kept, "case_key", "left_semi")
 
 
 def add_approved(index: DataFrame, approvals: DataFrame, cfg: TriageConfig = TriageConfig(),

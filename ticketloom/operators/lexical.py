@@ -3,17 +3,18 @@
 The index holds for every (case, term) what one occurrence of the term in a query adds to the
 case's score, as a whole number of millionths: sums of whole numbers do not depend on their
 order, so equal scores are equal wherever they were added up. It is stored by case, and
-searched as vectors are (``blocks``): a block of cases is inverted in the task that searches
-it, so a term that every case holds is spread over all blocks, no pair is ever a row, and at
+searched as vectors are (``blocks``): a tile of cases is inverted in the task that searches
+it, so a term that every case holds is spread over all tiles, no pair is ever a row, and at
 most k rows per query leave a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,31 +65,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return per_query.select("query_id", F.col("t.term").alias("terms"), F.col("t.n").alias("times"))
 
 
-def _block_scores(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
-    columns = ["query_id", "case_key", "score"]
-    if not len(q) or not len(c):
-        return blocks.stack([], columns)
-    c = c.sort_values("case_key", ignore_index=True)
-    keys = c["case_key"].to_numpy()
-    codes, names = pd.factorize(np.concatenate(c["terms"].to_numpy()))
-    owner = np.repeat(np.arange(len(c)), c["terms"].map(len).to_numpy())
+def _tile_scores(q: pa.Table, c: pa.Table, k: int) -> Iterator[dict[str, np.ndarray]]:
+    """The k best cases per query; equal queries are scored once. Words stay in Arrow, only distinct ones are texts here."""
+    c = c.take(pa.array(np.argsort(blocks.values(c, "case_key"), kind="stable")))
+    keys, held, query_ids = blocks.values(c, "case_key"), c.column("terms").combine_chunks(), blocks.values(q, "query_id")
+    words = held.flatten().dictionary_encode()
+    number = {name: i for i, name in enumerate(words.dictionary.to_pylist())}
+    codes = words.indices.to_numpy()
+    owner = np.repeat(np.arange(len(keys)), np.diff(held.offsets.to_numpy()))
     order = np.argsort(codes, kind="stable")
-    owner, impact = owner[order], np.concatenate(c["impacts"].to_numpy())[order]
-    ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
-    number = {name: i for i, name in enumerate(names)}
-    out = []
-    for query_id, words, times in zip(q["query_id"], q["terms"], q["times"]):
-        score = np.zeros(len(c), dtype="int64")
-        for word, n in zip(words, times):
-            at = number.get(word)
-            if at is not None:  # a case has one posting of a term
-                score[owner[ends[at]:ends[at + 1]]] += n * impact[ends[at]:ends[at + 1]]
+    owner, impact = owner[order], c.column("impacts").combine_chunks().flatten().to_numpy()[order]
+    ends = np.searchsorted(codes[order], np.arange(len(number) + 1))
+    asked: dict[tuple, list[int]] = {}
+    for i, terms_times in enumerate(zip(q.column("terms").to_pylist(), q.column("times").to_pylist())):
+        own = tuple((number[w], n) for w, n in zip(*terms_times) if w in number)
+        if own:
+            asked.setdefault(own, []).append(i)
+    for own, rows in asked.items():
+        score = np.zeros(len(keys), dtype="int64")
+        for at, n in own:  # a case has one posting of a term
+            score[owner[ends[at]:ends[at + 1]]] += n * impact[ends[at]:ends[at + 1]]
         hits = np.flatnonzero(score)
         if len(hits) > k:
             hits = hits[score[hits] >= np.partition(score[hits], len(hits) - k)[len(hits) - k]]
         hits = hits[np.lexsort((hits, -score[hits]))][:k]
-        out.append({"query_id": np.full(len(hits), query_id), "case_key": keys[hits], "score": score[hits]})
-    return blocks.stack(out, columns)
+        yield {
+            "query_id": np.repeat(query_ids[rows], len(hits)), "case_key": np.tile(keys[hits], len(rows)),
+            "score": np.tile(score[hits], len(rows))}
 
 
 def bm25_search(queries: DataFrame, index: DataFrame, k: int, cfg: TriageConfig = TriageConfig()) -> DataFrame:
@@ -97,8 +100,7 @@ def bm25_search(queries: DataFrame, index: DataFrame, k: int, cfg: TriageConfig
     asked = materialise(query_terms(queries), "query-terms")
     kind = asked.schema["query_id"].dataType.simpleString()
     pairs = blocks.meet(
-        asked, index, lambda q, c: _block_scores(q, c, k), f"query_id {kind}, case_key string, score bigint",
-        cfg.block_rows, cfg.query_rows)
+        asked, index, lambda q, c: _tile_scores(q, c, k), f"query_id {kind}, case_key string, score bigint", cfg.query_rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_key")
     return pairs.withColumn("hit_rank", F.row_number().over(best).cast("bigint")).where(F.col("hit_rank") <= k)
 

@@ -26,7 +26,7 @@ def wants_filter(intent: Column) -> Column:
 
 
 def scoped(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Give both sides their scope; also returns the cases per scope.
+    """Give both sides their scope; also returns the bytes of the cases per scope.
 
     A query searches its intent, or everything when the intent is blank, ``other`` or has
     no case at all. The index is offered under its intent and under everything; the copy
@@ -34,12 +34,13 @@ def scoped(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame,
     """
     # One pass over the intent column, then a table of a few rows.
     per_intent = blocks.small_side(
-        index.groupBy(F.col("intent").alias("scope")).agg(F.count(F.lit(1)).alias("n_cases")))
-    total = per_intent.agg(F.lit(EVERYTHING).alias("scope"), F.sum("n_cases").alias("n_cases"))
+        index.groupBy(F.col("intent").alias("scope")).agg(
+            F.sum(blocks.row_bytes(index, "case_key", "embedding", "source")).alias("case_bytes")))
+    total = per_intent.agg(F.lit(EVERYTHING).alias("scope"), F.sum("case_bytes").alias("case_bytes"))
     wanted = queries.withColumn("scope", F.when(wants_filter(F.col("intent")), F.col("intent")))
     wanted = wanted.join(per_intent, "scope", "left").withColumn(
-        "scope", F.when(F.col("n_cases") > 0, F.col("scope")).otherwise(F.lit(EVERYTHING))
-    ).drop("n_cases")
+        "scope", F.when(F.col("case_bytes") > 0, F.col("scope")).otherwise(F.lit(EVERYTHING))
+    ).drop("case_bytes")
     offered = index.withColumn("scope", F.explode(F.array(F.col("intent"), F.lit(EVERYTHING))))
     return wanted, offered, per_intent.unionByName(total)
 
@@ -114,7 +115,7 @@ def search(
         offered, counts = offered.withColumn("scope", F.concat("scope", kind)), None
     pairs = blocks.top_k_pairs(
         wanted, offered.select("case_key", F.col("embedding").alias("vector"), "scope", "source"),
-        cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",), case_counts=counts,
+        cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",), case_sizes=counts,
     )
     return finish_hits(pairs, index, cfg, boost_before_cut)
 
@@ -148,6 +149,10 @@ def fit_cells(index: DataFrame, n_cells: int | None = None, seed: int = 42) -> n
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
 
+def _nearest_cells(unit: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :n].astype("int32")
+
+
 def probe(vector: Column, centres: np.ndarray, n: int) -> Column:
     """The n nearest cells of a vector."""
 
@@ -155,12 +160,32 @@ def probe(vector: Column, centres: np.ndarray, n: int) -> Column:
     def cells(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        away = -(blocks.unit_rows(v) @ centres.T)
-        return pd.Series(list(np.argsort(away, axis=1, kind="stable")[:, :n].astype("int32")))
+        return pd.Series(list(_nearest_cells(blocks.unit_rows(v), centres, n)))
 
     return cells.asNondeterministic()(vector)
 
 
+def probed_cells(centres: np.ndarray, n: int) -> blocks.Cells:
+    """A query opens its n nearest cells."""
+    def opens(unit: np.ndarray, _: np.ndarray) -> np.ndarray:
+        wanted = np.zeros((len(unit), len(centres)), dtype=bool)
+        np.put_along_axis(wanted, _nearest_cells(unit, centres, n), True, axis=1)
+        return wanted
+
+    return blocks.Cells(len(centres), opens, "floor")
+
+
+def bounded_cells(centres: np.ndarray, radii: np.ndarray) -> blocks.Cells:
+    """A query opens all cells that may hold a case as similar as its ``floor``."""
+    return blocks.Cells(len(centres), lambda unit, floor: _within(unit, floor, centres, radii), "floor")
+
+
+def _within(unit: np.ndarray, floor: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    near = np.clip(unit @ centres.T, -1.0, 1.0)
+    limit = np.arccos(np.clip(floor.astype("float64") - 1e-9, -1.0, 1.0))
+    return np.arccos(near) - radii[None, :] <= limit[:, None] + 1e-9
+
+
 def angle_to(vector: Column, cell: Column, centres: np.ndarray) -> Column:
     """Angle between a vector and the centre of a cell."""
 
@@ -185,11 +210,9 @@ def open_cells(vector: Column, floor: Column, centres: np.ndarray, radii: np.nda
     def cells(v: pd.Series, s: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        near = np.clip(blocks.unit_rows(v) @ centres.T, -1.0, 1.0)
-        limit = np.arccos(np.clip(s.to_numpy(dtype="float64") - 1e-9, -1.0, 1.0))
-        wanted = np.arccos(near) - radii[None, :] <= limit[:, None] + 1e-9
-        seen = np.argsort(-near, axis=1, kind="stable")[:, :probed]
-        np.put_along_axis(wanted, seen, False, axis=1)
+        unit = blocks.unit_rows(v)
+        wanted = _within(unit, s.to_numpy(dtype="float64"), centres, radii)
+        np.put_along_axis(wanted, _nearest_cells(unit, centres, probed), False, axis=1)
         return pd.Series([np.nonzero(row)[0].astype("int32") for row in wanted])
 
     return cells.asNondeterministic()(vector, floor)
@@ -201,35 +224,29 @@ def search_cells(
 ) -> DataFrame:
     """Search by cells: a query meets the cases of its nearest cells first.
 
-    The scope is (intent, cell), so the work per query falls by cells / probes. The k-th best
-    similarity found so far then bounds a second round over just those cells that could
-    still beat it: same hits as ``search``, less work where vectors form clusters. Without
-    ``exact`` there is no second round; ``probes_for`` finds the probes for a wanted recall,
-    and ``recall_at_k`` measures it.
+    The cells of a scope lie along its tiles, so the work per query falls by cells / probes, and
+    a query is sent once to a tile however many of its cells it opens. The k-th best similarity
+    found so far then bounds a second round over just those cells that could hold a case as good:
+    same hits as ``search``, less work where vectors form clusters. Without ``exact`` there is no
+    second round; ``probes_for`` finds the probes for a wanted recall, and ``recall_at_k``
+    measures it.
     """
-    wanted, offered, _ = scoped(_stored(queries), index)
-    offered = offered.withColumn("vector", F.col("embedding")).withColumn(
-        "__cell", probe(F.col("embedding"), centres, 1)[0]
-    )
-    offered = materialise(offered.select("case_key", "scope", "source", "vector", "__cell"), "cells")
+    wanted, offered, sizes = scoped(_stored(queries), index)
+    offered = offered.withColumn("vector", F.col("embedding")).withColumn("cell", home_cell(F.col("embedding"), centres))
+    offered = materialise(offered.select("case_key", "scope", "source", "vector", "cell"), "cells")
 
-    def meet_cells(seeking: DataFrame) -> DataFrame:
-        place = F.concat_ws("/", F.col("scope"), F.col("__cell").cast("string"))
-        return cut(blocks.top_k_pairs(
-            seeking.withColumn("scope", place), offered.withColumn("scope", place),
-            cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",),
-        ), cfg.top_k).drop("cut_rank")
+    def meet_cells(seeking: DataFrame, cells: blocks.Cells) -> DataFrame:
+        return blocks.top_k_pairs(
+            seeking, offered, cfg.top_k, cfg.block_rows, cfg.query_rows, carry=("source",), case_sizes=sizes, cells=cells)
 
-    pairs = meet_cells(wanted.withColumn("__cell", F.explode(probe(F.col("vector"), centres, probes))))
+    pairs = meet_cells(wanted.withColumn("floor", F.lit(-1.0)), probed_cells(centres, probes))
     if exact:
-        pairs = materialise(pairs, "first-round")
-        radii = _radii(offered, "__cell", centres)
-        found = pairs.groupBy("query_id").agg(
+        first = cut(pairs, cfg.top_k).groupBy("query_id").agg(
             F.when(F.count(F.lit(1)) >= cfg.top_k, F.min("similarity")).alias("floor"))
-        floor = F.coalesce("floor", F.lit(-1.0))
-        rest = wanted.join(found, "query_id", "left").withColumn(
-            "__cell", F.explode(open_cells(F.col("vector"), floor, centres, radii, probes)))
-        pairs = pairs.unionByName(meet_cells(materialise(rest.drop("floor"), "second-round")))
+        radii = _radii(offered, "cell", centres)
+        seeking = wanted.join(materialise(first, "floors"), "query_id", "left")
+        # The bound lets the cells of the first round in again, so the second alone is the whole result.
+        pairs = meet_cells(seeking.withColumn("floor", F.coalesce("floor", F.lit(-1.0))), bounded_cells(centres, radii))
     return finish_hits(pairs, index, cfg)
 
 
@@ -239,10 +256,21 @@ def probes_for(recall: float, hits: DataFrame, queries: DataFrame, index: DataFr
     Each hit asks for as many probes as the rank of its case's cell among the query's cells;
     the wanted share of hits is a quantile of those ranks.
     """
-    homes = index.select("case_key", probe(F.col("embedding"), centres, 1)[0].alias("home"))
-    ranked = queries.select("query_id", probe(F.col("vector"), centres, len(centres)).alias("cells"))
-    ranks = hits.select("query_id", "case_key").join(homes, "case_key").join(ranked, "query_id").select(
-        F.array_position("cells", F.col("home")).alias("needed"))
+    @F.pandas_udf("array<int>")
+    def needed(v: pd.Series, homes: pd.Series) -> pd.Series:
+        out, step = [], max(1, 1_000_000 // len(centres))
+        for at in range(0, len(v), step):
+            cells = _nearest_cells(blocks.unit_rows(v.iloc[at:at + step]), centres, len(centres))
+            ranks = np.argsort(cells, axis=1) + 1
+            out.extend(row[own] for row, own in zip(ranks, homes.iloc[at:at + step]))
+        return pd.Series(out, dtype=object)
+
+    homes = index.select("case_key", home_cell(F.col("embedding"), centres).alias("home"))
+    # One row per query: only its hits' cells move, not its order of all cells.
+    found = hits.select("query_id", "case_key").join(homes, "case_key").groupBy("query_id").agg(
+        F.collect_list("home").alias("homes"))
+    ranks = queries.select("query_id", "vector").join(found, "query_id").select(
+        F.explode(needed.asNondeterministic()(F.col("vector"), F.col("homes"))).alias("needed"))
     counted = ranks.groupBy("needed").agg(F.count(F.lit(1)).alias("n")).orderBy("needed").collect()
     wanted, seen = recall * sum(r["n"] for r in counted), 0
     for row in counted:  # one row per cell at most
@@ -257,12 +285,12 @@ def home_cell(vector: Column, centres: np.ndarray) -> Column:
     return probe(vector, centres, 1)[0]
 
 
-def cone_cells(vector: Column, cases: DataFrame, cell: str, centres: np.ndarray, floor: float) -> Column:
+def cone_cells(cases: DataFrame, cell: str, centres: np.ndarray) -> blocks.Cells:
     """Cells of ``cases`` (vector, cell) that may hold one with a cosine of ``floor`` or more.
 
     A high floor is a narrow cone, which few cells touch; the angle bound rules out the rest.
     """
-    return open_cells(vector, F.lit(floor), centres, _radii(cases, cell, centres), 0)
+    return bounded_cells(centres, _radii(cases, cell, centres))
 
 
 def _radii(cases: DataFrame, cell: str, centres: np.ndarray) -> np.ndarray:
