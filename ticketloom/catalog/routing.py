@@ -10,6 +10,7 @@ from ticketloom.catalog.hygiene import clean_tickets
 from ticketloom.catalog.registry import Family
 from ticketloom.catalog.retrieval import hits_ctes, index, stored_index
 from ticketloom.config import TriageConfig
+from ticketloom.operators import hygiene as hy
 from ticketloom.operators import index as ix
 from ticketloom.operators import queue as qu
 from ticketloom.operators import routing as rt
@@ -24,16 +25,23 @@ CFG = TriageConfig()
 
 
 def triage_input(spark, d):
-    """Clean unique tickets with their classification, vector and time, as a stored table."""
-    t = clean_tickets(spark, d, extra=("created_at",)).select(
-        "ticket_id", F.col("ticket_text").alias("query"), "created_at")
-    v = fx.ticket_vectors(spark, d).select("ticket_id", "embedding")
-    joined = t.join(fx.classifications(spark, d), "ticket_id").join(v, "ticket_id")
-    return materialise(joined, "tickets")
+    """Clean unique tickets with their classification, vector and time, as a stored table.
 
+    Classification and vector join the raw text, which lies by ticket id then; the first of equal
+    texts is taken from all tickets before those without either go.
+    """
+    raw = fx.tickets_raw(spark, d)
+    c = fx.classifications(spark, d).withColumn("classified", F.lit(True))
+    v = fx.ticket_vectors(spark, d).select("ticket_id", "embedding", F.lit(True).alias("has_vector"))
+    more = ("created_at", *c.columns[1:], "embedding", "has_vector")
+    t = hy.clean_tickets(raw.join(c, "ticket_id", "left").join(v, "ticket_id", "left"), extra=more)
+    joined = t.where("classified AND has_vector").withColumnRenamed("ticket_text", "query").select("ticket_id", "query", *more)
+    return materialise(joined.drop("classified", "has_vector"), "tickets")
 
-def routed(spark, d, carry=()):
-    return triage(triage_input(spark, d), stored_index(spark, d), CFG, carry=carry)
+
+def routed(spark, d, carry=(), tickets=None):
+    """All tickets routed; ``tickets`` is what ``triage_input`` stored, for queries that route them twice."""
+    return triage(triage_input(spark, d) if tickets is None else tickets, stored_index(spark, d), CFG, carry=carry)
 
 
 _urgent = "lower(urgency) IN ('high', 'critical')"
@@ -186,8 +194,8 @@ def rid(*parts: str) -> str:
 MESSAGE = "substr(md5({}::VARCHAR || '/' || strftime({}, '%Y%m%d%H%M%S%f')), 1, 16)"
 
 
-def queue(spark, d):
-    return qu.queue_rows(routed(spark, d, ("created_at",)), F.col("created_at"))
+def queue(spark, d, tickets=None):
+    return qu.queue_rows(routed(spark, d, ("created_at",), tickets), F.col("created_at"))
 
 
 def turns_of(spark, d, role):
@@ -229,8 +237,8 @@ def s8_queue_rows(spark, d):
     return tb.read_table(spark, path)
 
 
-def queue_now(spark, d):
-    return qu.resolve(queue(spark, d), queue_events(spark, d))
+def queue_now(spark, d, tickets=None):
+    return qu.resolve(queue(spark, d, tickets), queue_events(spark, d))
 
 
 _RANK = "CASE urgency WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END"
@@ -240,7 +248,8 @@ _RANK = "CASE urgency WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' TH
     f"SELECT id, ticket_id, urgency, created_at, {_RANK} AS urgency_rank, "
     f"row_number() OVER (ORDER BY {_RANK}, created_at, id) AS queue_position FROM queue_now WHERE status = 'pending'"))
 def q1_pending(spark, d):
-    return qu.pending(queue_now(spark, d)).select(
+    # The numbering stores its rows and sorts them, so texts and cases stay out of it.
+    return qu.pending(queue_now(spark, d).select("id", "ticket_id", "urgency", "created_at", "status")).select(
         "id", "ticket_id", "urgency", "created_at", "urgency_rank", "queue_position")
 
 
@@ -279,16 +288,16 @@ SELECT {rid('ticket_id', 'seq')} AS id, ticket_id::VARCHAR AS ticket_id, "query"
 _REVIEW = 'id, ticket_id, "query", intent, urgency, confidence, draft_reply, customer_feedback, status, created_at'
 
 
-def feedback(spark, d):
-    out = routed(spark, d, ("created_at", "embedding"))
+def feedback(spark, d, tickets=None):
+    out = routed(spark, d, ("created_at", "embedding"), tickets)
     marks = fx.table(spark, d, "labels").select(
         F.col("doc_id").alias("ticket_id"), (F.col("quality") == 1).alias("feedback_is_okay"),
         F.when(F.col("toxic") == 1, "rude answer").otherwise("").alias("feedback_notes"))
     return out.join(marks, "ticket_id").withColumn("seq", F.col("ticket_id"))
 
 
-def reviews(spark, d):
-    return qu.review_rows(feedback(spark, d), F.col("created_at"))
+def reviews(spark, d, tickets=None):
+    return qu.review_rows(feedback(spark, d, tickets), F.col("created_at"))
 
 
 @register("s9_review_rows", S.with_ctes(f"SELECT {_REVIEW} FROM reviews"))
@@ -317,7 +326,8 @@ def s10_q12_log_rows(spark, d):
 @register("q5_newest_reviews", S.with_ctes(
     "SELECT id, ticket_id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS queue_position FROM reviews"))
 def q5_newest_reviews(spark, d):
-    return qu.review_positions(reviews(spark, d)).select("id", "ticket_id", "created_at", "queue_position")
+    return qu.review_positions(reviews(spark, d).select("id", "ticket_id", "created_at")).select(
+        "id", "ticket_id", "created_at", "queue_position")
 
 
 @register("q6_log_feedback", S.with_ctes(f"""
@@ -426,7 +436,6 @@ UNION ALL SELECT 4, 'indexed', count(*) FROM solved_index"""))
 def a9_funnel(spark, d):
     """Rows of each stage, counted while the stage is written."""
     from ticketloom.catalog.retrieval import solved_index
-    from ticketloom.operators import hygiene as hy
     from ticketloom.operators import profiling as pf
 
     raw, n_raw = pf.counted(fx.tickets_raw(spark, d), "raw")
