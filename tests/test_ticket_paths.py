@@ -41,3 +41,9 @@ def test_pending_positions_are_numbered_without_texts(spark):
         assert len(found) == 2
         for path in found:
             assert not {"customer_query", "retrieved_cases_json"} & set(spark.read.parquet(path).columns)
+
+
+def test_metrics_clean_the_tickets_once(spark):
+    with scratch_scope(spark, "metrics-test") as folder:
+        routing.q7_metrics(spark, SF).collect()
+        assert len(stored_in(folder, "tickets")) == 1

@@ -346,7 +346,8 @@ SELECT count_if(status = 'pending') AS pending_human_tickets,
        (SELECT count(*) FROM reviews) AS developer_reviews_count, (SELECT count(*) FROM precedents) AS vector_db_cases_count
 FROM queue_now"""))
 def q7_metrics(spark, d):
-    return qu.metrics(queue_now(spark, d), reviews(spark, d), index(spark, d))
+    tickets = triage_input(spark, d)
+    return qu.metrics(queue_now(spark, d, tickets), reviews(spark, d, tickets), index(spark, d))
 
 
 @register("q8_recent_rejected", S.with_ctes("""
