@@ -47,3 +47,14 @@ def test_metrics_clean_the_tickets_once(spark):
     with scratch_scope(spark, "metrics-test") as folder:
         routing.q7_metrics(spark, SF).collect()
         assert len(stored_in(folder, "tickets")) == 1
+
+
+def test_streams_have_as_many_files_as_partitions(spark):
+    with scratch_scope(spark, "files-test"):
+        stream = streams.as_stream(spark, spark.range(0, 1000, 1, 12), "many-files", 2)
+        done, path = [], scratch_dir(spark, "state")
+        (stream.writeStream.foreachBatch(lambda b, n: done.append((b.rdd.getNumPartitions(), b.count())))
+            .option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination())
+        assert len(done) == 2 and sum(n for _, n in done) == 1000
+        [files] = stored_in(os.path.dirname(path), "many-files")
+        assert len(tb.read_table(spark, files).inputFiles()) == 12

@@ -24,10 +24,12 @@ register = FAMILY.register
 CFG = TriageConfig()
 
 
-def as_stream(spark, df, name, files=None, max_files=None):
+def as_stream(spark, df, name, batches):
+    """A stream that delivers ``df`` in that many batches, in as many files as Spark has partitions for it."""
     path = scratch_dir(spark, name)
-    tb.write_table(df.repartition(files) if files else df, path)
-    return flows.read_stream(spark, path, df.schema, max_files)
+    tb.write_table(df, path)
+    files = len(tb.read_table(spark, path).inputFiles())
+    return flows.read_stream(spark, path, df.schema, max(1, -(-files // batches)))
 
 
 def in_parts(spark, df, name, order, parts=3):
@@ -54,7 +56,7 @@ FROM (SELECT ticket_id, {rule_sql('ticket_text')} FROM tickets_all WHERE length(
 @register("w1_stream_gate", S.with_ctes(
     "SELECT ticket_id, intent, confidence, sentiment, urgency, is_high_risk, escalate_to_human FROM streamed"))
 def w1_stream_gate(spark, d):
-    stream = as_stream(spark, fx.tickets_raw(spark, d), "raw-stream", 4, 2)
+    stream = as_stream(spark, fx.tickets_raw(spark, d), "raw-stream", 2)
     out = flows.gate_stream(stream, CFG).select(
         "ticket_id", "intent", "confidence", "sentiment", "urgency", "is_high_risk", "escalate_to_human")
     path = scratch_dir(spark, "gated")
@@ -66,7 +68,7 @@ def w1_stream_gate(spark, d):
 SELECT ticket_id, 'queue' AS sink, urgency, escalation_reason AS detail FROM queue
 UNION ALL SELECT ticket_id, 'log', urgency, reply FROM logs"""))
 def w2_stream_triage(spark, d):
-    stream = as_stream(spark, triage_input(spark, d), "ticket-stream", 4, 2)
+    stream = as_stream(spark, triage_input(spark, d), "ticket-stream", 2)
     log = IndexLog(materialise(index(spark, d), "index"), scratch_dir(spark, "index-log"))
     queue_path, log_path = scratch_dir(spark, "queue"), scratch_dir(spark, "logs")
     flows.triage_to_tables(stream, log, queue_path, log_path, scratch_dir(spark, "triage-state"), CFG).awaitTermination()
