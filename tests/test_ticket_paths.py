@@ -58,3 +58,12 @@ def test_streams_have_as_many_files_as_partitions(spark):
         assert len(done) == 2 and sum(n for _, n in done) == 1000
         [files] = stored_in(os.path.dirname(path), "many-files")
         assert len(tb.read_table(spark, files).inputFiles()) == 12
+
+
+def test_sweep_has_no_more_tasks_than_twice_the_cores(spark, monkeypatch):
+    seen = []
+    real = cl.fit_kmeans
+    monkeypatch.setattr(cl, "fit_kmeans", lambda f, k, seed, tries: seen.append(f.rdd.getNumPartitions()) or real(f, k, seed, 1))
+    df = spark.range(0, 200, 1, 64).select(F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"))
+    out = cl.sweep_k(df, candidates=(2, 3)).collect()
+    assert len(out) == 2 and max(seen) <= 2 * spark.sparkContext.defaultParallelism

@@ -150,8 +150,13 @@ def seeded_order(key: Column, seed: int) -> Column:
 
 
 def sweep_k(df: DataFrame, candidates=(12, 16, 20, 24), seed: int = 42, tries: int = 5) -> DataFrame:
-    """(k, silhouette, is_best) for each candidate; the first of equals is best."""
-    features = with_features(df).select("features").persist()
+    """(k, silhouette, is_best) for each candidate; the first of equals is best.
+
+    A fit has dozens of passes, and each task of a pass reports to the driver: the tasks follow
+    the cores, not the rows.
+    """
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    features = with_features(df).select("features").coalesce(tasks).persist()
     try:
         scores = []
         for k in candidates:
