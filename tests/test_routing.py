@@ -98,6 +98,23 @@ def test_messages_of_one_ticket_are_not_multiplied(spark):
     assert logged.select("id").distinct().count() == 3
 
 
+def test_tickets_that_the_gate_holds_back_meet_no_hits(spark, flow):
+    """They do not move to the hits, even when another message of their ticket asks with the same vector."""
+    columns = ("ticket_id string, query string, intent string, confidence double, sentiment string, urgency string, "
+               "urgency_reason string, is_high_risk boolean, embedding array<double>")
+    tickets = spark.createDataFrame([
+        ("t", "where is it", "a", 0.9, "neutral", "low", "r", False, [1.0, 0.0]),
+        ("t", "where is it now", "a", 0.1, "neutral", "low", "r", False, [1.0, 0.0]),
+        ("t", "unknown", "a", None, None, None, None, None, [1.0, 0.0]),
+    ], columns)
+    case = [("c", "text", "c", "a", K.HUMAN, "answer", "p", None, [1.0, 0.0])]
+    index = spark.createDataFrame(
+        case, "case_key string, document string, case_id string, intent string, source string, resolution string, "
+        "product string, timestamp timestamp, embedding array<double>")
+    got = {r["query"]: (r["escalate_to_human"], len(r["retrieved_cases"])) for r in triage(tickets, index).collect()}
+    assert got == {"where is it": (False, 1), "where is it now": (True, 0), "unknown": (False, 1)}
+
+
 def test_triage_traces(flow):
     nodes = lambda i: [t["node"] for t in flow[i]["node_traces"]]
     assert nodes(4) == ["intent_classification", "human_in_loop_check", "escalate_to_human"]
