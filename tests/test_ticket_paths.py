@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ticketloom.catalog import routing, streams
+from ticketloom.catalog import evaluation, routing, streams
 from ticketloom.operators import clustering as cl
 from ticketloom.session import scratch_dir, scratch_scope
 from ticketloom.sources import fixtures as fx
@@ -67,3 +67,18 @@ def test_sweep_has_no_more_tasks_than_twice_the_cores(spark, monkeypatch):
     df = spark.range(0, 200, 1, 64).select(F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"))
     out = cl.sweep_k(df, candidates=(2, 3)).collect()
     assert len(out) == 2 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_scores_take_golden_and_predictions_from_one_cleaning(spark, monkeypatch):
+    def again(*_):
+        raise AssertionError("the tickets are cleaned a second time")
+
+    monkeypatch.setattr(evaluation, "clean_tickets", again)
+    for query in (evaluation.e3_align, evaluation.e13_audit_findings, evaluation.e20_threshold_sweep):
+        assert query(spark, SF).count() > 0
+
+
+def test_queue_hands_the_vectors_of_its_tickets_on(spark):
+    vectors = {str(r["ticket_id"]): r["embedding"] for r in fx.ticket_vectors(spark, SF).collect()}
+    rows = routing.queue(spark, SF, extra=("embedding",)).collect()
+    assert rows and all(r["embedding"] == vectors[r["ticket_id"]] for r in rows)

@@ -24,8 +24,8 @@ def message_id(ticket_id: Column, created_at: Column) -> Column:
     return row_id(ticket_id, F.date_format(created_at, "yyyyMMddHHmmssSSSSSS"))
 
 
-def queue_rows(routed: DataFrame, created_at: Column) -> DataFrame:
-    """Escalated tickets as pending human-queue rows."""
+def queue_rows(routed: DataFrame, created_at: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Escalated tickets as pending human-queue rows; ``extra`` names further columns to hand through."""
     return routed.where(F.col("route") == "human").select(
         message_id(F.col("ticket_id"), created_at).alias("id"),
         F.col("ticket_id").cast("string").alias("ticket_id"),
@@ -41,6 +41,7 @@ def queue_rows(routed: DataFrame, created_at: Column) -> DataFrame:
         F.lit(None).cast("string").alias("human_response"),
         created_at.alias("created_at"),
         F.when(F.lit(False), created_at).alias("resolved_at"),
+        *extra,
     )
 
 
