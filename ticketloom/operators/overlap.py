@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ticketloom.session import materialise
 
 WORDS, THRESHOLD = 5, 0.8
+#: What words are made of.
+WORD = r"[^\x20\x09-\x0D]"
 #: Most frequent shingles that stand last; all tasks hold them.
 FREQUENT = 200_000
 #: Keeps ceil() of a product of decimals from rounding up.
@@ -30,19 +32,22 @@ TINY = 1e-9
 
 def shingles(text: Column, words: int = WORDS) -> Column:
     """Distinct digests of all runs of ``words`` words, sorted; of fewer words, of the whole."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}+"), F.lit(0))
 
     def runs(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
-        all_runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
+        # A digest of the digests of its words: a word is hashed once, and what is missing at the end is skipped.
+        all_runs = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
         return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(all_runs)))
 
-    return F.get(F.transform(F.array(found), runs), F.lit(0))
+    return F.get(F.transform(F.array(F.transform(found, lambda w: F.xxhash64(w))), runs), F.lit(0))
 
 
 def _sets(df: DataFrame, key: str, text: str, words: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Stored (key, set_id) and (set_id, tokens); texts without words are in neither."""
-    rows = df.select(F.col(key).alias("key"), shingles(F.col(text), words).alias("tokens")).where("tokens IS NOT NULL")
+    # A filter on the shingles would be pushed down and compute them a second time.
+    df = df.where(F.col(text).rlike(WORD))
+    rows = df.select(F.col(key).alias("key"), shingles(F.col(text), words).alias("tokens"))
     rows = materialise(rows.withColumn("set_id", F.unhex(F.md5(F.to_json("tokens").cast("binary")))), f"{name}-rows")
     sets = rows.groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
     return rows.select("key", "set_id"), materialise(sets, f"{name}-sets")
