@@ -1,6 +1,7 @@
 """Lexical search, rank fusion and the near-duplicate check against brute force."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -9,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.config import TriageConfig
+from ticketloom.operators import blocks
 from ticketloom.operators import lexical as lx
 from ticketloom.operators import overlap as ov
+from ticketloom.session import scratch_dir, scratch_scope
 
 from tests.test_search import make_index
 
@@ -129,3 +132,29 @@ def test_near_holdout_of_empty_tables(spark):
     g = spark.createDataFrame([(1, "a b c d e f")], "ticket_id bigint, ticket_text string")
     df = spark.createDataFrame([], "case_key string, document string")
     assert ov.near_holdout(g, df).collect() == [] and ov.without_near(df, g).collect() == []
+
+
+def test_terms_of_a_case_are_counted_where_it_lies(spark, monkeypatch):
+    """No row per case and term is stored, unless the table of terms is too large to be sent to every task."""
+    cases = spark.createDataFrame(
+        [(f"c{i}", " ".join(f"w{j % 7}" for j in range(i, 3 * i))) for i in range(1, 40)], "case_key string, document string")
+    found = []
+    for limit, stored in ((blocks.MAX_PLAN_BYTES, 0), (0, 1)):
+        monkeypatch.setattr(blocks, "MAX_PLAN_BYTES", limit)
+        with scratch_scope(spark, "terms-test") as folder:
+            found.append(sorted(map(tuple, lx.inverted_index(cases).collect())))
+            assert sum(f.startswith("term-counts") for f in os.listdir(folder.removeprefix("file:"))) == stored
+    assert found[0] == found[1] and len(found[0]) == 39
+
+
+def test_shingles_are_computed_once_a_text(spark, monkeypatch):
+    """The filter of texts without words reads the text, not its shingles."""
+    plans, real = [], ov.materialise
+    monkeypatch.setattr(ov, "materialise", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    path = scratch_dir(spark, "texts")
+    spark.createDataFrame([(1, "a b"), (2, " \t"), (3, None), (4, "A  b")], "ticket_id int, ticket_text string").write.parquet(path)
+    rows, sets = ov._sets(spark.read.parquet(path), "ticket_id", "ticket_text", 5, "texts")
+    assert {r["key"] for r in rows.collect()} == {1, 4} and sets.count() == 1
+    filters = [line for line in plans[0].split("\n") if "Filter" in line]
+    assert filters and not any("transform(" in line for line in filters), plans[0]

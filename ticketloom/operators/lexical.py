@@ -39,19 +39,25 @@ def inverted_index(cases: DataFrame, text: str = "document") -> DataFrame:
 
     With n cases, the impact of a term that df of them hold is
     ``ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length))``.
-    A case without terms is not in the index, but counts among the n. Counts per term are
-    stored, so a term that every case holds is split in the join.
+    A case without terms is not in the index, but counts among the n. The terms of a case move
+    once, as one row, and are counted and put together where they arrive; only if the table of all
+    terms is too large to be sent to every task are the counts stored and joined to it, so that a
+    term that every case holds is split in the join.
     """
     known = cases.select("case_key", terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     known = materialise(known.withColumn("length", F.size("terms")), "case-terms")
     n, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    counts = known.select("case_key", "length", F.explode("terms").alias("term")).groupBy("case_key", "length", "term")
-    counts = materialise(counts.agg(F.count(F.lit(1)).cast("double").alias("tf")), "term-counts")
-    spread = materialise(counts.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")), "term-spread")
+    spread = known.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term")
+    spread = materialise(spread.agg(F.count(F.lit(1)).cast("double").alias("df")), "term-spread")
+    counts = known.repartition("case_key").select("case_key", "length", F.explode("terms").alias("term"))
+    counts = counts.groupBy("case_key", "length", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    sent = blocks.small_side(spread)
+    if sent is spread:
+        counts = materialise(counts, "term-counts")
     rarity = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * ((1 - B) + B * F.col("length").cast("double") / F.lit(total / n if n else 1.0))
     impact = F.floor(UNITS * (rarity * (F.col("tf") * (K1 + 1) / norm)) + 0.5).cast("bigint")
-    rows = counts.join(spread, "term").select("case_key", F.struct("term", impact.alias("impact")).alias("t"))
+    rows = counts.join(sent, "term").select("case_key", F.struct("term", impact.alias("impact")).alias("t"))
     per_case = rows.groupBy("case_key").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return materialise(per_case.select(
         "case_key", F.col("t.term").alias("terms"), F.col("t.impact").alias("impacts")), "inverted-index")
