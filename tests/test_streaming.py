@@ -249,3 +249,11 @@ def test_queue_rows_and_answers_wait_for_each_other_in_state(spark):
     # A batch writes the cases of what met in it, not those of earlier ones; the second delivery met nothing.
     assert sorted((r["batch_id"], r["resolution"]) for r in read_batches(spark, log.path).collect()) == [
         (0, "newer"), (1, "early"), (1, "older"), (2, "much later")]
+
+
+def test_pending_tickets_are_counted_without_a_python_call_per_ticket(spark):
+    path = scratch_dir(spark, "events")
+    events = spark.createDataFrame([("a", "queued", "low")], "id string, kind string, urgency string")
+    events.write.parquet(path)
+    changes = flows.pending_changes(flows.read_stream(spark, path, events.schema))
+    assert changes.isStreaming and "Pandas" not in changes._jdf.queryExecution().analyzed().toString()

@@ -6,11 +6,9 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ticketloom.config import TriageConfig
 from ticketloom.operators import hygiene as hy
@@ -177,21 +175,6 @@ def review_counts(reviews: DataFrame, size: str = "10 minutes", slide: str | Non
 TICKET_EVENT = "id string, kind string, urgency string"
 
 
-def _opened_or_closed(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Remembers of a ticket whether it was queued and answered, and tells when it opens or closes."""
-    queued, answered, urgency = state.get if state.exists else (False, False, None)
-    was_open = queued and not answered
-    for part in rows:
-        arrivals = part.loc[part["kind"] == "queued", "urgency"]
-        if len(arrivals) and not queued:
-            queued, urgency = True, min((u for u in arrivals if isinstance(u, str)), default=None)
-        answered = answered or bool((part["kind"] == "answered").any())
-    state.update((queued, answered, urgency))
-    change = int(queued and not answered) - int(was_open)
-    if change:
-        yield pd.DataFrame({"urgency": pd.Series([urgency], dtype=object), "change": [change]})
-
-
 def ticket_events(queue: DataFrame, answers: DataFrame) -> DataFrame:
     """Queue rows (id, urgency) and answers (id) as one stream for ``pending_changes``."""
     none = F.lit(None).cast("string")
@@ -202,13 +185,22 @@ def ticket_events(queue: DataFrame, answers: DataFrame) -> DataFrame:
 def pending_changes(events: DataFrame) -> DataFrame:
     """(urgency, change): +1 when a ticket becomes open, -1 when it is answered.
 
-    ``events`` is a stream of ``TICKET_EVENT`` rows. The state of a ticket is two flags and its
-    urgency, kept for good, as an answer may come before its ticket, late or again. A ticket
-    that is queued again keeps its first urgency.
+    ``events`` is a stream of ``TICKET_EVENT`` rows. The state of a ticket is the time of the batch
+    that first queued it, with its urgency there, of the one that first answered it, and of the last
+    with either, kept for good, as an answer may come before its ticket, late or again. All rows of
+    a batch have its time, which a replay keeps, so what was open before the batch can be told. A
+    ticket that is queued again keeps its first urgency.
     """
-    return events.groupBy("id").applyInPandasWithState(
-        _opened_or_closed, "urgency string, change int", "queued boolean, answered boolean, urgency string", "update",
-        GroupStateTimeout.NoTimeout)
+    queued, answered = F.col("kind") == "queued", F.col("kind") == "answered"
+    arrival = F.struct("at", F.col("urgency").isNull().alias("unknown"), "urgency")
+    tickets = events.withColumn("at", F.current_timestamp()).groupBy("id").agg(
+        F.min(F.when(queued, arrival)).alias("first"), F.min(F.when(answered, F.col("at"))).alias("answered_at"),
+        F.max("at").alias("at"))
+    is_open = F.col("first").isNotNull() & F.col("answered_at").isNull()
+    earlier = F.coalesce(F.col("first.at") < F.col("at"), F.lit(False))
+    was_open = earlier & F.coalesce(F.col("answered_at") >= F.col("at"), F.lit(True))
+    change = is_open.cast("int") - was_open.cast("int")
+    return tickets.select(F.col("first.urgency").alias("urgency"), change.alias("change")).where("change <> 0")
 
 
 def pending_to_table(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
