@@ -83,8 +83,8 @@ SELECT case_key, case_id, intent, source, resolution FROM precedents
 UNION ALL SELECT ticket_id || '_' || substr(md5(document), 1, 8), ticket_id, intent, '{K.HUMAN}', resolution FROM answered"""))
 def w3_stream_resolutions(spark, d):
     """Answers come in three batches, the latest first, and every one is delivered twice."""
-    vectors = fx.ticket_vectors(spark, d).select(F.col("ticket_id").cast("string").alias("ticket_id"), "embedding")
-    q = materialise(queue(spark, d).join(vectors, "ticket_id"), "queue")
+    q = materialise(queue(spark, d, extra=("embedding",)).select(
+        "id", "ticket_id", "customer_query", "intent", "embedding"), "queue")
     events = queue_events(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     streams = in_parts(spark, events.unionByName(events), "answers", -F.unix_micros("event_ts"))
     base = index(spark, d).withColumns({
@@ -102,8 +102,7 @@ FROM answered"""))
 def w3_waiting_answers(spark, d):
     """Queue rows in three batches, the earliest first, and answers, the latest first and each delivered
     twice: most wait in the state for the other. The cases that the empty index gets."""
-    vectors = fx.ticket_vectors(spark, d).select(F.col("ticket_id").cast("string").alias("ticket_id"), "embedding")
-    q = queue(spark, d).select("id", "ticket_id", "customer_query", "intent", "created_at").join(vectors, "ticket_id")
+    q = queue(spark, d, extra=("embedding",)).select("id", "ticket_id", "customer_query", "intent", "created_at", "embedding")
     events = queue_events(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     queued = in_parts(spark, q, "queued", F.unix_micros(F.col("created_at").cast("timestamp")))
     answers = in_parts(spark, events.unionByName(events), "queue-answers", -F.unix_micros("event_ts"))
