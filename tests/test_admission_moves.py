@@ -40,3 +40,48 @@ def test_admission_stores_no_texts(spark):
         stored = [spark.read.parquet(f"{folder}/{f}").columns for f in os.listdir(folder)]
     assert sorted(map(tuple, got)) == [(f"query {i}", f"reply {i}") for i in range(1, 6)]
     assert stored and not any("document" in columns for columns in stored)
+
+
+def test_scopes_of_many_tiles_store_every_row_once(spark, monkeypatch):
+    """Forty rows of two scopes in many tiles and chunks, one scope in one tile: each pair meets once, and
+    what is stored on the way holds every row of the two scopes once, however many tiles there are."""
+    rows = spark.range(44).select("id", F.when(F.col("id") < 40, (F.col("id") % 2).cast("string")).otherwise("c").alias("scope"))
+    rows = rows.select("id", "scope", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    queries = rows.select(F.col("id").alias("query_id"), "scope", "vector")
+    cases = rows.select(F.col("id").cast("string").alias("case_key"), "scope", "vector")
+
+    def all_pairs(q, c):
+        a, b = blocks.values(q, "query_id"), blocks.values(c, "case_key")
+        yield {"a": np.repeat(a, len(b)), "b": np.tile(b, len(a))}
+
+    for tile in (600, 300):
+        monkeypatch.setattr(blocks, "TILE_BYTES", tile)
+        with scratch_scope(spark, "tiles-test") as folder:
+            out = blocks.meet(queries, cases, all_pairs, "a bigint, b string", 4)
+            got = [tuple(r) for r in out.collect()]
+            folder, stored = folder.removeprefix("file:"), {}
+            for f in os.listdir(folder):
+                for r in spark.read.parquet(f"{folder}/{f}").collect():
+                    for name in {"asked", "held"} & set(r.asDict()):
+                        stored[name] = stored.get(name, 0) + blocks._as_table(r[name]).num_rows
+        assert stored == {"asked": 40, "held": 40}
+        wanted = [(r.a, str(r.b)) for r in rows.select(F.col("id").alias("a"), "scope").join(
+            rows.select(F.col("id").alias("b"), "scope"), "scope").collect()]
+        assert sorted(got) == sorted(wanted)
+
+
+def test_search_is_the_same_by_stored_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(120, 8))]
+    cases = spark.createDataFrame(
+        [(str(i), "text", "ab"[i % 2], "answer", v) for i, v in enumerate(vectors)],
+        "case_id string, ticket_text string, intent string, resolution string, embedding array<double>")
+    queries = spark.createDataFrame(
+        [(i, ["a", "b", "other"][i % 3], v) for i, v in enumerate(vectors[:50])],
+        "query_id long, intent string, vector array<double>")
+    index = ix.to_index_rows(cases)
+    whole = [tuple(r) for r in se.search(queries, index).orderBy("query_id", "hit_rank").collect()]
+    near = [tuple(r) for r in se.nearest(queries, index, 3).orderBy("query_id", "cut_rank").collect()]
+    monkeypatch.setattr(blocks, "TILE_BYTES", 1500)
+    assert [tuple(r) for r in se.search(queries, index).orderBy("query_id", "hit_rank").collect()] == whole
+    assert [tuple(r) for r in se.nearest(queries, index, 3).orderBy("query_id", "cut_rank").collect()] == near

@@ -1,13 +1,15 @@
 """Block-wise similarity: bounded tiles of two tables meet, only results leave.
 
 Both sides carry a ``scope`` (an intent, or everything). Inside a scope, cases are dealt into
-tiles and queries into chunks of up to ``TILE_BYTES``; a case is sent once per query chunk and a
-query once per tile. Each (scope, tile, chunk) is one task's work, done there in numpy products of
-``block_rows`` cases by ``query_rows`` queries, so the size of a product costs no shuffle, no scope
-is too hot for a task, no pair is ever a row, and what leaves a task is at most k rows per query or
-one row per query. Cases may also have a ``cell``: the cells of a scope are laid out along its
-tiles, a query is sent once to each tile that holds a cell it opens, and meets only those cells.
-Then a tile is sent once per chunk of its own visitors.
+tiles and queries into chunks of up to ``TILE_BYTES``. Each (scope, tile, chunk) is worked off in one
+task, in numpy products of ``block_rows`` cases by ``query_rows`` queries, so the size of a product
+costs no shuffle, no scope is too hot for a task, no pair is ever a row, and what leaves a task is at
+most k rows per query or one row per query. A scope of one tile is shuffled, the tile once per chunk.
+In a scope of several, every tile and every chunk is moved and stored once, as one row, and a
+cartesian product of these few rows reads them again for each pair: what is written grows with the
+rows, only what is read and compared with their pairs. Cases may also have a ``cell``: the cells of a
+scope are laid out along its tiles, a query is sent once to each tile that holds a cell it opens, and
+meets only those cells. Then a tile is sent once per chunk of its own visitors.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ticketloom.session import materialise
+
 MAX_PLAN_BYTES = 16 << 20
 #: What one side of a task's work holds at most, on average.
 TILE_BYTES = 32 << 20
@@ -171,6 +175,21 @@ def meet(
     # Tiles are tasks too: a scope of many needs fewer chunks to keep every core busy.
     plan = small_side(asked.join(case_sizes, "scope").select(
         "scope", tiles.alias("tiles"), chunks_of(F.col("n") / F.greatest(tiles, F.lit(1)), F.col("query_bytes"), work_rows(asked)).alias("chunks")))
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        pieces = list(work(q, c)) if q.num_rows and c.num_rows else []
+        return stack(pieces, fields) if pieces else fields.empty_table()
+
+    stored = None
+    if cells is None:
+        least, most = plan.agg(F.min("tiles"), F.max("tiles")).first()
+        if most is not None and most > 1:
+            many = plan.where("tiles > 1")
+            stored = _meet_stored(queries.join(many, "scope"), cases.join(many, "scope"), run, schema)
+            if least > 1:
+                return stored
+            plan = plan.where("tiles <= 1")
     query_bytes = row_bytes(queries)
     queries, cases = queries.join(plan, "scope"), cases.join(plan, "scope")
     dealt = F.pmod(F.xxhash64("case_key"), F.col("tiles")).cast("int")
@@ -198,13 +217,55 @@ def meet(
         "tiles", "chunks", "first", "span")
     spread_queries = queries.withColumn("__chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop(
         "tiles", "chunks", "__bytes")
-    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+    shuffled = spread_queries.groupBy(*place).cogroup(spread_cases.groupBy(*place)).applyInArrow(run, schema)
+    return shuffled if stored is None else shuffled.unionByName(stored)
 
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        pieces = list(work(q, c)) if q.num_rows and c.num_rows else []
-        return stack(pieces, fields) if pieces else fields.empty_table()
 
-    return spread_queries.groupBy(*place).cogroup(spread_cases.groupBy(*place)).applyInArrow(run, schema)
+def _as_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _as_table(stream: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(stream)).read_all()
+
+
+def _stored_pieces(rows: DataFrame, key: str, pieces: str, name: str) -> DataFrame:
+    """(scope, ``name``): the rows of a scope dealt into ``pieces`` by ``key``, each one stored row in its own file."""
+    scope = rows.schema["scope"]
+    fields = to_arrow_schema(T.StructType([scope, T.StructField(name, T.BinaryType())]))
+
+    def pack(group: tuple, table: pa.Table) -> pa.Table:
+        return pa.table([[group[0].as_py()], [_as_bytes(table.drop_columns(["__piece"]))]], schema=fields)
+
+    dealt = rows.withColumn("__piece", F.pmod(F.xxhash64(key), F.col(pieces)).cast("int")).drop("tiles", "chunks")
+    packed = dealt.groupBy("scope", "__piece").applyInArrow(pack, f"scope {scope.dataType.simpleString()}, {name} binary")
+    # A file each: Spark packs files into partitions by their bytes, and a row group is written row by row.
+    return materialise(packed, name, maxRecordsPerFile=1)
+
+
+def _meet_stored(queries: DataFrame, cases: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` for every chunk and tile of a scope; both are shuffled and written once and read once per pair."""
+    asked = _stored_pieces(queries, "query_id", "chunks", "asked")
+    held = _stored_pieces(cases, "case_key", "tiles", "held")
+    pairs = asked.hint("shuffle_replicate_nl").join(held, "scope").select("asked", "held")
+
+    def met(rows: Iterator) -> Iterator[tuple[bytes]]:
+        for row in rows:
+            found = run(_as_table(row["asked"]), _as_table(row["held"]))
+            if found.num_rows:
+                yield (_as_bytes(found),)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream in batch.column(0):
+                yield from _as_table(stream.as_buffer()).to_batches()
+
+    # Rows of an RDD reach Python by their bytes, an Arrow batch would hold thousands of such pairs.
+    found = queries.sparkSession.createDataFrame(pairs.rdd.mapPartitions(met), "found binary", verifySchema=False)
+    return found.mapInArrow(opened, schema)
 
 
 def _scope_of(df: DataFrame) -> list[str]:

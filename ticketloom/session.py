@@ -63,12 +63,12 @@ def scratch_scope(spark: SparkSession, name: str):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df, name: str):
+def materialise(df, name: str, **options):
     """Write a table to the shared scratch folder and read it back.
 
     What follows may use it several times without computing it again, and a lost executor
-    costs a re-read, not a re-run.
+    costs a re-read, not a re-run. ``options`` are those of the writer.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
