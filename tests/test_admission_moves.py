@@ -3,8 +3,11 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
+from ticketloom.catalog import retrieval
 from ticketloom.operators import blocks
 from ticketloom.operators import index as ix
 from ticketloom.operators import search as se
@@ -85,3 +88,13 @@ def test_search_is_the_same_by_stored_tiles(spark, monkeypatch):
     monkeypatch.setattr(blocks, "TILE_BYTES", 1500)
     assert [tuple(r) for r in se.search(queries, index).orderBy("query_id", "hit_rank").collect()] == whole
     assert [tuple(r) for r in se.nearest(queries, index, 3).orderBy("query_id", "cut_rank").collect()] == near
+
+
+@pytest.mark.parametrize("name", ["v16_approximate_recall", "v11_rerank"])
+def test_queries_of_two_searches_are_stored_once(spark, monkeypatch, name):
+    names = []
+    for module in (se, retrieval):
+        monkeypatch.setattr(module, "materialise", lambda df, name, keep=module.materialise, **o: (
+            names.append(name), keep(df, name, **o))[1])
+    assert registry.queries()[name](spark, registry.SMOKE_DIR).count()
+    assert names.count("queries") == 1

@@ -320,10 +320,10 @@ def v16_approximate_recall(spark, d):
     The probes are taken from every tenth query's exact hits (by digest of the id)."""
     idx, q = stored_index(spark, d), materialise(query_vectors(spark, d), "queries")
     centres = se.fit_cells(idx)
-    exact = materialise(se.search(q, idx, CFG).select("query_id", "case_key"), "exact")
+    exact = materialise(se.search(q, idx, CFG, stored=True).select("query_id", "case_key"), "exact")
     some = F.pmod(F.xxhash64("query_id"), F.lit(10)) == 0
     probes = se.probes_for(RECALL, exact.where(some), q.where(some), idx, centres)
-    found = se.recall_at_k(exact, se.search_cells(q, idx, centres, probes, CFG, exact=False))
+    found = se.recall_at_k(exact, se.search_cells(q, idx, centres, probes, CFG, exact=False, stored=True))
     return found.select("exact_hits", (F.col("recall") >= 0.9).alias("reached"))
 
 
@@ -340,10 +340,10 @@ UNION ALL SELECT ticket_id, 'before cut', row_number() OVER w AS hit_rank, case_
 WINDOW w AS (PARTITION BY ticket_id ORDER BY similarity_score DESC, sim DESC, case_key) QUALIFY hit_rank <= {CFG.top_k}""", **hits_ctes()))
 def v11_rerank(spark, d):
     """Both orders: boost after the cut (the reference's) and before it."""
-    idx, q = stored_index(spark, d), query_vectors(spark, d)
+    idx, q = stored_index(spark, d), materialise(query_vectors(spark, d), "queries")
     cols = ("query_id", "boost", "hit_rank", "case_key", "raw_similarity", "similarity_score")
-    after = se.search(q, idx, CFG).withColumn("boost", F.lit("after cut"))
-    before = se.search(q, idx, CFG, boost_before_cut=True).withColumn("boost", F.lit("before cut"))
+    after = se.search(q, idx, CFG, stored=True).withColumn("boost", F.lit("after cut"))
+    before = se.search(q, idx, CFG, boost_before_cut=True, stored=True).withColumn("boost", F.lit("before cut"))
     return after.select(*cols).unionByName(before.select(*cols))
 
 

@@ -97,16 +97,19 @@ def finish_hits(pairs: DataFrame, index: DataFrame, cfg: TriageConfig, boost_bef
     )
 
 
-def _stored(queries: DataFrame) -> DataFrame:
+def _stored(queries: DataFrame, stored: bool) -> DataFrame:
     """Queries as a narrow stored table: planning and search read it, nobody recomputes it."""
-    return materialise(queries.select("query_id", "intent", "vector"), "queries")
+    narrow = queries.select("query_id", "intent", "vector")
+    return narrow if stored else materialise(narrow, "queries")
 
 
 def search(
-    queries: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig(), boost_before_cut: bool = False
+    queries: DataFrame, index: DataFrame, cfg: TriageConfig = TriageConfig(), boost_before_cut: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
-    """Exact search. ``queries``: query_id, intent, vector. One row per query and hit."""
-    wanted, offered, counts = scoped(_stored(queries), index)
+    """Exact search. ``queries``: query_id, intent, vector. One row per query and hit. ``stored``
+    queries are a written table already and are not written again."""
+    wanted, offered, counts = scoped(_stored(queries, stored), index)
     if boost_before_cut:
         # The boost is one value per kind of source, so the k best of each kind hold the k best.
         kind = F.when(F.coalesce("source", F.lit(K.HUMAN)) == K.HUMAN, "/boosted").otherwise("/plain")
@@ -220,7 +223,7 @@ def open_cells(vector: Column, floor: Column, centres: np.ndarray, radii: np.nda
 
 def search_cells(
     queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int = 4,
-    cfg: TriageConfig = TriageConfig(), exact: bool = True,
+    cfg: TriageConfig = TriageConfig(), exact: bool = True, stored: bool = False,
 ) -> DataFrame:
     """Search by cells: a query meets the cases of its nearest cells first.
 
@@ -229,9 +232,9 @@ def search_cells(
     found so far then bounds a second round over just those cells that could hold a case as good:
     same hits as ``search``, less work where vectors form clusters. Without ``exact`` there is no
     second round; ``probes_for`` finds the probes for a wanted recall, and ``recall_at_k``
-    measures it.
+    measures it. ``stored`` is as in ``search``.
     """
-    wanted, offered, sizes = scoped(_stored(queries), index)
+    wanted, offered, sizes = scoped(_stored(queries, stored), index)
     offered = offered.withColumn("vector", F.col("embedding")).withColumn("cell", home_cell(F.col("embedding"), centres))
     offered = materialise(offered.select("case_key", "scope", "source", "vector", "cell"), "cells")
 
