@@ -13,7 +13,7 @@ from ticketloom.catalog.registry import Family
 from ticketloom.catalog.retrieval import index
 from ticketloom.catalog.routing import feedback, queue, queue_events, reviews, triage_input
 from ticketloom.config import TriageConfig
-from ticketloom.session import materialise, scratch_dir
+from ticketloom.session import materialise, remove, scratch_dir, scratch_scope, store
 from ticketloom.sources import fixtures as fx
 from ticketloom.sources import tables as tb
 from ticketloom.sources.logs import IndexLog, read_batches
@@ -32,20 +32,25 @@ def as_stream(spark, df, name, batches):
     return flows.read_stream(spark, path, df.schema, max(1, -(-files // batches)))
 
 
-def in_parts(spark, df, name, order, parts=3):
-    """Streams that deliver ``df`` in that many batches, in the given (numeric) order, nulls first.
+def in_parts(spark, build, name, order, parts=3):
+    """Streams that deliver ``build``, a table or what makes one, in that many batches, in the given (numeric) order, nulls first.
 
-    Each adds a part to one folder, in as many files as Spark has partitions for it; run to its
-    end with the checkpoint of the one before, it is one batch.
+    Each part lies in a folder of its own, in as many files as Spark has partitions for it; a stream reads
+    the first folders, and run to its end with the checkpoint of the one before, it is one batch. What the
+    rows were made of is gone when they are stored, and so are they when the parts are.
     """
-    stored = materialise(df.withColumn("__order", order.cast("double")), f"{name}-all")
+    path, whole = scratch_dir(spark, name), scratch_dir(spark, f"{name}-all")
+    with scratch_scope(spark, f"{name}-build"):
+        df = build() if callable(build) else build
+        schema, stored = df.schema, store(df.withColumn("__order", order.cast("double")), whole)
     cuts = stored.approxQuantile("__order", [i / parts for i in range(1, parts)], 0.001)
     # The first part has no lower bound and the last no upper one, so every row is in one.
     after = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("__order") > c)) if cuts else F.lit(0)
-    path = scratch_dir(spark, name)
     for n in range(len(cuts) + 1):
-        stored.where(after == n).drop("__order").write.mode("append").parquet(path)
-        yield flows.read_stream(spark, path, df.schema)
+        store(stored.where(after == n).drop("__order"), f"{path}/{n}")
+    remove(spark, whole)
+    for n in range(len(cuts) + 1):
+        yield flows.read_stream(spark, f"{path}/{{{','.join(map(str, range(n + 1)))}}}", schema)
 
 
 S.CTES["streamed"] = f"""
@@ -86,7 +91,7 @@ def w3_stream_resolutions(spark, d):
     q = materialise(queue(spark, d, extra=("embedding",)).select(
         "id", "ticket_id", "customer_query", "intent", "embedding"), "queue")
     events = queue_events(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    streams = in_parts(spark, events.unionByName(events), "answers", -F.unix_micros("event_ts"))
+    streams = in_parts(spark, lambda: events.unionByName(events), "answers", -F.unix_micros("event_ts"))
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(base, scratch_dir(spark, "index-log"))
@@ -102,10 +107,13 @@ FROM answered"""))
 def w3_waiting_answers(spark, d):
     """Queue rows in three batches, the earliest first, and answers, the latest first and each delivered
     twice: most wait in the state for the other. The cases that the empty index gets."""
-    q = queue(spark, d, extra=("embedding",)).select("id", "ticket_id", "customer_query", "intent", "created_at", "embedding")
+    def rows():
+        return queue(spark, d, extra=("embedding",)).select(
+            "id", "ticket_id", "customer_query", "intent", "created_at", "embedding")
+
     events = queue_events(spark, d).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    queued = in_parts(spark, q, "queued", F.unix_micros(F.col("created_at").cast("timestamp")))
-    answers = in_parts(spark, events.unionByName(events), "queue-answers", -F.unix_micros("event_ts"))
+    queued = in_parts(spark, rows, "queued", F.unix_micros(F.col("created_at").cast("timestamp")))
+    answers = in_parts(spark, lambda: events.unionByName(events), "queue-answers", -F.unix_micros("event_ts"))
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log, state = IndexLog(base.limit(0), scratch_dir(spark, "index-log")), scratch_dir(spark, "meeting-state")
@@ -121,7 +129,7 @@ def w3_waiting_answers(spark, d):
 def w3_stream_feedback(spark, d):
     """Feedback in three batches, each delivered twice: cases that join the index, and reviews."""
     given = feedback(spark, d).withColumn("event_ts", F.timestamp_seconds(F.col("seq")))
-    streams = in_parts(spark, given.unionByName(given), "feedback", F.col("seq"))
+    streams = in_parts(spark, lambda: given.unionByName(given), "feedback", F.col("seq"))
     base = index(spark, d).withColumns({
         "embedding": F.col("embedding").cast("array<double>"), "timestamp": F.col("timestamp").cast("timestamp")})
     log = IndexLog(materialise(base, "index"), scratch_dir(spark, "index-log"))
@@ -141,7 +149,7 @@ def w4_review_counts(spark, d):
     """Reviews come in three batches, the latest first."""
     rows = reviews(spark, d).select(F.col("created_at").cast("timestamp").alias("created_at"), "status")
     path, state = scratch_dir(spark, "review-counts"), scratch_dir(spark, "review-counts-state")
-    for stream in in_parts(spark, rows, "reviews", -F.unix_micros("created_at")):
+    for stream in in_parts(spark, lambda: rows, "reviews", -F.unix_micros("created_at")):
         flows.depth_to_table(flows.review_counts(stream), path, state).awaitTermination()
     out = flows.read_depth(spark, path, by="status")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
@@ -152,7 +160,7 @@ def _depth(spark, d, slide, name):
     t = fx.tickets_raw(spark, d).select(
         F.col("created_at").cast("timestamp").alias("created_at"), F.lower("ticket_priority").alias("urgency"))
     path, state = scratch_dir(spark, name), scratch_dir(spark, f"{name}-state")
-    for stream in in_parts(spark, t, f"{name}-in", -F.unix_micros("created_at")):
+    for stream in in_parts(spark, lambda: t, f"{name}-in", -F.unix_micros("created_at")):
         flows.depth_to_table(flows.queue_depth(stream, "10 minutes", slide), path, state).awaitTermination()
     out = flows.read_depth(spark, path)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
@@ -184,6 +192,6 @@ def w4_pending_depth(spark, d):
     answers = queue_events(spark, d).select("id")
     events = flows.ticket_events(q, answers.unionByName(answers))
     path, state = scratch_dir(spark, "pending"), scratch_dir(spark, "pending-state")
-    for stream in in_parts(spark, events, "ticket-events", F.xxhash64("kind", "id") % 1000):
+    for stream in in_parts(spark, lambda: events, "ticket-events", F.xxhash64("kind", "id") % 1000):
         flows.pending_to_table(stream, path, state).awaitTermination()
     return flows.read_pending(spark, path)

@@ -29,6 +29,27 @@ def build_session(app: str = "ticketloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for what is started inside."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+#: Shuffle files of a finished action go at once, not when the driver's memory is collected; a plan that
+#: is run again after all writes them again.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster.
 
@@ -59,16 +80,27 @@ def scratch_scope(spark: SparkSession, name: str):
         yield folder
     finally:
         _SCOPE.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, name: str, **options):
     """Write a table to the shared scratch folder and read it back.
 
     What follows may use it several times without computing it again, and a lost executor
-    costs a re-read, not a re-run. ``options`` are those of the writer.
+    costs a re-read, not a re-run. The shuffles that made it are not kept beside it. ``options``
+    are those of the writer.
     """
-    path = scratch_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    return store(df, scratch_dir(df.sparkSession, name), **options)
+
+
+def store(df, path: str, **options):
+    """``materialise`` in a given folder."""
+    with settings(df.sparkSession, DROP_SHUFFLES):
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,8 +3,8 @@ a write to an index run per micro-batch, and a replayed batch replaces its own o
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from contextlib import AbstractContextManager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from ticketloom.operators import labelling as lb
 from ticketloom.operators import queue as qu
 from ticketloom.operators import routing as rt
 from ticketloom.plans.triage import triage
-from ticketloom.session import materialise, scratch_scope
+from ticketloom.session import DROP_SHUFFLES, materialise, scratch_scope, settings
 from ticketloom.sources.logs import IndexLog, read_batches, write_batch
 from ticketloom.sources.tables import path_exists
 
@@ -215,25 +215,17 @@ def pending_to_table(events: DataFrame, path: str, checkpoint: str, **trigger) -
         )
 
 
-@contextlib.contextmanager
-def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+def _state_on_disk(spark: SparkSession) -> AbstractContextManager:
     """For queries started inside: the state of single tickets grows with them, so it is kept on disk,
-    that of a join in one store per partition instead of four. A query goes on as it started."""
-    wanted = {
+    that of a join in one store per partition instead of four. Stores reserve no space ahead: there
+    are many, and each would take megabytes. A query goes on as it started."""
+    return settings(spark, {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.join.stateFormatVersion": "3",
-    }
-    before = {name: spark.conf.get(name, None) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+        **DROP_SHUFFLES,
+    })
 
 
 def read_pending(spark: SparkSession, path: str) -> DataFrame:
