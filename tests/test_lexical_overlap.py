@@ -158,3 +158,29 @@ def test_shingles_are_computed_once_a_text(spark, monkeypatch):
     assert {r["key"] for r in rows.collect()} == {1, 4} and sets.count() == 1
     filters = [line for line in plans[0].split("\n") if "Filter" in line]
     assert filters and not any("transform(" in line for line in filters), plans[0]
+
+
+def test_the_driver_gets_only_the_frequent_shingles(spark, monkeypatch):
+    """Of the shingles that two sets hold at least, those of most sets, and no more of those that tie than fit."""
+    held = {i: 1 + i % 5 for i in range(4000)}  # shingle -> sets that hold it
+    sets = spark.createDataFrame(
+        [(n, [(i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for i, many in held.items() if many > n]) for n in range(5)],
+        "set_id int, tokens array<bigint>")
+    mark = {(i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63: many for i, many in held.items()}
+    plans, real = [], type(sets).collect
+    monkeypatch.setattr(type(sets), "collect", lambda df: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    for room, least in ((10_000, 2), (1000, 4), (1700, 3), (1, 6)):
+        monkeypatch.setattr(ov, "FREQUENT", room)
+        found = ov._frequent(sets).tolist()
+        wanted = {t for t, many in mark.items() if many >= max(least, 2)}
+        tied = [t for t, many in mark.items() if many == least]
+        assert found == sorted(set(found)) and len(found) <= room and {mark[t] for t in found} <= set(range(least, 6)) | {5}
+        if room == 10_000:
+            assert set(found) == wanted
+        elif room >= 1000:
+            above = {t for t in wanted if mark[t] > least}
+            assert above <= set(found) and len(found) > room - 20
+            # Of those that tie the least are taken.
+            assert {t for t in found if mark[t] == least} == set(sorted(tied)[:len(found) - len(above)])
+    assert not any("Limit" in plan and f"Limit {room}" in plan for plan in plans for room in (10_000, 1000, 1700))

@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ticketloom.session import materialise
+from ticketloom.session import materialise, scratch_scope
 
 WORDS, THRESHOLD = 5, 0.8
 #: What words are made of.
@@ -54,10 +55,32 @@ def _sets(df: DataFrame, key: str, text: str, words: int, name: str) -> tuple[Da
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
-    """The ``FREQUENT`` shingles that most sets hold, of those that two hold at least; sorted."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()
-    return np.sort(np.array([r["token"] for r in rows], dtype="int64"))
+    """The ``FREQUENT`` shingles that most sets hold, of those that two hold at least; sorted.
+
+    An ordered limit would have every task send as many rows to the driver. Instead the number of
+    shingles per number of sets tells from where on they are taken, and of those at that edge, numbers
+    by their leading bits tell up to where; only the shingles that are taken are collected.
+    """
+    with scratch_scope(sets.sparkSession, "frequent"):
+        tokens = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        tokens = materialise(tokens.where("n > 1"), "token-counts")
+        edge, room = _edge(tokens, "n", F.desc("n"), FREQUENT)
+        if edge is not None:
+            tied = tokens.where(F.col("n") == edge).withColumn("lead", F.shiftright("token", 48))
+            last, _ = _edge(tied, "lead", F.asc("lead"), room)
+            tied = tied if last is None else tied.where(F.col("lead") < last)
+            tokens = tokens.where(F.col("n") > edge).unionByName(tied.drop("lead"))
+        found = tokens.select("token").toArrow()
+    return np.sort(found.column("token").to_numpy())
+
+
+def _edge(rows: DataFrame, column: str, order: Column, room: int) -> tuple[int | None, int]:
+    """The first value, in that order, whose rows do not fit into ``room`` with those before it, if any,
+    and the room that is left there."""
+    upto = F.sum("rows").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).withColumn("upto", upto)
+    over = sums.where(F.col("upto") > room).orderBy("upto").first()
+    return (over[column], room - (over["upto"] - over["rows"])) if over else (None, 0)
 
 
 def _prefixes(sets: DataFrame, last: Broadcast, threshold: float, side: str) -> DataFrame:
