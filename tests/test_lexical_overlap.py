@@ -184,3 +184,32 @@ def test_the_driver_gets_only_the_frequent_shingles(spark, monkeypatch):
             # Of those that tie the least are taken.
             assert {t for t in found if mark[t] == least} == set(sorted(tied)[:len(found) - len(above)])
     assert not any("Limit" in plan and f"Limit {room}" in plan for plan in plans for room in (10_000, 1000, 1700))
+
+
+def test_queries_of_equal_terms_are_searched_once(spark):
+    """Ninety queries ask three things: three rows meet the cases, and all have their hits."""
+    cases = spark.createDataFrame(
+        [(f"c{i:02d}", " ".join(f"w{j}" for j in range(i % 4, 4))) for i in range(40)], "case_key string, document string")
+    texts = ["w0 w1", "W1, w0", "w3", "w2 w2 nowhere"]
+    queries = spark.createDataFrame([(i, texts[i % 4]) for i in range(120)], "query_id bigint, text string")
+    index = lx.inverted_index(cases)
+    with scratch_scope(spark, "questions-test") as folder:
+        got = lx.bm25_search(queries, index, 3).collect()
+        folder = folder.removeprefix("file:")
+        asked = [spark.read.parquet(f"{folder}/{f}").count() for f in os.listdir(folder) if f.startswith("distinct-queries")]
+    assert asked == [3]
+    want = bm25_by_hand([tuple(r) for r in cases.collect()], [tuple(r) for r in queries.collect()], 3)
+    assert {(r["query_id"], r["hit_rank"]): (r["case_key"], r["score"]) for r in got} == want and len(got) == len(want) == 360
+
+
+def test_bm25_over_many_tiles_equals_brute_force(spark, monkeypatch):
+    """What a tile has found bounds the next; ties of several tiles go to the smaller key."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    cases = [(f"c{i:03d}", " ".join(rnd.choices(words, k=rnd.randint(1, 5)))) for i in range(200)]
+    queries = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 4)))) for i in range(40)]
+    index = lx.inverted_index(spark.createDataFrame(cases, "case_key string, document string"))
+    monkeypatch.setattr(blocks, "TILE_BYTES", 2000)
+    got = lx.bm25_search(spark.createDataFrame(queries, "query_id bigint, text string"), index, 4).collect()
+    want = bm25_by_hand(cases, queries, 4)
+    assert {(r["query_id"], r["hit_rank"]): (r["case_key"], r["score"]) for r in got} == want and len(got) == len(want)

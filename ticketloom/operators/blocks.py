@@ -546,40 +546,55 @@ def top_k_of_tile(
     return held
 
 
-class _TopK:
-    """The k best cases per query of a chunk, over the tiles added so far."""
+class Best:
+    """The k best cases per query of a chunk, over the tiles added so far; ties go to the smaller key.
 
-    def __init__(self, q: pa.Table, k: int, block_rows: int, query_rows: int, carry: tuple[str, ...], cells: Cells | None):
-        self.q, self.k, self.sizes, self.cells = q, k, (block_rows, query_rows), cells
-        self.carry, self.left, self.best = carry, unit_matrix(q), None
-        self.left32, self.floor = self.left.astype("float32"), np.full(q.num_rows, -np.inf)
+    ``floor`` is the k-th best score per query: what a further tile must reach.
+    """
 
-    def add(self, c: pa.Table) -> None:
-        c = c.take(pa.array(np.argsort(values(c, "case_key"), kind="stable")))
-        right = unit_matrix(c)
-        if self.cells is None:
-            row, col, score = top_k_of_tile(self.left, self.left32, right, self.k, self.floor, *self.sizes)
-        else:
-            row, col, score = top_k(
-                len(self.left), _products(self.q, c, self.left, self.cells, *self.sizes), self.left, right, self.k)
-        found = {name: c.column(name).combine_chunks().take(pa.array(col)) for name in ("case_key", *self.carry)}
-        found = pa.table({"row": row.astype("int64"), "similarity": score, **found})
+    def __init__(self, q: pa.Table, k: int, score: str, carry: tuple[str, ...] = ()):
+        self.query_ids, self.k, self.score, self.columns = values(q, "query_id"), k, score, ("case_key", *carry)
+        self.best, self.floor = None, np.full(q.num_rows, -np.inf)
+
+    def merge(self, c: pa.Table, row: np.ndarray, col: np.ndarray, score: np.ndarray) -> None:
+        """Take in what was found in a tile: rows of queries and of cases, sorted by query and falling score."""
+        found = {name: c.column(name).combine_chunks().take(pa.array(col)) for name in self.columns}
+        found = pa.table({"row": row.astype("int64"), self.score: score, **found})
         if self.best is not None:
             found = pa.concat_tables([self.best, found])
-            row, score = values(found, "row"), values(found, "similarity")
+            row, score = values(found, "row"), values(found, self.score)
             order = np.lexsort((-score, row))
-            one = row[order], score[order]
-            if ((one[0][1:] == one[0][:-1]) & (one[1][1:] == one[1][:-1])).any():
-                order = pc.sort_indices(found, [("row", "ascending"), ("similarity", "descending"), ("case_key", "ascending")]).to_numpy()
-            ranked = row[order]
-            found = found.take(pa.array(order[np.arange(len(ranked)) - np.searchsorted(ranked, ranked) < self.k]))
+            rows, scores = row[order], score[order]
+            if ((rows[1:] == rows[:-1]) & (scores[1:] == scores[:-1])).any():
+                order = pc.sort_indices(found, [("row", "ascending"), (self.score, "descending"), ("case_key", "ascending")]).to_numpy()
+                rows = row[order]
+            found = found.take(pa.array(order[np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k]))
         self.best = found.combine_chunks()
-        self.floor = _kth(values(found, "row"), values(found, "similarity"), self.k, len(self.left))
+        self.floor = _kth(values(found, "row"), values(found, self.score), self.k, len(self.floor))
 
     def pieces(self) -> Iterator[dict[str, np.ndarray]]:
         if self.best is not None:
-            yield {"query_id": values(self.q, "query_id")[values(self.best, "row")],
-                   **{name: values(self.best, name) for name in ("case_key", "similarity", *self.carry)}}
+            yield {"query_id": self.query_ids[values(self.best, "row")],
+                   **{name: values(self.best, name) for name in (self.score, *self.columns)}}
+
+
+class _TopK(Best):
+    """The most similar cases."""
+
+    def __init__(self, q: pa.Table, k: int, block_rows: int, query_rows: int, carry: tuple[str, ...], cells: Cells | None):
+        super().__init__(q, k, "similarity", carry)
+        self.q, self.sizes, self.cells, self.left = q, (block_rows, query_rows), cells, unit_matrix(q)
+        self.left32 = self.left.astype("float32")
+
+    def add(self, c: pa.Table) -> None:
+        c = c.take(pa.array(np.argsort(values(c, "case_key"), kind="stable")))
+        right = unit_matrix(c)
+        if self.cells is None:
+            found = top_k_of_tile(self.left, self.left32, right, self.k, self.floor, *self.sizes)
+        else:
+            products = _products(self.q, c, self.left, self.cells, *self.sizes)
+            found = top_k(len(self.left), products, self.left, right, self.k)
+        self.merge(c, *found)
 
 
 def top_k_pairs(

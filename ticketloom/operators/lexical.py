@@ -10,7 +10,6 @@ most k rows per query leave a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -71,44 +70,70 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return per_query.select("query_id", F.col("t.term").alias("terms"), F.col("t.n").alias("times"))
 
 
-def _tile_scores(q: pa.Table, c: pa.Table, k: int) -> Iterator[dict[str, np.ndarray]]:
-    """The k best cases per query; equal queries are scored once. Words stay in Arrow, only distinct ones are texts here."""
-    c = c.take(pa.array(np.argsort(blocks.values(c, "case_key"), kind="stable")))
-    keys, held, query_ids = blocks.values(c, "case_key"), c.column("terms").combine_chunks(), blocks.values(q, "query_id")
-    words = held.flatten().dictionary_encode()
-    number = {name: i for i, name in enumerate(words.dictionary.to_pylist())}
-    codes = words.indices.to_numpy()
-    owner = np.repeat(np.arange(len(keys)), np.diff(held.offsets.to_numpy()))
-    order = np.argsort(codes, kind="stable")
-    owner, impact = owner[order], c.column("impacts").combine_chunks().flatten().to_numpy()[order]
-    ends = np.searchsorted(codes[order], np.arange(len(number) + 1))
-    asked: dict[tuple, list[int]] = {}
-    for i, terms_times in enumerate(zip(q.column("terms").to_pylist(), q.column("times").to_pylist())):
-        own = tuple((number[w], n) for w, n in zip(*terms_times) if w in number)
-        if own:
-            asked.setdefault(own, []).append(i)
-    for own, rows in asked.items():
-        score = np.zeros(len(keys), dtype="int64")
-        for at, n in own:  # a case has one posting of a term
-            score[owner[ends[at]:ends[at + 1]]] += n * impact[ends[at]:ends[at + 1]]
-        hits = np.flatnonzero(score)
-        if len(hits) > k:
-            hits = hits[score[hits] >= np.partition(score[hits], len(hits) - k)[len(hits) - k]]
-        hits = hits[np.lexsort((hits, -score[hits]))][:k]
-        yield {
-            "query_id": np.repeat(query_ids[rows], len(hits)), "case_key": np.tile(keys[hits], len(rows)),
-            "score": np.tile(score[hits], len(rows))}
+class _Scores(blocks.Best):
+    """The k best cases per query of a chunk. Queries that ask a tile the same are scored once; words stay
+    in Arrow, only distinct ones are texts here."""
+
+    def __init__(self, q: pa.Table, k: int):
+        super().__init__(q, k, "score")
+        asked = q.column("terms").combine_chunks()
+        words = asked.flatten().dictionary_encode()
+        self.words, codes = words.dictionary.to_pylist(), words.indices.to_pylist()
+        ends = asked.offsets.to_numpy() - asked.offsets[0].as_py()
+        pairs = list(zip(codes, q.column("times").combine_chunks().flatten().to_pylist()))
+        self.asked = [pairs[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def add(self, c: pa.Table) -> None:
+        c = c.take(pa.array(np.argsort(blocks.values(c, "case_key"), kind="stable")))
+        held = c.column("terms").combine_chunks()
+        words = held.flatten().dictionary_encode()
+        number = {name: i for i, name in enumerate(words.dictionary.to_pylist())}
+        codes = words.indices.to_numpy()
+        owner = np.repeat(np.arange(c.num_rows), np.diff(held.offsets.to_numpy()))
+        order = np.argsort(codes, kind="stable")
+        owner, impact = owner[order], c.column("impacts").combine_chunks().flatten().to_numpy()[order]
+        ends = np.searchsorted(codes[order], np.arange(len(number) + 1))
+        most = np.maximum.reduceat(impact, ends[:-1]) if len(impact) else impact
+        here = [number.get(w, -1) for w in self.words]
+        same: dict[tuple, list[int]] = {}
+        for i, pairs in enumerate(self.asked):
+            own = tuple((here[w], n) for w, n in pairs if here[w] >= 0)
+            if own and sum(n * most[at] for at, n in own) >= self.floor[i]:
+                same.setdefault(own, []).append(i)
+        score, found = np.empty(c.num_rows, dtype="int64"), []
+        for own, rows in same.items():
+            score.fill(0)
+            for at, n in own:  # a case has one posting of a term
+                score[owner[ends[at]:ends[at + 1]]] += n * impact[ends[at]:ends[at + 1]]
+            hits = np.flatnonzero(score >= max(1, self.floor[rows].min()))
+            if len(hits) > self.k:
+                hits = hits[score[hits] >= np.partition(score[hits], len(hits) - self.k)[len(hits) - self.k]]
+            hits = hits[np.lexsort((hits, -score[hits]))][:self.k]
+            if len(hits):
+                found.append((np.repeat(rows, len(hits)), np.tile(hits, len(rows)), np.tile(score[hits], len(rows))))
+        if found:
+            row, col, best = (np.concatenate(parts) for parts in zip(*found))
+            order = np.argsort(row, kind="stable")
+            self.merge(c, row[order], col[order], best[order])
 
 
 def bm25_search(queries: DataFrame, index: DataFrame, k: int, cfg: TriageConfig = TriageConfig()) -> DataFrame:
     """(query_id, case_key, score, hit_rank): the k best cases of each query (query_id, text) with a
-    term in common; equal scores by case key. A term that a query repeats counts as often."""
-    asked = materialise(query_terms(queries), "query-terms")
-    kind = asked.schema["query_id"].dataType.simpleString()
+    term in common; equal scores by case key. A term that a query repeats counts as often.
+
+    Queries of equal terms are searched once, wherever they lie; the hits then meet their ids."""
+    ask = F.md5(F.to_json(F.struct("terms", "times")))
+    asked = materialise(query_terms(queries).withColumn("ask", ask), "query-terms")
+    each = asked.groupBy("ask").agg(F.any_value("terms").alias("terms"), F.any_value("times").alias("times"))
     pairs = blocks.meet(
-        asked, index, lambda q, c: _tile_scores(q, c, k), f"query_id {kind}, case_key string, score bigint", cfg.query_rows)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_key")
-    return pairs.withColumn("hit_rank", F.row_number().over(best).cast("bigint")).where(F.col("hit_rank") <= k)
+        materialise(each.withColumnRenamed("ask", "query_id"), "distinct-queries"), index, None,
+        "query_id string, case_key string, score bigint", cfg.query_rows, fold=lambda q: _Scores(q, k))
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), "case_key")
+    hits = pairs.withColumnRenamed("query_id", "ask").withColumn("hit_rank", F.row_number().over(best).cast("bigint"))
+    # One row per question, so that one that many ask can be split in the join.
+    hits = hits.where(F.col("hit_rank") <= k).groupBy("ask").agg(
+        F.collect_list(F.struct("case_key", "score", "hit_rank")).alias("hits"))
+    return asked.select("query_id", "ask").join(materialise(hits, "question-hits"), "ask").select("query_id", F.inline("hits"))
 
 
 def fuse_rankings(rankings: dict[str, DataFrame], k: int, offset: int = RANK_OFFSET) -> DataFrame:
@@ -139,7 +164,8 @@ def hybrid_search(
     terms keeps its vector ranking.
     """
     dense = search.nearest(queries, index, depth, cfg)
-    lexical = bm25_search(queries, inverted, depth, cfg)
+    # By query, as the other ranking lies: the fusion then needs no shuffle of both.
+    lexical = bm25_search(queries, inverted, depth, cfg).repartition("query_id")
     return fuse_rankings({
         "dense": dense.withColumnRenamed("cut_rank", "rank"), "lexical": lexical.withColumnRenamed("hit_rank", "rank"),
     }, cfg.top_k)
